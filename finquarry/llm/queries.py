@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from finquarry.llm.common import table
 from finquarry.llm.mixing import mix_query
 from finquarry.llm.packing import pack_documents
+from finquarry.llm.quality import quality_rules
+from finquarry.llm.toxicity import toxicity_query
 
 
 def tokenizer_path() -> str:
@@ -25,8 +27,16 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_query(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op7_source_mixing)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op7_source_mixing, op8_toxicity, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
