@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from finquarry.llm.common import table
 from finquarry.llm.mixing import mix_query
+from finquarry.llm.ngram_join import ngram_join
 from finquarry.llm.packing import pack_documents
 from finquarry.llm.quality import quality_rules
 from finquarry.llm.toxicity import toxicity_query
@@ -23,6 +24,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_query(table(spark, sf_dir, "documents"))
 
@@ -36,7 +41,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op7_source_mixing, op8_toxicity, op9_quality_rules)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op4_ngram_jaccard_join, op7_source_mixing, op8_toxicity, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
