@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from finquarry.llm.common import table
+from finquarry.llm.embedding_dedup import embedding_links
 from finquarry.llm.mixing import mix_query
 from finquarry.llm.ngram_join import ngram_join
 from finquarry.llm.packing import pack_documents
@@ -20,6 +21,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -41,7 +46,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op4_ngram_jaccard_join, op7_source_mixing, op8_toxicity, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_best_fit_packing, op4_ngram_jaccard_join, op7_source_mixing, op8_toxicity, op9_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
