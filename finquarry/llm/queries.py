@@ -13,6 +13,7 @@ from finquarry.llm.ngram_join import ngram_join
 from finquarry.llm.packing import pack_documents
 from finquarry.llm.quality import quality_rules
 from finquarry.llm.toxicity import toxicity_query
+from finquarry.llm.warc import warc_query
 
 
 def tokenizer_path() -> str:
@@ -45,9 +46,24 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_query(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_best_fit_packing, op4_ngram_jaccard_join, op7_source_mixing, op8_toxicity, op9_quality_rules)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_best_fit_packing, op4_ngram_jaccard_join, op7_source_mixing, op8_toxicity, op9_quality_rules, op10_warc)}
+
+
+#: DuckDB has SHA-1 as hexadecimal text; five of its digits are four base32 digits.
+OP10_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, payload_bytes, h, list_aggregate(list_transform(range(8), lambda k: list_aggregate(list_transform([15, 10, 5, 0], lambda s:
+  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, 5 * k::INT + 1, 5))::INT >> s) & 31) + 1)::INT, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest,
+  min(page_id) OVER (PARTITION BY h, payload_bytes) AS first FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first THEN first END AS refers_to FROM d
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_warc": OP10_SQL}
