@@ -11,6 +11,7 @@ from finquarry.llm.embedding_dedup import embedding_links
 from finquarry.llm.mixing import mix_query
 from finquarry.llm.ngram_join import ngram_join
 from finquarry.llm.packing import pack_documents
+from finquarry.llm.pii import pii_query
 from finquarry.llm.quality import quality_rules
 from finquarry.llm.toxicity import toxicity_query
 from finquarry.llm.warc import warc_query
@@ -30,6 +31,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_query(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
@@ -51,7 +56,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_best_fit_packing, op4_ngram_jaccard_join, op7_source_mixing, op8_toxicity, op9_quality_rules, op10_warc)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_best_fit_packing, op3_pii_surrogates, op4_ngram_jaccard_join, op7_source_mixing, op8_toxicity, op9_quality_rules, op10_warc)}
 
 
 #: DuckDB has SHA-1 as hexadecimal text; five of its digits are four base32 digits.
