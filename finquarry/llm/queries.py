@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from finquarry.llm.common import table
 from finquarry.llm.embedding_dedup import embedding_links
+from finquarry.llm.html_extract import extract_text, fit_extractor
 from finquarry.llm.mixing import mix_query
 from finquarry.llm.ngram_join import ngram_join
 from finquarry.llm.packing import pack_documents
@@ -39,6 +40,11 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extract_text(pages, fit_extractor(pages))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_query(table(spark, sf_dir, "documents"))
 
@@ -56,7 +62,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_best_fit_packing, op3_pii_surrogates, op4_ngram_jaccard_join, op7_source_mixing, op8_toxicity, op9_quality_rules, op10_warc)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_best_fit_packing, op3_pii_surrogates, op4_ngram_jaccard_join, op5_html_extraction, op7_source_mixing, op8_toxicity, op9_quality_rules, op10_warc)}
 
 
 #: DuckDB has SHA-1 as hexadecimal text; five of its digits are four base32 digits.
@@ -69,6 +75,16 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest, CASE WHE
   CASE WHEN page_id > first THEN first END AS refers_to FROM d
 """
 
+#: The article element, cut at block tags; inline tags go, references are decoded, white space is one space.
+OP5_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article[^>]*>(.*)</article>', 1, 's') AS body FROM pages),
+b AS (SELECT page_id, url, list_transform(string_split_regex(body, '</?(?:p|h1|h2|h3|ul|ol|li|div|section|blockquote)(?:\s[^>]*)?>'), lambda x:
+  trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<br[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g'),
+  '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#x27;', chr(39), 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS parts FROM a)
+SELECT page_id, url, coalesce(list_aggregate(list_filter(parts, lambda x: x <> ''), 'string_agg', chr(10)), '') AS text,
+  length(coalesce(list_aggregate(list_filter(parts, lambda x: x <> ''), 'string_agg', chr(10)), ''))::BIGINT AS n_chars FROM b
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_warc": OP10_SQL}
+    return {"op5_html_extraction": OP5_SQL, "op10_warc": OP10_SQL}
