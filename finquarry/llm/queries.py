@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from finquarry.llm.common import table
 from finquarry.llm.embedding_dedup import embedding_links
+from finquarry.llm.hmm_lm import lm_scores
 from finquarry.llm.html_extract import extract_text, fit_extractor
 from finquarry.llm.mixing import mix_query
 from finquarry.llm.ngram_join import ngram_join
@@ -45,6 +46,10 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(pages, fit_extractor(pages))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_query(table(spark, sf_dir, "documents"))
 
@@ -62,7 +67,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_best_fit_packing, op3_pii_surrogates, op4_ngram_jaccard_join, op5_html_extraction, op7_source_mixing, op8_toxicity, op9_quality_rules, op10_warc)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_best_fit_packing, op3_pii_surrogates, op4_ngram_jaccard_join, op5_html_extraction, op6_lm_scoring, op7_source_mixing, op8_toxicity, op9_quality_rules, op10_warc)}
 
 
 #: DuckDB has SHA-1 as hexadecimal text; five of its digits are four base32 digits.
