@@ -144,9 +144,8 @@ def _emit_keys(n: int, t: Threshold, most: int = 1_000_000):
             d = np.repeat(np.array([i for i, _ in ids], dtype=np.int64), [m for _, m in ids])
             order = np.lexsort((d, k))
             k, d = k[order], d[order]
-            same = k[1:] == k[:-1]
-            met = np.unique(np.stack([d[1:][same], d[:-1][same]], axis=1), axis=0) if same.any() else np.zeros((0, 2), np.int64)
-            first = np.concatenate([[True], ~same])
+            first = np.concatenate([[True], k[1:] != k[:-1]])
+            met = _to_first(d, first)
             yield pa.RecordBatch.from_arrays([pa.array(k[first].view(np.int64)), pa.array(d[first]), pa.nulls(int(first.sum()), pa.int64())], ["key", "doc", "other"])
             if len(met):
                 yield pa.RecordBatch.from_arrays([pa.array(mix64(np.ascontiguousarray(met[:, 0]).view(np.uint64)).view(np.int64)), pa.array(np.ascontiguousarray(met[:, 0])), pa.array(np.ascontiguousarray(met[:, 1]))], ["key", "doc", "other"])
@@ -213,9 +212,8 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10, block_r
     copies = stage(usable.join(first, ["n_shingles", "h1", "h2"]).filter("doc_id > rep").select("doc_id", "rep").distinct(), "join-copies")
 
     emitted = docs.filter("doc_id is not null").mapInArrow(_emit_keys(n, t), "key long, doc long, other long")
-    # The rows of one key follow each other in a task: each meets the one before it.
-    nearest = emitted.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_chain, "a long, b long")
-    met = stage(nearest.distinct(), "join-met")
+    paired = emitted.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_pair, "a long, b long")
+    met = stage(paired.distinct(), "join-met")
     cells = connected_components(met)
     cells = cells.join(copies.select(F.col("doc_id").alias("node")), "node", "left_anti")
     cells = stage(cells.withColumnRenamed("component", "cell"), "join-cells")
@@ -232,9 +230,15 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10, block_r
     return rows.join(component, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (key, doc, other): ready pairs as they are, and each doc with the one before it under its key."""
-    last_key = last_doc = None
+def _to_first(d: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Pairs of each document with the first of its run: stars, whose components settle in few rounds."""
+    head = d[np.maximum.accumulate(np.where(first, np.arange(len(d)), 0))]
+    return np.unique(np.stack([d[d != head], head[d != head]], axis=1), axis=0)
+
+
+def _pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (key, doc, other): ready pairs as they are, and each doc with the first one of its key."""
+    key_now = doc_first = None
     for batch in batches:
         key, doc, other = batch.columns
         ready = other.is_valid().to_numpy(zero_copy_only=False)
@@ -242,11 +246,11 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = [np.stack([d[ready], o[ready]], axis=1)]
         k, d = key.to_numpy()[~ready], d[~ready]
         if len(k):
-            if last_key is not None and last_key == k[0] and last_doc != d[0]:
-                pairs.append(np.array([[d[0], last_doc]]))
-            same = (k[1:] == k[:-1]) & (d[1:] != d[:-1])
-            pairs.append(np.stack([d[1:][same], d[:-1][same]], axis=1))
-            last_key, last_doc = k[-1], d[-1]
+            if key_now == k[0]:
+                k, d = np.append(k[:1], k), np.append(np.int64(doc_first), d)
+            first = np.concatenate([[True], k[1:] != k[:-1]])
+            pairs.append(_to_first(d, first))
+            key_now, doc_first = k[-1], d[np.flatnonzero(first)[-1]]
         if len(p := np.unique(np.concatenate(pairs), axis=0)):
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(p[:, 0])), pa.array(np.ascontiguousarray(p[:, 1]))], ["a", "b"])
 
