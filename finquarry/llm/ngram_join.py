@@ -1,9 +1,10 @@
 """N-gram Jaccard join by T-occurrence search (DivideSkip), exact.
 
 1. Each document becomes its set of distinct word n-grams (64-bit hashes). Equal sets fall together.
-2. Sets whose Jaccard similarity reaches num/den differ in few elements. So if the hash range is cut into one part
-   more than they can differ in, the two agree on a whole part. Every set emits a key for each part; sets that
-   share a key are candidates. Keys are paired inside a task first and only one of each goes on, so a key that very
+2. Sets whose Jaccard similarity reaches num/den differ in few elements. So if the hash range is cut into more parts
+   than they can differ in, the two agree on whole parts. Every set emits a key for each part; sets that share a key
+   are candidates. There are more parts than needed, so parts that say little, with few n-grams besides very
+   frequent ones, need no key as long as a set has no more of them than there are parts to spare. Keys are paired inside a task first and only one of each goes on, so a key that very
    many documents share costs one row a task; no key's group is expanded into pairs.
 3. Candidates' components are the cells. Inside a cell, T-occurrence search finds the links: each set looks for
    earlier sets that hold at least T of its n-grams, merging the short inverted lists with a heap and probing the
@@ -60,13 +61,25 @@ class Threshold:
         """The smallest intersection of sets of a and b elements with that similarity."""
         return -(-self.num * (a + b) // (self.num + self.den))
 
-    def level(self, b: int) -> int:
-        """Rung whose parts outnumber the elements in which a set of b and one no larger can differ."""
-        return int(np.searchsorted(self._ladder, 2 * b * (self.den - self.num) // (self.num + self.den) + 1))
+    def differ(self, a: int, b: int) -> int:
+        """The most elements that only one of two linked sets of a and b elements has."""
+        return (a + b) * (self.den - self.num) // (self.num + self.den)
 
-    def rungs(self, a: int) -> list[int]:
-        """Numbers of parts under which a set of a elements meets every set that it may be linked to."""
-        return self.ladder[self.level(a) : self.level(a * self.den // self.num) + 1]
+    def level(self, b: int) -> int:
+        """Rung whose parts outnumber, with some to spare, what a set of b and one no larger can differ in."""
+        most = self.differ(b, b)
+        return int(np.searchsorted(self._ladder, most + 2 + most // 8 if most else 1))
+
+    def rungs(self, a: int) -> list[tuple[int, int]]:
+        """(parts, parts to spare) under which a set of a elements meets every set that it may be linked to."""
+        out, top = [], a * self.den // self.num
+        for k in range(self.level(a), self.level(top) + 1):
+            low, high = a, top
+            while low < high:  # the largest partner on this rung
+                mid = (low + high + 1) // 2
+                low, high = (mid, high) if self.level(mid) <= k else (low, mid - 1)
+            out.append((self.ladder[k], self.ladder[k] - 1 - self.differ(a, low)))
+        return out
 
 
 @lru_cache(512)
@@ -74,12 +87,41 @@ def _bounds(parts: int) -> np.ndarray:
     return np.array([(k << 64) // parts for k in range(1, parts)], dtype=np.uint64)
 
 
-def part_keys(s: np.ndarray, parts: int) -> np.ndarray:
-    """A key for each part of the hash range: equal where two sets agree on the whole part."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(s), dtype=np.uint64)])
+def part_keys(s: np.ndarray, parts: int, spare: int, rare: np.ndarray, least: int) -> np.ndarray:
+    """Keys of the parts of the hash range: equal where two sets agree on the whole part.
+
+    rare: which elements are not very frequent. Parts with fewer than `least` rare elements get no key if there are
+    at most `spare` of them. Whether a part is such a part depends on its elements alone, so two sets see it alike,
+    and a set that leaves them out still shares one of the others with each set it is linked to.
+    """
     at = np.concatenate([[0], np.searchsorted(s, _bounds(parts)), [len(s)]])
-    own = sums[at[1:]] - sums[at[:-1]]
-    return mix64(own ^ mix64(np.arange(parts, dtype=np.uint64) * _B + np.uint64(parts)))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(s), dtype=np.uint64)])
+    own = mix64((sums[at[1:]] - sums[at[:-1]]) ^ mix64(np.arange(parts, dtype=np.uint64) * _B + np.uint64(parts)))
+    seen = np.concatenate([[0], np.cumsum(rare)])
+    weak = seen[at[1:]] - seen[at[:-1]] < least
+    return own[~weak] if weak.sum() <= spare else own
+
+
+#: Shingles are counted by this many ranges of their hash, so that very frequent ones are known.
+BUCKETS, CHUNK = 1 << 18, 1 << 12
+
+
+def _bucket(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(46)).astype(np.int64)
+
+
+def frequent(counts: DataFrame, documents: int) -> np.ndarray:
+    """Hash ranges that hold far more than their share of all sets' n-grams: over twice the mean, plus one in a
+    thousand documents. counts: (chunk, counts binary) of every task, added up by chunk."""
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(b, dtype=np.int64) for b in pdf["counts"])
+        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "counts": [total.tobytes()]})
+
+    seen = np.zeros(BUCKETS, dtype=np.int64)
+    for r in counts.groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect():  # BUCKETS numbers in all
+        seen[r.chunk * CHUNK : (r.chunk + 1) * CHUNK] = np.frombuffer(r.counts, dtype=np.int64)
+    return seen > 2 * seen.mean() + documents / 1000
 
 
 def t_occurrence_links(ids: list[int], sets: list[np.ndarray], t: Threshold, side: np.ndarray | None = None, mu: float = 0.0085) -> list[tuple[int, int]]:
@@ -132,12 +174,12 @@ def t_occurrence_links(ids: list[int], sets: list[np.ndarray], t: Threshold, sid
     return links
 
 
-def _emit_keys(n: int, t: Threshold, most: int = 1_000_000):
+def _emit_keys(n: int, t: Threshold, hot: np.ndarray, least: int, most: int = 1_000_000):
     """Rows (key, doc, null): the first document of each key in a stretch of documents; (any key, doc, other):
     documents that met inside it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids, held = [], [], 0
+        keys, ids, held, rungs = [], [], 0, lru_cache(10_000)(t.rungs)
 
         def out():
             k = np.concatenate(keys)
@@ -156,7 +198,8 @@ def _emit_keys(n: int, t: Threshold, most: int = 1_000_000):
                 s = shingles(text, n)
                 if not len(s):
                     continue
-                new = [part_keys(s, parts) for parts in t.rungs(len(s))]
+                rare = ~hot[_bucket(s)]
+                new = [part_keys(s, parts, spare, rare, least if parts > 2 else 0) for parts, spare in rungs(len(s))]
                 m = sum(map(len, new))
                 keys.extend(new), ids.append((doc, m))
                 held += m
@@ -170,15 +213,26 @@ def _emit_keys(n: int, t: Threshold, most: int = 1_000_000):
 
 
 def _sets(n: int):
+    """Each document's set size and digest; last, the task's counts by hash range, in chunks (size -1 - chunk)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, names = np.zeros(BUCKETS, dtype=np.int64), ["doc_id", "n_shingles", "h1", "h2", "counts"]
         for batch in batches:
-            rows = []
+            rows, buckets = [], []
             for text in utf8(batch.column(1)):
                 s = shingles(text, n)
                 d = xxhash.xxh3_128_intdigest(s.tobytes())
                 rows.append((len(s), (d >> 64) - (1 << 63), (d & ((1 << 64) - 1)) - (1 << 63)))
+                buckets.append(_bucket(s))
+                if len(buckets) == 1000:
+                    seen += np.bincount(np.concatenate(buckets), minlength=BUCKETS)
+                    buckets = []
+            seen += np.bincount(np.concatenate([*buckets, np.zeros(0, np.int64)]), minlength=BUCKETS)
             cols = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols)], ["doc_id", "n_shingles", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols), pa.nulls(len(rows), pa.binary())], names)
+        m = BUCKETS // CHUNK
+        chunks = [seen[k * CHUNK : (k + 1) * CHUNK].tobytes() for k in range(m)]
+        yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(range(-1, -1 - m, -1), pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(chunks, pa.binary())], names)
 
     return run
 
@@ -205,13 +259,16 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10, block_r
     and has a null component. Hashes of 64 bits stand for n-grams, of 128 bits for whole sets.
     """
     t = Threshold(num, den)
+    least = 3 if 10 * num >= 9 * den else 2  # parts get smaller with the threshold
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = stage(docs.mapInArrow(_sets(n), "doc_id long, n_shingles long, h1 long, h2 long"), "join-sets")
+    seen = stage(docs.mapInArrow(_sets(n), "doc_id long, n_shingles long, h1 long, h2 long, counts binary"), "join-sets")
+    rows = seen.filter("n_shingles >= 0").drop("counts")
+    hot = frequent(seen.filter("n_shingles < 0").select((-1 - F.col("n_shingles")).cast("int").alias("chunk"), "counts"), rows.count())
     usable = rows.filter("doc_id is not null and n_shingles > 0")
     first = usable.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).filter("rep < top").drop("top")
     copies = stage(usable.join(first, ["n_shingles", "h1", "h2"]).filter("doc_id > rep").select("doc_id", "rep").distinct(), "join-copies")
 
-    emitted = docs.filter("doc_id is not null").mapInArrow(_emit_keys(n, t), "key long, doc long, other long")
+    emitted = docs.filter("doc_id is not null").mapInArrow(_emit_keys(n, t, hot, least), "key long, doc long, other long")
     paired = emitted.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_pair, "a long, b long")
     met = stage(paired.distinct(), "join-met")
     cells = connected_components(met)
