@@ -1,18 +1,210 @@
-"""Queries of the engine over the driver's tables, with their SQL twins."""
+"""Queries of the engine over the driver's tables, with their SQL twins.
+
+Each entry names the DataFrame, its output columns (~: rounded to 4 places, #: counted, as long) and the twin's FROM.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from finquarry.functions import columns as C
+from finquarry.operators import checks, core, dividends, history, portfolio, prices, scoring, statements, studies
+from finquarry.plans import oracle
+from finquarry.sources import adapters as A
+
+DATE, MID, ACTIVE = "2024-01-10", "2024-01-20 12:00:00", "2024-01-15"
+_M = [f"{m}~" for m in statements.METRICS]
+
+
+class Tables:
+    """The engine's tables for one run, made on demand."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str):
+        return getattr(A, name)(self.spark, self.sf_dir)
+
+    def dim(self) -> DataFrame:
+        return scoring.dim_security(self.securities)
+
+    def wide(self) -> DataFrame:
+        return A.statements_wide(self.spark, self.sf_dir).unionByName(A.statements_wide(self.spark, self.sf_dir, "quarterly"))
+
+    def quarterly(self) -> DataFrame:
+        return A.statements_wide(self.spark, self.sf_dir, "quarterly")
+
+    def fin(self) -> DataFrame:
+        return statements.fct_financials(statements.melt_statements(self.wide()), self.dim())
+
+    def fct_div(self) -> DataFrame:
+        return dividends.fct_dividends(self.dividends, A.AS_OF)
+
+    def windows(self) -> DataFrame:
+        return dividends.dividend_windows(self.fct_div())
+
+    def score(self, mode: str = "table") -> DataFrame:
+        return scoring.quality_score(self.dim(), self.fin(), self.windows(), mode)
+
+    def corrections(self) -> DataFrame:
+        return prices.split_corrections(self.bars, self.splits)
+
+    def prices(self) -> DataFrame:
+        return prices.fct_prices(self.bars, self.corrections())
+
+    def hist(self) -> DataFrame:
+        return scoring.score_history(scoring.stg_score_history(self.score_rows))
+
+    def timeline(self) -> DataFrame:
+        return scoring.stg_score_history(self.score_rows).select("symbol", F.col("score_date").alias("period"), "grade", "overall_score")
+
+    def latest(self) -> DataFrame:
+        return prices.latest_prices(self.bars)
+
+    def priced(self) -> DataFrame:
+        return portfolio.price_holdings(self.holdings, self.latest())
+
+    def series(self) -> DataFrame:
+        return portfolio.value_series(self.holdings, self.bars)
+
+    def spells(self) -> DataFrame:
+        return history.index_membership_scd2(self.membership)
+
+    def old_holdings(self) -> DataFrame:
+        k = F.col("symbol")
+        bought = F.when(k % 4 != 0, F.date_add(F.lit("1996-01-01").cast("date"), (k % 1000).cast("int")))
+        return self.securities.select((k % 10).alias("wallet_id"), "symbol", (F.lit(1.0) + k % 7).alias("shares"), bought.alias("bought_at"))
+
+    def income(self) -> DataFrame:
+        return portfolio.dividend_income(self.old_holdings(), self.dividends, A.AS_OF)
+
+    def values(self) -> DataFrame:
+        return portfolio.wallet_totals(self.priced()).select("wallet_id", "value", (F.col("value") * 0.04).alias("annual_income"))
+
+
+_TOTALS = "(SELECT wallet_id, sum(value) AS value, sum(day_change) AS day_change, sum(CASE WHEN value IS NOT NULL AND cost_total IS NOT NULL THEN gain END) AS gain, sum(CASE WHEN value IS NOT NULL AND cost_total IS NOT NULL THEN value END) / nullif(sum(value), 0) * 100 AS cost_coverage_pct, count(*) AS holdings FROM priced GROUP BY wallet_id)"
+_GRADED = "(SELECT symbol, grade, overall_score FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY score_date DESC) AS n FROM score_stg WHERE score_date <= DATE '{day}') WHERE n = 1)"
+_RETURNS = "(SELECT symbol, first_date, last_date, (b / a - 1) * 100 AS total_return FROM (SELECT symbol, min(trade_date) AS first_date, max(trade_date) AS last_date, arg_min(adj_close, trade_date) AS a, arg_max(adj_close, trade_date) AS b FROM bars WHERE trade_date >= DATE '{day}' GROUP BY symbol) WHERE first_date < last_date AND a > 0)"
+_LADDER = "list_position(['A+', 'A', 'B+', 'B', 'C+', 'C', 'D', 'F', 'ungraded'], grade)::BIGINT"
+
+
+def _portfolios(day: str) -> str:
+    r = _RETURNS.format(day=day)
+    return f"(SELECT grade, count(*) AS companies, avg(total_return) AS mean_return, median(total_return) AS median_return, arg_max(symbol, (total_return, symbol)) AS best, arg_min(symbol, (total_return, symbol)) AS worst, sum((total_return > 0)::INT)::BIGINT AS positive, {_LADDER} AS ladder FROM (SELECT r.symbol, total_return, coalesce(grade, 'ungraded') AS grade FROM {r} r LEFT JOIN {_GRADED.format(day=day)} g USING (symbol) WHERE first_date <= DATE '{day}' + 10) GROUP BY grade)"
+
+
+#: name: (DataFrame of Tables, columns, twin's FROM)
+ENTRIES: dict[str, tuple[Callable[[Tables], DataFrame], str | list[str], str]] = {
+    "latest_wins": (lambda t: t.dividends, "symbol pay_date amount~", "dividends"),
+    "fct_dividends": (Tables.fct_div, "symbol pay_date amount~ payment_seq payments_total payments_per_year calendar_year", "fct_dividends"),
+    "dividend_windows": (Tables.windows, "symbol window_index amount~ payments payments_per_year window_start window_end", "div_windows"),
+    "raise_streak": (lambda t: dividends.raise_streak(t.windows()), "symbol raise_streak windows_compared", "streaks"),
+    "dividend_years": (lambda t: dividends.dividend_years(t.fct_div(), A.AS_OF), "symbol calendar_year total~ payments payments_per_year is_partial", "div_years"),
+    "dividend_yoy": (lambda t: dividends.dividend_yoy(dividends.dividend_years(t.fct_div(), A.AS_OF)), "symbol calendar_year yoy_pct~", "(SELECT symbol, calendar_year, CASE WHEN prior > 0 AND py = calendar_year - 1 THEN (total / prior - 1) * 100 END AS yoy_pct FROM (SELECT *, lag(total) OVER w AS prior, lag(calendar_year) OVER w AS py, row_number() OVER (PARTITION BY symbol ORDER BY calendar_year DESC) AS n FROM div_years WHERE NOT is_partial WINDOW w AS (PARTITION BY symbol ORDER BY calendar_year)) WHERE n = 1)"),
+    "trailing_year_totals": (lambda t: dividends.trailing_year_totals(t.dividends), "symbol window_index amount~ per_year", "totals"),
+    "dividends_for": (lambda t: dividends.dividends_for(t.dividends, t.dim().filter("is_reit")), "symbol ex_date amount~", "(SELECT symbol, pay_date AS ex_date, amount FROM dividends WHERE symbol IN (SELECT symbol FROM securities WHERE is_reit))"),
+    "dim_security": (Tables.dim, "symbol name sector industry is_reit market_cap~", "securities"),
+    "melt_statements": (lambda t: statements.melt_statements(t.wide()), "symbol period_type period_end metric value~", f"(UNPIVOT (SELECT symbol, period_type, period_end, {', '.join(statements.METRICS)} FROM wide) ON {', '.join(statements.METRICS)} INTO NAME metric VALUE value)"),
+    "fct_financials": (Tables.fin, ["symbol", "period_type", "period_end", *_M, "ffo~", "net_margin_pct~", "operating_margin_pct~", "ebitda_margin_pct~", "recency_rank"], "fin"),
+    "payout_3y": (lambda t: statements.payout_3y(t.fin(), t.dim()), "symbol years_used dividends_paid~ distributable_cash~", "payout"),
+    "growth_endpoints": (lambda t: statements.growth_endpoints(t.fin()), "symbol revenue_new~ revenue_old~ eps_new~ eps_old~ ffops_new~ ffops_old~ growth_years", "endpoints"),
+    "ttm_fold": (lambda t: statements.ttm_fold(t.quarterly()), ["symbol", "period_end", *[f"{f}~" for f in statements.FLOWS], "totaldebt~", "quarters_used"], "ttm"),
+    "income_statement": (lambda t: statements.income_statement(t.fin()), "symbol period_type period_end line value~", f"(UNPIVOT (SELECT symbol, period_type, period_end, {', '.join(statements.METRICS)}, net_margin_pct AS netmargin FROM fin WHERE recency_rank <= CASE WHEN period_type = 'annual' THEN 6 ELSE 8 END) ON {', '.join(statements.METRICS)}, netmargin INTO NAME line VALUE value)"),
+    "financials_view": (lambda t: statements.financials_view(t.fin()), "symbol period_type period_end totalrevenue~ netincome~ freecashflow~ dilutedeps~", "(SELECT * FROM fin WHERE recency_rank <= CASE WHEN period_type = 'annual' THEN 10 ELSE 12 END)"),
+    "profile_metrics": (lambda t: statements.yearly_ratios(t.fin()), "symbol period_end roa~ debt_to_equity~ book_per_share~ revenue_growth_pct~ earnings_growth_pct~", "(SELECT symbol, period_end, netincome / nullif(totalassets, 0) AS roa, totaldebt / nullif(stockholdersequity, 0) AS debt_to_equity, stockholdersequity / nullif(dilutedaverageshares, 0) AS book_per_share, CASE WHEN r0 > 0 THEN (totalrevenue / r0 - 1) * 100 END AS revenue_growth_pct, CASE WHEN n0 > 0 THEN (netincome / n0 - 1) * 100 END AS earnings_growth_pct FROM (SELECT *, lag(totalrevenue) OVER w AS r0, lag(netincome) OVER w AS n0 FROM fin WINDOW w AS (PARTITION BY symbol, period_type ORDER BY period_end)) WHERE period_type = 'annual' AND recency_rank = 1)"),
+    "quality_score": (Tables.score, ["symbol", "name", "sector", "is_reit", "scoring_basis", "fiscal_year_end", "overall_score", "grade", "coverage_pct", *[f"pillar_{p}" for p in ("dividend", "balance_sheet", "growth", "profitability", "valuation")], "pays_dividend", "raise_streak#", *[f"{c}~" for c in oracle.SCORE_INPUTS]], "score"),
+    "screener": (lambda t: scoring.screener(t.score(), basis="standard"), "symbol name sector overall_score grade", "(SELECT * FROM score WHERE scoring_basis = 'standard')"),
+    "sector_summary": (lambda t: scoring.sector_summary(t.score()), "sector companies avg_score~ avg_payout~ avg_leverage~ reits", "(SELECT coalesce(sector, 'Unclassified') AS sector, count(*) AS companies, round(avg(overall_score), 1) AS avg_score, round(avg(payout_pct), 1) AS avg_payout, round(avg(net_debt_to_ebitda), 2) AS avg_leverage, sum(is_reit::INT)::BIGINT AS reits FROM score GROUP BY 1)"),
+    "security_facets": (lambda t: scoring.security_facets(t.dim(), t.score()), "symbol name sector is_reit grade overall_score scoring_basis", "(SELECT s.symbol, s.name, s.sector, s.is_reit, grade, overall_score, scoring_basis FROM securities s LEFT JOIN score USING (symbol))"),
+    "unknown_symbols": (lambda t: scoring.unknown_symbols(t.dim(), t.fin()), "symbol", "(SELECT symbol FROM securities WHERE symbol NOT IN (SELECT symbol FROM fin))"),
+    "stg_score_history": (lambda t: scoring.stg_score_history(t.score_rows), "symbol score_date overall_score grade", "score_stg"),
+    "score_history": (Tables.hist, "symbol score_date overall_score grade previous_score previous_grade previous_score_date score_change grade_changed is_latest", "score_hist"),
+    "score_movers": (lambda t: scoring.score_movers(t.hist(), t.dim()), "symbol name sector score_date overall_score previous_score score_change grade previous_grade", "(SELECT h.*, name, sector FROM score_hist h LEFT JOIN securities USING (symbol) WHERE is_latest AND score_change IS NOT NULL)"),
+    "latest_prices": (Tables.latest, "symbol trade_date close~ previous_close~ volume change_pct~", "latest"),
+    "market_map": (lambda t: prices.market_map(t.bars, t.dim(), t.score()), "sector symbol name market_cap~ change_pct~ grade sector_cap~ companies", "(SELECT coalesce(s.sector, 'Unclassified') AS sector, s.symbol, s.name, s.market_cap, change_pct, grade, sum(round(s.market_cap * 100)::BIGINT) OVER (PARTITION BY s.sector)::BIGINT / 100.0::DOUBLE AS sector_cap, count(*) OVER (PARTITION BY s.sector) AS companies FROM securities s JOIN latest USING (symbol) LEFT JOIN score USING (symbol) WHERE s.market_cap > 0)"),
+    "split_corrections": (Tables.corrections, "symbol split_date ratio close_step~ adj_step~ upstream_missed_it", "corrections"),
+    "fct_prices": (Tables.prices, "symbol trade_date close~ adj_close~ adj_close_reported~ correction_factor~ total_return_factor~", "prices"),
+    "price_anomalies": (lambda t: prices.price_anomalies(t.prices(), 20, 10, 3.0), "symbol trade_date close~ trailing_observations", "(SELECT * FROM (SELECT *, avg(r) OVER w AS m, stddev_samp(r) OVER w AS s, count(*) OVER w AS trailing_observations FROM (SELECT *, (adj_close / p - 1) * 100 AS r FROM (SELECT *, lag(adj_close) OVER (PARTITION BY symbol ORDER BY trade_date) AS p FROM prices) WHERE p > 0) WINDOW w AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) WHERE s > 0.05 AND trailing_observations >= 10 AND abs(r - m) / s >= 3)"),
+    "returns_since": (lambda t: prices.returns_since(t.bars, DATE), "symbol first_date last_date total_return~", _RETURNS.format(day=DATE)),
+    "month_end_history": (lambda t: core.month_end_history(t.bars), "symbol t close~ adj_close~", "months"),
+    "chart_series": (lambda t: prices.chart_series(t.bars, DATE, "week"), "symbol bucket t close~", "(SELECT symbol, date_trunc('week', trade_date)::DATE AS bucket, max(trade_date) AS t, arg_max(close, trade_date) AS close FROM bars WHERE trade_date >= DATE '2024-01-10' GROUP BY 1, 2)"),
+    "security_bundle": (lambda t: prices.security_bundle(t.bars, 5, 20, 9), "symbol close~ previous_close~ high_52w~ low_52w~ avg_short~ avg_long~ avg_volume~ range_position~", "(SELECT *, CASE WHEN high_52w > low_52w THEN greatest(0, least(100, (close - low_52w) / (high_52w - low_52w) * 100)) END AS range_position FROM (SELECT symbol, max(CASE WHEN n = 1 THEN close END) AS close, max(CASE WHEN n = 2 THEN close END) AS previous_close, max(high) AS high_52w, min(low) AS low_52w, avg(CASE WHEN n <= 5 THEN close END) AS avg_short, avg(CASE WHEN n <= 20 THEN close END) AS avg_long, avg(CASE WHEN n <= 9 THEN volume END) AS avg_volume FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS n FROM bars) GROUP BY symbol))"),
+    "price_watermarks": (lambda t: prices.price_watermarks(t.bars), "symbol last_date last_close~", "(SELECT symbol, max(trade_date) AS last_date, arg_max(close, trade_date) AS last_close FROM bars GROUP BY symbol)"),
+    "detect_restatement": (lambda t: prices.detect_restatement(prices.price_watermarks(t.bars), t.bars.withColumn("close", F.when(F.col("symbol") % 5 == 0, F.col("close") * 1.1).otherwise(F.col("close")))), "symbol last_date last_close~ fresh_close~ ratio~", "(SELECT symbol, trade_date AS last_date, close AS last_close, close * 1.1::DOUBLE AS fresh_close, close * 1.1::DOUBLE / close AS ratio FROM latest WHERE symbol % 5 = 0)"),
+    "merge_prices_incremental": (lambda t: prices.merge_prices(t.bars.filter("trade_date <= '2024-01-25'"), t.bars.withColumn("close", F.col("close") + 1)), "symbol trade_date close~", "(SELECT symbol, trade_date, CASE WHEN trade_date >= DATE '2024-01-15' THEN close + 1 ELSE close END AS close FROM bars)"),
+    "downsample_series": (lambda t: core.downsample(t.bars, "symbol", "trade_date", 7), "symbol trade_date close~", "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) AS n FROM bars) WHERE (n - 1) % 7 = 0)"),
+    "index_membership_scd2": (Tables.spells, "symbol index_name valid_from valid_to is_current observations universe_last_refreshed_on", "spells"),
+    "membership_as_of": (lambda t: history.membership_as_of(t.spells(), DATE), "symbol index_name", "(SELECT * FROM spells WHERE valid_from <= DATE '2024-01-10' AND (valid_to IS NULL OR valid_to >= DATE '2024-01-10'))"),
+    "financial_knowledge": (lambda t: history.financial_knowledge(t.versions), "symbol metric version_seq value known_from known_to total_versions", "knowledge"),
+    "financial_knowledge_observations": (lambda t: history.financial_knowledge(t.versions, "observations"), "symbol metric version_seq value known_from known_to total_versions", "knowledge_all"),
+    "knowledge_as_of": (lambda t: history.knowledge_as_of(history.financial_knowledge(t.versions), MID), "symbol metric value", f"(SELECT * FROM knowledge WHERE known_from <= TIMESTAMP '{MID}' AND (known_to IS NULL OR known_to > TIMESTAMP '{MID}'))"),
+    "restatements": (lambda t: history.restatements(history.financial_knowledge(t.versions)), "symbol metric version_seq restated_from restated_to first_known_at restated_at change_pct~ days_before_restated", "(SELECT *, value AS restated_to, known_from AS restated_at, CASE WHEN restated_from <> 0 THEN (value - restated_from) / abs(restated_from) * 100 END AS change_pct, date_diff('day', first_known_at::DATE, known_from::DATE) AS days_before_restated FROM (SELECT *, lag(value) OVER w AS restated_from, lag(known_from) OVER w AS first_known_at FROM knowledge WHERE total_versions > 1 WINDOW w AS (PARTITION BY symbol, period_type, period_end, metric ORDER BY version_seq)) WHERE version_seq > 1)"),
+    "asof_join": (lambda t: core.asof_join(t.holdings.select("symbol", "bought_at"), t.bars, "symbol", "bought_at", "trade_date", ["trade_date", "close"]), "symbol bought_at trade_date close~", "(SELECT h.symbol, bought_at, trade_date, close FROM holdings h ASOF LEFT JOIN bars b ON h.symbol = b.symbol AND h.bought_at >= b.trade_date)"),
+    "compare_rebased": (lambda t: studies.compare_rebased(t.prices().select("symbol", F.col("trade_date").alias("t"), "close", "adj_close"), t.holdings.filter("symbol % 5 = 0")), "symbol start last price_return~ total_return~ dividend_contribution~ final_value~", "(SELECT *, total_return - price_return AS dividend_contribution, 10000 * a1 / a0 AS final_value FROM (SELECT symbol, min(trade_date) AS start, max(trade_date) AS last, (arg_max(close, trade_date) / arg_min(close, trade_date) - 1) * 100 AS price_return, arg_max(adj_close, trade_date) AS a1, arg_min(adj_close, trade_date) AS a0, (a1 / a0 - 1) * 100 AS total_return FROM prices WHERE symbol % 5 = 0 AND trade_date >= (SELECT max(f) FROM (SELECT min(trade_date) AS f FROM prices WHERE symbol % 5 = 0 GROUP BY symbol)) GROUP BY symbol HAVING count(*) >= 2))"),
+    "grades_as_of": (lambda t: studies.grades_as_of(t.timeline(), "1999-06-30"), "symbol grade", _GRADED.format(day="1999-06-30")),
+    "grade_portfolios": (lambda t: studies.grade_portfolios(prices.returns_since(t.bars, DATE).filter(F.col("first_date") <= "2024-01-20"), studies.grades_as_of(t.timeline(), DATE), 1.0), "grade companies mean_return~ median_return~ best worst positive ladder", _portfolios(DATE)),
+    "grade_study": (lambda t: studies.grade_study(t.bars, t.timeline(), {"all": ("2024-01-01", 1.0), "late": (ACTIVE, 0.5)}), "window grade companies mean_return~ median_return~ ladder", f"(SELECT 'all' AS \"window\", * FROM {_portfolios('2024-01-01')} UNION ALL SELECT 'late', * FROM {_portfolios(ACTIVE)})"),
+    "price_holdings": (Tables.priced, "wallet_id symbol shares value~ day_change~ cost_total~ gain~ weight_pct~", "priced"),
+    "wallet_totals": (lambda t: portfolio.wallet_totals(t.priced()), "wallet_id value~ day_change~ gain~ cost_coverage_pct~ holdings", _TOTALS),
+    "best_worst_movers": (lambda t: portfolio.best_worst_movers(t.priced()), "wallet_id best worst", "(SELECT wallet_id, arg_max(symbol, (day_change, symbol)) AS best, arg_min(symbol, (day_change, symbol)) AS worst FROM priced WHERE day_change IS NOT NULL GROUP BY wallet_id)"),
+    "value_series": (Tables.series, "wallet_id trade_date value~ held", "value_series"),
+    "range_change": (lambda t: portfolio.range_change(t.series()), "wallet_id change_pct~", "(SELECT wallet_id, (arg_max(value, trade_date) / nullif(arg_min(value, trade_date), 0) - 1) * 100 AS change_pct FROM value_series GROUP BY wallet_id)"),
+    "time_weighted_return": (lambda t: portfolio.time_weighted_return(t.series()), "wallet_id twr_pct~ segments", "(SELECT wallet_id, (product(b / a) - 1) * 100 AS twr_pct, count(*) AS segments FROM (SELECT wallet_id, seg, count(*) AS n, arg_min(value, trade_date) AS a, arg_max(value, trade_date) AS b FROM (SELECT *, sum(cut) OVER (PARTITION BY wallet_id ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS seg FROM (SELECT *, coalesce((held <> lag(held) OVER (PARTITION BY wallet_id ORDER BY trade_date))::INT, 0) AS cut FROM value_series)) GROUP BY 1, 2) WHERE n > 1 AND a > 0 GROUP BY wallet_id)"),
+    "portfolio_score_current": (lambda t: portfolio.portfolio_score_current(t.holdings, t.latest(), t.score()), "wallet_id score~ coverage_pct~", "(SELECT wallet_id, sum(CASE WHEN overall_score IS NOT NULL THEN value * overall_score END) / nullif(sum(CASE WHEN overall_score IS NOT NULL THEN value END), 0) AS score, sum(CASE WHEN overall_score IS NOT NULL THEN value END) / nullif(sum(value), 0) * 100 AS coverage_pct FROM priced LEFT JOIN (SELECT symbol, overall_score FROM score) USING (symbol) GROUP BY wallet_id)"),
+    "portfolio_excluded": (lambda t: portfolio.portfolio_excluded(t.holdings, t.latest(), t.score()), "wallet_id symbol reason", "(SELECT wallet_id, h.symbol, CASE WHEN l.symbol IS NULL THEN 'no price' ELSE 'no score' END AS reason FROM holdings h LEFT JOIN latest l USING (symbol) LEFT JOIN (SELECT symbol, overall_score FROM score) s USING (symbol) WHERE l.symbol IS NULL OR overall_score IS NULL)"),
+    "group_by_facet": (lambda t: portfolio.group_by_facet(t.priced().withColumn("facet", (F.col("symbol") % 9).cast("string")), "facet"), "wallet_id label value~ members share_pct~", "(SELECT *, value / sum(value) OVER (PARTITION BY wallet_id) * 100 AS share_pct FROM (SELECT wallet_id, CASE WHEN groups > 6 AND rank > 5 THEN 'Other' ELSE label END AS label, sum(value) AS value, sum(members)::BIGINT AS members FROM (SELECT *, row_number() OVER (PARTITION BY wallet_id ORDER BY value DESC, label) AS rank, count(*) OVER (PARTITION BY wallet_id) AS groups FROM (SELECT wallet_id, (symbol % 9)::VARCHAR AS label, sum(value) AS value, count(*) AS members FROM priced WHERE value > 0 GROUP BY 1, 2)) GROUP BY 1, 2))"),
+    "dividend_income": (Tables.income, "wallet_id symbol ex_date amount~ income~", "income"),
+    "income_excluded": (lambda t: portfolio.income_excluded(t.old_holdings(), t.dividends, t.income()), "wallet_id symbol reason", "(SELECT wallet_id, symbol, CASE WHEN bought_at IS NULL THEN 'no-purchase-date' WHEN symbol NOT IN (SELECT symbol FROM dividends) THEN 'no-dividend-record' ELSE 'none-since-purchase' END AS reason FROM old_holdings WHERE symbol NOT IN (SELECT symbol FROM income))"),
+    "income_by_month": (lambda t: portfolio.income_by_month(t.income()), "wallet_id month income~", "(SELECT wallet_id, month, coalesce(i, 0) AS income FROM (SELECT wallet_id, unnest(generate_series(date_trunc('month', min(ex_date)), date_trunc('month', max(ex_date)), INTERVAL 1 MONTH))::DATE AS month FROM income GROUP BY wallet_id) LEFT JOIN (SELECT wallet_id, date_trunc('month', ex_date)::DATE AS month, sum(income) AS i FROM income GROUP BY 1, 2) USING (wallet_id, month))"),
+    "income_by_symbol": (lambda t: portfolio.income_by_symbol(t.income()), "wallet_id symbol income~ payments first_ex last_ex", "(SELECT wallet_id, symbol, sum(income) AS income, count(*) AS payments, min(ex_date) AS first_ex, max(ex_date) AS last_ex FROM income GROUP BY 1, 2)"),
+    "income_totals": (lambda t: portfolio.income_totals(t.income(), A.AS_OF), "wallet_id total~ trailing_12m~ payments", f"(SELECT wallet_id, sum(income) AS total, coalesce(sum(CASE WHEN ex_date > DATE '{A.AS_OF}' - 365 THEN income END), 0) AS trailing_12m, count(*) AS payments FROM income GROUP BY 1)"),
+    "income_projection": (lambda t: portfolio.income_projection(t.old_holdings(), t.dividends, dividends.trailing_year_totals(t.dividends), A.AS_OF, 3).withColumn("income", F.round("income", 1)), "wallet_id year income~", f"(SELECT wallet_id, year, round(sum(shares * per_share * pow(1 + coalesce(g, 0) / 100, year)), 1) AS income FROM old_holdings JOIN (SELECT symbol, sum(amount) AS per_share FROM dividends WHERE pay_date > DATE '{A.AS_OF}' - 365 AND pay_date <= DATE '{A.AS_OF}' GROUP BY 1) USING (symbol) LEFT JOIN (SELECT symbol, CASE WHEN n > 0 THEN (pow(new / old, 1.0::DOUBLE / n) - 1) * 100 END AS g FROM (SELECT symbol, arg_max(amount, window_index) AS old, arg_min(amount, window_index) AS new, max(window_index) AS n FROM totals WHERE window_index <= 5 GROUP BY 1)) USING (symbol), (SELECT unnest([1, 2, 3])::BIGINT AS year) GROUP BY 1, 2)"),
+    "income_goal": (lambda t: portfolio.income_goal(t.values(), 30_000.0, 3.0), "wallet_id required_value~ progress_pct~ yield_pct~ withdrawal_today~", f"(SELECT wallet_id, 1000000.0::DOUBLE AS required_value, value / 1000000 * 100 AS progress_pct, 4.0::DOUBLE AS yield_pct, value * 0.03 AS withdrawal_today FROM {_TOTALS})"),
+    "required_contribution": (lambda t: portfolio.required_contribution(t.values(), 1e6, 10, 5.0), "wallet_id per_year~ per_month~", f"(SELECT wallet_id, p AS per_year, p / 12 AS per_month FROM (SELECT wallet_id, CASE WHEN 1e6 - value * pow(1.05::DOUBLE, 10) <= 0 THEN 0 ELSE (1e6 - value * pow(1.05::DOUBLE, 10)) * (0.05::DOUBLE / (pow(1.05::DOUBLE, 10) - 1)) END AS p FROM {_TOTALS}))"),
+    "grade_matches_score": (lambda t: checks.grade_matches_score(t.hist().withColumn("grade", F.when(F.col("symbol") % 50 == 0, "A").otherwise(F.col("grade")))), "symbol score_date overall_score", "(SELECT * FROM score_stg WHERE symbol % 50 = 0 AND grade IS DISTINCT FROM 'A')"),
+    "knowledge_intervals_do_not_overlap": (lambda t: checks.intervals_do_not_overlap(history.financial_knowledge(t.versions), ["symbol", "period_type", "period_end", "metric"], "known_from", "known_to", False), "symbol metric version_seq", "(SELECT * FROM knowledge WHERE known_to <= known_from)"),
+    "membership_spells_do_not_overlap": (lambda t: checks.intervals_do_not_overlap(t.spells(), ["symbol", "index_name"], "valid_from", "valid_to", True), "symbol index_name valid_from", "(SELECT * FROM spells WHERE valid_to < valid_from)"),
+    "no_phantom_dividend_cut": (lambda t: checks.no_phantom_dividend_cut(dividends.dividend_years(t.fct_div(), A.AS_OF), t.windows()), "symbol calendar_year", "(SELECT symbol, calendar_year FROM (SELECT *, lag(total) OVER (PARTITION BY symbol ORDER BY calendar_year) AS b FROM div_years WHERE NOT is_partial) WHERE total < b AND symbol NOT IN (SELECT symbol FROM (SELECT *, lead(amount) OVER (PARTITION BY symbol ORDER BY window_index) AS o FROM div_windows) WHERE amount < o))"),
+    "no_unadjusted_split": (lambda t: checks.no_unadjusted_split(t.prices()), "symbol trade_date step~", "(SELECT symbol, trade_date, step FROM (SELECT *, adj_close / lag(adj_close) OVER (PARTITION BY symbol ORDER BY trade_date) AS step FROM prices) WHERE " + " OR ".join(f"abs(step - {r}::DOUBLE) < {0.01 * r!r}::DOUBLE" for r in (0.5, 0.25, 0.3333, 0.6667, 2.0, 3.0)) + ")"),
+    "missed_splits_are_corrected": (lambda t: checks.missed_splits_are_corrected(t.prices(), t.corrections()), "symbol split_date factor~", "(SELECT c.symbol, split_date, max(correction_factor) AS factor FROM prices p JOIN corrections c ON c.symbol = p.symbol AND trade_date < split_date WHERE upstream_missed_it GROUP BY 1, 2 HAVING max(correction_factor) <= 1)"),
+    "payout_ratio_sane": (lambda t: checks.payout_ratio_sane(t.score(), 60.0), "symbol payout_pct~", "(SELECT * FROM score WHERE payout_pct > 60)"),
+    "prices_are_fresh": (lambda t: checks.prices_are_fresh(t.bars, "2024-03-01"), "latest", "(SELECT max(trade_date) AS latest FROM bars HAVING date_diff('day', max(trade_date), DATE '2024-03-01') > 4)"),
+    "relationships": (lambda t: checks.relationships(t.fct_div(), t.fin(), "symbol").select("symbol").distinct(), "symbol", "(SELECT DISTINCT symbol FROM fct_dividends WHERE symbol NOT IN (SELECT symbol FROM fin))"),
+    "unique_combination": (lambda t: checks.unique_combination(t.score_rows, ["symbol", "score_date"]), "symbol score_date n", "(SELECT o_custkey AS symbol, o_orderdate::DATE AS score_date, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) > 1)"),
+    "score_bands": (lambda t: t.hist().groupBy(C.band("overall_score").alias("band")).agg(F.count("*").alias("rows")), "band rows", "(SELECT CASE WHEN overall_score >= 75 THEN 'Strong' WHEN overall_score >= 60 THEN 'Solid' WHEN overall_score >= 45 THEN 'Mixed' WHEN overall_score >= 30 THEN 'Weak' ELSE 'Poor' END AS band, count(*) AS rows FROM score_stg GROUP BY 1)"),
+    "period_labels": (lambda t: t.wide().select("symbol", C.period_label("period_type", "period_end").alias("label"), C.shift_back("period_end", 3).alias("before")), "symbol label before", "(SELECT symbol, CASE WHEN period_type = 'annual' THEN 'FY' || year(period_end) ELSE 'Q' || quarter(period_end) || ' ' || year(period_end) END AS label, (period_end - INTERVAL 3 MONTH)::DATE AS before FROM wide)"),
+    "warehouse_health": (lambda t: t.bars.agg(F.lit("bars").alias("name"), F.count("*").alias("rows"), F.max("trade_date").alias("latest")).unionByName(t.dividends.agg(F.lit("dividends").alias("name"), F.count("*").alias("rows"), F.max("pay_date").alias("latest"))), "name rows latest", "(SELECT 'bars' AS name, count(*) AS rows, max(trade_date) AS latest FROM bars UNION ALL SELECT 'dividends', count(*), max(pay_date) FROM dividends)"),
+}
+
+
+def _columns(cols: str | list[str]) -> list[str]:
+    return cols.split() if isinstance(cols, str) else cols
+
+
+def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    make, cols, _ = ENTRIES[name]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df = make(Tables(spark, sf_dir))
+        pick = {"~": lambda c: F.round(c, 4).alias(c), "#": lambda c: F.col(c).cast("long").alias(c)}
+        return df.select(*[pick[c[-1]](c[:-1]) if c[-1] in pick else F.col(c) for c in _columns(cols)])
+
+    return run
+
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+def _twin(name: str) -> str:
+    _, cols, source = ENTRIES[name]
+    pick = {"~": lambda c: f"round({c}, 4) AS {c}", "#": lambda c: f"{c}::BIGINT AS {c}"}
+    quoted = [pick[c[-1]](c[:-1]) if c[-1] in pick else f'"{c}"' for c in _columns(cols)]
+    return oracle.sql(f"SELECT {', '.join(quoted)} FROM {source} AS out_rows")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return {name: _query(name) for name in ENTRIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return {name: _twin(name) for name in ENTRIES}
