@@ -69,8 +69,8 @@ def _choose(eps: float, cell_rows: int, most_pivots: int, always: bool):
         x = _matrix(pdf.sort_values("vec_id")["u"])
         want = int(min(most_pivots, max(2, -(-2 * int(pdf["rows"].iloc[0]) // cell_rows))))
         p = far_pivots(x, want, 2 * eps)
-        if len(p) < 2 or not (always or reaches(x, p, eps)[1].mean() <= 0.5):
-            p = p[:0]
+        if len(p) < 2 or reaches(x, p, eps)[1].mean() > 0.5:  # most vectors would visit most cells: few pivots or none
+            p = p[: 3 if always and len(p) > 1 else 0]
         return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "pivots": [p.tobytes()]})
 
     return run
@@ -129,7 +129,7 @@ def _join(cosine: float):
     return run
 
 
-def embedding_links(vectors: DataFrame, cosine: float = 0.93, cell_rows: int = 800, most_pivots: int = 32, levels: int = 4, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def embedding_links(vectors: DataFrame, cosine: float = 0.93, cell_rows: int = 800, block_rows: int = 8192, most_pivots: int = 32, levels: int = 4, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row; only vectors of one label and dimension are compared.
 
     n_links: other rows at cosine >= `cosine` (doubles); component_id: the smallest vec_id reached by links; kept:
@@ -169,7 +169,7 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.93, cell_rows: int = 8
         cells = cells.unionByName(x)
 
     sizes = cells.groupBy("cell").agg(F.count("*").alias("rows"), F.max("home").alias("any")).filter("any and rows > 1")
-    blocks = stage(sizes.select("cell", F.ceil(F.col("rows") / cell_rows).cast("int").alias("blocks")), "emb-blocks")
+    blocks = stage(sizes.select("cell", F.ceil(F.col("rows") / block_rows).cast("int").alias("blocks")), "emb-blocks")
     dealt = cells.join(sized(blocks, 64), "cell").withColumns({"block": F.pmod(F.xxhash64("vec_id", F.lit(11)), F.col("blocks")).cast("int"), "k": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
     asks = dealt.filter("home").select("cell", F.col("block").alias("i"), F.col("k").alias("j"), F.lit(True).alias("asks"), "vec_id", "n", "u")
     told = dealt.select("cell", F.col("k").alias("i"), F.col("block").alias("j"), F.lit(False).alias("asks"), "vec_id", "n", "u")
