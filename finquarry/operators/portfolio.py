@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from finquarry.functions.columns import cagr
 
-_WALLET = Window.partitionBy("wallet_id")
+
+def _wallet():
+    return Window.partitionBy("wallet_id")
 
 
 def parse_wallet_strings(wallets: DataFrame, today: str, most: int = 40) -> DataFrame:
@@ -19,14 +21,14 @@ def parse_wallet_strings(wallets: DataFrame, today: str, most: int = 40) -> Data
     p = p.select("wallet_id", "pos", F.upper(get(1)).alias("symbol"), get(2).try_cast("double").alias("shares"), F.when(cost >= 0, cost).alias("cost"), F.when((F.date_format(day, "yyyy-MM-dd") == get(4)) & (day <= F.lit(today).cast("date")), day).alias("bought_at"))
     p = p.filter(F.col("symbol").rlike(r"^[A-Z][A-Z0-9.\-]{0,9}$") & (F.col("shares") > 0))
     first = p.withColumn("n", F.row_number().over(Window.partitionBy("wallet_id", "symbol").orderBy("pos"))).filter("n = 1")
-    return first.withColumn("n", F.row_number().over(_WALLET.orderBy("pos"))).filter(F.col("n") <= most).drop("n", "pos")
+    return first.withColumn("n", F.row_number().over(_wallet().orderBy("pos"))).filter(F.col("n") <= most).drop("n", "pos")
 
 
 def price_holdings(holdings: DataFrame, quotes: DataFrame) -> DataFrame:
     """Value, day change, gain and weight of each holding; unpriced ones keep nulls."""
     h = holdings.join(quotes.select("symbol", "close", "previous_close"), "symbol", "left")
     h = h.withColumns({"value": F.col("shares") * F.col("close"), "day_change": F.col("shares") * (F.col("close") - F.col("previous_close")), "cost_total": F.col("shares") * F.col("cost")})
-    return h.select("wallet_id", "symbol", "shares", "value", "day_change", "cost_total", (F.col("value") - F.col("cost_total")).alias("gain"), (F.try_divide(F.col("value"), F.sum("value").over(_WALLET)) * 100).alias("weight_pct"))
+    return h.select("wallet_id", "symbol", "shares", "value", "day_change", "cost_total", (F.col("value") - F.col("cost_total")).alias("gain"), (F.try_divide(F.col("value"), F.sum("value").over(_wallet())) * 100).alias("weight_pct"))
 
 
 def wallet_totals(priced: DataFrame) -> DataFrame:
@@ -81,10 +83,10 @@ def portfolio_excluded(holdings: DataFrame, quotes: DataFrame, scores: DataFrame
 def group_by_facet(priced: DataFrame, facet: str, keep: int = 5) -> DataFrame:
     """Value by facet; beyond keep + 1 groups the smaller ones fold into Other."""
     g = priced.filter("value > 0").groupBy("wallet_id", F.coalesce(facet, F.lit("Unclassified")).alias("label")).agg(F.sum("value").alias("value"), F.count("*").alias("members"))
-    g = g.withColumns({"rank": F.row_number().over(_WALLET.orderBy(F.desc("value"), "label")), "groups": F.count("*").over(_WALLET)})
+    g = g.withColumns({"rank": F.row_number().over(_wallet().orderBy(F.desc("value"), "label")), "groups": F.count("*").over(_wallet())})
     label = F.when((F.col("groups") > keep + 1) & (F.col("rank") > keep), F.lit("Other")).otherwise(F.col("label"))
     g = g.groupBy("wallet_id", label.alias("label")).agg(F.sum("value").alias("value"), F.sum("members").alias("members"), F.count("*").alias("folded"))
-    return g.withColumn("share_pct", F.col("value") / F.sum("value").over(_WALLET) * 100)
+    return g.withColumn("share_pct", F.col("value") / F.sum("value").over(_wallet()) * 100)
 
 
 def dividend_income(holdings: DataFrame, div: DataFrame, as_of: str) -> DataFrame:

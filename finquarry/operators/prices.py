@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from finquarry.functions.columns import range_position
 
-_BY = Window.partitionBy("symbol").orderBy("trade_date")
+
+def _by():
+    return Window.partitionBy("symbol").orderBy("trade_date")
 
 
 def latest_prices(bars: DataFrame) -> DataFrame:
     """Last bar of each symbol with the close before it."""
-    b = bars.select("symbol", "trade_date", "close", "volume", F.lag("close").over(_BY).alias("previous_close"))
+    b = bars.select("symbol", "trade_date", "close", "volume", F.lag("close").over(_by()).alias("previous_close"))
     last = b.groupBy("symbol").agg(F.max_by(F.struct("trade_date", "close", "previous_close", "volume"), "trade_date").alias("r")).select("symbol", "r.*")
     return last.withColumn("change_pct", F.try_divide(F.col("close") - F.col("previous_close"), F.col("previous_close")) * 100)
 
@@ -27,7 +29,7 @@ def market_map(bars: DataFrame, dim: DataFrame, scores: DataFrame) -> DataFrame:
 
 def split_corrections(bars: DataFrame, splits: DataFrame) -> DataFrame:
     """Splits on trading days, with the steps of both closes; missed upstream if both fall by the ratio alike."""
-    b = bars.select("symbol", F.col("trade_date").alias("split_date"), "close", "adj_close", F.lag("close").over(_BY).alias("c0"), F.lag("adj_close").over(_BY).alias("a0")).filter("c0 > 0 and a0 > 0")
+    b = bars.select("symbol", F.col("trade_date").alias("split_date"), "close", "adj_close", F.lag("close").over(_by()).alias("c0"), F.lag("adj_close").over(_by()).alias("a0")).filter("c0 > 0 and a0 > 0")
     s = splits.join(b, ["symbol", "split_date"]).select("symbol", "split_date", "ratio", (F.col("close") / F.col("c0")).alias("close_step"), (F.col("adj_close") / F.col("a0")).alias("adj_step"))
     missed = (F.abs(F.col("close_step") - 1.0 / F.col("ratio")) < 0.05 / F.col("ratio")) & (F.abs(F.col("close_step") - F.col("adj_step")) < 0.001)
     return s.withColumn("upstream_missed_it", missed)
@@ -45,8 +47,8 @@ def fct_prices(bars: DataFrame, corrections: DataFrame) -> DataFrame:
 
 
 def price_anomalies(prices: DataFrame, window: int = 90, min_obs: int = 45, sigma: float = 8.0) -> DataFrame:
-    r = prices.withColumn("prev", F.lag("adj_close").over(_BY)).filter("prev > 0").withColumn("daily_return_pct", (F.col("adj_close") / F.col("prev") - 1) * 100)
-    w = _BY.rowsBetween(-window, -1)
+    r = prices.withColumn("prev", F.lag("adj_close").over(_by())).filter("prev > 0").withColumn("daily_return_pct", (F.col("adj_close") / F.col("prev") - 1) * 100)
+    w = _by().rowsBetween(-window, -1)
     r = r.withColumns({"trailing_mean": F.avg("daily_return_pct").over(w), "trailing_stddev": F.stddev_samp("daily_return_pct").over(w), "trailing_observations": F.count("*").over(w)})
     r = r.filter((F.col("trailing_stddev") > 0.05) & (F.col("trailing_observations") >= min_obs)).withColumn("sigma", (F.col("daily_return_pct") - F.col("trailing_mean")) / F.col("trailing_stddev"))
     return r.filter(F.abs("sigma") >= sigma).select("symbol", "trade_date", "close", "daily_return_pct", "trailing_mean", "trailing_stddev", "sigma", "trailing_observations")
