@@ -155,7 +155,7 @@ class Crf:
         return out[::-1]
 
 
-def fit_crf(pages: list[tuple[list[Block], list[int]]], epochs: int = 60, rate: float = 0.2, l2: float = 1e-3) -> Crf:
+def fit_crf(pages: list[tuple[list[Block], list[int]]], epochs: int = 80, rate: float = 0.5, l2: float = 1e-4) -> Crf:
     """Maximum likelihood with a penalty, by Adam over all pages at once; expectations by forward-backward."""
     pages = [p for p in pages if p[0]]
     index: dict[str, int] = {}
