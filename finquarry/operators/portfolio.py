@@ -141,3 +141,44 @@ def required_contribution(wallets: DataFrame, required: float, years: float, ret
     gap = F.lit(required) - grown
     pay = F.when(gap <= 0, 0.0).otherwise(gap / years if r == 0 else gap * F.lit(r / ((1 + r) ** years - 1)))
     return wallets.select("wallet_id", pay.alias("per_year"), (pay / 12).alias("per_month"))
+
+
+def portfolio_score_history(holdings: DataFrame, prices: DataFrame, timeline: DataFrame, dates: DataFrame) -> DataFrame:
+    """Value-weighted score of each wallet at each date, from prices and scores in force then."""
+    from finquarry.operators.core import asof_join
+
+    h = holdings.select("wallet_id", "symbol", "shares", "bought_at").crossJoin(F.broadcast(dates.select("at")))  # dates are few: one a month
+    h = h.filter(F.col("bought_at").isNull() | (F.col("bought_at") <= F.col("at")))
+    h = asof_join(h, prices, "symbol", "at", "trade_date", ["close"])
+    h = asof_join(h, timeline, "symbol", "at", "period", ["overall_score"]).withColumn("value", F.col("shares") * F.col("close"))
+    ok = F.col("overall_score").isNotNull() & F.col("value").isNotNull()
+    graded = F.sum(F.when(ok, F.col("value")))
+    return h.groupBy("wallet_id", "at").agg(F.try_divide(F.sum(F.when(ok, F.col("value") * F.col("overall_score"))), graded).alias("score"), (F.try_divide(graded, F.sum("value")) * 100).alias("coverage_pct"))
+
+
+def slice_shares(df: DataFrame, key: str, label: str, value: str) -> DataFrame:
+    """Shares of the total in percent; non-positive values are dropped and counted."""
+    w = Window.partitionBy(key)
+    s = df.withColumn("dropped", F.sum((F.coalesce(F.col(value), F.lit(0.0)) <= 0).cast("long")).over(w)).filter(F.col(value) > 0)
+    return s.select(key, label, value, (F.col(value) / F.sum(value).over(w) * 100).alias("share_pct"), "dropped")
+
+
+def goal_progress_series(series: DataFrame, required: float) -> DataFrame:
+    return series.select("wallet_id", "trade_date", (F.col("value") / F.lit(required) * 100).alias("progress_pct"))
+
+
+def income_yield(projection: DataFrame, totals: DataFrame) -> DataFrame:
+    return projection.filter("year = 1").join(totals.select("wallet_id", "value"), "wallet_id").select("wallet_id", (F.try_divide("income", "value") * 100).alias("yield_pct"))
+
+
+def contribution_plan(wallets: DataFrame, required: float, years: float, return_pct: float | None = None, assumed_pct: float = 7.0) -> DataFrame:
+    """Payments needed if income is reinvested and if it is spent, and where the return comes from."""
+    rate = assumed_pct if return_pct is None else return_pct
+    kept = required_contribution(wallets, required, years, rate).select("wallet_id", F.col("per_year").alias("per_year_reinvested"))
+    spent = wallets.withColumn("y", F.try_divide("annual_income", "value") * 100)
+    r = F.greatest(F.lit(0.0), F.lit(rate) - F.coalesce("y", F.lit(0.0))) / 100
+    grow = F.pow(1 + r, F.lit(float(years)))
+    gap = F.lit(required) - F.col("value") * grow
+    pay = F.when(gap <= 0, 0.0).otherwise(F.when(r == 0, gap / years).otherwise(gap * r / (grow - 1)))
+    out = spent.select("wallet_id", pay.alias("per_year_spent")).join(kept, "wallet_id")
+    return out.withColumns({"extra_per_year": F.col("per_year_spent") - F.col("per_year_reinvested"), "return_source": F.lit("assumed" if return_pct is None else "set")})

@@ -104,3 +104,15 @@ def security_facets(dim: DataFrame, scores: DataFrame) -> DataFrame:
 
 def unknown_symbols(asked: DataFrame, dim: DataFrame) -> DataFrame:
     return asked.select("symbol").distinct().join(dim, "symbol", "left_anti")
+
+
+#: The columns that a screen can be sorted by.
+SORTS = ("symbol", "name", "sector", "overall_score", "coverage_pct", "market_cap", "payout_pct", "raise_streak", "net_debt_to_ebitda", "interest_coverage", "revenue_cagr_pct", "per_share_cagr_pct", "dividend_cagr_pct", "fcf_yield_pct", "yield_vs_history", "valuation_multiple")
+
+
+def screener_sort(scores: DataFrame, dim: DataFrame, by: str, descending: bool = True) -> DataFrame:
+    """Scores in the order of a column, nulls last either way; valuation_multiple is P/FFO for REITs, else P/E."""
+    if by not in SORTS:
+        raise ValueError(f"no sort by {by}")
+    s = scores.join(dim.select("symbol", "trailing_pe"), "symbol").withColumn("valuation_multiple", F.when(F.col("is_reit"), F.col("price_to_ffo")).otherwise(F.col("trailing_pe")))
+    return s.orderBy(F.desc_nulls_last(by) if descending else F.asc_nulls_last(by), "symbol")

@@ -59,3 +59,28 @@ def score_timeline(annual: DataFrame, bars_monthly: DataFrame) -> DataFrame:
     a = asof_join(f.select("symbol", "period_end", "previous_end", "statement_periods"), bars_monthly, "symbol", "period_end", "t", ["close", "adj_close"])
     b = asof_join(a.withColumnsRenamed({"close": "price", "adj_close": "adj_now"}), bars_monthly, "symbol", "previous_end", "t", ["adj_close"])
     return b.select("symbol", "period_end", "statement_periods", "price", (F.try_divide("adj_now", "adj_close") * 100 - 100).alias("period_return"), (F.col("statement_periods") < 3).alias("thin_history"))
+
+
+def scores_over_time(fin: DataFrame, dim: DataFrame, div: DataFrame, as_of: str, mode: str = "table") -> DataFrame:
+    """The quality score as it stood at every annual period end, for all companies in one job.
+
+    Each (symbol, period end) is scored like a company of its own, from the statements and payments up to then.
+    """
+    from finquarry.operators.dividends import dividend_windows, fct_dividends
+    from finquarry.operators.scoring import quality_score
+
+    annual = fin.filter("period_type = 'annual'")
+    keys = annual.select("symbol", F.col("period_end").alias("as_of"))
+
+    def at(df: DataFrame, day: str | None) -> DataFrame:
+        j = df.join(keys, "symbol")
+        j = j if day is None else j.filter(F.col(day) <= F.col("as_of"))
+        return j.withColumn("symbol", F.concat_ws("|", "symbol", "as_of")).drop("as_of")
+
+    rank = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("period_end"))).cast("long")
+    then = at(annual, "period_end").withColumn("recency_rank", rank)
+    s = quality_score(at(dim, None), then, dividend_windows(fct_dividends(at(div, "pay_date"), as_of)), mode)
+    part = F.split("symbol", r"\|")
+    counts = then.groupBy("symbol").agg(F.count("*").alias("statement_periods"))
+    s = s.join(counts, "symbol").withColumns({"thin_history": F.col("statement_periods") < 3, "period": part[1].cast("date"), "symbol": part[0].cast("long")})
+    return s.select("symbol", "period", "overall_score", "grade", "coverage_pct", "statement_periods", "thin_history")

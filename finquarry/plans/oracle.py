@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from finquarry.operators.statements import FLOWS, METRICS
 from finquarry.sources.adapters import AS_OF, LINES, SPLIT_DATE
 
@@ -134,10 +136,17 @@ _flow = ", ".join(f"CASE WHEN count({c}) OVER w = count(*) OVER w THEN sum({c})
 STEPS["ttm"] = f"SELECT symbol, period_end, {_flow}, totaldebt, cashandcashequivalents, totalassets, stockholdersequity, dilutedaverageshares, count(*) OVER w AS quarters_used FROM wide_quarterly WINDOW w AS (PARTITION BY symbol ORDER BY period_end ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"
 
 
+# The score's own steps again, over what was known at each annual period end.
+STEPS["t_fin"] = "SELECT * EXCLUDE (symbol, recency_rank) REPLACE (period_end AS period_end), symbol || '|' || as_of AS symbol, row_number() OVER (PARTITION BY symbol, as_of ORDER BY period_end DESC) AS recency_rank FROM (SELECT f.*, k.period_end AS as_of FROM fin f JOIN fin k USING (symbol) WHERE f.period_type = 'annual' AND k.period_type = 'annual' AND f.period_end <= k.period_end)".replace(" REPLACE (period_end AS period_end)", "").replace("* EXCLUDE (symbol, recency_rank)", "* EXCLUDE (symbol, recency_rank, as_of)")
+STEPS["t_securities"] = "SELECT s.* EXCLUDE (symbol), s.symbol || '|' || f.period_end AS symbol FROM securities s JOIN fin f USING (symbol) WHERE f.period_type = 'annual'"
+STEPS["t_dividends"] = "SELECT d.symbol || '|' || f.period_end AS symbol, pay_date, amount FROM dividends d JOIN fin f USING (symbol) WHERE f.period_type = 'annual' AND pay_date <= f.period_end"
+_then = ("fct_dividends", "div_windows", "streaks", "payout", "endpoints", "score")
+for _name in _then:
+    STEPS[f"t_{_name}"] = re.sub(rf"\b({'|'.join((*_then, 'fin', 'securities', 'dividends'))})\b(?= (?:USING|WHERE|GROUP|JOIN|f JOIN|p USING|g USING|st USING|s USING|s JOIN|LEFT)|\)|$)", r"t_\1", STEPS[_name])
+
+
 def sql(select: str) -> str:
     """A query over the steps that it needs, in order."""
-    import re
-
     need, todo = set(), [select]
     while todo:
         text = todo.pop()
