@@ -97,11 +97,26 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(F.lit(10) - F.pmod(total, F.lit(10)), F.lit(10)).cast("string")
 
 
-def surrogate(e: Column, k: Column, norm: Column, attempt: Column, key: str) -> Column:
-    seed = F.concat_ws("|", F.lit(key), k, norm, attempt)
-    digits, letters = _stream(seed, "0123456789012345"), _stream(seed, "abcdefghijklmnop")
-    hexes, value = _stream(seed, "0123456789abcdef"), _value(e, k)
-    prefix = F.substring(e, 1, 1)
+def drawn(found: Column, tries: Column, key: str) -> Column:
+    """Surrogates of an array of matches; tries: attempts by position, 0 where missing.
+
+    The keyed streams of a match are made once, as fields, before its characters are replaced one by one.
+    """
+    known = F.transform(found, lambda e: F.struct(e.alias("e"), kind(e).alias("k")))
+    known = F.transform(known, lambda x: F.struct(x["e"].alias("e"), x["k"].alias("k"), normal_form(x["e"], x["k"]).alias("norm"), _value(x["e"], x["k"]).alias("value")))
+
+    def streams(x: Column, i: Column) -> Column:
+        seed = F.concat_ws("|", F.lit(key), x["k"], x["norm"], F.coalesce(F.try_element_at(tries, i), F.lit(0)))
+        return F.struct(*[x[f].alias(f) for f in ("e", "k", "norm", "value")], _stream(seed, "0123456789abcdef").alias("hexes"))
+
+    known = F.transform(known, streams)
+    known = F.transform(known, lambda x: F.struct(*[x[f].alias(f) for f in ("e", "k", "norm", "value", "hexes")], F.translate(x["hexes"], "abcdef", "012345").alias("digits"), F.translate(x["hexes"], "0123456789abcdef", "abcdefghijklmnop").alias("letters")))
+    return F.transform(known, surrogate)
+
+
+def surrogate(x: Column) -> Column:
+    """The replacement of one match: a struct of the match, its kind, normal form, value and streams."""
+    e, k, norm, value, hexes, digits, letters = (x[f] for f in ("e", "k", "norm", "value", "hexes", "digits", "letters"))
     prefix = F.substr(e, F.lit(1), F.length(e) - F.length(value))
     secret = F.concat(prefix, F.when(value.rlike("^[0-9a-f]{1,192}$"), F.substr(hexes, F.lit(1), F.length(value))).otherwise(_fill(value, digits, letters)))
     tld = F.regexp_extract(e, r"\.\p{L}+$", 0)
@@ -115,9 +130,8 @@ def surrogate(e: Column, k: Column, norm: Column, attempt: Column, key: str) ->
     country = F.regexp_extract(e, r"^\+(\d{1,3}?)(?=[ .(-])", 1)
     phone = _fill(e, F.rpad(F.concat(country, digits), 192, "0"), letters)
     iban = F.concat(F.substring(e, 1, 2), _fill(F.substr(e, F.lit(3)), digits, letters))
-    person = _person(value, norm, hexes)
     out = F.when(k == "secret", secret).when(k == "email", email).when(k == "key", api).when(k == "ip", ip).when(k == "phone", phone)
-    return out.when(k == "card", card).when(k == "ssn", _fill(e, digits, letters)).when(k == "iban", iban).otherwise(F.concat(prefix, person))
+    return out.when(k == "card", card).when(k == "ssn", _fill(e, digits, letters)).when(k == "iban", iban).otherwise(F.concat(prefix, _person(value, norm, hexes)))
 
 
 def _pick(values: list[str], hexes: Column, at: int) -> Column:
@@ -153,13 +167,13 @@ def replace_pii(docs: DataFrame, key: str = "k1", rounds: int = 12, text_col: st
     held = stage(seen.filter(~none).withColumn("_id", F.monotonically_increasing_id()), "pii-found")
 
     mention = held.select("_id", F.posexplode("_found").alias("pos", "entity")).withColumn("kind", kind(F.col("entity"))).withColumn("norm", normal_form(F.col("entity"), F.col("kind")))
-    same = [F.col("kind"), F.col("norm")]
     entities = stage(mention.groupBy("kind", "norm").agg(F.min("entity").alias("entity")).withColumn("attempt", F.lit(0)), "pii-entities")
     for _ in range(rounds):
-        drawn = entities.withColumn("s", surrogate(F.col("entity"), *same, F.col("attempt"), key)).withColumn("s", normal_form(F.col("s"), F.col("kind")))
-        shared = drawn.groupBy("kind", "s").agg(F.min(F.struct("attempt", "norm")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("kind", "s", F.col("first.norm").alias("keeps"))
+        new = F.element_at(drawn(F.array("entity"), F.create_map(F.lit(0), F.col("attempt")), key), 1)
+        trial = stage(entities.select("kind", "norm", "attempt", new.alias("s")), "pii-drawn").withColumn("s", normal_form(F.col("s"), F.col("kind")))
+        shared = trial.groupBy("kind", "s").agg(F.min(F.struct("attempt", "norm")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("kind", "s", F.col("first.norm").alias("keeps"))
         real = entities.select("kind", F.col("norm").alias("s"), F.lit(True).alias("real"))
-        bad = drawn.join(shared, ["kind", "s"], "left").join(real, ["kind", "s"], "left").filter("real or keeps <> norm").select("kind", "norm", F.lit(1).alias("again"))
+        bad = trial.join(shared, ["kind", "s"], "left").join(real, ["kind", "s"], "left").filter("real or keeps <> norm").select("kind", "norm", F.lit(1).alias("again"))
         bad = stage(bad.distinct(), "pii-again")
         if bad.isEmpty():
             drop_staged(bad)
@@ -172,11 +186,8 @@ def replace_pii(docs: DataFrame, key: str = "k1", rounds: int = 12, text_col: st
     moved = entities.filter("attempt > 0").select("kind", "norm", "attempt")
     own = mention.join(moved, ["kind", "norm"]).groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "attempt"))).alias("_tries"))
 
-    def one(e: Column, i: Column) -> Column:
-        return surrogate(e, kind(e), normal_form(e, kind(e)), F.coalesce(F.try_element_at(F.col("_tries"), i), F.lit(0)), key)
-
     parts = F.split(text, PATTERN, -1)
-    new = F.concat_ws("", F.flatten(F.zip_with(parts, F.transform("_found", one), lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))))
+    new = F.concat_ws("", F.flatten(F.zip_with(parts, drawn(F.col("_found"), F.col("_tries"), key), lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))))
     fixed = held.join(own, "_id", "left").withColumn("n_entities", F.size("_found").cast("long"))
     return clean.unionByName(fixed.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], "n_entities"))
 
