@@ -70,6 +70,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_embedding_near_dedup, op2_best_fit_packing, op3_pii_surrogates, op4_ngram_jaccard_join, op5_html_extraction, op6_lm_scoring, op7_source_mixing, op8_toxicity, op9_quality_rules, op10_warc)}
 
 
+_REACH = """
+reach(a, b) AS (SELECT id, id FROM ids UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+comp AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)
+"""
+
+#: All pairs of a label, by cosine in doubles; components by reachability.
+OP1_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), ids AS (SELECT vec_id AS id FROM v),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND x.vec_id <> y.vec_id
+  WHERE list_dot_product(x.e, y.e) / sqrt(list_dot_product(x.e, x.e) * list_dot_product(y.e, y.e)) >= 0.93::DOUBLE),
+{_REACH}
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN comp ON id = vec_id
+"""
+
+#: Shared 3-word shingles counted by an inverted join; components by reachability.
+OP4_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) END) AS g FROM w),
+n AS (SELECT doc_id, count(g) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY doc_id), ids AS (SELECT doc_id AS id FROM w),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 90 * (p.n + q.n - c)),
+{_REACH}
+SELECT doc_id, n AS n_shingles, component_id FROM n JOIN comp ON id = doc_id
+"""
+
 #: DuckDB has SHA-1 as hexadecimal text; five of its digits are four base32 digits.
 OP10_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
@@ -92,4 +117,4 @@ SELECT page_id, url, coalesce(list_aggregate(list_filter(parts, lambda x: x <> '
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_html_extraction": OP5_SQL, "op10_warc": OP10_SQL}
+    return {"op1_embedding_near_dedup": OP1_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op5_html_extraction": OP5_SQL, "op10_warc": OP10_SQL}
