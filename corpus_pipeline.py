@@ -31,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data and secrets become surrogates; n_chars follows the text."""
     new = replace_pii(docs)
-    length = F.when(F.col("n_entities") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    length = F.when(F.col(new.columns[-1]) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     return new.withColumn("n_chars", length).select(*docs.columns)
 
 

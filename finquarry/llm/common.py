@@ -58,6 +58,14 @@ def sized(df: DataFrame, row_bytes: int, rows: int | None = None, limit: int = B
     return F.broadcast(df) if n * row_bytes <= limit else df
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """name, or a longer one that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc_mod(col: str, n: int):
     """crc32 of an integer column as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finquarry.llm.common import drop_staged, stage
+from finquarry.llm.common import drop_staged, fresh, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 _UNIT = "id long, source string, size long, copies long, mult long, share double, draw double, grp long, open boolean"
@@ -133,7 +133,8 @@ def mix_query(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: each document repeated as often as it is taken, with all its columns."""
     m = mix_sources(docs, **options)
-    keyed = docs.withColumns({"_size": word_count(F.col(options.get("text_col", "text"))), "_source": F.col(options.get("source_col", "source"))})
-    pick = m.filter("copies > 0").select(F.col("doc_id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_n"), F.col("copies").alias("_copies"))
-    on = F.col("_i").eqNullSafe(F.col(options.get("id_col", "doc_id"))) & F.col("_s").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size"))
-    return keyed.join(pick, on).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    size, source, i, s, n, copies, k = (fresh(docs.columns, c) for c in ("_size", "_source", "_i", "_s", "_n", "_copies", "_k"))
+    keyed = docs.withColumns({size: word_count(F.col(options.get("text_col", "text"))), source: F.col(options.get("source_col", "source"))})
+    pick = m.filter("copies > 0").select(F.col("doc_id").alias(i), F.col("source").alias(s), F.col("size").alias(n), F.col("copies").alias(copies))
+    on = F.col(i).eqNullSafe(F.col(options.get("id_col", "doc_id"))) & F.col(s).eqNullSafe(F.col(source)) & (F.col(n) == F.col(size))
+    return keyed.join(pick, on).withColumn(k, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finquarry.llm.common import drop_staged, mix64, sized, stage, stream_groups, utf8, words
+from finquarry.llm.common import drop_staged, fresh, mix64, sized, stage, stream_groups, utf8, words
 from finquarry.llm.components import UnionFind, connected_components
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -316,5 +316,6 @@ def one_of_each_group(docs: DataFrame, n: int = 5, num: int = 8, den: int = 10,
     """The documents whose id is the smallest of their component, with all columns; rows of equal ids stay together.
     Rows with a null id stay."""
     j = ngram_join(docs, n, num, den, id_col=id_col, text_col=text_col)
-    gone = stage(j.filter("doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct(), "join-gone")
-    return docs.join(sized(gone, 24), F.col(id_col) == F.col("_gone"), "left_anti")
+    name = fresh(docs.columns, "_gone")
+    gone = stage(j.filter("doc_id > component_id").select(F.col("doc_id").alias(name)).distinct(), "join-gone")
+    return docs.join(sized(gone, 24), F.col(id_col) == F.col(name), "left_anti")

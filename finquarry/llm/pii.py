@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finquarry.llm.common import drop_staged, stage
+from finquarry.llm.common import drop_staged, fresh, stage
 
 # Titles by gender, and the name parts of each alphabet.
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "г-н"]
@@ -150,23 +150,21 @@ def _person(value: Column, norm: Column, hexes: Column) -> Column:
 
 
 def replace_pii(docs: DataFrame, key: str = "k1", rounds: int = 12, text_col: str = "text") -> DataFrame:
-    """docs with surrogates in text_col, all columns and rows kept, and a column n_entities.
+    """docs with surrogates in text_col, all columns and rows kept, and a count of entities, n_entities (with an
+    underscore more where docs has such a column).
 
     Null text stays null with 0 entities; so do texts without entities. Repeated rows get equal results. Only rows
     with entities are written aside, and only mentions of entities whose first surrogate collided are joined.
     """
-    for c in ("n_entities", "_id", "_found"):
-        if c in docs.columns:
-            raise ValueError(f"a column is named {c}")
-    text = F.col(f"`{text_col}`")
-    found = F.when(text.rlike(_MAYBE), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)))
-    seen = docs.withColumn("_found", found)
-    none = F.coalesce(F.size("_found"), F.lit(0)) <= 0
+    n_entities, row_id, found, tries = (fresh(docs.columns, c) for c in ("n_entities", "_id", "_found", "_tries"))
+    text, hits = F.col(f"`{text_col}`"), F.col(found)
+    seen = docs.withColumn(found, F.when(text.rlike(_MAYBE), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))))
+    none = F.coalesce(F.size(hits), F.lit(0)) <= 0
     names = [F.col(f"`{c}`") for c in docs.columns]
-    clean = seen.filter(none).select(*names, F.lit(0).cast("long").alias("n_entities"))
-    held = stage(seen.filter(~none).withColumn("_id", F.monotonically_increasing_id()), "pii-found")
+    clean = seen.filter(none).select(*names, F.lit(0).cast("long").alias(n_entities))
+    held = stage(seen.filter(~none).withColumn(row_id, F.monotonically_increasing_id()), "pii-found")
 
-    mention = held.select("_id", F.posexplode("_found").alias("pos", "entity")).withColumn("kind", kind(F.col("entity"))).withColumn("norm", normal_form(F.col("entity"), F.col("kind")))
+    mention = held.select(F.col(row_id).alias("id"), F.posexplode(hits).alias("pos", "entity")).withColumn("kind", kind(F.col("entity"))).withColumn("norm", normal_form(F.col("entity"), F.col("kind")))
     entities = stage(mention.groupBy("kind", "norm").agg(F.min("entity").alias("entity")).withColumn("attempt", F.lit(0)), "pii-entities")
     for _ in range(rounds):
         new = F.element_at(drawn(F.array("entity"), F.create_map(F.lit(0), F.col("attempt")), key), 1)
@@ -184,12 +182,12 @@ def replace_pii(docs: DataFrame, key: str = "k1", rounds: int = 12, text_col: st
     else:
         raise RuntimeError("surrogates still collide")
     moved = entities.filter("attempt > 0").select("kind", "norm", "attempt")
-    own = mention.join(moved, ["kind", "norm"]).groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "attempt"))).alias("_tries"))
+    own = mention.join(moved, ["kind", "norm"]).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "attempt"))).alias(tries)).withColumnRenamed("id", row_id)
 
     parts = F.split(text, PATTERN, -1)
-    new = F.concat_ws("", F.flatten(F.zip_with(parts, drawn(F.col("_found"), F.col("_tries"), key), lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))))
-    fixed = held.join(own, "_id", "left").withColumn("n_entities", F.size("_found").cast("long"))
-    return clean.unionByName(fixed.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], "n_entities"))
+    new = F.concat_ws("", F.flatten(F.zip_with(parts, drawn(hits, F.col(tries), key), lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))))
+    fixed = held.join(own, row_id, "left").withColumn(n_entities, F.size(hits).cast("long"))
+    return clean.unionByName(fixed.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], n_entities))
 
 
 def pii_query(docs: DataFrame) -> DataFrame:
