@@ -143,11 +143,12 @@ def required_contribution(wallets: DataFrame, required: float, years: float, ret
     return wallets.select("wallet_id", pay.alias("per_year"), (pay / 12).alias("per_month"))
 
 
-def portfolio_score_history(holdings: DataFrame, prices: DataFrame, timeline: DataFrame, dates: DataFrame) -> DataFrame:
-    """Value-weighted score of each wallet at each date, from prices and scores in force then."""
+def portfolio_score_history(holdings: DataFrame, prices: DataFrame, timeline: DataFrame, dates: list[str]) -> DataFrame:
+    """Value-weighted score of each wallet at each date, from prices and scores in force then. dates: one a month."""
     from finquarry.operators.core import asof_join
 
-    h = holdings.select("wallet_id", "symbol", "shares", "bought_at").crossJoin(F.broadcast(dates.select("at")))  # dates are few: one a month
+    at = F.explode(F.array(*[F.lit(d).cast("date") for d in dates])).alias("at")
+    h = holdings.select("wallet_id", "symbol", "shares", "bought_at", at)
     h = h.filter(F.col("bought_at").isNull() | (F.col("bought_at") <= F.col("at")))
     h = asof_join(h, prices, "symbol", "at", "trade_date", ["close"])
     h = asof_join(h, timeline, "symbol", "at", "period", ["overall_score"]).withColumn("value", F.col("shares") * F.col("close"))

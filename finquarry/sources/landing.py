@@ -55,8 +55,8 @@ def export_score_history(scores: DataFrame, path: str, score_date: str) -> None:
 
 def extract_run_report(counts: DataFrame, failures: DataFrame, symbols: int) -> DataFrame:
     """Rows by entity, failed symbols, and whether too many failed (over a third)."""
-    failed = failures.agg(F.count_distinct("symbol").alias("failed"))
-    return counts.groupBy("entity").agg(F.count("*").alias("rows")).crossJoin(F.broadcast(failed)).withColumn("run_fails", F.col("failed") > symbols / 3)  # failed is one row
+    failed = failures.agg(F.count_distinct("symbol")).first()[0]  # one number
+    return counts.groupBy("entity").agg(F.count("*").alias("rows")).withColumns({"failed": F.lit(failed), "run_fails": F.lit(failed > symbols / 3)})
 
 
 def extract_plan(universe: DataFrame, state: DataFrame, now: str, overlap_days: int = 7) -> DataFrame:
