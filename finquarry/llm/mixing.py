@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from finquarry.llm.common import drop_staged, fresh, stage
+from finquarry.llm.common import drop_staged, fresh, sized, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 _UNIT = "id long, source string, size long, copies long, mult long, share double, draw double, grp long, open boolean"
@@ -99,11 +99,11 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: fl
     sums = [(r.source, r.words or 0, r.n) for r in units.groupBy("source").agg(F.sum(F.col("size") * F.col("mult")).alias("words"), F.count("*").alias("n")).collect()]
     rows = {s: n for s, _, n in sums}
     plan = [(s, n, t, min(cap, t / n) if n else 0.0, -(-rows[s] // bucket_rows)) for s, n, t in water_fill([x[:2] for x in sums], weights, cap)]
-    plans = spark.createDataFrame(plan, "source string, source_size long, target double, want double, buckets long")
+    plans = sized(spark.createDataFrame(plan, "source string, source_size long, target double, want double, buckets long"), 128, len(plan))
 
     whole = F.floor("want").cast("long")
     draw = (F.xxhash64("id", "size", F.lit(seed)).cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
-    dealt = units.alias("u").join(F.broadcast(plans).alias("p"), F.col("u.source").eqNullSafe(F.col("p.source"))).select(
+    dealt = units.alias("u").join(plans.alias("p"), F.col("u.source").eqNullSafe(F.col("p.source"))).select(
         "id", "u.source", "size", "mult", whole.alias("whole"), (F.col("want") - whole).alias("share"), draw.alias("draw"),
         F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.greatest("buckets", F.lit(1))).alias("grp"),
     )
@@ -120,7 +120,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: fl
     for x in done:
         out = out.unionByName(x)
     drop_staged(units)
-    return out.alias("d").join(F.broadcast(plans).alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select(F.col("id").alias("doc_id"), "d.source", "size", "mult", "copies", "source_size", "target")
+    return out.alias("d").join(plans.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select(F.col("id").alias("doc_id"), "d.source", "size", "mult", "copies", "source_size", "target")
 
 
 def mix_query(docs: DataFrame) -> DataFrame:
