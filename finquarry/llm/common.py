@@ -66,6 +66,15 @@ def fresh(columns: list[str], name: str) -> str:
     return name
 
 
+def hashed_sample(df: DataFrame, key: str, most: int, seed: int = 0) -> DataFrame:
+    """At most `most` rows, those with the smallest hashes of key. A threshold on the hash, at twice the share asked
+    for, comes first, so that tasks together send about 2 * most rows, not `most` each."""
+    n = df.count()
+    h = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 40))
+    near = df if n <= 2 * most else df.filter(h < int(2 * most / n * (1 << 40)))
+    return near.orderBy(h, key).limit(most)
+
+
 def crc_mod(col: str, n: int):
     """crc32 of an integer column as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n

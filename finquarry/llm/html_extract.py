@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from finquarry.llm.common import hashed_sample
+
 # How HTML groups its tags.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg iframe textarea select object".split())
@@ -260,7 +262,7 @@ def fit_extractor(pages: DataFrame, most: int = 120, id_col: str = "page_id", ht
     """Trained on the grammar's pages and on at most `most` of the table's whose markup shows their article."""
     marked = pages.filter(F.col(html_col).rlike("(?i)<(article|main)[\\s>]")).select(F.col(id_col).alias("i"), F.substring(html_col, 1, 200_000).alias("html"))
     own = []
-    for r in marked.orderBy(F.xxhash64("i"), "i").limit(most).collect():
+    for r in hashed_sample(marked, "i", most).collect():
         blocks = leaf_blocks(r.html)[:2000]
         if labels := labels_by_markup(blocks):
             own.append((blocks, labels))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from finquarry.llm.common import hashed_sample
+
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, where=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, label int) of at most `most` labelled ids, those with the smallest hashes.
@@ -15,6 +17,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, w
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label).cast("int").alias("label")).dropna()
     if where is not None:
         known = known.filter(where)
-    ids = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    ids = hashed_sample(known.groupBy("doc_id").agg(F.max("label").alias("label")), "doc_id", most)
     ids = docs.sparkSession.createDataFrame([(r.doc_id, r.label) for r in ids.collect()], "doc_id long, label int")
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(ids), "doc_id")
