@@ -97,6 +97,10 @@ def _portfolios(day: str) -> str:
     return f"(SELECT grade, count(*) AS companies, avg(total_return) AS mean_return, median(total_return) AS median_return, arg_max(symbol, (total_return, symbol)) AS best, arg_min(symbol, (total_return, symbol)) AS worst, sum((total_return > 0)::INT)::BIGINT AS positive, {_LADDER} AS ladder FROM (SELECT r.symbol, total_return, coalesce(grade, 'ungraded') AS grade FROM {r} r LEFT JOIN {_GRADED.format(day=day)} g USING (symbol) WHERE first_date <= DATE '{day}' + 10) GROUP BY grade)"
 
 
+def _covered(day: str) -> str:
+    return f"(SELECT * FROM (SELECT *, sum(companies) OVER () AS covered FROM {_portfolios(day)}) WHERE covered >= 20)"
+
+
 #: name: (DataFrame of Tables, columns, twin's FROM)
 ENTRIES: dict[str, tuple[Callable[[Tables], DataFrame], str | list[str], str]] = {
     "latest_wins": (lambda t: t.dividends, "symbol pay_date amount~", "dividends"),
@@ -147,7 +151,7 @@ ENTRIES: dict[str, tuple[Callable[[Tables], DataFrame], str | list[str], str]] =
     "compare_rebased": (lambda t: studies.compare_rebased(t.prices().select("symbol", F.col("trade_date").alias("t"), "close", "adj_close"), t.holdings.filter("symbol % 5 = 0")), "symbol start last price_return~ total_return~ dividend_contribution~ final_value~", "(SELECT *, total_return - price_return AS dividend_contribution, 10000 * a1 / a0 AS final_value FROM (SELECT symbol, min(trade_date) AS start, max(trade_date) AS last, (arg_max(close, trade_date) / arg_min(close, trade_date) - 1) * 100 AS price_return, arg_max(adj_close, trade_date) AS a1, arg_min(adj_close, trade_date) AS a0, (a1 / a0 - 1) * 100 AS total_return FROM prices WHERE symbol % 5 = 0 AND trade_date >= (SELECT max(f) FROM (SELECT min(trade_date) AS f FROM prices WHERE symbol % 5 = 0 GROUP BY symbol)) GROUP BY symbol HAVING count(*) >= 2))"),
     "grades_as_of": (lambda t: studies.grades_as_of(t.timeline(), "1999-06-30"), "symbol grade", _GRADED.format(day="1999-06-30")),
     "grade_portfolios": (lambda t: studies.grade_portfolios(prices.returns_since(t.bars, DATE).filter(F.col("first_date") <= "2024-01-20"), studies.grades_as_of(t.timeline(), DATE), 1.0), "grade companies mean_return~ median_return~ best worst positive ladder", _portfolios(DATE)),
-    "grade_study": (lambda t: studies.grade_study(t.bars, t.timeline(), {"all": ("2024-01-01", 1.0), "late": (ACTIVE, 0.5)}), "window grade companies mean_return~ median_return~ ladder", f"(SELECT 'all' AS \"window\", * FROM {_portfolios('2024-01-01')} UNION ALL SELECT 'late', * FROM {_portfolios(ACTIVE)})"),
+    "grade_study": (lambda t: studies.grade_study(t.bars, t.timeline(), {"all": ("2024-01-01", 1.0), "late": (ACTIVE, 0.5)}), "window grade companies mean_return~ median_return~ ladder", f"(SELECT 'all' AS \"window\", * FROM {_covered('2024-01-01')} UNION ALL SELECT 'late', * FROM {_covered(ACTIVE)})"),
     "price_holdings": (Tables.priced, "wallet_id symbol shares value~ day_change~ cost_total~ gain~ weight_pct~", "priced"),
     "wallet_totals": (lambda t: portfolio.wallet_totals(t.priced()), "wallet_id value~ day_change~ gain~ cost_coverage_pct~ holdings", _TOTALS),
     "best_worst_movers": (lambda t: portfolio.best_worst_movers(t.priced()), "wallet_id best worst", "(SELECT wallet_id, arg_max(symbol, (day_change, symbol)) AS best, arg_min(symbol, (day_change, symbol)) AS worst FROM priced WHERE day_change IS NOT NULL GROUP BY wallet_id)"),
