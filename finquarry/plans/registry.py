@@ -149,6 +149,7 @@ ENTRIES: dict[str, tuple[Callable[[Tables], DataFrame], str | list[str], str]] =
     "restatements": (lambda t: history.restatements(history.financial_knowledge(t.versions)), "symbol metric version_seq restated_from restated_to first_known_at restated_at change_pct~ days_before_restated", "(SELECT *, value AS restated_to, known_from AS restated_at, CASE WHEN restated_from <> 0 THEN (value - restated_from) / abs(restated_from) * 100 END AS change_pct, date_diff('day', first_known_at::DATE, known_from::DATE) AS days_before_restated FROM (SELECT *, lag(value) OVER w AS restated_from, lag(known_from) OVER w AS first_known_at FROM knowledge WHERE total_versions > 1 WINDOW w AS (PARTITION BY symbol, period_type, period_end, metric ORDER BY version_seq)) WHERE version_seq > 1)"),
     "asof_join": (lambda t: core.asof_join(t.holdings.select("symbol", "bought_at"), t.bars, "symbol", "bought_at", "trade_date", ["trade_date", "close"]), "symbol bought_at trade_date close~", "(SELECT h.symbol, bought_at, trade_date, close FROM holdings h ASOF LEFT JOIN bars b ON h.symbol = b.symbol AND h.bought_at >= b.trade_date)"),
     "compare_rebased": (lambda t: studies.compare_rebased(t.prices().select("symbol", F.col("trade_date").alias("t"), "close", "adj_close"), t.holdings.filter("symbol % 5 = 0")), "symbol start last price_return~ total_return~ dividend_contribution~ final_value~", "(SELECT *, total_return - price_return AS dividend_contribution, 10000 * a1 / a0 AS final_value FROM (SELECT symbol, min(trade_date) AS start, max(trade_date) AS last, (arg_max(close, trade_date) / arg_min(close, trade_date) - 1) * 100 AS price_return, arg_max(adj_close, trade_date) AS a1, arg_min(adj_close, trade_date) AS a0, (a1 / a0 - 1) * 100 AS total_return FROM prices WHERE symbol % 5 = 0 AND trade_date >= (SELECT max(f) FROM (SELECT min(trade_date) AS f FROM prices WHERE symbol % 5 = 0 GROUP BY symbol)) GROUP BY symbol HAVING count(*) >= 2))"),
+    "compare_rebased_all": (lambda t: studies.compare_rebased(t.prices().select("symbol", F.col("trade_date").alias("t"), "close", "adj_close"), t.holdings), "symbol start last price_return~ total_return~ dividend_contribution~ final_value~", "(SELECT *, total_return - price_return AS dividend_contribution, 10000 * a1 / a0 AS final_value FROM (SELECT symbol, min(trade_date) AS start, max(trade_date) AS last, (arg_max(close, trade_date) / arg_min(close, trade_date) - 1) * 100 AS price_return, arg_max(adj_close, trade_date) AS a1, arg_min(adj_close, trade_date) AS a0, (a1 / a0 - 1) * 100 AS total_return FROM prices WHERE trade_date >= (SELECT max(f) FROM (SELECT min(trade_date) AS f FROM prices GROUP BY symbol)) GROUP BY symbol HAVING count(*) >= 2))"),
     "grades_as_of": (lambda t: studies.grades_as_of(t.timeline(), "1999-06-30"), "symbol grade", _GRADED.format(day="1999-06-30")),
     "grade_portfolios": (lambda t: studies.grade_portfolios(prices.returns_since(t.bars, DATE).filter(F.col("first_date") <= "2024-01-20"), studies.grades_as_of(t.timeline(), DATE), 1.0), "grade companies mean_return~ median_return~ best worst positive ladder", _portfolios(DATE)),
     "grade_study": (lambda t: studies.grade_study(t.bars, t.timeline(), {"all": ("2024-01-01", 1.0), "late": (ACTIVE, 0.5)}), "window grade companies mean_return~ median_return~ ladder", f"(SELECT 'all' AS \"window\", * FROM {_covered('2024-01-01')} UNION ALL SELECT 'late', * FROM {_covered(ACTIVE)})"),
