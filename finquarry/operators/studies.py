@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from finquarry.functions.columns import annualise
+from finquarry.functions.columns import annualise, shift_back
 from finquarry.operators.prices import returns_since
 
 LADDER = ["A+", "A", "B+", "B", "C+", "C", "D", "F", "ungraded"]
@@ -50,15 +50,73 @@ def grade_study(bars: DataFrame, timeline: DataFrame, windows: dict[str, tuple[s
     return out
 
 
-def score_timeline(annual: DataFrame, bars_monthly: DataFrame) -> DataFrame:
-    """Statement counts and period returns at each period end, with the last price at or before it."""
-    w = Window.partitionBy("symbol").orderBy("period_end")
-    f = annual.withColumns({"statement_periods": F.row_number().over(w).cast("long"), "previous_end": F.coalesce(F.lag("period_end").over(w), F.add_months("period_end", -12))})
+def score_timeline(statements: DataFrame, bars_monthly: DataFrame) -> DataFrame:
+    """Each annual or quarterly period end with the last price at or before it and the return over the period, from
+    the period end before it, or a year or quarter back for the first."""
     from finquarry.operators.core import asof_join
 
-    a = asof_join(f.select("symbol", "period_end", "previous_end", "statement_periods"), bars_monthly, "symbol", "period_end", "t", ["close", "adj_close"])
-    b = asof_join(a.withColumnsRenamed({"close": "price", "adj_close": "adj_now"}), bars_monthly, "symbol", "previous_end", "t", ["adj_close"])
-    return b.select("symbol", "period_end", "statement_periods", "price", (F.try_divide("adj_now", "adj_close") * 100 - 100).alias("period_return"), (F.col("statement_periods") < 3).alias("thin_history"))
+    w = Window.partitionBy("symbol", "period_type").orderBy("period_end")
+    back = F.when(F.col("period_type") == "quarterly", shift_back("period_end", 3)).otherwise(shift_back("period_end", 12))
+    f = statements.select("symbol", "period_type", "period_end", F.coalesce(F.lag("period_end").over(w), back).alias("window_start"))
+    a = asof_join(f, bars_monthly, "symbol", "period_end", "t", ["t", "close", "adj_close"])
+    b = asof_join(a.withColumnsRenamed({"t": "t_now", "close": "price", "adj_close": "adj_now"}), bars_monthly, "symbol", "window_start", "t", ["t", "adj_close"])
+    whole = (F.col("t") < F.col("t_now")) & (F.col("adj_close") > 0) & (F.col("adj_now") > 0)
+    return b.select("symbol", "period_type", "period_end", "window_start", "price", F.when(whole, (F.col("adj_now") / F.col("adj_close") - 1) * 100).alias("period_return"))
+
+
+def period_series(wide: DataFrame) -> DataFrame:
+    """The statements that each period end is scored on, as annual rows: all years up to it, or years of trailing
+    quarters that step back four at a time."""
+    from finquarry.operators.statements import FLOWS, METRICS, ttm_fold
+
+    annual = wide.filter("period_type = 'annual'").select("symbol", "period_end", *METRICS, F.lit(None).cast("long").alias("quarters_used"))
+    quarters = ttm_fold(wide.filter("period_type = 'quarterly'"), FLOWS).select(*annual.columns)
+    out = None
+    for kind, rows, step in (("annual", annual, 1), ("quarterly", quarters, 4)):
+        n = rows.withColumn("_n", F.row_number().over(Window.partitionBy("symbol").orderBy("period_end")))
+        ends = n.select("symbol", F.col("period_end").alias("period"), F.col("_n").alias("_at"))
+        s = n.join(ends, "symbol").filter((F.col("_n") <= F.col("_at")) & ((F.col("_at") - F.col("_n")) % step == 0))
+        s = s.select(F.lit(kind).alias("scored_on"), "period", *annual.columns)
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+def summary_as_at(last: DataFrame, dim: DataFrame, div: DataFrame) -> DataFrame:
+    """dim as of a past period, one row a key: market cap, P/E, return on equity and the yield of the 365 days up to it
+    from its own statement and price. There is no five-year average yield of a past date, so that is null."""
+    paid = last.select("key", "symbol", "period").join(div, "symbol").filter((F.col("pay_date") > F.date_sub("period", 365)) & (F.col("pay_date") <= F.col("period")))
+    paid = paid.groupBy("key").agg(F.sum("amount").alias("_paid"))
+    j = last.join(dim.select("symbol", "name", "sector", "industry", "is_reit"), "symbol").join(paid, "key", "left")
+    return j.select(
+        F.col("key").alias("symbol"), "name", "sector", "industry", "is_reit", (F.col("dilutedaverageshares") * F.col("price")).alias("market_cap"), F.when(F.col("dilutedeps") > 0, F.col("price") / F.col("dilutedeps")).alias("trailing_pe"),
+        F.when((F.col("_paid") > 0) & (F.col("price") > 0), F.col("_paid") / F.col("price") * 100).alias("dividend_yield_pct"), F.lit(None).cast("double").alias("five_year_avg_dividend_yield_pct"),
+        F.when(F.col("stockholdersequity") > 0, F.col("netincome") / F.col("stockholdersequity") * 100).alias("return_on_equity_pct"),
+    )
+
+
+def score_timeline_points(wide: DataFrame, dim: DataFrame, div: DataFrame, bars: DataFrame) -> DataFrame:
+    """The score at every annual and quarterly period end, from what was reported, paid and quoted up to then, with
+    price and return of the period, for all companies in one job. Periods without a score keep their row and say why."""
+    from finquarry.operators.core import cut_lineage, month_end_history
+    from finquarry.operators.dividends import trailing_year_totals
+    from finquarry.operators.scoring import quality_score
+    from finquarry.operators.statements import fct_financials, melt_statements
+
+    key = F.concat_ws("|", "symbol", "scored_on", "period").alias("key")
+    points = cut_lineage(score_timeline(wide, month_end_history(bars)).withColumnsRenamed({"period_type": "scored_on", "period_end": "period"}).select(key, "*"))
+    series = cut_lineage(period_series(wide).select(key, "*"))
+    counts = series.groupBy("key").agg(F.count("*").alias("statement_periods"), F.max_by("quarters_used", "period_end").alias("quarters_used"))
+    priced = points.filter("price is not null")
+    last = series.filter("period_end = period").join(priced.select("key", "price"), "key")
+    then = cut_lineage(summary_as_at(last, dim, div))
+    rows = series.join(priced.select("key"), "key", "left_semi").drop("symbol").withColumnsRenamed({"key": "symbol"}).withColumn("period_type", F.lit("annual"))
+    paid = priced.select("key", "symbol", "period").join(div, "symbol").filter(F.col("pay_date") <= F.col("period")).select(F.col("key").alias("symbol"), "pay_date", "amount")
+    fin = cut_lineage(fct_financials(melt_statements(rows), then))
+    s = quality_score(then, fin, cut_lineage(trailing_year_totals(paid)), "live")
+    s = s.select(F.col("symbol").alias("key"), "overall_score", "grade", "coverage_pct", "scoring_basis")
+    why = F.when(F.col("price").isNull(), "no price history at this date").when(F.col("overall_score").isNull(), "not enough reported data to grade")
+    out = points.join(counts, "key").join(s, "key", "left").withColumns({"thin_history": F.col("statement_periods") < 3, "unscored": why})
+    return out.select("symbol", F.col("scored_on").alias("period_type"), "period", "overall_score", "grade", "coverage_pct", "scoring_basis", "statement_periods", "quarters_used", "thin_history", "price", "window_start", "period_return", "unscored")
 
 
 def scores_over_time(fin: DataFrame, dim: DataFrame, div: DataFrame, as_of: str, mode: str = "table") -> DataFrame:

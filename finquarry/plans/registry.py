@@ -184,6 +184,7 @@ ENTRIES: dict[str, tuple[Callable[[Tables], DataFrame], str | list[str], str]] =
     "period_labels": (lambda t: t.wide().select("symbol", C.period_label("period_type", "period_end").alias("label"), C.shift_back("period_end", 3).alias("before")), "symbol label before", "(SELECT symbol, CASE WHEN period_type = 'annual' THEN 'FY' || year(period_end) ELSE 'Q' || quarter(period_end) || ' ' || year(period_end) END AS label, (period_end - INTERVAL 3 MONTH)::DATE AS before FROM wide)"),
     "warehouse_health": (lambda t: t.bars.agg(F.lit("bars").alias("name"), F.count("*").alias("rows"), F.max("trade_date").alias("latest")).unionByName(t.dividends.agg(F.lit("dividends").alias("name"), F.count("*").alias("rows"), F.max("pay_date").alias("latest"))), "name rows latest", "(SELECT 'bars' AS name, count(*) AS rows, max(trade_date) AS latest FROM bars UNION ALL SELECT 'dividends', count(*), max(pay_date) FROM dividends)"),
     "score_timeline": (lambda t: studies.scores_over_time(t.fin(), t.dim(), t.dividends, A.AS_OF), "symbol period overall_score grade coverage_pct statement_periods thin_history", "(SELECT split_part(symbol, '|', 1)::BIGINT AS symbol, split_part(symbol, '|', 2)::DATE AS period, overall_score, grade, coverage_pct, statement_periods, statement_periods < 3 AS thin_history FROM t_score JOIN (SELECT symbol, count(*) AS statement_periods FROM t_fin GROUP BY symbol) USING (symbol))"),
+    "score_timeline_points": (lambda t: studies.score_timeline_points(t.wide(), t.dim(), t.dividends, t.bars), "symbol period_type period overall_score grade coverage_pct scoring_basis statement_periods quarters_used thin_history price~ window_start period_return~ unscored", ""),
     "portfolio_score_history": (lambda t: portfolio.portfolio_score_history(t.holdings, t.bars, t.timeline(), SUNDAYS), "wallet_id at score~ coverage_pct~", "(SELECT wallet_id, \"at\", sum(CASE WHEN overall_score IS NOT NULL AND close IS NOT NULL THEN shares * close * overall_score END) / nullif(sum(CASE WHEN overall_score IS NOT NULL AND close IS NOT NULL THEN shares * close END), 0) AS score, sum(CASE WHEN overall_score IS NOT NULL AND close IS NOT NULL THEN shares * close END) / nullif(sum(shares * close), 0) * 100 AS coverage_pct FROM (SELECT h.*, d.\"at\", b.close, s.overall_score FROM (SELECT unnest(['2024-01-07', '2024-01-14', '2024-01-21', '2024-01-28'])::DATE AS \"at\") d JOIN holdings h ON bought_at <= d.\"at\" ASOF LEFT JOIN bars b ON h.symbol = b.symbol AND d.\"at\" >= b.trade_date ASOF LEFT JOIN score_stg s ON h.symbol = s.symbol AND d.\"at\" >= s.score_date) GROUP BY 1, 2)"),
     "slice_shares": (lambda t: portfolio.slice_shares(t.priced(), "wallet_id", "symbol", "gain"), "wallet_id symbol gain~ share_pct~ dropped", "(SELECT wallet_id, symbol, gain, gain / sum(gain) OVER (PARTITION BY wallet_id) * 100 AS share_pct, dropped FROM (SELECT *, sum((coalesce(gain, 0) <= 0)::INT) OVER (PARTITION BY wallet_id)::BIGINT AS dropped FROM priced) WHERE gain > 0)"),
     "goal_progress_series": (lambda t: portfolio.goal_progress_series(t.series(), 1e6), "wallet_id trade_date progress_pct~", "(SELECT wallet_id, trade_date, value / 1e6 * 100 AS progress_pct FROM value_series)"),
