@@ -29,12 +29,15 @@ SYLLABLES = {
 }
 
 _TITLE = "|".join(MALE + FEMALE)
+_TITLED = rf"^(?:{_TITLE})\.? "
+_OF = r"(?:(?:van|von|der|den|de|del|della|di|da|dos|du|la|le|ter|bin|al|el) )*"
+_PART = r"(?:\p{Lu}\.(?= \p{Lu})|\p{Lu}[\p{L}\p{M}]*(?:['’]\p{Lu}[\p{L}\p{M}]*|-\p{L}[\p{L}\p{M}]*)*)"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _WORD = r"[\p{L}\p{N}._%+-]"
 _SECRET = r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}\"?)"
 #: Kinds in order of precedence, with their patterns.
 KINDS = {
-    "secret": _SECRET + r"(?=[^\s\"]{0,64}\d)[^\s\"]{6,}",
+    "secret": _SECRET + r"[^\s\"]{6,}",
     "email": rf"(?<!{_WORD}){_WORD}{{1,64}}+@[\p{{L}}\p{{N}}-]+(?:\.[\p{{L}}\p{{N}}-]+)*\.\p{{L}}{{2,}}",
     "key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\b(?:ghp_|sk-|xox[bp]-)[A-Za-z0-9-]{16,}",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
@@ -42,10 +45,11 @@ KINDS = {
     "card": r"(?<![\d-])[3-6]\d{3}[ -]?\d{4}[ -]?\d{4}[ -]?\d{3,4}\b",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "name": rf"(?<![\p{{L}}-])(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
+    "name": rf"(?<![\p{{L}}-])(?:{_TITLE})\.? {_OF}{_PART}(?: {_OF}{_PART})*",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
-_MAYBE = rf"[0-9@]|(?:{_TITLE})\.? \p{{Lu}}"
+#: What every text with a match has: a digit, an at sign, or the start of a secret, key or titled name.
+_MAYBE = rf"[0-9@]|{_SECRET}|AKIA|ASIA|ghp_|sk-|xox[bp]-|(?:{_TITLE})\.? {_OF}\p{{Lu}}"
 
 
 def kind(e: Column) -> Column:
@@ -57,7 +61,7 @@ def kind(e: Column) -> Column:
 
 def _value(e: Column, k: Column) -> Column:
     """What of a match is replaced: a secret's value and a name behind its title; else all of it."""
-    return F.when(k == "secret", F.regexp_replace(e, f"^{_SECRET}", "")).when(k == "name", F.regexp_replace(e, rf"^(?:{_TITLE})\.? ", "")).otherwise(e)
+    return F.when(k == "secret", F.regexp_replace(e, f"^{_SECRET}", "")).when(k == "name", F.regexp_replace(e, _TITLED, "")).otherwise(e)
 
 
 def normal_form(e: Column, k: Column) -> Column:
@@ -67,6 +71,44 @@ def normal_form(e: Column, k: Column) -> Column:
     return F.when(k == "email", F.lower(e)).when(k.isin("phone", "card", "ssn"), F.regexp_replace(e, r"\D", "")).when(k == "iban", F.replace(e, F.lit(" "))).when(k == "name", F.concat(gender, _value(e, k))).otherwise(_value(e, k))
 
 
+def untitled(found: Column) -> Column:
+    """A pattern of the full names and surnames behind titles in an array of matches, longest first; null if none."""
+    names = F.transform(F.filter(found, lambda e: e.rlike(_TITLED)), lambda e: F.regexp_replace(e, _TITLED, ""))
+    both = F.array_distinct(F.concat(names, F.transform(names, lambda v: F.regexp_extract(v, r"[^ ]+$", 0))))
+    longest = F.reverse(F.array_sort(F.transform(F.filter(both, lambda v: F.length(v) > 1), lambda v: F.struct(F.length(v).alias("n"), v.alias("v")))))
+    quoted = F.array_join(F.transform(longest, lambda x: F.concat(F.lit(r"\Q"), x["v"], F.lit(r"\E"))), "|")
+    return F.when(F.size(longest) > 0, F.concat(F.lit(r"(?<![\p{L}\p{M}\p{N}_-])(?:"), quoted, F.lit(r")(?![\p{L}\p{M}\p{N}_]|['’-]\p{Lu})")))
+
+
+def normal_forms(found: Column, names: Column) -> Column:
+    """The normal form of each match of one text. A part of a name gets that of the one longer name in the text with the
+    same surname and gender; a mention without title that of the first titled name it can stand for."""
+    plain = F.transform(found, lambda e: F.struct(e.alias("e"), kind(e).alias("k")))
+    plain = F.transform(plain, lambda x: F.struct(x["e"].alias("e"), (x["k"] == "name").alias("named"), x["e"].rlike(_TITLED).alias("titled"), normal_form(x["e"], x["k"]).alias("norm"), _value(x["e"], x["k"]).alias("v")))
+
+    def part_of(x: Column, t: Column) -> Column:
+        given, surname = F.regexp_extract(x["v"], r"^(.+) [^ ]+$", 1), F.regexp_extract(x["v"], r"[^ ]+$", 0)
+        return t["v"].endswith(F.concat(F.lit(" "), x["v"])) | ((given != "") & t["v"].startswith(F.concat(given, F.lit(" "))) & t["v"].endswith(F.concat(F.lit(" "), surname)) & (F.length(t["v"]) > F.length(x["v"])))
+
+    def longer(xs: Column) -> Column:
+        def one(x: Column) -> Column:
+            alike = F.filter(xs, lambda t: t["titled"] & (F.substring(t["norm"], 1, 2) == F.substring(x["norm"], 1, 2)) & part_of(x, t))
+            norms = F.array_distinct(F.transform(alike, lambda t: t["norm"]))
+            norm = F.when(x["titled"] & (F.size(norms) == 1), F.element_at(norms, 1)).otherwise(x["norm"])
+            return F.struct(*[x[f].alias(f) for f in ("e", "named", "titled")], norm.alias("norm"), x["v"].alias("v"))
+
+        return F.transform(xs, one)
+
+    def bare(xs: Column) -> Column:
+        def one(x: Column) -> Column:
+            alike = F.filter(xs, lambda t: t["titled"] & ((t["v"] == x["v"]) | part_of(x, t)))
+            return F.when(x["named"] & ~x["titled"], F.coalesce(F.try_element_at(F.transform(alike, lambda t: t["norm"]), F.lit(1)), x["norm"])).otherwise(x["norm"])
+
+        return F.transform(xs, one)
+
+    return F.when(names.isNull(), F.transform(plain, lambda x: x["norm"])).otherwise(bare(longer(longer(plain))))
+
+
 def _stream(seed: Column, alphabet: str) -> Column:
     """192 characters of an alphabet of 16 from a keyed hash."""
     return F.translate(F.concat(*[F.sha2(F.concat_ws("|", seed, F.lit(i)), 256) for i in range(3)]), "0123456789abcdef", alphabet)
@@ -97,13 +139,13 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(F.lit(10) - F.pmod(total, F.lit(10)), F.lit(10)).cast("string")
 
 
-def drawn(found: Column, tries: Column, key: str) -> Column:
-    """Surrogates of an array of matches; tries: attempts by position, 0 where missing.
+def drawn(found: Column, norms: Column, tries: Column, key: str) -> Column:
+    """Surrogates of an array of matches with their normal forms; tries: attempts by position, 0 where missing.
 
     The keyed streams of a match are made once, as fields, before its characters are replaced one by one.
     """
-    known = F.transform(found, lambda e: F.struct(e.alias("e"), kind(e).alias("k")))
-    known = F.transform(known, lambda x: F.struct(x["e"].alias("e"), x["k"].alias("k"), normal_form(x["e"], x["k"]).alias("norm"), _value(x["e"], x["k"]).alias("value")))
+    known = F.zip_with(found, norms, lambda e, n: F.struct(e.alias("e"), kind(e).alias("k"), n.alias("norm")))
+    known = F.transform(known, lambda x: F.struct(x["e"].alias("e"), x["k"].alias("k"), x["norm"].alias("norm"), _value(x["e"], x["k"]).alias("value")))
 
     def streams(x: Column, i: Column) -> Column:
         seed = F.concat_ws("|", F.lit(key), x["k"], x["norm"], F.coalesce(F.try_element_at(tries, i), F.lit(0)))
@@ -144,7 +186,7 @@ def _person(value: Column, norm: Column, hexes: Column) -> Column:
     def in_script(s: str) -> Column:
         last = F.initcap(F.concat(*[_pick(SYLLABLES[s], hexes, i) for i in range(2, 7)]))
         first = F.when(norm.startswith("m:"), _pick(NAMES[s, "m"], hexes, 1)).otherwise(_pick(NAMES[s, "f"], hexes, 1))
-        return F.when(value.contains(" "), F.concat_ws(" ", first, last)).otherwise(last)
+        return F.when(value.rlike(r"^\p{Lu}[^ ]* "), F.concat_ws(" ", first, last)).otherwise(last)
 
     return F.when(value.rlike(r"\p{IsCyrillic}"), in_script("cyrillic")).otherwise(in_script("latin"))
 
@@ -156,18 +198,23 @@ def replace_pii(docs: DataFrame, key: str = "k1", rounds: int = 12, text_col: st
     Null text stays null with 0 entities; so do texts without entities. Repeated rows get equal results. Only rows
     with entities are written aside, and only mentions of entities whose first surrogate collided are joined.
     """
-    n_entities, row_id, found, tries = (fresh(docs.columns, c) for c in ("n_entities", "_id", "_found", "_tries"))
-    text, hits = F.col(f"`{text_col}`"), F.col(found)
+    n_entities, row_id, found, tries, names_of, norms_of = (fresh(docs.columns, c) for c in ("n_entities", "_id", "_found", "_tries", "_names", "_norms"))
+    text, hits, bare, norms = F.col(f"`{text_col}`"), F.col(found), F.col(names_of), F.col(norms_of)
     seen = docs.withColumn(found, F.when(text.rlike(_MAYBE), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))))
+    pattern = F.concat_ws("|", F.lit(PATTERN), bare)
     none = F.coalesce(F.size(hits), F.lit(0)) <= 0
     names = [F.col(f"`{c}`") for c in docs.columns]
     clean = seen.filter(none).select(*names, F.lit(0).cast("long").alias(n_entities))
-    held = stage(seen.filter(~none).withColumn(row_id, F.monotonically_increasing_id()), "pii-found")
-
-    mention = held.select(F.col(row_id).alias("id"), F.posexplode(hits).alias("pos", "entity")).withColumn("kind", kind(F.col("entity"))).withColumn("norm", normal_form(F.col("entity"), F.col("kind")))
-    entities = stage(mention.groupBy("kind", "norm").agg(F.min("entity").alias("entity")).withColumn("attempt", F.lit(0)), "pii-entities")
+    held = seen.filter(~none).withColumn(names_of, untitled(hits))
+    held = held.withColumn(found, F.when(bare.isNull(), hits).otherwise(F.regexp_extract_all(text, pattern, F.lit(0))))
+    held = stage(held.withColumn(norms_of, normal_forms(hits, bare)).withColumn(row_id, F.monotonically_increasing_id()), "pii-found")
+
+    mention = held.select(F.col(row_id).alias("id"), F.posexplode(F.arrays_zip(hits.alias("entity"), norms.alias("norm"))).alias("pos", "m"))
+    mention = mention.select("id", "pos", F.col("m")["entity"].alias("entity"), F.col("m")["norm"].alias("norm")).withColumn("kind", kind(F.col("entity")))
+    fullest = F.struct(F.col("entity").rlike(_TITLED), F.length("entity"), F.col("entity"))  # a name's title tells its gender
+    entities = stage(mention.groupBy("kind", "norm").agg(F.max_by("entity", fullest).alias("entity")).withColumn("attempt", F.lit(0)), "pii-entities")
     for _ in range(rounds):
-        new = F.element_at(drawn(F.array("entity"), F.create_map(F.lit(0), F.col("attempt")), key), 1)
+        new = F.element_at(drawn(F.array("entity"), F.array("norm"), F.create_map(F.lit(0), F.col("attempt")), key), 1)
         trial = stage(entities.select("kind", "norm", "attempt", new.alias("s")), "pii-drawn").withColumn("s", normal_form(F.col("s"), F.col("kind")))
         shared = trial.groupBy("kind", "s").agg(F.min(F.struct("attempt", "norm")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("kind", "s", F.col("first.norm").alias("keeps"))
         real = entities.select("kind", F.col("norm").alias("s"), F.lit(True).alias("real"))
@@ -184,8 +231,8 @@ def replace_pii(docs: DataFrame, key: str = "k1", rounds: int = 12, text_col: st
     moved = entities.filter("attempt > 0").select("kind", "norm", "attempt")
     own = mention.join(moved, ["kind", "norm"]).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "attempt"))).alias(tries)).withColumnRenamed("id", row_id)
 
-    parts = F.split(text, PATTERN, -1)
-    new = F.concat_ws("", F.flatten(F.zip_with(parts, drawn(hits, F.col(tries), key), lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))))
+    parts = F.when(bare.isNull(), F.split(text, PATTERN, -1)).otherwise(F.split(text, pattern, -1))
+    new = F.concat_ws("", F.flatten(F.zip_with(parts, drawn(hits, norms, F.col(tries), key), lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))))
     fixed = held.join(own, row_id, "left").withColumn(n_entities, F.size(hits).cast("long"))
     return clean.unionByName(fixed.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], n_entities))
 
