@@ -78,6 +78,34 @@ def security_bundle(bars: DataFrame, short: int = 50, long: int = 200, vol: int
     return g.withColumn("range_position", range_position("close", "low_52w", "high_52w"))
 
 
+def security_bundle_as_of(bars: DataFrame, dim: DataFrame, fin: DataFrame, scores: DataFrame, as_of: str) -> DataFrame:
+    """security_bundle of every company with range and first close of the year up to as_of, and the ratios of its last
+    annual statement. Growth, margins and returns are fractions, debt_to_equity is in percent."""
+    day = F.lit(as_of).cast("date")
+    known = bars.filter(F.col("trade_date") <= day)
+    year = known.filter(F.col("trade_date") >= F.add_months(day, -12)).groupBy("symbol").agg(F.max("high").alias("high_52w"), F.min("low").alias("low_52w"), F.min_by("close", "trade_date").alias("close_1y_ago"))
+    last = known.groupBy("symbol").agg(F.max_by(F.struct("trade_date", "open", "high", "low", "volume"), "trade_date").alias("r"))
+    last = last.select("symbol", F.col("r.trade_date").alias("price_as_of"), F.col("r.open").alias("open"), F.col("r.high").alias("day_high"), F.col("r.low").alias("day_low"), F.col("r.volume").alias("volume"))
+    averages = security_bundle(known).select("symbol", "close", "previous_close", F.col("avg_short").alias("ma_50"), F.col("avg_long").alias("ma_200"), F.col("avg_volume").alias("avg_volume_90"))
+    w = Window.partitionBy("symbol").orderBy("period_end")
+    f = fin.filter("period_type = 'annual'").withColumns({"revenue_0": F.lag("totalrevenue").over(w), "income_0": F.lag("netincome").over(w)}).filter("recency_rank = 1")
+    f = f.select("symbol", "totalrevenue", "netincome", "operatingincome", "ebitda", "freecashflow", "totaldebt", "cashandcashequivalents", "totalassets", "stockholdersequity", "dilutedaverageshares", "dilutedeps", "cashdividendspaid", "revenue_0", "income_0")
+    b = dim.select("symbol", "name", "sector", "industry", "currency", "market_cap", "trailing_pe", "dividend_yield_pct")
+    for t in (last, averages, year, f, scores.select("symbol", "pays_dividend")):
+        b = b.join(t, "symbol", "left")
+    grown = lambda now, then: F.when(F.col(then) > 0, (F.col(now) - F.col(then)) / F.col(then))
+    over = {"price_to_sales": ("market_cap", "totalrevenue"), "price_to_book": ("market_cap", "stockholdersequity"), "book_per_share": ("stockholdersequity", "dilutedaverageshares"), "profit_margin": ("netincome", "totalrevenue"), "operating_margin": ("operatingincome", "totalrevenue"), "return_on_assets": ("netincome", "totalassets")}
+    return b.withColumns({
+        "range_position": range_position("close", "low_52w", "high_52w"),
+        "enterprise_value": F.col("market_cap") + F.col("totaldebt") - F.coalesce("cashandcashequivalents", F.lit(0.0)),
+        **{k: F.try_divide(x, y) for k, (x, y) in over.items()},
+        "payout_ratio": F.try_divide(F.abs("cashdividendspaid"), "netincome"),
+        "debt_to_equity": F.try_divide("totaldebt", "stockholdersequity") * 100,
+        "dividend_rate": F.when(F.col("pays_dividend"), F.col("dividend_yield_pct") / 100 * F.col("close")),
+        "change_52w": grown("close", "close_1y_ago"), "revenue_growth": grown("totalrevenue", "revenue_0"), "earnings_growth": grown("netincome", "income_0"),
+    }).drop("revenue_0", "income_0")
+
+
 def price_watermarks(bars: DataFrame) -> DataFrame:
     return bars.groupBy("symbol").agg(F.max("trade_date").alias("last_date"), F.max_by("close", "trade_date").alias("last_close"))
 

@@ -137,6 +137,7 @@ ENTRIES: dict[str, tuple[Callable[[Tables], DataFrame], str | list[str], str]] =
     "month_end_history": (lambda t: core.month_end_history(t.bars), "symbol t close~ adj_close~", "months"),
     "chart_series": (lambda t: prices.chart_series(t.bars, DATE, "week"), "symbol bucket t close~", "(SELECT symbol, date_trunc('week', trade_date)::DATE AS bucket, max(trade_date) AS t, arg_max(close, trade_date) AS close FROM bars WHERE trade_date >= DATE '2024-01-10' GROUP BY 1, 2)"),
     "security_bundle": (lambda t: prices.security_bundle(t.bars, 5, 20, 9), "symbol close~ previous_close~ high_52w~ low_52w~ avg_short~ avg_long~ avg_volume~ range_position~", "(SELECT *, CASE WHEN high_52w > low_52w THEN greatest(0, least(100, (close - low_52w) / (high_52w - low_52w) * 100)) END AS range_position FROM (SELECT symbol, max(CASE WHEN n = 1 THEN close END) AS close, max(CASE WHEN n = 2 THEN close END) AS previous_close, max(high) AS high_52w, min(low) AS low_52w, avg(CASE WHEN n <= 5 THEN close END) AS avg_short, avg(CASE WHEN n <= 20 THEN close END) AS avg_long, avg(CASE WHEN n <= 9 THEN volume END) AS avg_volume FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS n FROM bars) GROUP BY symbol))"),
+    "security_bundle_as_of": (lambda t: prices.security_bundle_as_of(t.bars, t.dim(), t.fin(), t.score(), "2024-01-31"), "symbol price_as_of close~ previous_close~ high_52w~ low_52w~ close_1y_ago~ change_52w~ ma_50~ ma_200~ avg_volume_90~ range_position~ enterprise_value~ price_to_sales~ price_to_book~ book_per_share~ profit_margin~ operating_margin~ return_on_assets~ debt_to_equity~ payout_ratio~ dividend_rate~ revenue_growth~ earnings_growth~", ""),
     "price_watermarks": (lambda t: prices.price_watermarks(t.bars), "symbol last_date last_close~", "(SELECT symbol, max(trade_date) AS last_date, arg_max(close, trade_date) AS last_close FROM bars GROUP BY symbol)"),
     "detect_restatement": (lambda t: prices.detect_restatement(prices.price_watermarks(t.bars), t.bars.withColumn("close", F.when(F.col("symbol") % 5 == 0, F.col("close") * 1.1).otherwise(F.col("close")))), "symbol last_date last_close~ fresh_close~ ratio~", "(SELECT symbol, trade_date AS last_date, close AS last_close, close * 1.1::DOUBLE AS fresh_close, close * 1.1::DOUBLE / close AS ratio FROM latest WHERE symbol % 5 = 0)"),
     "merge_prices_incremental": (lambda t: prices.merge_prices(t.bars.filter("trade_date <= '2024-01-25'"), t.bars.withColumn("close", F.col("close") + 1)), "symbol trade_date close~", "(SELECT symbol, trade_date, CASE WHEN trade_date >= DATE '2024-01-15' THEN close + 1 ELSE close END AS close FROM bars)"),
