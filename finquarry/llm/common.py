@@ -20,13 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of our own only where none is set."""
+    """The shared folder of spark.checkpoint.dir; a folder of our own only where none is set and Spark runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
         if own.isDefined():
             found = own.get()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -58,6 +60,17 @@ def sized(df: DataFrame, row_bytes: int, rows: int | None = None, limit: int = B
     return F.broadcast(df) if n * row_bytes <= limit else df
 
 
+def salted(df: DataFrame, small: DataFrame, on: list[str], by: list[str], row_bytes: int, how: str = "inner", salts: int = 16) -> DataFrame:
+    """df joined with small, which has one row a key: broadcast if counted small; else keys are split by a hash of the
+    columns `by`, so that a key with very many rows of df is dealt to several tasks."""
+    n = small.count()
+    if n * row_bytes <= BROADCAST_BYTES:
+        return df.join(F.broadcast(small), on, how)
+    salt = fresh(df.columns + small.columns, "_salt")
+    dealt = df.withColumn(salt, F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+    return dealt.join(small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*on, salt], how).drop(salt)
+
+
 def fresh(columns: list[str], name: str) -> str:
     """name, or a longer one that none of the columns has."""
     taken = {c.lower() for c in columns}
