@@ -1,11 +1,14 @@
 """Embedding near-dedup: an exact metric range join on the unit sphere.
 
-Cosine >= c means a chord of at most eps = sqrt(2 - 2c). Pivots, far apart, split the vectors of a label into cells
-by the nearest pivot. For unit vectors the plane between pivots p and q lies (d(x,q)^2 - d(x,p)^2) / (2 d(p,q)) away
-from x, so by the triangle inequality only vectors with at most eps there can have neighbours across it; those
-visit q's cell. Each cell then joins its own vectors with its own and its visitors, alone: every vector's links are
-all found in its home cell. Cells that stay large are split again as long as a sample shows that this separates
-them, and what remains is joined in blocks. Equal vectors are one point that carries their number.
+Cosine >= c means a chord of at most eps = sqrt(2 - 2c). The vectors of a space (label and dimension) are partitioned by
+pivots: a pivot is the centre of a dense place of a sample, with a radius at which few vectors lie. A vector lives in
+the cell of the first pivot whose ball holds it, else in the rest. By the triangle inequality |d(x,p) - d(y,p)| <= d(x,y),
+so only vectors within eps of a ball's border can have neighbours beyond it; these visit the cells there. Each cell then
+joins its own vectors with its own and its visitors, alone: every vector's links are all found in its home cell.
+
+Inside a cell, pairs are left out by a second set of pivots, far apart and made orthogonal: with a and b the coordinates
+of x and y along them and r, s the lengths of what is left, the cosine is at most a.b + r*s. Only pairs whose bound
+reaches c are multiplied in full. Equal vectors are one point that carries their number.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from finquarry.llm.common import drop_staged, sized, stage, stream_groups
 from finquarry.llm.components import connected_components
 
-_POINT = "vec_id long, n long, cell string, home boolean, u binary"
+_POINT = "vec_id long, n long, label string, dim int, ball int, home boolean, u binary"
 
 
 def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,76 +45,113 @@ def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=np.float64).reshape(len(column), -1)
 
 
-def far_pivots(x: np.ndarray, most: int, apart: float) -> np.ndarray:
-    """Farthest-first pivots out of x, at least `apart` from each other; the first row starts."""
-    at, near = [0], np.sqrt(np.maximum(0, 2 - 2 * x @ x[0]))
-    while len(at) < most and near.max() > apart:
-        at.append(int(np.argmax(near)))
-        near = np.minimum(near, np.sqrt(np.maximum(0, 2 - 2 * x @ x[at[-1]])))
-    return x[at]
+def _chord(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, 2 - 2 * x @ y.T))
+
 
+def ball_pivots(x: np.ndarray, eps: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Centres and radii of dense places of a sample: (pivots, radii), densest first.
+
+    A centre is the vector with most neighbours within eps, two at least; its radius is that between eps and 1.2 with
+    fewest vectors within eps of the border. Places whose border would be as crowded as the ball are left out.
+    """
+    d, left, at, radii = _chord(x, x), np.ones(len(x), dtype=bool), [], []
+    grid = np.linspace(eps, 1.2, 24)
+    while len(at) < most and left.any():
+        near = ((d <= eps) & left).sum(axis=1) * left
+        i = int(np.argmax(near))
+        if near[i] < 3:
+            break
+        own = d[i][left]
+        crowd = [(np.abs(own - r) <= eps).sum() for r in grid]
+        r = float(grid[int(np.argmin(crowd))])
+        inside = (d[i] <= r) & left
+        if min(crowd) < inside.sum():
+            at.append(i)
+            radii.append(r)
+            left &= ~inside
+        else:
+            left &= d[i] > eps
+    return x[at], np.array(radii)
+
+
+def places(x: np.ndarray, pivots: np.ndarray, radii: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
+    """The cell of each row, and the cells it must be in (rows x cells). Cell k is ball k; the last cell is the rest."""
+    d = _chord(x, pivots)
+    inside = d <= radii
+    own = np.concatenate([inside, np.ones((len(x), 1), bool)], axis=1).argmax(axis=1)
+    near, beyond = d <= radii + eps + 1e-9, d > radii - eps - 1e-9
+    clear = np.concatenate([np.ones((len(x), 1), bool), np.logical_and.accumulate(beyond, axis=1)], axis=1)  # may lie outside all balls before
+    return own, clear & np.concatenate([near, np.ones((len(x), 1), bool)], axis=1)
+
+
+def orthogonal_pivots(x: np.ndarray, most: int) -> np.ndarray:
+    """Orthonormal columns that span vectors of x far from each other."""
+    at, near = [0], _chord(x, x[:1])[:, 0]
+    while len(at) < min(most, x.shape[1] - 1, len(x)) and near.max() > 1e-6:
+        at.append(int(np.argmax(near)))
+        near = np.minimum(near, _chord(x, x[at[-1:]])[:, 0])
+    return np.linalg.qr(x[at].T)[0]
 
-def reaches(x: np.ndarray, pivots: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray]:
-    """Nearest pivot of each row, and the pivots whose cells a row must be in (rows x pivots)."""
-    square = np.maximum(0, 2 - 2 * x @ pivots.T)
-    own = np.argmin(square, axis=1)
-    between = np.sqrt(np.maximum(1e-300, 2 - 2 * pivots @ pivots.T))
-    gap = (square - square[np.arange(len(x)), own][:, None]) / (2 * between[own])
-    need = gap <= eps + 1e-9
-    need[np.arange(len(x)), own] = True
-    return own, need
 
+def bounded(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Coordinates along the columns of q and the length of the rest: products of such rows bound cosines from above."""
+    a = x @ q
+    return np.concatenate([a, np.sqrt(np.maximum(0, 1 - (a * a).sum(axis=1)))[:, None]], axis=1).astype(np.float32)
 
-def _choose(eps: float, cell_rows: int, most_pivots: int, always: bool):
-    """Pivots of one large cell out of a sample of it; none if they would not separate it."""
 
+def _choose(eps: float, most: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = _matrix(pdf.sort_values("vec_id")["u"])
-        want = int(min(most_pivots, max(2, -(-2 * int(pdf["rows"].iloc[0]) // cell_rows))))
-        p = far_pivots(x, want, 2 * eps)
-        if len(p) < 2 or reaches(x, p, eps)[1].mean() > 0.5:  # most vectors would visit most cells: few pivots or none
-            p = p[: 3 if always and len(p) > 1 else 0]
-        return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "pivots": [p.tobytes()]})
+        p, r = ball_pivots(_matrix(pdf.sort_values("vec_id")["u"]), eps, most)
+        return pd.DataFrame({"label": pdf["label"].iloc[:1], "dim": pdf["dim"].iloc[:1], "pivots": [p.tobytes()], "radii": [r.tobytes()]})
 
     return run
 
 
 def _deal(eps: float):
-    """Rows (…, pivots) to the sub-cells that they belong to or visit."""
+    """Points with their space's pivots to the cell that they belong to and those that they visit."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            for cell, g in pdf.groupby("cell", sort=False):
+            for _, g in pdf.groupby(["label", "dim"], sort=False):
                 x = _matrix(g["u"])
-                p = np.frombuffer(g["pivots"].iloc[0], dtype=np.float64).reshape(-1, x.shape[1])
-                own, need = reaches(x, p, eps)
-                r, c = np.nonzero(need)
-                out = g.iloc[r][["vec_id", "n", "cell", "home", "u"]].copy()
-                out["home"] = out["home"].to_numpy() & (own[r] == c)
-                out["cell"] = [f"{cell}/{k}" for k in c]
-                yield out
+                p, r = (g[c].iloc[0] or b"" for c in ("pivots", "radii"))
+                own, need = places(x, np.frombuffer(p, dtype=np.float64).reshape(-1, x.shape[1]), np.frombuffer(r, dtype=np.float64), eps)
+                i, cell = np.nonzero(need)
+                yield g.iloc[i][["vec_id", "n", "label", "dim", "u"]].assign(ball=cell.astype(np.int32), home=own[i] == cell)[[f.split()[0] for f in _POINT.split(", ")]]
 
     return run
 
 
-def _join(cosine: float):
-    """Links of a block's home vectors with a block of members: (vec_id, links, other); other: a tie in a spanning
-    forest of the links seen here."""
+def _join(cosine: float, directions: int):
+    """Links of a block's home vectors with a block of members: (vec_id, links, other, pairs, compared); other: a tie in
+    a spanning forest of the links seen here; pairs: how many there are, compared: how many were multiplied in full."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, g in stream_groups(frames, ["cell", "i", "j"]):
+        for _, g in stream_groups(frames, ["label", "dim", "ball", "i", "j"]):
             h, m = g[g["asks"]], g[~g["asks"]]
             if not len(h) or not len(m):
                 continue
             x, y = _matrix(h["u"]), _matrix(m["u"])
             hid, mid, n = h["vec_id"].to_numpy(), m["vec_id"].to_numpy(), m["n"].to_numpy()
+            q = orthogonal_pivots(y[:2048], directions)
+            bx, by = bounded(x, q), bounded(y, q).T
             ids = np.unique(np.concatenate([hid, mid]))
             hat, mat = np.searchsorted(ids, hid), np.searchsorted(ids, mid)
-            root, links = np.arange(len(ids)), np.zeros(len(h), dtype=np.int64)
+            root, links, compared = np.arange(len(ids)), np.zeros(len(h), dtype=np.int64), np.zeros(len(h), dtype=np.int64)
             for at in range(0, len(h), 256):
-                near = (x[at : at + 256] @ y.T >= cosine) & (hid[at : at + 256, None] != mid[None, :])
-                links[at : at + 256] = near @ n
-                a, b = np.nonzero(near)
+                part = slice(at, at + 256)
+                may = bx[part] @ by >= cosine - 1e-5  # single precision: well above its error
+                compared[part] = may.sum(axis=1)
+                if may.mean() > 0.2:
+                    a, b = np.nonzero(may & (x[part] @ y.T >= cosine))
+                else:
+                    a, b = np.nonzero(may)
+                    close = np.einsum("ij,ij->i", x[at + a], y[b]) >= cosine
+                    a, b = a[close], b[close]
+                other = hid[at + a] != mid[b]
+                a, b = a[other], b[other]
+                links[part] = np.bincount(a, weights=n[b], minlength=len(links[part])).astype(np.int64)
                 a, b = hat[at + a], mat[b]
                 while len(a):  # hook the larger root to the smaller until nothing changes
                     ra, rb = root[a], root[b]
@@ -122,59 +162,48 @@ def _join(cosine: float):
                     np.minimum.at(root, rb, low)
                     while (root != root[root]).any():
                         root = root[root]
-            yield pd.DataFrame({"vec_id": hid, "links": links, "other": hid})
+            yield pd.DataFrame({"vec_id": hid, "links": links, "other": hid, "pairs": np.int64(len(m)), "compared": compared})
             tied = np.flatnonzero(root != np.arange(len(ids)))
-            yield pd.DataFrame({"vec_id": ids[tied], "links": 0, "other": ids[root[tied]]})
+            yield pd.DataFrame({"vec_id": ids[tied], "links": 0, "other": ids[root[tied]], "pairs": 0, "compared": 0})
 
     return run
 
 
-def embedding_links(vectors: DataFrame, cosine: float = 0.93, cell_rows: int = 800, block_rows: int = 8192, most_pivots: int = 32, levels: int = 4, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def embedding_links(vectors: DataFrame, cosine: float = 0.93, block_rows: int = 4096, most_pivots: int = 32, sample_rows: int = 1024, directions: int = 24, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", figures: dict | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row; only vectors of one label and dimension are compared.
 
     n_links: other rows at cosine >= `cosine` (doubles); component_id: the smallest vec_id reached by links; kept:
     it is the row's own. Null labels, null or zero vectors and vectors with null or non-finite components have no
     link. Rows with equal ids are one node; a row with a null id has no link and is kept. Empty table: no row.
+    Pivots come from about sample_rows points of each space, chosen by hash. Cells beyond block_rows are joined block
+    by block. `figures`, if given, receives the numbers of points, their places in cells, pairs and full products.
     """
     eps = math.sqrt(2 - 2 * cosine)
     src = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
     rows = stage(src.mapInArrow(_unit, "vec_id long, label string, u binary").withColumns({"h1": F.xxhash64("u", "label"), "h2": F.xxhash64(F.lit(7), "label", "u")}), "emb-rows")
     valid = rows.filter("u is not null and vec_id is not null")
-    cell = F.concat_ws(":", F.octet_length("u"), "label")
-    points = stage(valid.groupBy("h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"), F.first("u").alias("u"), F.first(cell).alias("cell")), "emb-points")
-
-    held = stage(points.select("vec_id", "n", "cell", F.lit(True).alias("home"), "u"), "emb-cells")
-    ready = []
-    for level in range(levels):
-        large = stage(held.groupBy("cell").agg(F.count("*").alias("rows")).filter(F.col("rows") > cell_rows), "emb-large")
-        count = large.count()
-        if not count:
-            drop_staged(large)
-            break
-        share = F.lit(8.0 * most_pivots) / F.col("rows")
-        draw = F.pmod(F.xxhash64("vec_id", F.lit(level)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        chosen = held.join(sized(large, 64, count), "cell").filter(draw < share).select("cell", "rows", "vec_id", "u").groupBy("cell").applyInPandas(_choose(eps, cell_rows, most_pivots, level == 0), "cell string, pivots binary")
-        chosen = stage(chosen.filter(F.octet_length("pivots") > 0), "emb-pivots")
-        splits = chosen.count()
-        if not splits:
-            drop_staged(large, chosen)
-            break
-        pivots = sized(chosen, most_pivots * 8192, splits)
-        ready.append(held.join(pivots.select("cell"), "cell", "left_anti"))
-        held = stage(held.join(pivots, "cell").mapInPandas(_deal(eps), _POINT), "emb-cells")
-        drop_staged(large)
-    ready.append(held)
-    cells = ready[0]
-    for x in ready[1:]:
-        cells = cells.unionByName(x)
-
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("rows"), F.max("home").alias("any")).filter("any and rows > 1")
-    blocks = stage(sizes.select("cell", F.ceil(F.col("rows") / block_rows).cast("int").alias("blocks")), "emb-blocks")
-    dealt = cells.join(sized(blocks, 64), "cell").withColumns({"block": F.pmod(F.xxhash64("vec_id", F.lit(11)), F.col("blocks")).cast("int"), "k": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
-    asks = dealt.filter("home").select("cell", F.col("block").alias("i"), F.col("k").alias("j"), F.lit(True).alias("asks"), "vec_id", "n", "u")
-    told = dealt.select("cell", F.col("k").alias("i"), F.col("block").alias("j"), F.lit(False).alias("asks"), "vec_id", "n", "u")
-    grid = asks.unionByName(told).repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j")
-    found = stage(grid.mapInPandas(_join(cosine), "vec_id long, links long, other long"), "emb-found")
+    dim = F.octet_length(F.first("u")).cast("int")
+    points = stage(valid.groupBy("h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"), F.first("u").alias("u"), F.first("label").alias("label"), dim.alias("dim")), "emb-points")
+
+    space = ["label", "dim"]
+    spaces = stage(points.groupBy(*space).agg(F.count("*").alias("rows")), "emb-spaces")
+    draw = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    drawn = points.join(sized(spaces, 128), space).filter(draw < F.lit(float(sample_rows)) / F.col("rows")).select(*space, "vec_id", "u")
+    pivots = stage(drawn.groupBy(*space).applyInPandas(_choose(eps, most_pivots), "label string, dim int, pivots binary, radii binary"), "emb-pivots")
+    cells = stage(points.join(sized(pivots, most_pivots * 8192), space, "left").mapInPandas(_deal(eps), _POINT), "emb-cells")
+
+    cell = ["label", "dim", "ball"]
+    sizes = cells.groupBy(*cell).agg(F.count("*").alias("rows"), F.max("home").alias("any")).filter("any and rows > 1")
+    blocks = stage(sizes.select(*cell, F.ceil(F.col("rows") / block_rows).cast("int").alias("blocks")), "emb-blocks")
+    dealt = cells.join(sized(blocks, 128), cell).withColumns({"block": F.pmod(F.xxhash64("vec_id", F.lit(11)), F.col("blocks")).cast("int"), "k": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
+    asks = dealt.filter("home").select(*cell, F.col("block").alias("i"), F.col("k").alias("j"), F.lit(True).alias("asks"), "vec_id", "n", "u")
+    told = dealt.select(*cell, F.col("k").alias("i"), F.col("block").alias("j"), F.lit(False).alias("asks"), "vec_id", "n", "u")
+    grid = asks.unionByName(told).repartition(*cell, "i", "j").sortWithinPartitions(*cell, "i", "j")
+    found = stage(grid.mapInPandas(_join(cosine, directions), "vec_id long, links long, other long, pairs long, compared long"), "emb-found")
+    if figures is not None:
+        r = found.agg(F.sum("pairs").alias("pairs"), F.sum("compared").alias("compared")).first()
+        figures |= {"points": points.count(), "places": cells.count(), "pairs": r.pairs or 0, "compared": r.compared or 0, "pairs_of_labels": spaces.agg(F.sum(F.col("rows") * F.col("rows"))).first()[0] or 0}
+    drop_staged(spaces, pivots, cells, blocks)
     links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     component = stage(connected_components(found.select(F.col("vec_id").alias("a"), F.col("other").alias("b"))), "emb-component").withColumnRenamed("node", "vec_id")
 

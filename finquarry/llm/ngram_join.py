@@ -9,7 +9,7 @@
 3. Candidates' components are the cells. Inside a cell, T-occurrence search finds the links: each set looks for
    earlier sets that hold at least T of its n-grams, merging the short inverted lists with a heap and probing the
    long ones by binary search. Sets already connected need no further link. Cells beyond a bound are cut into
-   blocks, and every two blocks of a cell meet in a task of their own.
+   blocks, and every two blocks of a cell meet apart from the others.
 """
 
 from __future__ import annotations
@@ -250,7 +250,7 @@ def _search(n: int, t: Threshold):
     return run
 
 
-def ngram_join(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10, block_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_join(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10, block_rows: int = 500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document row.
 
     Two documents are linked when their sets' intersection is at least num/den of their union; component_id is the
@@ -280,7 +280,9 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10, block_r
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     there = docs.join(sized(members, 48), "doc_id").withColumn("block", block).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     grid = there.select("doc_id", "text", "cell", "block", F.least("block", "k").alias("i"), F.greatest("block", "k").alias("j"))
-    found = grid.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "doc_id").mapInPandas(_search(n, t), "a long, b long")
+    # A set number of partitions: cells cost by their pairs, not by their bytes, so small ones must not be put together.
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * docs.sparkSession.sparkContext.defaultParallelism)
+    found = grid.repartition(tasks, "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "doc_id").mapInPandas(_search(n, t), "a long, b long")
     links = stage(found.union(copies.select("doc_id", "rep")), "join-links")
     component = stage(connected_components(links), "join-component").withColumnRenamed("node", "doc_id")
     drop_staged(copies, met, cells, members, links)

@@ -1,6 +1,6 @@
 import numpy as np
 
-from finquarry.llm.embedding_dedup import embedding_links, reaches
+from finquarry.llm.embedding_dedup import ball_pivots, bounded, embedding_links, orthogonal_pivots, places
 
 
 def brute(rows, cosine):
@@ -24,20 +24,46 @@ def test_links_equal_brute_force(spark):
     rows += [(3001, None, 1), (3002, [0.0] * 8, 1), (3003, [float("nan")] + [1.0] * 7, 1), (3004, [float("inf")] + [1.0] * 7, 1), (3005, rows[0][1], None), (3006, [1.0, None], 1), (3007, [1.0, 0.0], 1), (3008, [2.0, 0.0], 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
     want = brute(rows, 0.93)
-    for options in ({"cell_rows": 40, "block_rows": 30}, {"cell_rows": 20, "block_rows": 1000, "levels": 3}, {}):
+    for options in ({"block_rows": 30}, {"sample_rows": 60, "directions": 3}, {}):
         got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_links(df, **options).collect()}
         assert got == want, options
     assert all(r.kept == (r.vec_id == r.component_id) for r in embedding_links(df).collect())
 
 
+def clustered(rnd, n, dim, clusters, share):
+    centres = rnd.normal(size=(clusters, dim))
+    x = np.where((rnd.random(n) < share)[:, None], centres[rnd.integers(clusters, size=n)] + rnd.normal(size=(n, dim)) * 0.08, rnd.normal(size=(n, dim)))
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
 def test_boundary_replication_covers_neighbours():
-    rnd = np.random.default_rng(3)
-    x = rnd.normal(size=(500, 4))
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    own, need = reaches(x, x[:9], 0.374)
-    near = x @ x.T >= 1 - 0.374**2 / 2
-    for i in range(500):
-        assert need[near[i], own[i]].all()
+    rnd, eps = np.random.default_rng(3), 0.374
+    for dim in (3, 8, 64):
+        x = clustered(rnd, 600, dim, 5, 0.5)
+        p, r = ball_pivots(x[:300], eps, 32)
+        own, need = places(x, p, r, eps)
+        near = x @ x.T >= 1 - eps**2 / 2
+        for i in range(600):
+            assert need[i, own[i]] and need[near[i], own[i]].all()
+        q = orthogonal_pivots(x, 24)
+        assert (bounded(x, q) @ bounded(x, q).T >= x @ x.T - 1e-5).all()
+
+
+def test_pivots_part_clusters_and_spare_products(spark):
+    rnd, figures = np.random.default_rng(5), {}
+    x = clustered(rnd, 2500, 64, 6, 0.4)
+    df = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_links(df, figures=figures).collect()}
+    near = (x @ x.T >= 0.93) & (np.arange(2500)[:, None] % 2 == np.arange(2500) % 2)
+    assert got == {i: int(near[i].sum()) - 1 for i in range(2500)}
+    assert figures["places"] < 1.1 * figures["points"] and figures["pairs"] < 0.6 * figures["pairs_of_labels"] and figures["compared"] < 0.1 * figures["pairs_of_labels"], figures
+
+
+def test_labels_of_any_text(spark):
+    rnd = np.random.default_rng(6)
+    rows = [(i, v.tolist(), str(rnd.choice(["a", "a/0", "a/1", "512:a", ""]))) for i, v in enumerate(clustered(rnd, 500, 6, 9, 0.7))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string"), block_rows=50).collect()}
+    assert got == brute(rows, 0.93)
 
 
 def test_odd_tables(spark):
