@@ -1,14 +1,14 @@
-"""Best-fit packing of tokenised documents, improved by swap-based local search.
+"""Best-fit packing of tokenised documents by swap-based local search.
 
-Documents become pieces of at most 2048 tokens. Pieces are dealt by hash to groups of bounded size. A group is
-packed best-fit decreasing; then the emptiest bins give items to fuller ones, by moving one, exchanging one for
-one or two for one, each time increasing the sum of squared fills, until bins are empty. A group's emptiest bins
-(at most `open_bins`) go up a tree and are packed again with those of other groups.
+Documents become pieces of at most 2048 tokens. Pieces are dealt by hash to groups of bounded size. A group starts with
+each piece in a bin of its own. Then bins give to others: a piece moves, or is exchanged one for one, or two for one, or
+one for two. The receiver ends fuller than the donor was, so the sum of squared fills grows, until bins are empty; of all
+steps of a donor the one that leaves a receiver fullest is taken, so a receiver is a best fit. Passes over all underfull
+bins end when none gains. A group's emptiest bins go up a tree and are searched again with those of other groups.
 """
 
 from __future__ import annotations
 
-import json
 import os
 import zlib
 from array import array
@@ -26,37 +26,17 @@ PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, open boolean, grp long"
 
 
-def byte_ranks(path: str) -> dict[bytes, int]:
-    """Ranks (= ids) of a byte-level BPE file's tokens. Its strings write each byte as one printable character."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte_of = {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in plain)}
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    special = {t["content"] for t in spec.get("added_tokens", [])}
-    return {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
-
-
 class ChunkIds(dict):
-    """Token ids, as little-endian bytes, of chunks that begin with a space; forgets all beyond `most` chunks.
-
-    Whole texts and chunks of rare scripts go to `tokenizers`; other new chunks to `tiktoken` with the same file's
-    ranks, which is faster on single words and gives the same ids.
-    """
+    """Token ids by `tokenizers`, as little-endian bytes, of chunks that begin with a space; forgets all beyond `most`
+    chunks."""
 
     def __init__(self, path: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        import tiktoken
         from tokenizers import Tokenizer
 
         super().__init__()
         self.model, self.most = Tokenizer.from_file(path), most
         self.model.encode_special_tokens = True
-        self.fast = tiktoken.Encoding("chunks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_ranks(path), special_tokens={}).encode_ordinary
-
-    def __missing__(self, chunk: str) -> bytes:
-        self[chunk] = ids = array("I", self.fast(f" {chunk}")).tobytes() if max(chunk, default="") < "\u0250" else self.ids([f" {chunk}"])[0]
-        return ids
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -67,14 +47,17 @@ class ChunkIds(dict):
         the first run stays whole."""
         if len(self) > self.most:
             self.clear()
-        out, get = [], self.__getitem__
+        cut, whole = [], []
         for t in texts:
             at = t.find("  ")
             at = t.rfind(" ", 0, at) if at > 0 else len(t) if at < 0 else 0
             head, *rest = t[: max(at, 0)].split(" ")
-            tail = t[max(at, 0) :]
-            out.append(b"".join([*(self.ids([head]) if head else ()), *map(get, rest), *(self.ids([tail]) if tail else ())]))
-        return out
+            whole += [head, t[max(at, 0) :]]
+            cut.append(rest)
+        new = list(dict.fromkeys(c for rest in cut for c in rest if c not in self))
+        self.update(zip(new, self.ids([f" {c}" for c in new]), strict=True))
+        ends = iter(self.ids(whole))
+        return [b"".join([next(ends), *map(self.__getitem__, rest), next(ends)]) for rest in cut]
 
 
 _LOADED: dict[str, ChunkIds] = {}
@@ -108,92 +91,111 @@ def piece_documents(docs: DataFrame, tokenizer: str, most: int = 2048, id_col: s
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECE)
 
 
-def best_fit(sizes: np.ndarray, room: int) -> np.ndarray:
-    """Bin of each item, best-fit decreasing. Bins are kept by their free space, so a fit is a short scan."""
-    bins_by_free: list[list[int]] = [[] for _ in range(room + 1)]
-    filled = np.zeros(room + 2, dtype=bool)  # free spaces that some bin has
-    out, n = np.empty(len(sizes), dtype=np.int64), 0
-    for i in np.argsort(-sizes, kind="stable"):
-        s = int(sizes[i])
-        k = int(np.argmax(filled[s:]))
-        free = s + k
-        if filled[free] and free <= room:
-            b = bins_by_free[free].pop()
-            filled[free] = bool(bins_by_free[free])
-        else:
-            b, free, n = n, room, n + 1
-        out[i] = b
-        bins_by_free[free - s].append(b)
-        filled[free - s] = free > s  # full bins are never looked for
-    return out
-
-
-def local_search(sizes: np.ndarray, bins: np.ndarray, room: int, donors: int = 48, receivers: int = 400, rounds: int = 400) -> np.ndarray:
-    """Empty the least filled bins by moves and exchanges with fuller, not yet full bins.
+def local_search(sizes: np.ndarray, bins: np.ndarray, room: int) -> np.ndarray:
+    """Empty bins by moves and exchanges, all bins that are not full taking part. Bins are numbered anew.
 
-    Every step takes d > 0 tokens out of a donor into a bin that is at least as full, so the sum of squared fills
-    grows by 2d(to - from) + 2d*d and the search ends. Only the `donors` emptiest bins give, to the `receivers`
-    emptiest bins above them; each donor makes at most `rounds` steps.
+    Donors come fullest first. A step gives d > 0 tokens to a bin that so gets fuller than the donor was, so the sum of
+    squared fills grows by 2d(to + d - from) and the search ends. A donor goes on until it is empty or no step is left;
+    a pass over all donors that gains nothing, or as few bins as the tokens need, ends the search.
     """
     bins = bins.copy()
     fill = np.bincount(bins, weights=sizes).astype(np.int64)
-    order = np.argsort(fill, kind="stable")
-    order = order[fill[order] < room]
-    for donor in order[:donors]:
-        near = order[(fill[order] >= fill[donor]) & (fill[order] < room) & (order != donor)][:receivers]
-        if not len(near) or not fill[donor]:
-            continue
-        is_near = np.zeros(len(fill), dtype=bool)
-        is_near[near] = True
-        items = np.flatnonzero(is_near[bins])
-        for _ in range(rounds):
-            own = np.flatnonzero(bins == donor)
-            free = np.where(fill >= fill[donor], room - fill, -1)
-            step = _move(sizes, fill, own, near, free) or _swap(sizes, bins, own, items, free) or _two_for_one(sizes, bins, own, items, free)
-            if not step:
-                break
-            give, take, to = step
-            d = int(sizes[list(give)].sum() - sizes[list(take)].sum())
-            bins[list(give)], bins[list(take)] = to, donor
-            fill[to] += d
-            fill[donor] -= d
-            items = np.flatnonzero(is_near[bins])
+    least = -(-int(sizes.sum()) // room)
+    held: list[list[int]] = [[] for _ in fill]
+    for i, b in enumerate(bins.tolist()):
+        held[b].append(i)
+    free_of = room - fill
+    used, gained = int((fill > 0).sum()), True
+    # Every item of an underfull bin can be exchanged for one of at most its own size plus the bin's free space.
+    items = np.flatnonzero(free_of[bins] > 0)
+    pairs = _pairs(bins, items)
+    while gained and used > least:
+        gained = False
+        order = np.flatnonzero((fill > 0) & (fill < room))
+        for donor in order[np.argsort(-fill[order], kind="stable")].tolist():
+            steps = 0
+            while 0 < fill[donor] < room and used > least:
+                step = _step(sizes, held[donor], bins, items, pairs, free_of, donor)
+                if step is None:
+                    break
+                give, take, to = step
+                for i in give:
+                    held[donor].remove(i)
+                    held[to].append(i)
+                    bins[i] = to
+                for j in take:
+                    held[to].remove(j)
+                    held[donor].append(j)
+                    bins[j] = donor
+                d = int(sizes[list(give)].sum() - sizes[list(take)].sum())
+                fill[to] += d
+                fill[donor] -= d
+                free_of[to], free_of[donor], steps = room - fill[to], room - fill[donor], steps + 1
             if not fill[donor]:
+                free_of[donor], used = 0, used - 1
+            gained |= steps > 0
+            if steps:
+                items = items[free_of[bins[items]] > 0]
+            if used <= least:
                 break
+        items = np.flatnonzero(free_of[bins] > 0)
+        pairs = _pairs(bins, items)
     return np.unique(bins, return_inverse=True)[1]
 
 
-def _move(sizes, fill, own, near, free):
-    for i in own[np.argsort(-sizes[own], kind="stable")]:
-        fits = near[free[near] >= sizes[i]]
-        if len(fits):
-            return (i,), (), int(fits[np.argmax(fill[fits])])
-    return None
-
-
-def _swap(sizes, bins, own, items, free):
-    """The exchange of one for one that moves most tokens."""
-    best = (0, None)
+def _pairs(bins: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of items that share a bin."""
+    order = items[np.argsort(bins[items], kind="stable")]
+    a, b, step = [], [], 1
+    while len(order) > step and (same := bins[order[step:]] == bins[order[:-step]]).any():
+        a.append(order[:-step][same])
+        b.append(order[step:][same])
+        step += 1
+    return (np.concatenate(a), np.concatenate(b)) if a else (items[:0], items[:0])
+
+
+def _step(sizes, own, bins, items, pairs, free_of, donor):
+    """The step out of the donor that leaves a bin fullest, of these the one that gives most tokens: (given items, taken
+    items, bin), or None. A piece moves, is exchanged for one or two of another bin, or two are for one."""
+    none = int(free_of[donor])  # the receiver must end fuller than the donor was
+    best = (none, 0, None)
+
+    def better(left: np.ndarray, size: int, low) -> int | None:
+        nonlocal best
+        k = int(np.argmin(left))
+        key = (int(left[k]), -(size - int(low[k]) if low is not None else size))
+        if left[k] < best[0] or (left[k] == best[0] < none and key < best[:2]):
+            best = (*key, None)
+            return k
+        return None
+
+    own = sorted(own, key=lambda i: -sizes[i])
+    ok = free_of > 0
+    ok[donor] = False
+    to_bins, part = np.flatnonzero(ok), items[ok[bins[items]]]
+    if not len(to_bins):
+        return None
+    pa, pb = pairs
+    both = (bins[pa] == bins[pb]) & ok[bins[pa]]
+    pa, pb = pa[both], pb[both]
+    low, low2 = sizes[part], sizes[pa] + sizes[pb]
+    high, high2, space = low + free_of[bins[part]], low2 + free_of[bins[pa]], free_of[to_bins]
     for i in own:
-        d = sizes[i] - sizes[items]
-        d = np.where((d > 0) & (d <= free[bins[items]]), d, 0)
-        if len(d) and d.max() > best[0]:
-            j = items[int(np.argmax(d))]
-            best = (int(d.max()), ((i,), (j,), int(bins[j])))
-    return best[1]
-
-
-def _two_for_one(sizes, bins, own, items, free):
-    """Two of the donor's items for one: the pair's sum exceeds it by what the other bin has room for."""
-    best = (0, None)
+        size = int(sizes[i])
+        if (k := better(np.where(space >= size, space - size, none), size, None)) is not None:
+            best = (*best[:2], ((i,), (), int(to_bins[k])))
+        if (k := better(np.where((low < size) & (size <= high), high - size, none), size, low)) is not None:
+            best = (*best[:2], ((i,), (int(part[k]),), int(bins[part[k]])))
+        if len(pa) and (k := better(np.where((low2 < size) & (size <= high2), high2 - size, none), size, low2)) is not None:
+            best = (*best[:2], ((i,), (int(pa[k]), int(pb[k])), int(bins[pa[k]])))
     for x in range(len(own)):
-        for y in range(x + 1, min(len(own), x + 64)):
-            d = sizes[own[x]] + sizes[own[y]] - sizes[items]
-            d = np.where((d > 0) & (d <= free[bins[items]]), d, 0)
-            if len(d) and d.max() > best[0]:
-                j = items[int(np.argmax(d))]
-                best = (int(d.max()), ((own[x], own[y]), (j,), int(bins[j])))
-    return best[1]
+        for y in range(x + 1, len(own)):
+            size = int(sizes[own[x]] + sizes[own[y]])
+            if best[0] == 0 and -best[1] >= size:
+                break
+            if (k := better(np.where((low < size) & (size <= high), high - size, none), size, low)) is not None:
+                best = (*best[:2], ((own[x], own[y]), (int(part[k]),), int(bins[part[k]])))
+    return best[2]
 
 
 def _packer(room: int, level: int, open_bins: int):
@@ -201,9 +203,10 @@ def _packer(room: int, level: int, open_bins: int):
 
 
 def _pack(pdf: pd.DataFrame, room: int, level: int, open_bins: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
+    order = [np.bitwise_xor(pdf["ids_crc32"], pdf["start"] * 40503 + pdf["doc_id"].fillna(0).astype("int64") * 2654435761 % (1 << 32)), pdf["doc_id"], pdf["piece"]]
+    pdf = pdf.assign(o0=order[0]).sort_values(["o0", "doc_id", "piece", "length", "ids_crc32"], kind="stable").drop(columns="o0").reset_index(drop=True)
     sizes = pdf["length"].to_numpy().astype(np.int64)
-    bins = local_search(sizes, best_fit(sizes, room), room)
+    bins = local_search(sizes, np.arange(len(sizes)), room)
     fill = np.bincount(bins, weights=sizes)
     least = np.argsort(fill, kind="stable")[:open_bins]
     is_open = np.zeros(len(fill), dtype=bool)
@@ -218,7 +221,8 @@ def pack_pieces(pieces: DataFrame, room: int = 2048, group_rows: int = 16_000, f
     """Give each piece a sequence and an offset: (…, sequence_id, offset). Pieces hold 1..room tokens.
 
     Equal pieces are packed like any others. No piece: no row. A task holds about group_rows pieces, or the
-    pieces of fan_in * open_bins bins.
+    pieces of fan_in * open_bins bins. open_bins bounds what goes up the tree, the emptiest bins of a group; the others
+    are final as the search left them.
     """
     groups = max(1, -(-pieces.count() // group_rows))
     dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))

@@ -1,13 +1,16 @@
+import os
 import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from finquarry.llm.mixing import mix_query, mixed_documents, pivotal, water_fill
-from finquarry.llm.packing import ChunkIds, best_fit, local_search, pack_documents
+from finquarry.llm.packing import ChunkIds, local_search, pack_documents, pack_pieces, piece_documents
 
+SF = "/root/testdata/sf0.01"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -55,13 +58,52 @@ def test_chunked_ids_equal_the_tokenizer():
     assert got == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
-def test_search_never_needs_more_bins():
-    rnd = np.random.default_rng(1)
-    for _ in range(10):
-        sizes = rnd.integers(1, 700, 300)
-        first = best_fit(sizes, 2048)
-        then = local_search(sizes, first, 2048)
-        assert np.bincount(then, weights=sizes).max() <= 2048 and then.max() <= first.max() and then.max() + 1 <= -(-sizes.sum() // 2048) + 1
+def decreasing_fit(sizes, room):
+    """Best-fit decreasing, plainly: what the search is measured against."""
+    free = []
+    for s in sorted(sizes.tolist(), reverse=True):
+        k = min((k for k, f in enumerate(free) if f >= s), key=lambda k: free[k], default=None)
+        if k is None:
+            free.append(room - s)
+        else:
+            free[k] -= s
+    return len(free)
+
+
+def test_search_empties_bins_of_a_plain_start():
+    rnd, room = np.random.default_rng(1), 2048
+    for low, high, n in ((1, 700, 300), (1, 2048, 1500), (690, 1000, 400), (300, 1100, 600), (683, 700, 90)):
+        sizes = rnd.integers(low, high, n)
+        then = local_search(sizes, np.arange(n), room)
+        fill = np.bincount(then, weights=sizes)
+        assert sorted(np.unique(then)) == list(range(len(fill))) and fill.max() <= room and fill.sum() == sizes.sum()
+        assert len(fill) <= decreasing_fit(sizes, room), (low, high, n, len(fill), decreasing_fit(sizes, room))
+        if high == 700 and low == 1:
+            assert len(fill) == -(-sizes.sum() // room)
+
+
+def test_exchanges_empty_bins_that_moves_cannot():
+    for sizes, bins in (([60, 30, 70, 35], [0, 0, 1, 2]), ([50, 45, 40, 10, 52], [0, 0, 1, 1, 2])):
+        sizes = np.array(sizes)
+        then = local_search(sizes, np.array(bins), 100)
+        before, after = (np.bincount(b, weights=sizes, minlength=3) for b in (bins, then))
+        assert (after**2).sum() > (before**2).sum() and after.max() <= 100 and after.sum() == before.sum()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+def test_real_documents_need_no_more_bins_than_their_tokens(spark):
+    pieces = piece_documents(spark.read.parquet(f"{SF}/documents.parquet"), PATH).toPandas()
+    sizes = pieces["length"].to_numpy()
+    then = local_search(sizes, np.arange(len(sizes)), 2048)
+    assert then.max() + 1 == -(-sizes.sum() // 2048) == 481 < len(sizes) == 1153  # bins after and before
+
+
+def test_groups_and_tree(spark):
+    rnd = np.random.default_rng(4)
+    rows = [(i, 0, 0, int(n), i) for i, n in enumerate(rnd.integers(1, 2049, 3000))] + [(None, 0, 0, 5, 1)] * 3
+    got = pack_pieces(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long"), group_rows=200, fan_in=4).toPandas()
+    assert len(got) == len(rows) and got.groupby("sequence_id")["length"].sum().max() <= 2048
+    assert got["sequence_id"].nunique() <= decreasing_fit(np.array([r[3] for r in rows]), 2048) * 1.03
 
 
 def test_packing_round_trip(spark):
