@@ -177,10 +177,17 @@ def verified(pieces: DataFrame) -> DataFrame:
         reached, jump = new, longer
     entry = c.join(reached.withColumn("entry", F.lit(True)), ["file", "offset"], "left").withColumn("entry", F.coalesce("entry", F.lit(False)))
     on = stage(entry.repartition("file", "block").sortWithinPartitions("file", "block", "offset").mapInPandas(_walk, "file string, offset long"), "warc-on")
-    drop_staged(base, reached, jump)
+    drop_staged(reached, jump)
     marked = placed.join(on.withColumn("record", F.lit(True)), ["file", "offset"], "left").withColumn("record", F.coalesce("record", F.lit(False)))
-    owner = F.last(F.when(F.col("record"), F.col("offset")), ignorenulls=True).over(Window.partitionBy("file").orderBy("offset"))
-    return stage(marked.withColumn("owner", owner), "warc-owned")
+    # A piece belongs to the last record before it: of its own split, else of the last split before that has one.
+    inside = F.last(F.when(F.col("record"), F.col("offset")), ignorenulls=True).over(Window.partitionBy("file", "block").orderBy("offset"))
+    last = on.join(placed.select("file", "block", "offset"), ["file", "offset"]).groupBy("file", "block").agg(F.max("offset").alias("last"))
+    carried = F.last("last", ignorenulls=True).over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = base.select("file", "block").join(last, ["file", "block"], "left").select("file", "block", carried.alias("ahead"))  # a row a split
+    owned = marked.withColumn("inside", inside).join(sized(ahead, 256), ["file", "block"]).withColumn("owner", F.coalesce("inside", "ahead"))
+    owned = stage(owned.drop("inside", "ahead"), "warc-owned")
+    drop_staged(base, placed, on)
+    return owned
 
 
 def _assemble(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -193,7 +200,8 @@ def _assemble(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of all archives under path: (file, offset, record_type, page_id, url, refers_to, payload_bytes,
-    payload_digest, stated_digest). payload_digest is of the payload as read; a revisit has its stated one.
+    payload_digest, stated_digest, intact). payload_digest is of the payload as read; a revisit has its stated one.
+    intact: the payload has the digest that its record states; null where there is no payload to compare.
 
     Bytes before a file's first record, and files that do not begin with one, hold no record. A last record that
     its file cuts off has null bytes and digest.
@@ -201,15 +209,17 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     pieces = stage(_raw(spark, path).mapInArrow(_pieces, _PIECE), "warc-pieces")
     owned = verified(pieces)
     fields = ["file", "offset", *[f.split()[0] for f in _FIELDS.split(", ")]]
-    whole = (F.col("payload_bytes").isNotNull())
+    whole = F.col("payload_bytes").isNotNull()
+    intact = F.when(F.col("record_type") != "revisit", F.col("payload_digest") == F.col("stated_digest")).alias("intact")
     direct = owned.filter("record").filter(whole).select(*fields)
     broken = owned.filter("record").filter(~whole).select("file", F.col("offset").alias("owner"))
     parts = stage(owned.join(broken, ["file", "owner"], "left_semi").select("file", "block", "seq", "offset", "owner"), "warc-parts")
     if parts.isEmpty():
-        return direct
+        drop_staged(pieces)
+        return direct.select(*fields, intact)
     again = _raw(spark, path).mapInArrow(_numbered, "file string, block long, seq long, value binary").join(sized(parts, 256), ["file", "block", "seq"])
     joined = again.groupBy("file", "owner").applyInPandas(_assemble, f"file string, offset long, span long, {_FIELDS}")
-    return direct.unionByName(joined.select(*fields))
+    return direct.unionByName(joined.select(*fields)).select(*fields, intact)
 
 
 def warc_query(pages: DataFrame) -> DataFrame:

@@ -14,11 +14,41 @@ SF = "/root/testdata/sf0.01"
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
-def test_water_fill_caps_and_reshares():
-    got = water_fill([("b", 10), (None, 5), ("a", 100)], (5, 2, 1), 3.0)
-    assert [s for s, *_ in got] == ["a", "b", None]
-    assert abs(sum(t for *_, t in got) - 115) < 1e-9 and all(t <= 3 * n + 1e-9 for _, n, t in got)
-    assert water_fill([("a", 0)], (1,), 3.0) == [("a", 0, 0.0)] and water_fill([], (1,), 3.0) == []
+def plain_water_fill(sizes, weights, cap):
+    order = sorted((x for x in sizes if x[0] is not None), key=lambda x: x[0]) + [x for x in sizes if x[0] is None]
+    weight = [weights[i % len(weights)] for i in range(len(order))]
+    left, free, target = float(sum(n for _, n in order)), set(range(len(order))), [0.0] * len(order)
+    while free and left > 0:
+        each = left / sum(weight[i] for i in free)
+        full = [i for i in free if each * weight[i] >= cap * order[i][1]]
+        for i in full or free:
+            target[i] = cap * order[i][1] if full else each * weight[i]
+        if not full:
+            break
+        free -= set(full)
+        left -= sum(target[i] for i in full)
+    return {s: t for (s, _), t in zip(order, target, strict=True)}
+
+
+def test_water_fill_equals_the_plain_version(spark):
+    rnd = random.Random(3)
+    cases = [[("b", 10), (None, 5), ("a", 100)], [("a", 0)], [], [(f"s{i}é"[: rnd.randint(1, 4)] + str(i), rnd.choice([0, 1, 7, 50, 9000])) for i in range(200)]]
+    for sizes in cases:
+        got = {r.source: r.target for r in water_fill(spark.createDataFrame(sizes, "source string, source_size long").repartition(3), (5, 2, 1), 3.0).collect()}
+        want = plain_water_fill(sizes, (5, 2, 1), 3.0)
+        assert got.keys() == want.keys() and all(abs(got[s] - t) <= 1e-6 * max(1, t) for s, t in want.items())
+
+
+def test_repeated_rows_are_rounded_one_by_one(spark):
+    rows = [(7, "w " * 10, "a", "x")] * 1000 + [(100 + i, "v " * (1 + i), "a", "y") for i in range(48)] + [(300 + i, "u " * 40, "b", "z") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, unit string").repartition(5)
+    got = mix_query(df).collect()
+    assert len(got) == len(rows)
+    for n, t in {(r.source_size, r.target) for r in got}:
+        assert abs(sum(r.taken for r in got if r.source_size == n) - t) <= 48
+    mixture = mixed_documents(df).collect()
+    assert sum(len(r.text.split()) for r in mixture) == sum(r.taken for r in got) and mixture[0].asDict().keys() == {"doc_id", "text", "source", "unit"}
+    assert sum(r.doc_id == 7 for r in mixture) * 10 == sum(r.taken for r in got if r.doc_id == 7)
 
 
 def test_pivotal_keeps_words_and_expectation():

@@ -32,7 +32,18 @@ def test_magic_in_payloads_revisits_and_many_splits(spark):
         assert (r.payload_bytes, r.payload_digest, r.stated_digest) == (len(h.encode()), digest(h), digest(h)), i
         again = i is not None and first[h] != i
         assert r.record_type == ("revisit" if again else "response") and r.refers_to == (first[h] if again else None)
-    assert 999 not in got
+    assert 999 not in got and all(r.intact is (None if r.record_type == "revisit" else True) for r in got.values())
+
+
+def test_damaged_and_cut_archives(spark):
+    pages = spark.createDataFrame([(i, "u", f"page {i} text " * 20) for i in range(6)], "page_id long, url string, html string").coalesce(1)
+    path = new_path(spark, "warc-cut")
+    write_warc(pages, path)
+    whole = "".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+    cut = new_path(spark, "warc-cut")
+    spark.createDataFrame([(whole.replace("page 2", "Page 2", 1)[:-60],)], "value string").coalesce(1).write.option("lineSep", "\n").text(cut)
+    got = {r.page_id: r for r in read_warc(spark, cut).collect()}
+    assert len(got) == 6 and [got[i].intact for i in range(5)] == [True, True, False, True, True] and got[5].payload_bytes is None and got[5].intact is None
 
 
 def test_empty_table_repeated_rows_and_extra_columns(spark):
