@@ -22,13 +22,18 @@ from finquarry.llm.common import hashed_sample
 
 # How HTML groups its tags.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg iframe textarea select object".split())
+RAW = frozenset("script style".split())  # end with the page where nothing closes them
+HIDDEN = frozenset("noscript template svg iframe textarea select object".split())  # nothing where nothing closes them
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input label".split())
 CLOSED_BY = {"p": frozenset("p div ul ol dl table section article aside header footer nav main form blockquote pre h1 h2 h3 h4 h5 h6 hr figure address fieldset".split()), "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
 # Parts of class and id words that say what a container is for.
 HINTS = ("nav", "menu", "header", "head", "foot", "side", "comment", "reply", "ad", "banner", "sponsor", "promo", "cookie", "notice", "consent", "popup", "modal", "share", "social", "relat", "breadcrumb", "form", "newsletter", "subscri", "search", "login", "tag", "meta", "content", "article", "post", "entry", "story", "body", "main", "text", "page", "widget", "copy")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+_STOP = re.compile(r">|=\s*([\"'])")
+_EDGE = {t: re.compile(rf"<(/?){t}(?=[\s/>])", re.I) for t in RAW | HIDDEN}
+#: Elements nested deeper are not kept as ancestors; their text hangs on the last one kept.
+DEEPEST = 400
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 
@@ -49,12 +54,62 @@ def _hints(attrs: str) -> frozenset[str]:
     return frozenset(found)
 
 
+class _Scanner:
+    """Ends of tags and elements of one page. Each search that fails is not made again, so a page is read in linear time
+    however its quotes and tags are broken."""
+
+    def __init__(self, html: str):
+        self.html, self.missing = html, set()
+
+    def find(self, s: str, at: int) -> int:
+        if s in self.missing:
+            return -1
+        found = self.html.find(s, at)
+        if found < 0:
+            self.missing.add(s)
+        return found
+
+    def tag_end(self, at: int) -> int:
+        """Where the > of the tag that begins before `at` is; quoted values may hold one. Quotes that nothing closes are
+        signs like others. -1: no > ends it."""
+        if "quotes" in self.missing:
+            return self.find(">", at)
+        pos = at
+        while m := _STOP.search(self.html, pos):
+            if not m[1]:
+                return m.start()
+            close = self.find(m[1], m.end())
+            pos = m.end() if close < 0 else close + 1
+        self.missing.add("quotes")
+        return self.find(">", at)
+
+    def element_end(self, tag: str, at: int) -> int:
+        """Where the element that begins before `at` ends, nested ones of its name counted; -1: nothing closes it."""
+        if "/" + tag in self.missing:
+            return -1
+        depth, last = 1, -1
+        for m in _EDGE[tag].finditer(self.html, at):
+            depth += -1 if m[1] else tag in HIDDEN
+            if m[1]:
+                last = m.start()
+            if not depth:
+                break
+        if last < 0:
+            self.missing.add("/" + tag)
+            return -1
+        end = self.tag_end(last + 2)
+        return len(self.html) if end < 0 else end + 1
+
+
 def leaf_blocks(html: str) -> list[Block]:
-    """Leaf blocks in page order, references decoded and white space made one space. Unclosed and stray tags are borne."""
+    """Leaf blocks in page order, references decoded and white space made one space. Unclosed and stray tags are borne:
+    an open quote, comment or hidden element takes no more with it than its page must lose."""
     blocks: list[Block] = []
     stack: list[tuple[str, frozenset[str]]] = []
+    deeper: dict[str, int] = {}
     text: list[str] = []
     linked = at = 0
+    scan = _Scanner(html)
 
     def flush() -> None:
         nonlocal linked
@@ -74,42 +129,57 @@ def leaf_blocks(html: str) -> list[Block]:
 
     n = len(html)
     while at < n:
-        m = _TOKEN.search(html, at)
-        if not m:
+        start = html.find("<", at)
+        if start < 0:
             add(html[at:])
             break
-        add(html[at : m.start()])
-        at, name = m.end(), m[2]
-        if not name:
+        add(html[at:start])
+        if html.startswith("<!--", start):
+            end = scan.find("-->", start + 4)
+            at = n if end < 0 else end + 3
+            continue
+        m = _NAME.match(html, start)
+        end = scan.tag_end(m.end()) if m else scan.find(">", start) if html.startswith(("<!", "<?"), start) else -1
+        if end < 0:  # no tag: the sign itself
+            add("<")
+            at = start + 1
             continue
-        tag = name.lower()
-        if tag in RAW and not m[1]:
-            if not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-                at = end.end() if end else n
+        at = end + 1
+        if not m:
+            continue
+        tag, closes, attrs = m[1].lower(), html[start + 1] == "/", html[m.end() : end]
+        if tag in _EDGE:
+            if not closes and not attrs.endswith("/"):
+                end = scan.element_end(tag, at)
+                at = end if end >= 0 else n if tag in RAW else at
             continue
         if tag == "br":
             text.append(" ")
             continue
         if tag not in INLINE:
             flush()
-        if m[1]:
+        if closes:
+            if deeper.get(tag):
+                deeper[tag] -= 1
+                continue
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     del stack[i:]
+                    deeper.clear()
                     break
                 if tag in INLINE and stack[i][0] not in INLINE:
                     break
-        elif tag not in VOID and not m[3].endswith("/"):
+        elif tag not in VOID and not attrs.endswith("/"):
             for i in range(len(stack) - 1, -1, -1):
                 if tag in CLOSED_BY.get(stack[i][0], ()):
                     del stack[i:]
                     break
                 if stack[i][0] not in INLINE and stack[i][0] not in CLOSED_BY:
                     break
-            stack.append((tag, _hints(m[3]) if m[3] else frozenset()))
-            if len(stack) > 400:  # text of absurdly deep pages hangs on the 400th ancestor
-                stack.pop()
+            if len(stack) < DEEPEST:
+                stack.append((tag, _hints(attrs) if attrs else frozenset()))
+            else:
+                deeper[tag] = deeper.get(tag, 0) + 1
     flush()
     return blocks
 
@@ -258,13 +328,17 @@ def template_pages(count: int = 200, seed: int = 5) -> list[tuple[list[Block], l
     return out
 
 
-def fit_extractor(pages: DataFrame, most: int = 120, id_col: str = "page_id", html_col: str = "html") -> Crf:
-    """Trained on the grammar's pages and on at most `most` of the table's whose markup shows their article."""
-    marked = pages.filter(F.col(html_col).rlike("(?i)<(article|main)[\\s>]")).select(F.col(id_col).alias("i"), F.substring(html_col, 1, 200_000).alias("html"))
+def fit_extractor(pages: DataFrame, most: int = 120, longest: int = 200_000, most_blocks: int = 2000, id_col: str = "page_id", html_col: str = "html") -> Crf:
+    """Trained on the grammar's pages and on at most `most` of the table's whose markup shows their article.
+
+    Bounds of the training sample: whole pages of at most `longest` characters and `most_blocks` blocks, those with the
+    smallest hashes of their id. Longer pages are extracted like others, but not learnt from.
+    """
+    marked = pages.filter((F.char_length(html_col) <= longest) & F.col(html_col).rlike("(?i)<(article|main)[\\s>]")).select(F.col(id_col).alias("i"), F.col(html_col).alias("html"))
     own = []
     for r in hashed_sample(marked, "i", most).collect():
-        blocks = leaf_blocks(r.html)[:2000]
-        if labels := labels_by_markup(blocks):
+        blocks = leaf_blocks(r.html)
+        if len(blocks) <= most_blocks and (labels := labels_by_markup(blocks)):
             own.append((blocks, labels))
     return fit_crf(template_pages() + own)
 
@@ -273,7 +347,8 @@ def extract_text(pages: DataFrame, model: Crf, id_col: str = "page_id", url_col:
     """(page_id, url, text, n_chars) of every page: its content blocks joined by line ends.
 
     Null or empty html, and pages without content: empty text. Whole pages are read; repeated rows give repeated
-    results.
+    results. Elements nested deeper than 400 are no ancestors of their text. A script or style that nothing closes ends
+    with the page, as HTML says; other hidden elements that nothing closes hide nothing.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
