@@ -2,8 +2,8 @@
 
 The commonest words are symbols of their own; every other word is the symbol of its ending's class, times its smoothed
 share of that class, so the words' probabilities sum to one. Counts of all words come from all training documents.
-Baum-Welch sums expected counts in each task and adds them by symbol range; a bounded warm start breaks the symmetry,
-the rounds over all training documents set the parameters. Documents are scored whole.
+Baum-Welch sums expected counts over whole texts in each task and adds them by symbol range; rounds over all training
+documents go on until the likelihood settles. Documents are scored whole.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finquarry.llm.common import crc_mod, hashed_sample, stage, utf8, words
+from finquarry.llm.common import crc_mod, stage, utf8, words
 
 END = 0  # the symbol that ends a text
 CLASSES = 64
@@ -88,40 +88,64 @@ class Hmm:
         out[order] = total
         return out
 
-    def expect(self, texts: list[np.ndarray], cut: int = 128, group: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts (start, move, emit). For training, texts are cut into runs of `cut` symbols, all of which
-        count."""
+    def expect(self, texts: list[np.ndarray], most: int = 1 << 21, span: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Expected counts (start, move, emit) over whole texts, and the log10 likelihood.
+
+        Texts advance together, longest first, in groups of about `most` symbols. The forward messages of the last
+        `span` steps are kept; those of earlier spans are made again, from the message at their beginning, when the
+        backward pass gets there, so memory is bounded for texts of any length.
+        """
         k = len(self.start)
-        start, move, emit = np.zeros(k), np.zeros((k, k)), np.zeros_like(self.emit, dtype=np.float64)
-        runs = [t[i : i + cut] for t in texts for i in range(0, len(t), cut)]
-        runs.sort(key=len, reverse=True)
-        for at in range(0, len(runs), group):
-            part = runs[at : at + group]
-            length = np.array([len(r) for r in part])
-            sym = np.zeros((length[0], len(part)), dtype=np.int64)
-            for j, r in enumerate(part):
-                sym[: len(r), j] = r
-            active = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")
-            fwd = np.zeros((length[0], len(part), k))
-            scale = np.ones((length[0], len(part)))
-            for t, n in enumerate(active.tolist()):
-                a = (fwd[t - 1, :n] @ self.move if t else self.start) * self.emit[sym[t, :n]]
-                c = a.sum(axis=1)
-                fwd[t, :n], scale[t, :n] = a / c[:, None], c
+        start, move, emit, total = np.zeros(k), np.zeros((k, k)), np.zeros_like(self.emit, dtype=np.float64), 0.0
+        texts = sorted((t for t in texts if len(t)), key=len, reverse=True)
+        size = np.cumsum([len(t) for t in texts])
+        cuts = [0, *(np.flatnonzero(np.diff(size // most)) + 1).tolist(), len(texts)]
+        for low, high in zip(cuts, cuts[1:], strict=False):
+            part = texts[low:high]
+            if not part:
+                continue
+            length = np.array([len(t) for t in part])
+            flat, begin = np.concatenate(part).astype(np.int64), np.concatenate([[0], np.cumsum(length)[:-1]])
+            active = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right").tolist()
+
+            def forward(first: int, last: int, a: np.ndarray | None, flat=flat, begin=begin, active=active):
+                kept = []
+                for t in range(first, last):
+                    n = active[t]
+                    sym = flat[begin[:n] + t]
+                    a = (a[:n] @ self.move if t else np.tile(self.start, (n, 1))) * self.emit[sym]
+                    c = a.sum(axis=1)
+                    a /= c[:, None]
+                    kept.append((sym, a, c))
+                return kept, a
+
+            ends = list(range(0, int(length[0]), span))
+            message: list[np.ndarray | None] = [None]
+            for first in ends:
+                kept, a = forward(first, min(first + span, int(length[0])), message[-1])
+                message.append(a)
+                total += sum(float(np.log10(c).sum()) for _, _, c in kept)
             back = np.ones((len(part), k))
-            for t in range(length[0] - 1, 0, -1):  # turns fwd into state probabilities, from the end
-                n = active[t]
-                ahead = self.emit[sym[t, :n]] * back[:n] / scale[t, :n, None]
-                move += self.move * (fwd[t - 1, :n].T @ ahead)
-                fwd[t, :n] *= back[:n]
-                back[:n] = ahead @ self.move.T
-            fwd[0] *= back
-            start += fwd[0].sum(axis=0)
-            on = np.arange(len(part))[None, :] < active[:, None]
-            flat = sym[on]
-            for j in range(k):
-                emit[:, j] += np.bincount(flat, weights=fwd[:, :, j][on], minlength=len(emit))
-        return start, move, emit
+            for i in range(len(ends) - 1, -1, -1):
+                if i < len(ends) - 1:
+                    kept, _ = forward(ends[i], ends[i] + span, message[i])
+                syms, states = [], []
+                for j in range(len(kept) - 1, -1, -1):  # turns messages into state probabilities, from the end
+                    sym, a, c = kept[j]
+                    n = len(sym)
+                    syms.append(sym)
+                    states.append(a * back[:n])
+                    before = kept[j - 1][1] if j else message[i]
+                    if before is None:
+                        start += states[-1].sum(axis=0)
+                    else:
+                        ahead = self.emit[sym] * back[:n] / c[:, None]
+                        move += self.move * (before[:n].T @ ahead)
+                        back[:n] = ahead @ self.move.T
+                sym, state = np.concatenate(syms), np.concatenate(states)
+                for j in range(k):
+                    emit[:, j] += np.bincount(sym, weights=state[:, j], minlength=len(emit))
+        return start, move, emit, total
 
 
 def reestimate(start: np.ndarray, move: np.ndarray, emit: np.ndarray, share: np.ndarray, prior: float = 50.0) -> Hmm:
@@ -192,19 +216,17 @@ def _symbols(column) -> list[np.ndarray]:
     return [np.frombuffer(b, dtype=np.uint16) for b in column.to_pylist()]
 
 
-def baum_welch(encoded: DataFrame, share: np.ndarray, states: int = 8, rounds: int = 2, warm_texts: int = 1200, warm_rounds: int = 12, seed: int = 3, span: int = 4096) -> Hmm:
-    """Warm start on at most warm_texts texts, then `rounds` over all training texts.
+def baum_welch(encoded: DataFrame, share: np.ndarray, states: int = 8, rounds: int = 8, settled: float = 0.001, seed: int = 3, span: int = 4096) -> Hmm:
+    """Rounds over all training texts, until a round gains less than `settled` log10 units a symbol, at most `rounds`.
 
-    A task adds up its expected counts and emits them by ranges of `span` symbols; ranges are summed apart.
+    The first model is drawn with a fixed seed, so that states differ. A task adds up its expected counts, in doubles,
+    and emits them by ranges of `span` symbols; ranges are summed apart.
     """
     rnd = np.random.default_rng(seed)
-    warm = [np.frombuffer(r.symbols, dtype=np.uint16) for r in hashed_sample(encoded.select("symbols", "rid"), "rid", warm_texts).select("symbols").collect()]
-    jitter = rnd.gamma(2.0, 0.5, (len(share), states))
+    jitter = rnd.gamma(0.7, 1.0, (len(share), states)) + 0.05
     sticky = np.full((states, states), 0.2 / max(1, states - 1))
     np.fill_diagonal(sticky, 0.8)
     model = Hmm(np.full(states, 1 / states), sticky, (share[:, None] * jitter) / (share[:, None] * jitter).sum(axis=0))
-    for _ in range(warm_rounds if warm else 0):
-        model = reestimate(*model.expect(warm), share)
 
     def gather(now: Hmm):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,32 +236,37 @@ def baum_welch(encoded: DataFrame, share: np.ndarray, states: int = 8, rounds: i
                     new = now.expect(_symbols(batch.column(0)))
                     total = new if total is None else tuple(a + b for a, b in zip(total, new, strict=True))
             if total is not None:
-                start, move, emit = total
-                parts = [np.concatenate([start, move.ravel()]), *(emit[i : i + span].ravel() for i in range(0, len(emit), span))]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.astype(np.float32).tobytes() for p in parts], pa.binary())], ["part", "counts"])
+                start, move, emit, fit = total
+                parts = [np.concatenate([start, move.ravel(), [fit, emit.sum()]]), *(emit[i : i + span].ravel() for i in range(0, len(emit), span))]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "counts"])
 
         return run
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(b, dtype=np.float32).astype(np.float64) for b in pdf["counts"])
+        total = sum(np.frombuffer(b) for b in pdf["counts"])
         return pd.DataFrame({"part": pdf["part"].iloc[:1], "counts": [total.tobytes()]})
 
+    last = -np.inf
     for _ in range(rounds):
         rows = encoded.select("symbols").mapInArrow(gather(model), "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").collect()
         parts = {r.part: np.frombuffer(r.counts) for r in rows}
         if not parts:
             break
         head = parts.pop(0)
-        model = reestimate(head[:states], head[states:].reshape(states, states), np.concatenate([parts[i] for i in sorted(parts)]).reshape(-1, states), share)
+        model = reestimate(head[:states], head[states:-2].reshape(states, states), np.concatenate([parts[i] for i in sorted(parts)]).reshape(-1, states), share)
+        fit = head[-2] / head[-1]
+        if fit - last < settled:
+            break
+        last = fit
     return model
 
 
-def lm_scores(docs: DataFrame, folds: int = 7, held_fold: int = 2, states: int = 8, rounds: int = 2, symbols: int = 1 << 15, known: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, folds: int = 7, held_fold: int = 2, states: int = 8, rounds: int = 8, symbols: int = 1 << 15, known: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document row.
 
     Rows with crc32(doc_id as text) mod folds = held_fold are held out of learning. Null text: empty, so one token,
     the end. A null id counts as an empty text's. Repeated rows are scored each. Hashes of 64 bits stand for words.
-    Without training rows every count is 0.
+    Without training rows every count is 0. The order and partitioning of rows change scores by rounding alone.
     """
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     src = src.withColumn("held_out", crc_mod("doc_id", folds) == held_fold)

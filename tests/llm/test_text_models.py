@@ -101,6 +101,8 @@ def test_toxicity_held_out(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values()) and got[1000].predicted == 0
     kept = clean_documents(docs, lab)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.predicted}
+    odd = docs.limit(30).unionAll(docs.limit(30)).unionAll(spark.createDataFrame([(None, "plain words", None, None, 3)] * 2, docs.schema)).withColumn("label", docs["n_chars"])
+    assert sorted(r.doc_id is None for r in toxicity_query(odd, lab).collect()) == [False] * 60 + [True] * 2
     assert toxicity_query(docs, lab.limit(0)).count() == len(rows) and toxicity_query(docs.limit(0), lab).count() == 0
 
 
@@ -117,10 +119,45 @@ def test_forward_equals_sum_over_paths():
         return math.log10(p.sum())
 
     assert np.allclose(model.log10(texts), [paths(t) for t in texts])
-    start, move, emit = model.expect(texts)
+    texts += [rnd.integers(0, m, n).astype(np.uint16) for n in (23, 23, 9)]
+    start, move, emit, fit = model.expect(texts)
+    want = plain_expect(model, texts)
+    for options in ({}, {"span": 4}, {"most": 10}, {"most": 1, "span": 1}):
+        for a, b in zip(model.expect(texts, **options), want, strict=True):
+            assert np.allclose(a, b), options
+    assert np.isclose(fit, model.log10(texts).sum())
     assert np.isclose(start.sum(), len(texts)) and np.isclose(emit.sum(), sum(map(len, texts))) and np.isclose(move.sum(), sum(len(t) - 1 for t in texts))
 
 
+def plain_expect(model, texts):
+    """Expected counts by forward and backward sums over each whole text."""
+    k = len(model.start)
+    start, move, emit, fit = np.zeros(k), np.zeros((k, k)), np.zeros_like(model.emit), 0.0
+    for t in texts:
+        fwd, bwd = [model.start * model.emit[t[0]]], [np.ones(k)]
+        for s in t[1:]:
+            fwd.append((fwd[-1] @ model.move) * model.emit[s])
+        for s in t[:0:-1]:
+            bwd.insert(0, model.move @ (model.emit[s] * bwd[0]))
+        z = fwd[-1].sum()
+        fit += math.log10(z)
+        start += fwd[0] * bwd[0] / z
+        for i, s in enumerate(t):
+            emit[s] += fwd[i] * bwd[i] / z
+            if i:
+                move += fwd[i - 1][:, None] * model.move * (model.emit[s] * bwd[i])[None, :] / z
+    return start, move, emit, fit
+
+
+def test_scores_do_not_depend_on_partitioning(spark):
+    rnd = random.Random(9)
+    rows = [(i % 90, " ".join(rnd.choice(["a", "bb", "c,", "dé"]) for _ in range(rnd.randint(0, 400)))) for i in range(120)] + [(None, "x y"), (None, None), (5, "é " * 9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: (r.doc_id or -1, r.n_tokens, r.base_score)
+    a, b = (sorted(lm_scores(d).collect(), key=key) for d in (docs.coalesce(1), docs.repartition(7)))
+    assert len(a) == len(rows) and all(math.isclose(x.score, y.score, rel_tol=1e-9) and key(x)[:2] == key(y)[:2] for x, y in zip(a, b, strict=True))
+
+
 def test_language_model(spark):
     rnd = random.Random(8)
     langs = [[f"{p}{i}" for i in range(200)] for p in "ab"]
