@@ -216,16 +216,16 @@ def _symbols(column) -> list[np.ndarray]:
     return [np.frombuffer(b, dtype=np.uint16) for b in column.to_pylist()]
 
 
-def baum_welch(encoded: DataFrame, share: np.ndarray, states: int = 8, rounds: int = 8, settled: float = 0.001, seed: int = 3, span: int = 4096) -> Hmm:
+def baum_welch(encoded: DataFrame, share: np.ndarray, states: int = 8, rounds: int = 8, settled: float = 0.01, seed: int = 3, span: int = 4096) -> Hmm:
     """Rounds over all training texts, until a round gains less than `settled` log10 units a symbol, at most `rounds`.
 
-    The first model is drawn with a fixed seed, so that states differ. A task adds up its expected counts, in doubles,
+    The first model is drawn with a fixed seed: states that differ much and last long, so that few rounds part them. A task adds up its expected counts, in doubles,
     and emits them by ranges of `span` symbols; ranges are summed apart.
     """
     rnd = np.random.default_rng(seed)
-    jitter = rnd.gamma(0.7, 1.0, (len(share), states)) + 0.05
-    sticky = np.full((states, states), 0.2 / max(1, states - 1))
-    np.fill_diagonal(sticky, 0.8)
+    jitter = rnd.gamma(0.2, 1.0, (len(share), states)) + 0.05
+    sticky = np.full((states, states), 0.02 / max(1, states - 1))
+    np.fill_diagonal(sticky, 0.98)
     model = Hmm(np.full(states, 1 / states), sticky, (share[:, None] * jitter) / (share[:, None] * jitter).sum(axis=0))
 
     def gather(now: Hmm):

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from finquarry.llm.common import crc_mod, drop_staged, stage, utf8
@@ -120,66 +120,34 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, most: int = 20_000, prior:
     Counts are capped at 2 per document and word, so that one document's refrain is no evidence. Words and stems
     whose log-odds differ from 0 by least_z deviations are features, at most most_words; a word belongs to its most
     significant feature, and all words without one share a score, so the features part the tokens. Extreme values and
-    the logistic curve are fitted crosswise: each half of the sample is read with the words of the other. No labelled
-    rows, or one class only: every text gets the share of toxic labels.
+    the logistic curve are fitted to scores that leave a text's own counts out of the log-odds it is read with. No
+    labelled rows, or one class only: every text gets the share of toxic labels.
     """
-    sample = labelled_sample(docs, labels, "toxic", most, crc_mod("doc_id", folds) != 0, text_col=text_col)
-    sample = stage(sample.select("text", "label", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2)).cast("int").alias("half")), "toxic-sample")
-    counts = stage(_word_counts(sample), "toxic-counts")
-    rows = sample.agg(F.count("*").alias("n"), F.sum((F.col("label") > 0).cast("int")).alias("toxic")).first()
-    rate = ((rows.toxic or 0) + 1) / (rows.n + 2)
-    model = _learn_words(counts, F.lit(True), prior, least_z, most_words)
-    if model is None:
-        drop_staged(sample, counts)
-        return ToxicModel(WordScores({}, {}, -0.01), slope=0.0, shift=math.log(rate / (1 - rate)))
-    clean_rows, clean_sum, x, y = 0, 0.0, [], []
-    crossed = [(h, _learn_words(counts, F.col("half") != h, prior, least_z, most_words) or model) for h in (0, 1)]
-    for h, other in crossed:
-        r = sample.filter(F.col("half") == h).mapInArrow(_extremes(other), "n long, s double").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
-        clean_rows, clean_sum = clean_rows + (r.n or 0), clean_sum + (r.s or 0.0)
-    model.k = float(clean_rows / max(1e-9, clean_sum))  # maximum likelihood with lambda = 1
-    for h, other in crossed:
-        other.k = model.k
-        seen = sample.filter(F.col("half") == h).mapInArrow(_statistics(other), "label int, x double").toPandas()  # two numbers for each of at most `most` rows
-        x.append(seen["x"].to_numpy())
-        y.append((seen["label"].to_numpy() > 0).astype(float))
-    # Hashed samples come in any order; sums over sorted rows are the same each time.
-    x, y = np.concatenate(x), np.concatenate(y)
-    order = np.lexsort((y, x))
-    model.slope, model.shift = _logistic(x[order], y[order])
-    drop_staged(sample, counts)
-    return model
-
-
-def _word_counts(sample: DataFrame) -> DataFrame:
-    """(word, half, clean, toxic): in how many documents, twice for a word that comes again, by half of the sample."""
+    sample = stage(labelled_sample(docs, labels, "toxic", most, crc_mod("doc_id", folds) != 0, text_col=text_col).select("text", "label"), "toxic-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, bool], Counter] = {(h, t): Counter() for h in (0, 1) for t in (False, True)}
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
 
         def out():
-            for h in (0, 1):
-                clean, toxic = seen[h, False], seen[h, True]
-                both = list(clean.keys() | toxic.keys())
-                yield pa.RecordBatch.from_arrays([pa.array(both, pa.binary()), pa.array([h] * len(both), pa.int32()), *(pa.array([c[w] for w in both], pa.int64()) for c in (clean, toxic))], ["word", "half", "clean", "toxic"])
-                clean.clear(), toxic.clear()
+            both = list(seen[0].keys() | seen[1].keys())
+            yield pa.RecordBatch.from_arrays([pa.array(both, pa.binary()), *(pa.array([c[w] for w in both], pa.int64()) for c in seen)], ["word", "clean", "toxic"])
+            for c in seen:
+                c.clear()
 
         for batch in batches:
-            for text, label, half in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                seen[half, label > 0].update({w: min(n, 2) for w, n in Counter(tokens(text)).items()})
-            if sum(map(len, seen.values())) > 500_000:
+            for text, label in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                seen[label > 0].update({w: min(n, 2) for w, n in Counter(tokens(text)).items()})
+            if len(seen[0]) + len(seen[1]) > 500_000:
                 yield from out()
         yield from out()
 
-    return sample.mapInArrow(count, "word binary, half int, clean long, toxic long").groupBy("word", "half").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-
-
-def _learn_words(counts: DataFrame, where: Column, prior: float, least_z: float, most_words: int) -> ToxicModel | None:
-    """Scores of the features out of the counts of some rows; None unless both classes have words."""
-    counts = counts.filter(where).groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counts = stage(sample.mapInArrow(count, "word binary, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "toxic-counts")
     n0, n1 = (x or 0 for x in counts.agg(F.sum("clean"), F.sum("toxic")).first())
+    rows = sample.agg(F.count("*").alias("n"), F.sum((F.col("label") > 0).cast("int")).alias("toxic")).first()
+    rate = ((rows.toxic or 0) + 1) / (rows.n + 2)
     if not n0 or not n1:
-        return None
+        drop_staged(sample, counts)
+        return ToxicModel(WordScores({}, {}, -0.01), slope=0.0, shift=math.log(rate / (1 - rate)))
 
     def spread(batches: Iterator[pa.RecordBatch], of=features) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,30 +164,59 @@ def _learn_words(counts: DataFrame, where: Column, prior: float, least_z: float,
     strong = sums(features).withColumn("z", z).filter(F.col("z") >= least_z).orderBy(F.desc("z"), "word").limit(most_words).collect()
     rank = {bytes(r.word): r.z for r in strong}
     first = WordScores({}, rank, 0.0)
-    parts = sums(lambda w: [first.feature(w)]).withColumns({"p0": y0 / F.lit(n0 + prior), "p1": y1 / F.lit(n1 + prior)}).select("word", "p0", "p1").collect()
-    scores = {bytes(r.word): math.log(r.p1 / r.p0) for r in parts}
-    other = min(scores.pop(b"", -0.01), -1e-4)
-    return ToxicModel(WordScores(scores, rank, other))
-
-
-def _extremes(model: ToxicModel):
-    """Clean texts' part in the maximum-likelihood estimate of k: how many, and their sum of tokens * exp(-highest)."""
+    evidence = Evidence({bytes(r.word): (r.clean, r.toxic) for r in sums(lambda w: [first.feature(w)]).collect()}, n0, n1, prior)
+    scores = {f: evidence.score(f) for f in evidence.counts}
+    model = ToxicModel(WordScores(scores, rank, scores.pop(b"", -0.01)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def highest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.passages(t) for t, label in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True) if label <= 0]
+            found = [evidence.passages(model, t, 0) for t, label in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True) if label <= 0]
             yield pa.RecordBatch.from_arrays([pa.array([len(found)], pa.int64()), pa.array([math.fsum(n * math.exp(-max((s for *_, s in x), default=0.0)) for n, x in found)])], ["n", "s"])
 
-    return run
-
+    r = sample.mapInArrow(highest, "n long, s double").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
+    model.k = float((r.n or 0) / max(1e-9, r.s or 0.0))  # maximum likelihood with lambda = 1
 
-def _statistics(model: ToxicModel):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [model.statistic(*model.passages(t)) for t in utf8(batch.column(0))]
+            x = [model.statistic(*evidence.passages(model, t, label)) for t, label in zip(utf8(batch.column(0)), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(x, pa.float64())], ["label", "x"])
 
-    return run
+    seen = sample.mapInArrow(statistics, "label int, x double").toPandas()  # two numbers for each of at most `most` rows
+    seen = seen.sort_values(["x", "label"], kind="stable")  # so that sums agree whatever order rows come in
+    model.slope, model.shift = _logistic(seen["x"].to_numpy(), (seen["label"].to_numpy() > 0).astype(float))
+    drop_staged(sample, counts)
+    return model
+
+
+@dataclass
+class Evidence:
+    """Counts of each feature in clean and toxic texts (b"": words without one), and their totals."""
+
+    counts: dict[bytes, tuple[int, int]]
+    n0: int
+    n1: int
+    prior: float
+
+    def score(self, feature: bytes, own: int = 0, total: int = 0, toxic: bool = False) -> float:
+        """Log ratio of the feature's smoothed shares, without `own` of `total` counts of one text. Words without a
+        feature score below 0, so that passages end."""
+        y0, y1 = self.counts.get(feature, (0, 0))
+        y0, y1 = (y0, max(0, y1 - own)) if toxic else (max(0, y0 - own), y1)
+        n0, n1 = (self.n0, self.n1 - total) if toxic else (self.n0 - total, self.n1)
+        a = 0.5 + self.prior * (y0 + y1) / max(1, n0 + n1)
+        s = math.log((y1 + a) / (n1 + self.prior)) - math.log((y0 + a) / (n0 + self.prior))
+        return s if feature else min(s, -1e-4)
+
+    def passages(self, model: ToxicModel, text: bytes, label: int) -> tuple[int, list[tuple[int, int, float]]]:
+        """ToxicModel.passages of a labelled text, by scores that leave it out."""
+        ts = tokens(text)
+        of, own = {}, Counter()
+        for w, n in Counter(ts).items():
+            of[w] = f = model.words.feature(w)
+            own[f] += min(n, 2)
+        total = sum(own.values())
+        score = {f: self.score(f, n, total, label > 0) for f, n in own.items()}
+        return len(ts), maximal_segments(np.fromiter((score[of[w]] for w in ts), dtype=float, count=len(ts)))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:
