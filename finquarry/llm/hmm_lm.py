@@ -88,7 +88,7 @@ class Hmm:
         out[order] = total
         return out
 
-    def expect(self, texts: list[np.ndarray], most: int = 1 << 21, span: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    def expect(self, texts: list[np.ndarray], most: int = 1 << 18, span: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Expected counts (start, move, emit) over whole texts, and the log10 likelihood.
 
         Texts advance together, longest first, in groups of about `most` symbols. The forward messages of the last

@@ -13,6 +13,7 @@ import os
 import zlib
 from array import array
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pandas as pd
@@ -35,18 +36,45 @@ class ChunkIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.model, self.most = Tokenizer.from_file(path), most
+        self.model, self.most, self.ends = Tokenizer.from_file(path), most, {}
         self.model.encode_special_tokens = True
+        vocab = self.model.get_vocab()
+        self.begins = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.begins[[i for t, i in vocab.items() if t[:1] == "\u0120"]] = True  # how the vocabulary writes a space
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def learn(self, chunks: list[str]) -> None:
+        """Encode new chunks, many at a time: a token that begins with a space begins a chunk. The tokenizer's own split
+        parts letters from signs behind them, so a word is encoded once whatever follows it."""
+        word_of, need = {}, {}
+        for c in chunks:
+            word = c.rstrip(punctuation)
+            if len(word) < len(c) and word.isalpha():
+                word_of[c] = word
+                if word not in self:
+                    need[word] = None
+            else:
+                need[c] = None
+        todo = list(need)
+        groups = [todo[i : i + 256] for i in range(0, len(todo), 256)]
+        for group, e in zip(groups, self.model.encode_batch_fast(["".join(f" {c}" for c in g) for g in groups], add_special_tokens=False), strict=True):
+            ids = array("I", e.ids)
+            cuts, ids = (4 * np.flatnonzero(self.begins[np.frombuffer(ids, dtype=np.uint32)])).tolist(), ids.tobytes()
+            whole = len(cuts) == len(group)
+            self.update(zip(group, (ids[x:y] for x, y in zip(cuts, [*cuts[1:], len(ids)], strict=True)) if whole else self.ids([f" {c}" for c in group]), strict=True))
+        new = list({c[len(w) :] for c, w in word_of.items()} - self.ends.keys())
+        self.ends.update(zip(new, self.ids(new), strict=True))
+        self.update({c: self[w] + self.ends[c[len(w) :]] for c, w in word_of.items()})
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts. The tokenizer's own split never joins a space to what stands before it, so a text
         is cut before each lone space and equal chunks are encoded once. In texts with runs of spaces, what follows
         the first run stays whole."""
         if len(self) > self.most:
             self.clear()
+            self.ends.clear()
         cut, whole = [], []
         for t in texts:
             at = t.find("  ")
@@ -54,8 +82,7 @@ class ChunkIds(dict):
             head, *rest = t[: max(at, 0)].split(" ")
             whole += [head, t[max(at, 0) :]]
             cut.append(rest)
-        new = list(dict.fromkeys(c for rest in cut for c in rest if c not in self))
-        self.update(zip(new, self.ids([f" {c}" for c in new]), strict=True))
+        self.learn(list(dict.fromkeys(c for rest in cut for c in rest if c not in self)))
         ends = iter(self.ids(whole))
         return [b"".join([next(ends), *map(self.__getitem__, rest), next(ends)]) for rest in cut]
 
@@ -217,7 +244,7 @@ def _pack(pdf: pd.DataFrame, room: int, level: int, open_bins: int) -> pd.DataFr
     return pdf.assign(open=is_open[bins])[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "open", "grp"]]
 
 
-def pack_pieces(pieces: DataFrame, room: int = 2048, group_rows: int = 16_000, fan_in: int = 32, open_bins: int = 64) -> DataFrame:
+def pack_pieces(pieces: DataFrame, room: int = 2048, group_rows: int = 6_000, fan_in: int = 32, open_bins: int = 64) -> DataFrame:
     """Give each piece a sequence and an offset: (…, sequence_id, offset). Pieces hold 1..room tokens.
 
     Equal pieces are packed like any others. No piece: no row. A task holds about group_rows pieces, or the
