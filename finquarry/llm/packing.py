@@ -82,9 +82,14 @@ class ChunkIds(dict):
             head, *rest = t[: max(at, 0)].split(" ")
             whole += [head, t[max(at, 0) :]]
             cut.append(rest)
-        self.learn(list(dict.fromkeys(c for rest in cut for c in rest if c not in self)))
-        ends = iter(self.ids(whole))
-        return [b"".join([next(ends), *map(self.__getitem__, rest), next(ends)]) for rest in cut]
+        found = [list(map(self.get, rest)) for rest in cut]
+        self.learn(list({c for rest, ids in zip(cut, found, strict=True) for c, x in zip(rest, ids, strict=True) if x is None}))
+        ends, out = iter(self.ids(whole)), []
+        for rest, ids in zip(cut, found, strict=True):
+            if None in ids:
+                ids = [self[c] if x is None else x for c, x in zip(rest, ids, strict=True)]
+            out.append(b"".join([next(ends), *ids, next(ends)]))
+        return out
 
 
 _LOADED: dict[str, ChunkIds] = {}
@@ -199,18 +204,24 @@ def _step(sizes, own, bins, items, pairs, free_of, donor):
     own = sorted(own, key=lambda i: -sizes[i])
     ok = free_of > 0
     ok[donor] = False
-    to_bins, part = np.flatnonzero(ok), items[ok[bins[items]]]
+    to_bins = np.flatnonzero(ok)
     if not len(to_bins):
         return None
+    space = free_of[to_bins]
+    for i in own:
+        size = int(sizes[i])
+        if (k := better(np.where(space >= size, space - size, none), size, None)) is not None:
+            best = (*best[:2], ((i,), (), int(to_bins[k])))
+            if not best[0]:
+                return best[2]  # a full bin; exchanges would fill none better
+    part = items[ok[bins[items]]]
     pa, pb = pairs
     both = (bins[pa] == bins[pb]) & ok[bins[pa]]
     pa, pb = pa[both], pb[both]
     low, low2 = sizes[part], sizes[pa] + sizes[pb]
-    high, high2, space = low + free_of[bins[part]], low2 + free_of[bins[pa]], free_of[to_bins]
+    high, high2 = low + free_of[bins[part]], low2 + free_of[bins[pa]]
     for i in own:
         size = int(sizes[i])
-        if (k := better(np.where(space >= size, space - size, none), size, None)) is not None:
-            best = (*best[:2], ((i,), (), int(to_bins[k])))
         if (k := better(np.where((low < size) & (size <= high), high - size, none), size, low)) is not None:
             best = (*best[:2], ((i,), (int(part[k]),), int(bins[part[k]])))
         if len(pa) and (k := better(np.where((low2 < size) & (size <= high2), high2 - size, none), size, low2)) is not None:
@@ -244,7 +255,7 @@ def _pack(pdf: pd.DataFrame, room: int, level: int, open_bins: int) -> pd.DataFr
     return pdf.assign(open=is_open[bins])[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "open", "grp"]]
 
 
-def pack_pieces(pieces: DataFrame, room: int = 2048, group_rows: int = 6_000, fan_in: int = 32, open_bins: int = 64) -> DataFrame:
+def pack_pieces(pieces: DataFrame, room: int = 2048, group_rows: int = 3_000, fan_in: int = 32, open_bins: int = 64) -> DataFrame:
     """Give each piece a sequence and an offset: (…, sequence_id, offset). Pieces hold 1..room tokens.
 
     Equal pieces are packed like any others. No piece: no row. A task holds about group_rows pieces, or the
