@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finquarry.llm.common import drop_staged, fresh, mix64, sized, stage, stream_groups, utf8, words
+from finquarry.llm.common import drop_staged, fresh, mix64, salted, sized, stage, stream_groups, utf8, words
 from finquarry.llm.components import UnionFind, connected_components
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -266,7 +266,7 @@ def ngram_join(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10, block_r
     hot = frequent(seen.filter("n_shingles < 0").select((-1 - F.col("n_shingles")).cast("int").alias("chunk"), "counts"), rows.count())
     usable = rows.filter("doc_id is not null and n_shingles > 0")
     first = usable.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).filter("rep < top").drop("top")
-    copies = stage(usable.join(first, ["n_shingles", "h1", "h2"]).filter("doc_id > rep").select("doc_id", "rep").distinct(), "join-copies")
+    copies = stage(salted(usable, first, ["n_shingles", "h1", "h2"], ["doc_id"], 64).filter("doc_id > rep").select("doc_id", "rep").distinct(), "join-copies")
 
     emitted = docs.filter("doc_id is not null").mapInArrow(_emit_keys(n, t, hot, least), "key long, doc long, other long")
     paired = emitted.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(_pair, "a long, b long")
