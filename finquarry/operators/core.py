@@ -6,11 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """name, or a longer one that none of the columns has."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def latest_wins(df: DataFrame, keys: list[str], order_cols: list[str]) -> DataFrame:
-    """The row with the greatest order per key, as one partial aggregate rather than a sort per key."""
-    rest = [c for c in df.columns if c not in keys]
-    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order_cols)).alias("_r"))
-    return best.select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in df.columns])
+    """The row with the greatest order per key, as one partial aggregate rather than a sort per key. Of rows with equal
+    order that with the greatest other values stays (columns of maps apart), so reruns agree."""
+    rest, row = [c for c in df.columns if c not in keys], fresh(df.columns, "_r")
+    ties = [c for c in rest if c not in order_cols and "map<" not in df.schema[c].dataType.simpleString()]
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order_cols, *ties)).alias(row))
+    return best.select(*[F.col(c) if c in keys else F.col(f"{row}.{c}").alias(c) for c in df.columns])
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -20,7 +29,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def top_k(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= k).drop("_n")
+    n = fresh(df.columns, "_n")
+    return df.withColumn(n, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(n) <= k).drop(n)
 
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, left_on: str, right_on: str, values: list[str]) -> DataFrame:
@@ -29,11 +39,12 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_on: str, right_o
     Both sides are laid in one order per key and values are carried forward, so no pair of rows is expanded.
     """
     names = left.columns
-    a = left.select(*names, F.col(left_on).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("_v"))
-    b = right.select(*[F.col(key) if c == key else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in names], F.col(right_on).alias("_t"), F.lit(0).alias("_side"), F.struct(*values).alias("_v"))
-    w = Window.partitionBy(key).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    out = a.unionByName(b).withColumn("_v", F.last("_v", ignorenulls=True).over(w)).filter("_side = 1")
-    return out.select(*names, *[F.col(f"_v.{v}").alias(v) for v in values])
+    t, side, v = (fresh(names, c) for c in ("_t", "_side", "_v"))
+    a = left.select(*names, F.col(left_on).alias(t), F.lit(1).alias(side), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias(v))
+    b = right.select(*[F.col(key) if c == key else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in names], F.col(right_on).alias(t), F.lit(0).alias(side), F.struct(*values).alias(v))
+    w = Window.partitionBy(key).orderBy(t, side).rowsBetween(Window.unboundedPreceding, 0)
+    out = a.unionByName(b).withColumn(v, F.last(v, ignorenulls=True).over(w)).filter(F.col(side) == 1)
+    return out.select(*names, *[F.col(f"{v}.{c}").alias(c) for c in values])
 
 
 def interval_as_of(df: DataFrame, start: str, end: str, at: str, inclusive_end: bool) -> DataFrame:
@@ -53,5 +64,5 @@ def month_end_history(bars: DataFrame, since: str | None = None) -> DataFrame:
 
 
 def downsample(df: DataFrame, key: str, order: str, stride: int) -> DataFrame:
-    n = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return df.withColumn("_n", n).filter(((F.col("_n") - 1) % stride) == 0).drop("_n")
+    n, place = F.row_number().over(Window.partitionBy(key).orderBy(order)), fresh(df.columns, "_n")
+    return df.withColumn(place, n).filter(((F.col(place) - 1) % stride) == 0).drop(place)

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from finquarry.functions.columns import cagr
 
 
+def exact_sum(c):
+    """A sum of money to six places, the same in whatever order its parts come."""
+    return F.sum(c.cast("decimal(28,6)")).cast("double")
+
+
 def _wallet():
     return Window.partitionBy("wallet_id")
 
@@ -33,7 +38,7 @@ def price_holdings(holdings: DataFrame, quotes: DataFrame) -> DataFrame:
 
 def wallet_totals(priced: DataFrame) -> DataFrame:
     both = F.col("value").isNotNull() & F.col("cost_total").isNotNull()
-    return priced.groupBy("wallet_id").agg(F.sum("value").alias("value"), F.sum("day_change").alias("day_change"), F.sum(F.when(both, F.col("gain"))).alias("gain"), (F.try_divide(F.sum(F.when(both, F.col("value"))), F.sum("value")) * 100).alias("cost_coverage_pct"), F.count("*").alias("holdings"))
+    return priced.groupBy("wallet_id").agg(exact_sum(F.col("value")).alias("value"), exact_sum(F.col("day_change")).alias("day_change"), exact_sum(F.when(both, F.col("gain"))).alias("gain"), (F.try_divide(exact_sum(F.when(both, F.col("value"))), exact_sum(F.col("value"))) * 100).alias("cost_coverage_pct"), F.count("*").alias("holdings"))
 
 
 def best_worst_movers(priced: DataFrame) -> DataFrame:
@@ -49,7 +54,7 @@ def value_series(holdings: DataFrame, prices: DataFrame) -> DataFrame:
     grid = spine.join(holdings, "wallet_id").join(prices.select("symbol", "trade_date", "close"), ["symbol", "trade_date"], "left")
     w = Window.partitionBy("wallet_id", "symbol").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
     grid = grid.withColumn("price", F.last("close", ignorenulls=True).over(w)).filter(F.col("bought_at").isNull() | (F.col("bought_at") <= F.col("trade_date")))
-    g = grid.groupBy("wallet_id", "trade_date").agg(F.sum(F.col("shares") * F.col("price")).alias("value"), F.bool_and(F.col("price").isNotNull()).alias("whole"), F.count("*").alias("held"))
+    g = grid.groupBy("wallet_id", "trade_date").agg(exact_sum(F.col("shares") * F.col("price")).alias("value"), F.bool_and(F.col("price").isNotNull()).alias("whole"), F.count("*").alias("held"))
     return g.filter("whole").drop("whole")
 
 
@@ -165,7 +170,7 @@ def slice_shares(df: DataFrame, key: str, label: str, value: str) -> DataFrame:
 
 
 def goal_progress_series(series: DataFrame, required: float) -> DataFrame:
-    return series.select("wallet_id", "trade_date", (F.col("value") / F.lit(required) * 100).alias("progress_pct"))
+    return series.select("wallet_id", "trade_date", (F.col("value") * 100 / F.lit(required)).alias("progress_pct"))  # one rounding, not two
 
 
 def income_yield(projection: DataFrame, totals: DataFrame) -> DataFrame:

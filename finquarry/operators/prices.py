@@ -121,7 +121,8 @@ def merge_prices(stored: DataFrame, fresh: DataFrame, days: int = 10) -> DataFra
     """Stored bars with fresh ones of the last days merged in, fresh winning. One literal bound prunes partitions."""
     top = stored.agg(F.max("trade_date")).first()[0]
     fresh = fresh if top is None else fresh.filter(F.col("trade_date") >= F.date_sub(F.lit(top), days))
-    both = stored.withColumn("_v", F.lit(0)).unionByName(fresh.withColumn("_v", F.lit(1)))
-    from finquarry.operators.core import latest_wins
+    from finquarry.operators import core
 
-    return latest_wins(both, ["symbol", "trade_date"], ["_v"]).drop("_v")
+    v = core.fresh(stored.columns, "_v")
+    both = stored.withColumn(v, F.lit(0)).unionByName(fresh.withColumn(v, F.lit(1)))
+    return core.latest_wins(both, ["symbol", "trade_date"], [v]).drop(v)

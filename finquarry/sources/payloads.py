@@ -61,6 +61,12 @@ def build_universe(lists: DataFrame, bars: DataFrame | None = None, deep: tuple[
 
 
 def resolve_previous_close(df: DataFrame) -> DataFrame:
-    """(price, stored_close, chart_previous, daily_previous, interval): the first known close, none on coarse bars."""
-    prev = F.when(F.col("interval") == "1d", F.coalesce("stored_close", "chart_previous", "daily_previous"))
-    return df.withColumn("previous_close", prev).withColumns({"change": F.col("price") - F.col("previous_close"), "change_pct": F.try_divide(F.col("price") - F.col("previous_close"), F.col("previous_close")) * 100})
+    """(price, stored_close, chart_previous, daily_previous, range, interval) with previous_close, change, change_pct.
+
+    The stored close wins whatever the chart shows. A chart's own previous close is that of the day before only if its
+    range is one day; on longer ranges the last bar but one is, if bars are daily. Else there is none.
+    """
+    chart = F.when(F.col("range") == "1d", F.col("chart_previous")).when(F.col("interval") == "1d", F.col("daily_previous"))
+    df = df.withColumn("previous_close", F.coalesce("stored_close", chart))
+    change = F.col("price") - F.col("previous_close")
+    return df.withColumns({"change": change, "change_pct": F.try_divide(change, F.col("previous_close")) * 100})
