@@ -11,11 +11,12 @@ from finquarry.functions.columns import snap_to_dividend_frequency
 def fct_dividends(div: DataFrame, as_of: str, years: int = 3) -> DataFrame:
     """Payments with sequence, count and cadence: the median gap of the last years, else of the whole record."""
     w = Window.partitionBy("symbol").orderBy("pay_date")
-    d = div.withColumns({"payment_seq": F.row_number().over(w).cast("long"), "payments_total": F.count("*").over(Window.partitionBy("symbol")), "gap": F.datediff("pay_date", F.lag("pay_date").over(w))})
+    d = div.filter("symbol is not null").withColumns({"payment_seq": F.row_number().over(w).cast("long"), "payments_total": F.count("*").over(Window.partitionBy("symbol")), "gap": F.datediff("pay_date", F.lag("pay_date").over(w))})
     recent = F.col("pay_date") >= F.add_months(F.lit(as_of).cast("date"), -12 * years)
-    c = d.groupBy("symbol").agg(F.median(F.when(recent, F.col("gap"))).alias("near"), F.median("gap").alias("all"))
-    c = c.select("symbol", F.coalesce(snap_to_dividend_frequency("near"), snap_to_dividend_frequency("all")).cast("long").alias("payments_per_year"))
-    return d.join(c, "symbol").select("symbol", "pay_date", "amount", "payment_seq", "payments_total", "payments_per_year", F.year("pay_date").cast("long").alias("calendar_year"))
+    all_rows = Window.partitionBy("symbol")
+    d = d.withColumns({"near": F.median(F.when(recent, F.col("gap"))).over(all_rows), "all": F.median("gap").over(all_rows)})
+    d = d.withColumn("payments_per_year", F.coalesce(snap_to_dividend_frequency("near"), snap_to_dividend_frequency("all")).cast("long"))
+    return d.select("symbol", "pay_date", "amount", "payment_seq", "payments_total", "payments_per_year", F.year("pay_date").cast("long").alias("calendar_year"))
 
 
 def dividend_windows(fct: DataFrame) -> DataFrame:
@@ -32,6 +33,16 @@ def raise_streak(windows: DataFrame) -> DataFrame:
     return r.groupBy("symbol").agg(F.coalesce(F.min(F.when(~F.col("rose"), F.col("window_index"))), F.max("window_index")).alias("raise_streak"), F.max("window_index").alias("windows_compared"))
 
 
+def dividend_history(windows: DataFrame, most: int = 5) -> DataFrame:
+    """Newest window, the oldest of the last ones and the streak of each symbol, in one pass over its windows."""
+    by = Window.partitionBy("symbol")
+    i, last = F.col("window_index"), F.col("last")
+    w = windows.withColumns({"rose": F.col("amount") > F.lead("amount").over(by.orderBy("window_index")) * 1.001, "last": F.least(F.lit(most), F.max("window_index").over(by))})
+    at = lambda k: F.max(F.when(i == k, F.col("amount")))
+    streak = F.coalesce(F.min(F.when(~F.col("rose"), i)), F.max(F.when(F.col("rose").isNotNull(), i)))
+    return w.groupBy("symbol").agg(at(0).alias("latest_year_amount"), at(last).alias("older_year_amount"), F.max(last).alias("dividend_years"), streak.alias("raise_streak"))
+
+
 def dividend_years(fct: DataFrame, as_of: str) -> DataFrame:
     g = fct.groupBy("symbol", "calendar_year").agg(F.sum("amount").alias("total"), F.count("*").alias("payments"), F.max("payments_per_year").alias("payments_per_year"))
     return g.withColumn("is_partial", F.col("calendar_year") >= F.year(F.lit(as_of).cast("date")))

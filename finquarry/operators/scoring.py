@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from finquarry.functions.columns import cagr, grade, is_reit, score_between, weighted_score
-from finquarry.operators.dividends import raise_streak
-from finquarry.operators.statements import growth_endpoints, payout_3y
+from finquarry.operators.dividends import dividend_history
+from finquarry.operators.statements import annual_history
 
 
 def dim_security(stg: DataFrame) -> DataFrame:
@@ -18,13 +18,10 @@ def quality_score(dim: DataFrame, fin: DataFrame, windows: DataFrame, mode: str
     """Score of each symbol with an annual statement. mode 'live' weighs rounded pillars and uses the looser rules of
     the on-line form; 'table' rounds once, at the end."""
     live = mode == "live"
-    w = windows.withColumn("last", F.least(F.lit(5), F.max("window_index").over(Window.partitionBy("symbol"))))
-    div = w.groupBy("symbol").agg(F.max(F.when(F.col("window_index") == 0, F.col("amount"))).alias("latest_year_amount"), F.max(F.when(F.col("window_index") == F.col("last"), F.col("amount"))).alias("older_year_amount"), F.max("last").alias("dividend_years"))
-    latest = fin.filter("period_type = 'annual' and recency_rank = 1").drop("period_type", "recency_rank")
-    s = dim.join(latest, "symbol")
-    for t in (payout_3y(fin, dim), growth_endpoints(fin), div, raise_streak(windows)):
-        s = s.join(t, "symbol", "left")
+    s = dim.join(annual_history(fin), "symbol").join(dividend_history(windows), "symbol", "left")
     reit = F.col("is_reit")
+    cash = lambda c: F.when(reit, F.col(f"{c}_operatingcashflow")).otherwise(F.col(f"{c}_freecashflow"))
+    s = s.withColumns({"dividends_paid": cash("paid_on"), "distributable_cash": cash("sum_of")})
     net_debt = F.col("totaldebt") - F.coalesce("cashandcashequivalents", F.lit(0.0))
     some_ebitda = (F.col("ebitda") != 0) if live else (F.col("ebitda") > 0)
     some_ffo = (F.col("ffo") != 0) if live else (F.col("ffo") > 0)

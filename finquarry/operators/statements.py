@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finquarry.functions.columns import growth, is_reit, safe_ratio
@@ -22,11 +22,24 @@ def melt_statements(wide: DataFrame, metrics: list[str] = METRICS) -> DataFrame:
 def fct_financials(long: DataFrame, dim: DataFrame, metrics: list[str] = METRICS) -> DataFrame:
     """One row a period, with margins, FFO for REITs and rank by recency. The metric list is given, so the pivot needs
     no extra job to find it."""
-    p = long.groupBy(*KEYS).pivot("metric", metrics).agg(F.max("value"))
+    return _with_margins(long.groupBy(*KEYS).pivot("metric", metrics).agg(F.max("value")), dim, ["symbol", "period_type"])
+
+
+def annual_financials(wide: DataFrame, dim: DataFrame, metrics: list[str] = METRICS) -> DataFrame:
+    """fct_financials of the annual statements alone, straight from wide rows: one aggregate by period, then one
+    shuffle by symbol that rank, history and score share. Null, NaN and infinite values are null, a period without any
+    value goes, of repeated rows the largest value of each metric stays."""
+    v = {m: F.col(m).cast("double") for m in metrics}
+    v = {m: F.max(F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)).alias(m) for m, c in v.items()}
+    p = wide.filter("period_type = 'annual'").groupBy("symbol", "period_end").agg(*v.values()).filter(F.coalesce(*metrics).isNotNull())
+    return _with_margins(p.withColumn("period_type", F.lit("annual")), dim, ["symbol"])
+
+
+def _with_margins(p: DataFrame, dim: DataFrame, by: list[str]) -> DataFrame:
     reit = dim.select("symbol", is_reit("industry").alias("is_reit"))
     p = p.join(reit, "symbol", "left").withColumn("ffo", F.when(F.col("is_reit"), F.col("netincome") + F.col("depreciationandamortization")))
     share = lambda c: F.when(F.col("totalrevenue") > 0, F.col(c) / F.col("totalrevenue") * 100)
-    rank = F.row_number().over(Window.partitionBy("symbol", "period_type").orderBy(F.desc("period_end"))).cast("long")
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("period_end"))).cast("long")
     return p.withColumns({"net_margin_pct": share("netincome"), "operating_margin_pct": share("operatingincome"), "ebitda_margin_pct": share("ebitda"), "recency_rank": rank}).drop("is_reit")
 
 
@@ -38,13 +51,31 @@ def payout_3y(fin: DataFrame, dim: DataFrame) -> DataFrame:
 
 
 def growth_endpoints(fin: DataFrame, most: int = 5) -> DataFrame:
-    a = fin.filter("period_type = 'annual'").withColumn("old", F.least(F.lit(most), F.max("recency_rank").over(Window.partitionBy("symbol"))))
+    return _annual(fin, most).groupBy("symbol").agg(*_endpoints())
+
+
+def _annual(fin: DataFrame, most: int) -> DataFrame:
+    return fin.filter("period_type = 'annual'").withColumn("old", F.least(F.lit(most), F.max("recency_rank").over(Window.partitionBy("symbol"))))
+
+
+def _endpoints() -> list[Column]:
     per_share = F.col("ffo") / F.when(F.col("dilutedaverageshares") != 0, F.col("dilutedaverageshares"))
     at = lambda c, r: F.max(F.when(F.col("recency_rank") == r, c))
     ends = {}
     for name, c in (("revenue", F.col("totalrevenue")), ("eps", F.col("dilutedeps")), ("ffops", per_share)):
         ends |= {f"{name}_new": at(c, F.lit(1)), f"{name}_old": at(c, F.col("old"))}
-    return a.groupBy("symbol").agg(*[v.alias(k) for k, v in ends.items()], (F.max("old") - 1).cast("long").alias("growth_years"))
+    return [*[v.alias(k) for k, v in ends.items()], (F.max("old") - 1).cast("long").alias("growth_years")]
+
+
+def annual_history(fin: DataFrame, most: int = 5) -> DataFrame:
+    """Latest annual statement, growth endpoints and the payout of three years (on free and on operating cash flow) of
+    each symbol, in one aggregate: what growth_endpoints and payout_3y give without scanning the statements thrice."""
+    latest = [c for c in fin.columns if c not in ("symbol", "period_type", "recency_rank")]
+    sums = []
+    for c in ("freecashflow", "operatingcashflow"):
+        used = (F.col("recency_rank") <= 3) & F.col("cashdividendspaid").isNotNull() & F.col(c).isNotNull()
+        sums += [F.sum(F.when(used, F.abs("cashdividendspaid"))).alias(f"paid_on_{c}"), F.sum(F.when(used, F.col(c))).alias(f"sum_of_{c}")]
+    return _annual(fin, most).groupBy("symbol").agg(*[F.max(F.when(F.col("recency_rank") == 1, F.col(c))).alias(c) for c in latest], *_endpoints(), *sums)
 
 
 def ttm_fold(quarters: DataFrame, flows: list[str] = FLOWS, balances: tuple[str, ...] = ("totaldebt", "cashandcashequivalents", "totalassets", "stockholdersequity", "dilutedaverageshares")) -> DataFrame:

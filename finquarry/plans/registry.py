@@ -41,6 +41,9 @@ class Tables:
     def fin(self) -> DataFrame:
         return statements.fct_financials(statements.melt_statements(self.wide()), self.dim())
 
+    def annual_fin(self) -> DataFrame:
+        return statements.annual_financials(A.statements_wide(self.spark, self.sf_dir), self.dim())
+
     def fct_div(self) -> DataFrame:
         return dividends.fct_dividends(self.dividends, A.AS_OF)
 
@@ -48,7 +51,7 @@ class Tables:
         return dividends.dividend_windows(self.fct_div())
 
     def score(self, mode: str = "table") -> DataFrame:
-        return scoring.quality_score(self.dim(), self.fin(), self.windows(), mode)
+        return scoring.quality_score(self.dim(), self.annual_fin(), self.windows(), mode)
 
     def corrections(self) -> DataFrame:
         return prices.split_corrections(self.bars, self.splits)

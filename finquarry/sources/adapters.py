@@ -65,9 +65,9 @@ def statements_wide(spark: SparkSession, sf_dir: str, period_type: str = "annual
     li = read(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("day"), "l_extendedprice", "l_quantity")
     end = F.make_date(F.year("day"), F.lit(12), F.lit(31)) if period_type == "annual" else F.last_day(F.add_months(F.trunc("day", "quarter"), 2))
     g = li.groupBy("symbol", end.alias("period_end")).agg(cents(F.col("l_extendedprice")).alias("totalrevenue"), F.sum("l_quantity").alias("units"))
-    for name, (base, step, lean) in LINES.items():
-        g = g.withColumn(name, _cut(F.col("totalrevenue") * (F.lit(base) + F.lit(step) * (F.col("symbol") % 7) + F.lit(lean) * (F.year("period_end") % 3)), 100.0))
-    return g.withColumn("dilutedaverageshares", (F.lit(1000.0) + (F.col("symbol") % 11) * 100.0)).withColumn("dilutedeps", _cut(F.col("netincome") / F.col("dilutedaverageshares"), 10_000.0)).withColumn("period_type", F.lit(period_type)).drop("units")
+    lines = {name: _cut(F.col("totalrevenue") * (F.lit(base) + F.lit(step) * (F.col("symbol") % 7) + F.lit(lean) * (F.year("period_end") % 3)), 100.0) for name, (base, step, lean) in LINES.items()}
+    g = g.withColumns({**lines, "dilutedaverageshares": F.lit(1000.0) + (F.col("symbol") % 11) * 100.0})
+    return g.withColumn("dilutedeps", _cut(F.col("netincome") / F.col("dilutedaverageshares"), 10_000.0)).withColumn("period_type", F.lit(period_type)).drop("units")
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
