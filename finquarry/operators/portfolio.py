@@ -123,6 +123,39 @@ def income_totals(income: DataFrame, as_of: str) -> DataFrame:
     return income.groupBy("wallet_id").agg(F.sum("income").alias("total"), F.coalesce(F.sum(F.when(recent, F.col("income"))), F.lit(0.0)).alias("trailing_12m"), F.count("*").alias("payments"))
 
 
+def income_summary(income: DataFrame, as_of: str) -> DataFrame:
+    """Totals of each wallet with the mean of its completed months (null without one) and its best month, the earliest
+    of equals. Months count in whole cents, so that ties do not depend on the order of addition."""
+    day = F.lit(as_of).cast("date")
+    m = income_by_month(income).withColumn("c", F.round(F.col("income") * 100).cast("long"))
+    done = F.col("month") < F.trunc(day, "MM")
+    months = m.groupBy("wallet_id").agg((F.sum(F.when(done, F.col("c"))) / F.count(F.when(done, 1)) / 100.0).alias("monthly_average"), F.max_by("month", F.struct("c", -F.unix_date("month"))).alias("best_month"), (F.max("c") / 100.0).alias("best_amount"))
+    more = income.groupBy("wallet_id").agg(F.countDistinct("symbol").alias("symbols"), F.min("ex_date").alias("first_ex"))
+    return income_totals(income, as_of).join(more, "wallet_id").join(months, "wallet_id")
+
+
+def projection_rows(holdings: DataFrame, div: DataFrame, totals: DataFrame, as_of: str) -> DataFrame:
+    """Each holding's trailing year of income with its dividend growth over up to six yearly totals, the years that it
+    spans and whether it is too fast to last (over 20 percent). reason says why a holding has no projection: no payment
+    on record up to as_of, or none in the last year; its figures are null then. No growth rate means a flat projection."""
+    day = F.lit(as_of).cast("date")
+    t = totals.filter("window_index <= 5").groupBy("symbol").agg(F.max_by("amount", "window_index").alias("old"), F.min_by("amount", "window_index").alias("new"), F.max("window_index").alias("years_of_growth"))
+    paid = F.when(F.col("pay_date") > F.date_sub(day, 365), F.round(F.col("amount") * 100).cast("long"))
+    record = div.filter(F.col("pay_date") <= day).groupBy("symbol").agg((F.sum(paid) / 100.0).alias("per_share"), F.lit(True).alias("known"))
+    h = holdings.select("wallet_id", "symbol", "shares").join(record.join(t, "symbol", "left"), "symbol", "left")
+    reason = F.when(F.col("known").isNull(), "no-dividend-record").when(~F.coalesce(F.col("per_share") > 0, F.lit(False)), "nothing-paid-in-the-last-year")
+    h = h.withColumn("reason", reason).withColumn("growth_pct", F.when(F.col("reason").isNull(), cagr("old", "new", "years_of_growth")))
+    shown = lambda c: F.when(F.col("reason").isNull(), c)
+    return h.select("wallet_id", "symbol", shown(F.col("shares") * F.col("per_share")).alias("current_annual"), "growth_pct", shown(F.col("years_of_growth")).alias("years_of_growth"), shown(F.coalesce(F.col("growth_pct") > 20, F.lit(False))).alias("fast_growth"), "reason")
+
+
+def projection_totals(rows: DataFrame) -> DataFrame:
+    """Each wallet's projected income, growth weighted by income, and the share of income that has a growth rate."""
+    r = rows.filter("reason is null").withColumn("rated", F.when(F.col("growth_pct").isNotNull(), F.col("current_annual")))
+    g = r.groupBy("wallet_id").agg(F.sum("current_annual").alias("current_annual"), F.sum("rated").alias("rated"), F.sum(F.col("growth_pct") * F.col("rated")).alias("weighted"))
+    return g.select("wallet_id", "current_annual", F.try_divide("weighted", "rated").alias("blended_growth"), F.when(F.col("current_annual") > 0, F.coalesce("rated", F.lit(0.0)) / F.col("current_annual") * 100).alias("rated_share"))
+
+
 def income_projection(holdings: DataFrame, div: DataFrame, totals: DataFrame, as_of: str, years: int = 10) -> DataFrame:
     """Trailing year's income grown by each holding's dividend CAGR over up to six yearly totals."""
     years = max(1, min(30, years))

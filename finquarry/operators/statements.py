@@ -11,6 +11,12 @@ from finquarry.functions.columns import growth, is_reit, safe_ratio
 METRICS = ["totalrevenue", "netincome", "operatingincome", "ebitda", "ebit", "depreciationandamortization", "freecashflow", "operatingcashflow", "cashdividendspaid", "totaldebt", "cashandcashequivalents", "totalassets", "interestexpense", "dilutedaverageshares", "dilutedeps", "stockholdersequity"]
 FLOWS = METRICS[:9] + ["interestexpense", "dilutedeps"]
 KEYS = ["symbol", "period_type", "period_end"]
+#: The further metrics of a whole statement, the flows among all metrics that add up over quarters, and
+#: the lines that an income statement shows in its order (its net margin is derived).
+MORE_METRICS = ["costofrevenue", "grossprofit", "researchanddevelopment", "sellinggeneralandadministration", "otheroperatingexpenses", "operatingexpense", "totalexpenses", "othernonoperatingincomeexpenses", "interestincome", "netinterestincome", "pretaxincome", "taxprovision", "taxrateforcalcs", "basiceps", "reconcileddepreciation", "capitalexpenditure"]
+ALL_METRICS = METRICS + MORE_METRICS
+ALL_FLOWS = FLOWS + ["costofrevenue", "grossprofit", "researchanddevelopment", "operatingexpense", "interestincome", "pretaxincome", "taxprovision", "basiceps", "reconcileddepreciation", "capitalexpenditure"]
+SHOWN_LINES = ["totalrevenue", "costofrevenue", "grossprofit", "researchanddevelopment", "sellinggeneralandadministration", "otheroperatingexpenses", "operatingexpense", "totalexpenses", "operatingincome", "othernonoperatingincomeexpenses", "interestincome", "interestexpense", "netinterestincome", "pretaxincome", "taxprovision", "taxrateforcalcs", "netincome", "dilutedeps", "basiceps", "dilutedaverageshares", "reconcileddepreciation", "ebitda", "freecashflow"]
 
 
 def melt_statements(wide: DataFrame, metrics: list[str] = METRICS) -> DataFrame:

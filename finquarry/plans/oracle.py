@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import re
 
-from finquarry.operators.statements import FLOWS, METRICS
-from finquarry.sources.adapters import AS_OF, LINES, SPLIT_DATE
+from finquarry.operators.statements import ALL_FLOWS, ALL_METRICS, FLOWS, METRICS
+from finquarry.sources.adapters import AS_OF, LINES, MORE_LINES, SPLIT_DATE
 
 #: Steps by name; a step may read the driver's tables and the steps above it.
 STEPS: dict[str, str] = {}
@@ -135,6 +135,18 @@ STEPS["income"] = f"SELECT wallet_id, symbol, pay_date AS ex_date, amount, share
 _flow = ", ".join(f"CASE WHEN count({c}) OVER w = count(*) OVER w THEN sum({c}) OVER w * 4 / count(*) OVER w END AS {c}" for c in FLOWS)
 STEPS["ttm"] = f"SELECT symbol, period_end, {_flow}, totaldebt, cashandcashequivalents, totalassets, stockholdersequity, dilutedaverageshares, count(*) OVER w AS quarters_used FROM wide_quarterly WINDOW w AS (PARTITION BY symbol ORDER BY period_end ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"
 
+_more = ", ".join(f"{'CASE WHEN symbol % 4 > 1 OR symbol % 4 = 1 AND year(period_end) % 2 = 1 THEN ' if m == 'researchanddevelopment' else ''}floor(totalrevenue * ({a}::DOUBLE + {b}::DOUBLE * (symbol % 7) + {c}::DOUBLE * (year(period_end) % 3)) * 100.0::DOUBLE + 0.3333::DOUBLE) / 100.0::DOUBLE{' END' if m == 'researchanddevelopment' else ''} AS {m}" for m, (a, b, c) in MORE_LINES.items())
+STEPS["wide_full"] = f"SELECT *, totalrevenue - costofrevenue AS grossprofit, interestincome - interestexpense AS netinterestincome, 0.2::DOUBLE + 0.01::DOUBLE * (symbol % 7) AS taxrateforcalcs, floor(netincome / (dilutedaverageshares - 50.0::DOUBLE) * 10000.0::DOUBLE + 0.3333::DOUBLE) / 10000.0::DOUBLE AS basiceps FROM (SELECT *, {_more} FROM wide)"
+STEPS["fin_full"] = f"""SELECT w.symbol, w.period_type, w.period_end, {", ".join("w." + m for m in ALL_METRICS)}, CASE WHEN s.is_reit THEN netincome + depreciationandamortization END AS ffo, CASE WHEN totalrevenue > 0 THEN netincome / totalrevenue * 100 END AS net_margin_pct,
+  row_number() OVER (PARTITION BY w.symbol, w.period_type ORDER BY w.period_end DESC) AS recency_rank FROM wide_full w LEFT JOIN securities s USING (symbol)"""
+_all_flows = ", ".join(f"CASE WHEN count({c}) OVER w = count(*) OVER w THEN sum({c}) OVER w * 4 / count(*) OVER w END AS {c}" for c in ALL_FLOWS)
+STEPS["ttm_full"] = f"SELECT symbol, period_end, {_all_flows}, count(*) OVER w AS quarters_used FROM wide_full WHERE period_type = 'quarterly' WINDOW w AS (PARTITION BY symbol ORDER BY period_end ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)"
+STEPS["income_months"] = """SELECT wallet_id, month, coalesce(c, 0) AS c FROM (SELECT wallet_id, unnest(generate_series(date_trunc('month', min(ex_date)), date_trunc('month', max(ex_date)), INTERVAL 1 MONTH))::DATE AS month FROM income GROUP BY wallet_id)
+  LEFT JOIN (SELECT wallet_id, date_trunc('month', ex_date)::DATE AS month, round(sum(income) * 100)::BIGINT AS c FROM income GROUP BY 1, 2) USING (wallet_id, month)"""
+STEPS["projected"] = f"""SELECT wallet_id, symbol, shares * c / 100.0::DOUBLE AS current_annual, growth_pct, years_of_growth, coalesce(growth_pct > 20, false) AS fast_growth FROM old_holdings
+  JOIN (SELECT symbol, sum(round(amount * 100)::BIGINT)::BIGINT AS c FROM dividends WHERE pay_date > DATE '{AS_OF}' - 365 AND pay_date <= DATE '{AS_OF}' GROUP BY 1) USING (symbol)
+  LEFT JOIN (SELECT symbol, CASE WHEN n > 0 AND a > 0 AND b > 0 THEN (pow(b / a, 1.0 / n) - 1) * 100 END AS growth_pct, n AS years_of_growth FROM (SELECT symbol, arg_max(amount, window_index) AS a, arg_min(amount, window_index) AS b, max(window_index) AS n FROM totals WHERE window_index <= 5 GROUP BY 1)) USING (symbol)"""
+
 
 # The score's own steps again, over what was known at each annual period end.
 STEPS["t_fin"] = "SELECT * EXCLUDE (symbol, recency_rank) REPLACE (period_end AS period_end), symbol || '|' || as_of AS symbol, row_number() OVER (PARTITION BY symbol, as_of ORDER BY period_end DESC) AS recency_rank FROM (SELECT f.*, k.period_end AS as_of FROM fin f JOIN fin k USING (symbol) WHERE f.period_type = 'annual' AND k.period_type = 'annual' AND f.period_end <= k.period_end)".replace(" REPLACE (period_end AS period_end)", "").replace("* EXCLUDE (symbol, recency_rank)", "* EXCLUDE (symbol, recency_rank, as_of)")

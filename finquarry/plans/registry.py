@@ -85,6 +85,13 @@ class Tables:
     def income(self) -> DataFrame:
         return portfolio.dividend_income(self.old_holdings(), self.dividends, A.AS_OF)
 
+    def fin_full(self) -> DataFrame:
+        long = statements.melt_statements(A.statements_full(self.spark, self.sf_dir), statements.ALL_METRICS)
+        return statements.fct_financials(long, self.dim(), statements.ALL_METRICS)
+
+    def projected(self) -> DataFrame:
+        return portfolio.projection_rows(self.old_holdings(), self.dividends, dividends.trailing_year_totals(self.dividends), A.AS_OF)
+
     def values(self) -> DataFrame:
         return portfolio.wallet_totals(self.priced()).select("wallet_id", "value", (F.col("value") * 0.04).alias("annual_income"))
 
@@ -194,6 +201,12 @@ ENTRIES: dict[str, tuple[Callable[[Tables], DataFrame], str | list[str], str]] =
     "goal_progress_series": (lambda t: portfolio.goal_progress_series(t.series(), 1e6), "wallet_id trade_date progress_pct~", "(SELECT wallet_id, trade_date, value / 1e6 * 100 AS progress_pct FROM value_series)"),
     "contribution_plan": (lambda t: portfolio.contribution_plan(t.values(), 1e6, 10, 5.0), "wallet_id per_year_reinvested~ per_year_spent~ extra_per_year~ return_source", f"(SELECT wallet_id, a AS per_year_reinvested, b AS per_year_spent, b - a AS extra_per_year, 'set' AS return_source FROM (SELECT wallet_id, CASE WHEN 1e6 - value * pow(1.05::DOUBLE, 10) <= 0 THEN 0 ELSE (1e6 - value * pow(1.05::DOUBLE, 10)) * (0.05::DOUBLE / (pow(1.05::DOUBLE, 10) - 1)) END AS a, CASE WHEN 1e6 - value * pow(1.01::DOUBLE, 10) <= 0 THEN 0 ELSE (1e6 - value * pow(1.01::DOUBLE, 10)) * 0.01::DOUBLE / (pow(1.01::DOUBLE, 10) - 1) END AS b FROM {_TOTALS}))"),
     "screener_sort": (lambda t: scoring.screener_sort(t.score(), t.dim(), "valuation_multiple"), "symbol valuation_multiple~", "(SELECT symbol, CASE WHEN score.is_reit THEN price_to_ffo ELSE s.trailing_pe END AS valuation_multiple FROM score JOIN securities s USING (symbol))"),
+    "fct_financials_full": (Tables.fin_full, ["symbol", "period_type", "period_end", *[f"{m}~" for m in statements.ALL_METRICS], "ffo~", "net_margin_pct~", "recency_rank"], "fin_full"),
+    "income_statement_full": (lambda t: statements.income_statement(t.fin_full(), lines=statements.SHOWN_LINES), "symbol period_type period_end line value~", f"(SELECT * FROM (FROM (SELECT symbol, period_type, period_end, {', '.join(statements.SHOWN_LINES)}, net_margin_pct AS netmargin FROM fin_full WHERE recency_rank <= CASE WHEN period_type = 'annual' THEN 6 ELSE 8 END) UNPIVOT INCLUDE NULLS (value FOR line IN ({', '.join(statements.SHOWN_LINES)}, netmargin))) QUALIFY count(value) OVER (PARTITION BY symbol, period_type, line) > 0)"),
+    "ttm_fold_full": (lambda t: statements.ttm_fold(A.statements_full(t.spark, t.sf_dir).filter("period_type = 'quarterly'"), statements.ALL_FLOWS), ["symbol", "period_end", *[f"{f}~" for f in statements.ALL_FLOWS], "quarters_used"], "ttm_full"),
+    "income_summary": (lambda t: portfolio.income_summary(t.income(), A.AS_OF), "wallet_id total~ trailing_12m~ payments symbols first_ex monthly_average~ best_month best_amount~", f"(SELECT * FROM (SELECT wallet_id, sum(income) AS total, coalesce(sum(CASE WHEN ex_date > DATE '{A.AS_OF}' - 365 THEN income END), 0) AS trailing_12m, count(*) AS payments, count(DISTINCT symbol) AS symbols, min(ex_date) AS first_ex FROM income GROUP BY 1) JOIN (SELECT wallet_id, sum(c) FILTER (WHERE month < DATE '{A.AS_OF[:8]}01')::DOUBLE / count(*) FILTER (WHERE month < DATE '{A.AS_OF[:8]}01') / 100 AS monthly_average, arg_max(month, (c, -date_diff('day', DATE '1970-01-01', month))) AS best_month, max(c) / 100.0::DOUBLE AS best_amount FROM income_months GROUP BY 1) USING (wallet_id))"),
+    "projection_rows": (Tables.projected, "wallet_id symbol current_annual~ growth_pct~ years_of_growth fast_growth reason", f"(SELECT h.wallet_id, h.symbol, current_annual, growth_pct, years_of_growth, fast_growth, CASE WHEN h.symbol NOT IN (SELECT symbol FROM dividends WHERE pay_date <= DATE '{A.AS_OF}') THEN 'no-dividend-record' WHEN current_annual IS NULL THEN 'nothing-paid-in-the-last-year' END AS reason FROM old_holdings h LEFT JOIN projected p ON h.symbol = p.symbol)"),
+    "projection_totals": (lambda t: portfolio.projection_totals(t.projected()), "wallet_id current_annual~ blended_growth~ rated_share~", "(SELECT wallet_id, sum(current_annual) AS current_annual, sum(growth_pct * current_annual) / nullif(sum(CASE WHEN growth_pct IS NOT NULL THEN current_annual END), 0) AS blended_growth, coalesce(sum(CASE WHEN growth_pct IS NOT NULL THEN current_annual END), 0) / sum(current_annual) * 100 AS rated_share FROM projected GROUP BY 1)"),
     "quality_score_live": (lambda t: t.score("live"), "symbol overall_score grade coverage_pct", ""),
 }
 

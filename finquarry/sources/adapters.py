@@ -70,6 +70,27 @@ def statements_wide(spark: SparkSession, sf_dir: str, period_type: str = "annual
     return g.withColumn("dilutedeps", _cut(F.col("netincome") / F.col("dilutedaverageshares"), 10_000.0)).withColumn("period_type", F.lit(period_type)).drop("units")
 
 
+#: Further lines, like LINES. One company of four reports no research, another one in odd years only.
+MORE_LINES = {
+    "costofrevenue": (0.4, 0.02, 0.01), "sellinggeneralandadministration": (0.07, 0.01, 0.0), "researchanddevelopment": (0.02, 0.01, 0.0), "otheroperatingexpenses": (0.01, 0.002, 0.0), "operatingexpense": (0.1, 0.02, 0.01),
+    "totalexpenses": (0.5, 0.04, 0.02), "othernonoperatingincomeexpenses": (-0.01, 0.005, 0.0), "interestincome": (0.004, 0.001, 0.0), "pretaxincome": (0.07, 0.02, 0.01), "taxprovision": (0.02, 0.002, 0.0),
+    "reconcileddepreciation": (0.06, 0.01, 0.0), "capitalexpenditure": (-0.04, -0.01, 0.0),
+}
+
+
+def statements_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annual and quarterly statements with every named metric."""
+    w = statements_wide(spark, sf_dir).unionByName(statements_wide(spark, sf_dir, "quarterly"))
+    k = F.col("symbol")
+    lines = {name: _cut(F.col("totalrevenue") * (F.lit(base) + F.lit(step) * (k % 7) + F.lit(lean) * (F.year("period_end") % 3)), 100.0) for name, (base, step, lean) in MORE_LINES.items()}
+    lines["researchanddevelopment"] = F.when((k % 4 > 1) | ((k % 4 == 1) & (F.year("period_end") % 2 == 1)), lines["researchanddevelopment"])
+    w = w.withColumns(lines)
+    return w.withColumns({
+        "grossprofit": F.col("totalrevenue") - F.col("costofrevenue"), "netinterestincome": F.col("interestincome") - F.col("interestexpense"), "taxrateforcalcs": F.lit(0.2) + F.lit(0.01) * (k % 7),
+        "basiceps": _cut(F.col("netincome") / (F.col("dilutedaverageshares") - 50.0), 10_000.0),
+    })
+
+
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
     return e.select(F.col("user_id").alias("symbol"), F.lit("annual").alias("period_type"), F.lit("2023-12-31").cast("date").alias("period_end"), F.col("event_type").alias("metric"), F.floor(F.col("value") / 50).cast("double").alias("value"), F.col("ts").cast("timestamp").alias("ingested_at"))
