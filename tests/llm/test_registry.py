@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_operator_has_a_query():
     names = [n.split("_")[0] for n in queries.queries()]
-    assert sorted(names, key=lambda n: int(n[2:])) == [f"op{i}" for i in range(1, 11)]
+    assert sorted(names, key=lambda n: int(n[2:])) == [f"op{i}" for i in range(1, 14)]
     assert set(queries.oracle_sql()) <= set(queries.queries()) and "pipeline" in __spark_entry__.queries()
 
 
@@ -19,7 +19,7 @@ def test_every_operator_has_a_query():
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_its_twin(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "conversations"):
         duck.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     twin = duck.sql(queries.oracle_sql()[name])
     df = queries.queries()[name](spark, SF)
