@@ -34,6 +34,19 @@ def cagr(first: ColumnOr, last: ColumnOr, years: ColumnOr) -> Column:
     return F.when((first > 0) & (last > 0) & (years > 0), (F.pow(last / first, F.lit(1.0) / years) - 1) * 100)
 
 
+def cagr_series(values: ColumnOr) -> Column:
+    """Yearly growth in percent over an ordered array, gaps left out: its known values count as a year each. Null with
+    fewer than two of them or unless the first and the last are positive."""
+    v = F.filter(_c(values), lambda x: x.isNotNull())
+    years = F.size(v) - 1
+    return F.when(years > 0, cagr(F.get(v, F.lit(0)), F.get(v, years), years.cast("double")))
+
+
+def pick(*values: ColumnOr) -> Column:
+    """The first value that is not null."""
+    return F.coalesce(*map(_c, values))
+
+
 def metric(name: str) -> Column:
     return F.max(F.when(F.col("metric") == name, F.col("value")))
 

@@ -14,21 +14,17 @@ def dim_security(stg: DataFrame) -> DataFrame:
     return stg.withColumn("is_reit", is_reit("industry"))
 
 
-def quality_score(dim: DataFrame, fin: DataFrame, windows: DataFrame, mode: str = "table") -> DataFrame:
-    """Score of each symbol with an annual statement. mode 'live' weighs rounded pillars and uses the looser rules of
-    the on-line form; 'table' rounds once, at the end."""
-    live = mode == "live"
+def quality_score(dim: DataFrame, fin: DataFrame, windows: DataFrame) -> DataFrame:
+    """Score of each symbol with an annual statement; rounded once, at the end. live_score has the on-line form."""
     s = dim.join(annual_history(fin), "symbol").join(dividend_history(windows), "symbol", "left")
     reit = F.col("is_reit")
     cash = lambda c: F.when(reit, F.col(f"{c}_operatingcashflow")).otherwise(F.col(f"{c}_freecashflow"))
     s = s.withColumns({"dividends_paid": cash("paid_on"), "distributable_cash": cash("sum_of")})
     net_debt = F.col("totaldebt") - F.coalesce("cashandcashequivalents", F.lit(0.0))
-    some_ebitda = (F.col("ebitda") != 0) if live else (F.col("ebitda") > 0)
-    some_ffo = (F.col("ffo") != 0) if live else (F.col("ffo") > 0)
     s = s.withColumns({
-        "raise_streak": F.least(F.coalesce("raise_streak", F.lit(0)), F.lit(10 if live else 1 << 30)),
-        "price_to_ffo": F.when(some_ffo, F.col("market_cap") / F.col("ffo")),
-        "net_debt_to_ebitda": F.when(some_ebitda, net_debt / F.col("ebitda")),
+        "raise_streak": F.coalesce("raise_streak", F.lit(0)),
+        "price_to_ffo": F.when(F.col("ffo") > 0, F.col("market_cap") / F.col("ffo")),
+        "net_debt_to_ebitda": F.when(F.col("ebitda") > 0, net_debt / F.col("ebitda")),
         "interest_coverage": F.when(F.abs("interestexpense") > 0, F.when(reit, F.col("ebitda")).otherwise(F.col("ebit")) / F.abs("interestexpense")),
         "debt_to_assets": F.when(F.col("totalassets") > 0, F.col("totaldebt") / F.col("totalassets")),
         "ffo_margin_pct": F.when(F.col("totalrevenue") > 0, F.col("ffo") / F.col("totalrevenue") * 100),
@@ -37,7 +33,7 @@ def quality_score(dim: DataFrame, fin: DataFrame, windows: DataFrame, mode: str
         "revenue_cagr_pct": cagr("revenue_old", "revenue_new", "growth_years"),
         "per_share_cagr_pct": F.when(reit, cagr("ffops_old", "ffops_new", "growth_years")).otherwise(cagr("eps_old", "eps_new", "growth_years")),
         "dividend_cagr_pct": cagr("older_year_amount", "latest_year_amount", "dividend_years"),
-        "fcf_yield_pct": F.when(F.col("totalrevenue") > 0, F.try_divide(F.when(reit & F.lit(live), F.col("ffo")).otherwise(F.col("freecashflow")), F.col("market_cap")) * 100),
+        "fcf_yield_pct": F.when(F.col("totalrevenue") > 0, F.try_divide("freecashflow", "market_cap") * 100),
     })
     pays = F.coalesce((F.col("dividend_yield_pct") > 0) & ((F.col("dividend_yield_pct") >= 0.25) | F.coalesce(F.col("payout_pct") >= 5, F.lit(False))), F.lit(False))
     usable = F.coalesce((F.col("dividend_yield_pct") >= 1) & (F.col("five_year_avg_dividend_yield_pct") > 0), F.lit(False))
@@ -52,7 +48,7 @@ def quality_score(dim: DataFrame, fin: DataFrame, windows: DataFrame, mode: str
         "pillar_profitability": [(F.when(reit, score_between("ebitda_margin_pct", 40, 70)).otherwise(score_between("operating_margin_pct", 5, 30)), 0.5), (F.when(reit, score_between("ffo_margin_pct", 30, 65)).otherwise(score_between("return_on_equity_pct", 5, 25)), 0.5)],
         "pillar_valuation": [(F.when(reit, score_between("price_to_ffo", 28, 13)).otherwise(score_between("trailing_pe", 35, 12)), 0.6), (F.when(usable, score_between("yield_vs_history", 0.7, 1.3)).otherwise(score_between("fcf_yield_pct", 2, 8)), 0.4)],
     }
-    s = s.withColumns({k: F.round(weighted_score(v)) if live else weighted_score(v) for k, v in pillars.items()})
+    s = s.withColumns({k: weighted_score(v) for k, v in pillars.items()})
     weights = {"pillar_dividend": 25, "pillar_balance_sheet": 25, "pillar_growth": 20, "pillar_profitability": 15, "pillar_valuation": 15}
     covered = sum((F.when(F.col(k).isNotNull(), F.lit(v)).otherwise(0) for k, v in weights.items()), F.lit(0))  # whole percents
     s = s.withColumn("coverage_pct", covered.cast("double")).withColumn("overall_score", F.when(F.col("coverage_pct") >= 40, F.round(weighted_score([(k, v / 100) for k, v in weights.items()]))))

@@ -148,13 +148,69 @@ STEPS["projected"] = f"""SELECT wallet_id, symbol, shares * c / 100.0::DOUBLE AS
   LEFT JOIN (SELECT symbol, CASE WHEN n > 0 AND a > 0 AND b > 0 THEN (pow(b / a, 1.0 / n) - 1) * 100 END AS growth_pct, n AS years_of_growth FROM (SELECT symbol, arg_max(amount, window_index) AS a, arg_min(amount, window_index) AS b, max(window_index) AS n FROM totals WHERE window_index <= 5 GROUP BY 1)) USING (symbol)"""
 
 
-# The score's own steps again, over what was known at each annual period end.
-STEPS["t_fin"] = "SELECT * EXCLUDE (symbol, recency_rank) REPLACE (period_end AS period_end), symbol || '|' || as_of AS symbol, row_number() OVER (PARTITION BY symbol, as_of ORDER BY period_end DESC) AS recency_rank FROM (SELECT f.*, k.period_end AS as_of FROM fin f JOIN fin k USING (symbol) WHERE f.period_type = 'annual' AND k.period_type = 'annual' AND f.period_end <= k.period_end)".replace(" REPLACE (period_end AS period_end)", "").replace("* EXCLUDE (symbol, recency_rank)", "* EXCLUDE (symbol, recency_rank, as_of)")
-STEPS["t_securities"] = "SELECT s.* EXCLUDE (symbol), s.symbol || '|' || f.period_end AS symbol FROM securities s JOIN fin f USING (symbol) WHERE f.period_type = 'annual'"
-STEPS["t_dividends"] = "SELECT d.symbol || '|' || f.period_end AS symbol, pay_date, amount FROM dividends d JOIN fin f USING (symbol) WHERE f.period_type = 'annual' AND pay_date <= f.period_end"
-_then = ("fct_dividends", "div_windows", "streaks", "payout", "endpoints", "score")
-for _name in _then:
-    STEPS[f"t_{_name}"] = re.sub(rf"\b({'|'.join((*_then, 'fin', 'securities', 'dividends'))})\b(?= (?:USING|WHERE|GROUP|JOIN|f JOIN|p USING|g USING|st USING|s USING|s JOIN|LEFT)|\)|$)", r"t_\1", STEPS[_name])
+# The on-line score, brute force: every point with all of its earlier statements and payments.
+STEPS["old_bars"] = """SELECT symbol, trade_date, close, close * (1.0::DOUBLE - l_discount) AS adj_close FROM (SELECT l_suppkey AS symbol, l_shipdate::DATE AS trade_date, l_discount, floor(l_extendedprice / l_quantity * 100) / 100.0::DOUBLE AS close,
+  row_number() OVER (PARTITION BY l_suppkey, l_shipdate::DATE ORDER BY l_orderkey DESC, l_linenumber DESC) AS n FROM lineitem WHERE l_quantity > 0) WHERE n = 1 AND close > 0"""
+STEPS["old_months"] = "SELECT symbol, t, close, adj_close FROM (SELECT symbol, trade_date AS t, close, adj_close, row_number() OVER (PARTITION BY symbol, date_trunc('month', trade_date) ORDER BY trade_date DESC) AS n FROM old_bars) WHERE n = 1"
+_m = ", ".join(METRICS)
+STEPS["sl_rows"] = f"""SELECT symbol, 'annual' AS kind, period_end, {_m}, NULL::BIGINT AS quarters_used, 0 AS lane FROM wide_annual UNION ALL
+  SELECT symbol, 'quarterly', period_end, {_m}, quarters_used, (row_number() OVER (PARTITION BY symbol ORDER BY period_end) - 1) % 4 FROM ttm"""
+STEPS["sl_points"] = """SELECT symbol, kind, period_end AS period, coalesce(lag(period_end) OVER (PARTITION BY symbol, kind ORDER BY period_end), (period_end - CASE WHEN kind = 'annual' THEN INTERVAL 12 MONTH ELSE INTERVAL 3 MONTH END)::DATE) AS window_start FROM sl_rows
+  UNION ALL SELECT symbol, 'now', DATE '9999-12-31', NULL FROM wide_annual GROUP BY symbol"""
+STEPS["sl_series"] = f"""SELECT *, row_number() OVER (PARTITION BY symbol, kind, period ORDER BY period_end DESC) AS back FROM (
+  SELECT p.kind, p.period_end AS period, r.* EXCLUDE (kind, lane) FROM sl_rows p JOIN sl_rows r ON r.symbol = p.symbol AND r.kind = p.kind AND r.lane = p.lane AND r.period_end <= p.period_end
+  UNION ALL BY NAME SELECT 'now' AS kind, DATE '9999-12-31' AS period, * EXCLUDE (kind, lane) FROM sl_rows WHERE kind = 'annual')"""
+_values = ", ".join(f"list({c} ORDER BY period_end) FILTER (WHERE back <= 5 AND {c} IS NOT NULL) AS {n}_values" for n, c in (("revenue", "totalrevenue"), ("eps", "dilutedeps"), ("ffops", "((netincome + depreciationandamortization) / nullif(dilutedaverageshares, 0))")))
+_cash = ", ".join(f"sum({x}) FILTER (WHERE back <= 3 AND cashdividendspaid IS NOT NULL AND {c} IS NOT NULL) AS {n}_{c}" for c in ("freecashflow", "operatingcashflow") for n, x in (("paid_on", "abs(cashdividendspaid)"), ("sum_of", c)))
+STEPS["sl_states"] = f"SELECT symbol, kind, period, {', '.join(f'max({c}) FILTER (WHERE back = 1) AS {c}' for c in [*METRICS, 'quarters_used', 'period_end'])}, count(*) AS statement_periods, count(cashdividendspaid) FILTER (WHERE back <= 3) AS payout_years, {_values}, {_cash} FROM sl_series GROUP BY 1, 2, 3"
+STEPS["sl_record"] = """SELECT p.symbol, kind, period, list(amount ORDER BY pay_date) AS a, list_sort(list(gap) FILTER (WHERE gap IS NOT NULL)) AS g, sum(amount) FILTER (WHERE pay_date > period - 365) AS paid_1y
+  FROM sl_points p JOIN (SELECT *, date_diff('day', lag(pay_date) OVER (PARTITION BY symbol ORDER BY pay_date), pay_date) AS gap FROM dividends) d ON d.symbol = p.symbol AND pay_date <= period GROUP BY 1, 2, 3"""
+STEPS["sl_totals"] = """SELECT *, list_transform(range(1, least(11, len(a) // py) + 1), lambda k: list_sum(a[(len(a) - k * py + 1) : (len(a) - (k - 1) * py)])) AS t FROM (
+  SELECT *, CASE WHEN g[len(g) // 2 + 1] > 0 THEN greatest(1, least(12, round(365.25 / g[len(g) // 2 + 1])))::BIGINT END AS py FROM sl_record)"""
+STEPS["sl_paid"] = f"""SELECT symbol, kind, period, paid_1y, greatest(coalesce(len(t), 0) - 1, 0)::BIGINT AS totals_compared, coalesce(list_position(rose, false) - 1, len(rose), 0)::BIGINT AS streak, CASE WHEN len(t) > 1 THEN {_cagr("t[least(6, len(t))]", "t[1]", "(least(6, len(t)) - 1)")} END AS dividend_cagr
+  FROM (SELECT *, CASE WHEN len(t) > 1 THEN list_transform(range(1, len(t)), lambda i: t[i] > t[i + 1] * 1.001::DOUBLE) END AS rose FROM sl_totals)"""
+STEPS["sl_priced"] = """SELECT p.*, c.t AS quoted_on, c.close AS price, c.adj_close AS adj_now, b.t AS quoted_before, b.adj_close AS adj_before FROM (SELECT * FROM sl_points WHERE kind <> 'now') p
+  ASOF LEFT JOIN old_months c ON c.symbol = p.symbol AND p.period >= c.t ASOF LEFT JOIN old_months b ON b.symbol = p.symbol AND p.window_start >= b.t"""
+_fields = "st.*, coalesce(d.streak, 0) AS streak, coalesce(d.totals_compared, 0) AS totals_compared, d.dividend_cagr"
+STEPS["sl_now_base"] = f"SELECT {_fields}, s.name, s.sector, s.is_reit, s.market_cap, s.trailing_pe, s.dividend_yield_pct, s.five_year_avg_dividend_yield_pct, s.return_on_equity_pct FROM sl_states st JOIN securities s USING (symbol) LEFT JOIN sl_paid d USING (symbol, kind, period) WHERE st.kind = 'now'"
+STEPS["sl_then_base"] = f"""SELECT {_fields}, coalesce(s.is_reit, false) AS is_reit, dilutedaverageshares * price AS market_cap, CASE WHEN dilutedeps > 0 THEN price / dilutedeps END AS trailing_pe, CASE WHEN paid_1y > 0 AND price > 0 THEN paid_1y / price * 100 END AS dividend_yield_pct,
+  NULL::DOUBLE AS five_year_avg_dividend_yield_pct, CASE WHEN stockholdersequity > 0 THEN netincome / stockholdersequity * 100 END AS return_on_equity_pct, price, window_start, CASE WHEN quoted_before < quoted_on AND adj_before > 0 AND adj_now > 0 THEN (adj_now / adj_before - 1) * 100 END AS period_return
+  FROM sl_states st JOIN sl_priced USING (symbol, kind, period) LEFT JOIN securities s USING (symbol) LEFT JOIN sl_paid d USING (symbol, kind, period)"""
+
+
+def _list_cagr(v: str) -> str:
+    return f"CASE WHEN len({v}) > 1 THEN {_cagr(f'{v}[1]', f'{v}[-1]', f'(len({v}) - 1)')} END"
+
+
+_lively = f"""SELECT *, coalesce(dividend_yield_pct > 0 AND (dividend_yield_pct >= 0.25 OR coalesce(payout_pct >= 5, false)), false) AS pays_dividend, {_usable} AS usable, price_to_ffo_ AS price_to_ffo FROM (
+  SELECT *, CASE WHEN is_reit THEN CASE WHEN sum_of_operatingcashflow > 0 THEN paid_on_operatingcashflow / sum_of_operatingcashflow * 100 END WHEN sum_of_freecashflow > 0 THEN paid_on_freecashflow / sum_of_freecashflow * 100 END AS payout_pct,
+  market_cap / nullif(ffo_, 0) AS price_to_ffo_, ffo_ / nullif(dilutedaverageshares, 0) AS ffo_per_share, (totaldebt - coalesce(cashandcashequivalents, 0)) / nullif(ebitda, 0) AS net_debt_to_ebitda, CASE WHEN is_reit THEN ebitda ELSE ebit END / nullif(abs(interestexpense), 0) AS interest_coverage,
+  totaldebt / nullif(totalassets, 0) AS debt_to_assets, {_list_cagr("revenue_values")} AS revenue_cagr, CASE WHEN is_reit THEN {_list_cagr("ffops_values")} ELSE {_list_cagr("eps_values")} END AS per_share_cagr, dividend_yield_pct / nullif(five_year_avg_dividend_yield_pct, 0) AS yield_vs_history,
+  CASE WHEN is_reit THEN ffo_ ELSE freecashflow END / nullif(market_cap, 0) * 100 AS cash_yield, CASE WHEN is_reit THEN ebitda ELSE operatingincome END / nullif(totalrevenue, 0) * 100 AS margin, CASE WHEN is_reit THEN ffo_ / nullif(totalrevenue, 0) * 100 ELSE return_on_equity_pct END AS return_pct
+  FROM (SELECT *, netincome + depreciationandamortization AS ffo_ FROM BASE))"""
+_pay = lambda x: f"CASE WHEN pays_dividend THEN {x} END"
+#: pillar: (metric's name, value, kind, of, score, weight)
+_live_parts = {
+    "Dividend safety": [("CASE WHEN is_reit THEN 'Payout / cash flow' ELSE 'Payout / free cash flow' END", _pay("payout_pct"), "'percent'", "payout_years", _pay(_by("payout_pct", (100, 70), (90, 40))), 0.55), ("'Years of consecutive raises'", _pay("streak::DOUBLE"), "'count'", "totals_compared", _pay(_between("streak", "0", "10")), 0.45)],
+    "Balance sheet": [("'Net debt / EBITDA'", "net_debt_to_ebitda", "'multiple'", "NULL", _by("net_debt_to_ebitda", (8, 4.5), (4.5, 1)), 0.5), ("'Interest coverage'", "interest_coverage", "'multiple'", "NULL", _by("interest_coverage", (2, 5.5), (3, 15)), 0.3), ("'Debt / assets'", "debt_to_assets * 100", "'percent'", "NULL", _by("debt_to_assets", ("0.65::DOUBLE", "0.3::DOUBLE"), ("0.6::DOUBLE", "0.2::DOUBLE")), 0.2)],
+    "Growth": [("'Revenue CAGR'", "revenue_cagr", "'percent'", "NULL", _between("revenue_cagr", "0", "12"), 0.35), ("CASE WHEN is_reit THEN 'FFO / share CAGR' ELSE 'EPS CAGR' END", "per_share_cagr", "'percent'", "NULL", _between("per_share_cagr", "0", "10"), 0.4), ("'Dividend CAGR'", _pay("dividend_cagr"), "'percent'", "NULL", _pay(_between("dividend_cagr", "0", "8")), 0.25)],
+    "Profitability": [("CASE WHEN is_reit THEN 'EBITDA margin' ELSE 'Operating margin' END", "margin", "'percent'", "NULL", _by("margin", (40, 70), (5, 30)), 0.5), ("CASE WHEN is_reit THEN 'FFO margin' ELSE 'Return on equity' END", "return_pct", "'percent'", "NULL", _by("return_pct", (30, 65), (5, 25)), 0.5)],
+    "Valuation": [("CASE WHEN is_reit THEN 'P / FFO' ELSE 'P / E (TTM)' END", "CASE WHEN is_reit THEN price_to_ffo ELSE trailing_pe END", "'multiple'", "NULL", f"CASE WHEN is_reit THEN {_between('price_to_ffo', '28', '13')} ELSE {_between('trailing_pe', '35', '12')} END", 0.6),
+      ("CASE WHEN usable THEN 'Yield vs 5-year average' WHEN is_reit THEN 'FFO yield' ELSE 'Free cash flow yield' END", "CASE WHEN usable THEN yield_vs_history ELSE cash_yield END", "CASE WHEN usable THEN 'multiple' ELSE 'percent' END", "NULL", f"CASE WHEN usable THEN {_between('yield_vs_history', '0.7::DOUBLE', '1.3::DOUBLE')} ELSE {_between('cash_yield', '2', '8')} END", 0.4)],
+}
+for _when in ("now", "then"):
+    STEPS[f"sl_{_when}_parts"] = _lively.replace("FROM BASE", f"FROM sl_{_when}_base")
+    _rounded = ", ".join(f"round({_weighted([(p[4], p[5]) for p in ps])}) AS p{k}" for k, ps in enumerate(_live_parts.values()))
+    _weights_sql = _weighted([(f"p{k}", w / 100) for k, w in enumerate(_weights.values())])
+    STEPS[f"sl_{_when}"] = f"""SELECT *, {_grade("overall_score")} AS grade, CASE WHEN overall_score >= 75 THEN 'Strong' WHEN overall_score >= 60 THEN 'Solid' WHEN overall_score >= 45 THEN 'Mixed' WHEN overall_score >= 30 THEN 'Weak' WHEN overall_score IS NOT NULL THEN 'Poor' END AS band FROM (
+      SELECT *, CASE WHEN coverage_pct >= 40 THEN round({_weights_sql}) END AS overall_score FROM (SELECT *, ({" + ".join(f"CASE WHEN p{k} IS NOT NULL THEN {w} ELSE 0 END" for k, w in enumerate(_weights.values()))})::DOUBLE AS coverage_pct FROM (SELECT *, {_rounded} FROM sl_{_when}_parts)))"""
+STEPS["sl_details"] = " UNION ALL ".join(f"SELECT symbol, '{t}' AS pillar, p{k} AS pillar_score, {m} AS metric, {v} AS value, {kind} AS kind, {of}::BIGINT AS of, round({x}) AS score, {w}::DOUBLE AS weight FROM sl_now" for k, (t, ps) in enumerate(_live_parts.items()) for m, v, kind, of, x, w in ps)
+_figures = [("FFO (last FY)", "EPS (last FY)", "ffo_", "dilutedeps", "money"), ("FFO / share", "Free cash flow", "ffo_per_share", "freecashflow", "money"), ("P / FFO", "P / E (TTM)", "price_to_ffo", "trailing_pe", "multiple"), ("Cash flow payout", "FCF payout", "payout_pct", "payout_pct", "percent")]
+STEPS["sl_figures"] = " UNION ALL ".join(f"SELECT symbol, CASE WHEN is_reit THEN '{a}' ELSE '{b}' END AS figure, CASE WHEN is_reit THEN {x} ELSE {y} END AS value, '{k}' AS kind FROM sl_now" for a, b, x, y, k in _figures)
+_hide = ", ".join(f"CASE WHEN price IS NOT NULL THEN {c} END AS {c}" for c in ("overall_score", "grade", "band", "coverage_pct"))
+STEPS["sl_timeline"] = f"""SELECT symbol, kind AS period_type, period, {_hide}, CASE WHEN is_reit THEN 'reit' ELSE 'standard' END AS scoring_basis, statement_periods, quarters_used, statement_periods < 3 OR coalesce(quarters_used < 4, false) AS thin_history, price, window_start, period_return,
+  CASE WHEN price IS NULL THEN 'no price history at this date' WHEN overall_score IS NULL THEN 'not enough reported data to grade' END AS unscored, {", ".join(f"CASE WHEN price IS NOT NULL THEN p{k} END AS p{k}" for k in range(5))} FROM sl_then"""
+STEPS["sl_pillars"] = " UNION ALL ".join(f"SELECT symbol, period_type, period, '{t}' AS pillar, p{k} AS pillar_score FROM sl_timeline WHERE price IS NOT NULL" for k, t in enumerate(_live_parts))
 
 
 def sql(select: str) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finquarry.functions import columns as C
-from finquarry.operators import checks, core, dividends, history, portfolio, prices, scoring, statements, studies
+from finquarry.operators import checks, core, dividends, history, live_score, portfolio, prices, scoring, statements, studies
 from finquarry.plans import oracle
 from finquarry.sources import adapters as A
 
@@ -50,8 +50,14 @@ class Tables:
     def windows(self) -> DataFrame:
         return dividends.dividend_windows(self.fct_div())
 
-    def score(self, mode: str = "table") -> DataFrame:
-        return scoring.quality_score(self.dim(), self.annual_fin(), self.windows(), mode)
+    def score(self) -> DataFrame:
+        return scoring.quality_score(self.dim(), self.annual_fin(), self.windows())
+
+    def live(self) -> DataFrame:
+        return live_score.quality_score_live(self.dim(), A.statements_wide(self.spark, self.sf_dir), self.dividends)
+
+    def graded(self) -> DataFrame:
+        return live_score.score_timeline(self.wide(), self.dim(), self.dividends, core.month_end_history(self.old_bars))
 
     def corrections(self) -> DataFrame:
         return prices.split_corrections(self.bars, self.splits)
@@ -194,8 +200,9 @@ ENTRIES: dict[str, tuple[Callable[[Tables], DataFrame], str | list[str], str]] =
     "score_bands": (lambda t: t.hist().groupBy(C.band("overall_score").alias("band")).agg(F.count("*").alias("rows")), "band rows", "(SELECT CASE WHEN overall_score >= 75 THEN 'Strong' WHEN overall_score >= 60 THEN 'Solid' WHEN overall_score >= 45 THEN 'Mixed' WHEN overall_score >= 30 THEN 'Weak' ELSE 'Poor' END AS band, count(*) AS rows FROM score_stg GROUP BY 1)"),
     "period_labels": (lambda t: t.wide().select("symbol", C.period_label("period_type", "period_end").alias("label"), C.shift_back("period_end", 3).alias("before")), "symbol label before", "(SELECT symbol, CASE WHEN period_type = 'annual' THEN 'FY' || year(period_end) ELSE 'Q' || quarter(period_end) || ' ' || year(period_end) END AS label, (period_end - INTERVAL 3 MONTH)::DATE AS before FROM wide)"),
     "warehouse_health": (lambda t: t.bars.agg(F.lit("bars").alias("name"), F.count("*").alias("rows"), F.max("trade_date").alias("latest")).unionByName(t.dividends.agg(F.lit("dividends").alias("name"), F.count("*").alias("rows"), F.max("pay_date").alias("latest"))), "name rows latest", "(SELECT 'bars' AS name, count(*) AS rows, max(trade_date) AS latest FROM bars UNION ALL SELECT 'dividends', count(*), max(pay_date) FROM dividends)"),
-    "score_timeline": (lambda t: studies.scores_over_time(t.fin(), t.dim(), t.dividends, A.AS_OF), "symbol period overall_score grade coverage_pct statement_periods thin_history", "(SELECT split_part(symbol, '|', 1)::BIGINT AS symbol, split_part(symbol, '|', 2)::DATE AS period, overall_score, grade, coverage_pct, statement_periods, statement_periods < 3 AS thin_history FROM t_score JOIN (SELECT symbol, count(*) AS statement_periods FROM t_fin GROUP BY symbol) USING (symbol))"),
-    "score_timeline_points": (lambda t: studies.score_timeline_points(t.wide(), t.dim(), t.dividends, t.bars), "symbol period_type period overall_score grade coverage_pct scoring_basis statement_periods quarters_used thin_history price~ window_start period_return~ unscored", ""),
+    "score_timeline": (Tables.graded, "symbol period_type period overall_score grade band coverage_pct scoring_basis statement_periods quarters_used thin_history unscored", "sl_timeline"),
+    "score_timeline_points": (Tables.graded, "symbol period_type period overall_score grade price~ window_start period_return~ unscored", "sl_timeline"),
+    "score_timeline_pillars": (lambda t: t.graded().select("symbol", "period_type", "period", F.explode("pillars").alias("p")).select("symbol", "period_type", "period", "p.title", "p.score").toDF("symbol", "period_type", "period", "pillar", "pillar_score"), "symbol period_type period pillar pillar_score", "sl_pillars"),
     "portfolio_score_history": (lambda t: portfolio.portfolio_score_history(t.holdings, t.bars, t.timeline(), SUNDAYS), "wallet_id at score~ coverage_pct~", "(SELECT wallet_id, \"at\", sum(CASE WHEN overall_score IS NOT NULL AND close IS NOT NULL THEN shares * close * overall_score END) / nullif(sum(CASE WHEN overall_score IS NOT NULL AND close IS NOT NULL THEN shares * close END), 0) AS score, sum(CASE WHEN overall_score IS NOT NULL AND close IS NOT NULL THEN shares * close END) / nullif(sum(shares * close), 0) * 100 AS coverage_pct FROM (SELECT h.*, d.\"at\", b.close, s.overall_score FROM (SELECT unnest(['2024-01-07', '2024-01-14', '2024-01-21', '2024-01-28'])::DATE AS \"at\") d JOIN holdings h ON bought_at <= d.\"at\" ASOF LEFT JOIN bars b ON h.symbol = b.symbol AND d.\"at\" >= b.trade_date ASOF LEFT JOIN score_stg s ON h.symbol = s.symbol AND d.\"at\" >= s.score_date) GROUP BY 1, 2)"),
     "slice_shares": (lambda t: portfolio.slice_shares(t.priced(), "wallet_id", "symbol", "gain"), "wallet_id symbol gain~ share_pct~ dropped", "(SELECT wallet_id, symbol, gain, gain / sum(gain) OVER (PARTITION BY wallet_id) * 100 AS share_pct, dropped FROM (SELECT *, sum((coalesce(gain, 0) <= 0)::INT) OVER (PARTITION BY wallet_id)::BIGINT AS dropped FROM priced) WHERE gain > 0)"),
     "goal_progress_series": (lambda t: portfolio.goal_progress_series(t.series(), 1e6), "wallet_id trade_date progress_pct~", "(SELECT wallet_id, trade_date, value / 1e6 * 100 AS progress_pct FROM value_series)"),
@@ -207,7 +214,9 @@ ENTRIES: dict[str, tuple[Callable[[Tables], DataFrame], str | list[str], str]] =
     "income_summary": (lambda t: portfolio.income_summary(t.income(), A.AS_OF), "wallet_id total~ trailing_12m~ payments symbols first_ex monthly_average~ best_month best_amount~", f"(SELECT * FROM (SELECT wallet_id, sum(income) AS total, coalesce(sum(CASE WHEN ex_date > DATE '{A.AS_OF}' - 365 THEN income END), 0) AS trailing_12m, count(*) AS payments, count(DISTINCT symbol) AS symbols, min(ex_date) AS first_ex FROM income GROUP BY 1) JOIN (SELECT wallet_id, sum(c) FILTER (WHERE month < DATE '{A.AS_OF[:8]}01')::DOUBLE / count(*) FILTER (WHERE month < DATE '{A.AS_OF[:8]}01') / 100 AS monthly_average, arg_max(month, (c, -date_diff('day', DATE '1970-01-01', month))) AS best_month, max(c) / 100.0::DOUBLE AS best_amount FROM income_months GROUP BY 1) USING (wallet_id))"),
     "projection_rows": (Tables.projected, "wallet_id symbol current_annual~ growth_pct~ years_of_growth fast_growth reason", f"(SELECT h.wallet_id, h.symbol, current_annual, growth_pct, years_of_growth, fast_growth, CASE WHEN h.symbol NOT IN (SELECT symbol FROM dividends WHERE pay_date <= DATE '{A.AS_OF}') THEN 'no-dividend-record' WHEN current_annual IS NULL THEN 'nothing-paid-in-the-last-year' END AS reason FROM old_holdings h LEFT JOIN projected p ON h.symbol = p.symbol)"),
     "projection_totals": (lambda t: portfolio.projection_totals(t.projected()), "wallet_id current_annual~ blended_growth~ rated_share~", "(SELECT wallet_id, sum(current_annual) AS current_annual, sum(growth_pct * current_annual) / nullif(sum(CASE WHEN growth_pct IS NOT NULL THEN current_annual END), 0) AS blended_growth, coalesce(sum(CASE WHEN growth_pct IS NOT NULL THEN current_annual END), 0) / sum(current_annual) * 100 AS rated_share FROM projected GROUP BY 1)"),
-    "quality_score_live": (lambda t: t.score("live"), "symbol overall_score grade coverage_pct", ""),
+    "quality_score_live": (Tables.live, "symbol name sector scoring_basis overall_score grade band coverage_pct pays_dividend", "(SELECT *, CASE WHEN is_reit THEN 'reit' ELSE 'standard' END AS scoring_basis FROM sl_now)"),
+    "quality_score_details": (lambda t: live_score.pillar_details(t.live(), ["symbol"]), "symbol pillar pillar_score metric value~ kind of score weight", "sl_details"),
+    "quality_score_figures": (lambda t: live_score.key_figures(t.live(), ["symbol"]), "symbol figure value~ kind", "sl_figures"),
 }
 
 

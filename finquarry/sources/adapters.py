@@ -91,6 +91,14 @@ def statements_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
+def old_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closes out of the years of the statements: the unit price of a supplier's last line of a day; adj_close is after discount."""
+    li = read(spark, sf_dir, "lineitem").filter("l_quantity > 0")
+    close = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100).cast("double") / 100.0
+    last = li.groupBy(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("trade_date")).agg(F.max_by(F.struct(close.alias("close"), "l_discount"), F.struct("l_orderkey", "l_linenumber")).alias("r"))
+    return last.select("symbol", "trade_date", F.col("r.close").alias("close"), (F.col("r.close") * (F.lit(1.0) - F.col("r.l_discount"))).alias("adj_close")).filter("close > 0")
+
+
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
     return e.select(F.col("user_id").alias("symbol"), F.lit("annual").alias("period_type"), F.lit("2023-12-31").cast("date").alias("period_end"), F.col("event_type").alias("metric"), F.floor(F.col("value") / 50).cast("double").alias("value"), F.col("ts").cast("timestamp").alias("ingested_at"))

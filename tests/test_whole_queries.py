@@ -23,17 +23,17 @@ def test_all_holdings_are_compared_from_one_start(spark):
 
 
 def test_timeline_has_quarters_and_takes_market_values_as_of_then(spark):
-    from finquarry.operators import studies
+    from finquarry.operators import core, live_score
     from finquarry.operators.statements import METRICS
 
     ends = ["2022-03-31", "2022-06-30", "2022-09-30", "2022-12-31", "2023-03-31"]
     kinds = [("quarterly", e) for e in ends] + [("annual", "2021-12-31"), ("annual", "2022-12-31")]
     amount = dict.fromkeys(METRICS, 10.0) | {"totalrevenue": 100.0, "operatingincome": 20.0, "dilutedaverageshares": 1000.0, "dilutedeps": 2.0, "stockholdersequity": 200.0, "cashdividendspaid": -4.0}
     wide = spark.createDataFrame([(1, k, e, *amount.values()) for k, e in kinds], f"symbol long, period_type string, period_end string, {', '.join(f'{m} double' for m in amount)}").withColumn("period_end", F.to_date("period_end"))
-    dim = spark.createDataFrame([(1, "n", "s", "i", False, 9e9, 1.0)], "symbol long, name string, sector string, industry string, is_reit boolean, market_cap double, trailing_pe double")
+    dim = spark.createDataFrame([(1, "i", 9e9, 1.0)], "symbol long, industry string, market_cap double, trailing_pe double")
     div = spark.createDataFrame([(1, "2022-05-10", 1.0), (1, "2023-02-10", 1.0)], "symbol long, pay_date string, amount double").withColumn("pay_date", F.to_date("pay_date"))
     bars = spark.createDataFrame([(1, d, c, c) for d, c in (("2022-03-30", 20.0), ("2022-06-30", 25.0), ("2022-12-30", 40.0), ("2023-03-31", 50.0))], "symbol long, trade_date string, close double, adj_close double").withColumn("trade_date", F.to_date("trade_date"))
-    got = {(r.period_type, str(r.period)): r for r in studies.score_timeline_points(wide, dim, div, bars).collect()}
+    got = {(r.period_type, str(r.period)): r for r in live_score.score_timeline(wide, dim, div, core.month_end_history(bars)).collect()}
     assert set(got) == set(kinds)
     assert got["annual", "2021-12-31"].unscored == "no price history at this date" and got["annual", "2021-12-31"].overall_score is None
     q = [got["quarterly", e] for e in ends]
@@ -41,8 +41,8 @@ def test_timeline_has_quarters_and_takes_market_values_as_of_then(spark):
     assert [r.price for r in q] == [20.0, 25.0, 25.0, 40.0, 50.0] and all(r.overall_score is not None and r.unscored is None for r in q)
     assert [r.period_return and round(r.period_return, 6) for r in q] == [None, 25.0, None, 60.0, 25.0]
     assert got["annual", "2022-12-31"].statement_periods == 2 and got["annual", "2022-12-31"].quarters_used is None
-    last = wide.filter("period_type = 'annual' and period_end = '2022-12-31'").select(F.lit("k").alias("key"), F.col("period_end").alias("period"), F.lit(40.0).alias("price"), "*")
-    then = studies.summary_as_at(last, dim, div).first()
+    points = live_score._as_of(live_score.statement_states(wide.filter("period_type = 'annual'")), div, core.month_end_history(bars))
+    then = live_score.summary_as_at(points, dim).filter("period_end = '2022-12-31'").first()
     assert (then.market_cap, then.trailing_pe, then.return_on_equity_pct, then.dividend_yield_pct) == (40_000.0, 20.0, 5.0, 2.5)
 
 
