@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from finquarry.functions.columns import cagr
+from finquarry.functions.columns import annualise, cagr
+from finquarry.operators.core import asof_join
 
 
 def exact_sum(c):
@@ -24,7 +25,7 @@ def parse_wallet_strings(wallets: DataFrame, today: str, most: int = 40) -> Data
     get = lambda i: F.nullif(F.trim(F.try_element_at(part, F.lit(i))), F.lit(""))
     cost, day = get(3).try_cast("double"), F.try_to_date(get(4), "yyyy-MM-dd")
     p = p.select("wallet_id", "pos", F.upper(get(1)).alias("symbol"), get(2).try_cast("double").alias("shares"), F.when(cost >= 0, cost).alias("cost"), F.when((F.date_format(day, "yyyy-MM-dd") == get(4)) & (day <= F.lit(today).cast("date")), day).alias("bought_at"))
-    p = p.filter(F.col("symbol").rlike(r"^[A-Z][A-Z0-9.\-]{0,9}$") & (F.col("shares") > 0))
+    p = p.filter(F.col("symbol").rlike(r"^[A-Z0-9.^=\-]{1,20}$") & (F.col("shares") > 0))
     first = p.withColumn("n", F.row_number().over(Window.partitionBy("wallet_id", "symbol").orderBy("pos"))).filter("n = 1")
     return first.withColumn("n", F.row_number().over(_wallet().orderBy("pos"))).filter(F.col("n") <= most).drop("n", "pos")
 
@@ -46,16 +47,64 @@ def best_worst_movers(priced: DataFrame) -> DataFrame:
     return priced.filter("day_change is not null").groupBy("wallet_id").agg(F.max(s)["symbol"].alias("best"), F.min(s)["symbol"].alias("worst"))
 
 
+def _value_points(holdings: DataFrame, prices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(wallet_id, trade_date, value, held, missing) on every date of a wallet's symbols, and holdings with `priced`.
+
+    A purchase and each change of a price are events with what they add to a wallet's value, to what it holds and to
+    what it holds without a price. Events of a date are added up, then the dates in one order a wallet; no date meets a
+    holding that has no event on it. Amounts are decimals, so the sums do not depend on their order.
+    """
+    money = lambda c: c.cast("decimal(28,6)")
+    quoted = prices.filter("close is not null").select("symbol", "trade_date", "close")
+    quoted = quoted.withColumn("before", F.lag("close").over(Window.partitionBy("symbol").orderBy("trade_date")))
+    firsts = quoted.filter("before is null").select("symbol", F.col("trade_date").alias("first_quote"))
+    known = holdings.select("wallet_id", "symbol", "shares", "bought_at").join(firsts, "symbol", "left").withColumn("priced", F.col("first_quote").isNotNull())
+    mine = known.filter("priced")
+
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    counts = F.col("bought_at").isNull() | (F.col("trade_date") > F.col("bought_at"))
+    step = money(F.col("shares") * F.col("close")) - F.coalesce(money(F.col("shares") * F.col("before")), F.lit(0).cast("decimal(28,6)"))
+    moves = mine.select("symbol", "wallet_id", "shares", "bought_at").join(quoted, "symbol")
+    moves = moves.select("wallet_id", "trade_date", F.when(counts, step).alias("dv"), zero.alias("dh"), F.when(counts & F.col("before").isNull(), -one).otherwise(zero).alias("dm"), F.lit(True).alias("quoted"))
+    bought = asof_join(mine.filter("bought_at is not null"), quoted, "symbol", "bought_at", "trade_date", ["close"])
+    buys = bought.select("wallet_id", F.col("bought_at").alias("trade_date"), money(F.col("shares") * F.col("close")).alias("dv"), one.alias("dh"), F.when(F.col("close").isNull(), one).otherwise(zero).alias("dm"), F.lit(False).alias("quoted"))
+    always = mine.filter("bought_at is null").select("wallet_id", F.lit("0001-01-01").cast("date").alias("trade_date"), F.lit(None).cast("decimal(28,6)").alias("dv"), one.alias("dh"), one.alias("dm"), F.lit(False).alias("quoted"))
+    g = moves.unionByName(buys).unionByName(always).groupBy("wallet_id", "trade_date").agg(F.sum("dv").alias("dv"), F.sum("dh").alias("dh"), F.sum("dm").alias("dm"), F.max("quoted").alias("quoted"))
+    w = _wallet().orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
+    sums = g.select("wallet_id", "trade_date", "quoted", F.sum("dv").over(w).cast("double").alias("value"), F.sum("dh").over(w).alias("held"), F.sum("dm").over(w).alias("missing"))
+    return sums.filter("quoted").drop("quoted"), known
+
+
 def value_series(holdings: DataFrame, prices: DataFrame) -> DataFrame:
-    """Wallet value on every date of its symbols. Prices carry forward; a holding counts from its purchase; a date with
-    a held symbol that has no price yet is withheld, as are dates with none held."""
-    mine = holdings.select("wallet_id", "symbol").distinct()
-    spine = prices.join(mine, "symbol").select("wallet_id", "trade_date").distinct()
-    grid = spine.join(holdings, "wallet_id").join(prices.select("symbol", "trade_date", "close"), ["symbol", "trade_date"], "left")
-    w = Window.partitionBy("wallet_id", "symbol").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
-    grid = grid.withColumn("price", F.last("close", ignorenulls=True).over(w)).filter(F.col("bought_at").isNull() | (F.col("bought_at") <= F.col("trade_date")))
-    g = grid.groupBy("wallet_id", "trade_date").agg(exact_sum(F.col("shares") * F.col("price")).alias("value"), F.bool_and(F.col("price").isNotNull()).alias("whole"), F.count("*").alias("held"))
-    return g.filter("whole").drop("whole")
+    """Wallet value on every date of its symbols. Prices carry forward; a holding counts from its purchase, without a
+    date from the start; a date with a held symbol that has no price yet is withheld, as are dates with none held.
+    Holdings whose symbol is never quoted are left out (see series_coverage)."""
+    return _value_points(holdings, prices)[0].filter("held > 0 and missing = 0").drop("missing")
+
+
+def series_start(holdings: DataFrame, prices: DataFrame) -> DataFrame:
+    """Where each wallet's series starts and why: purchase if nothing was held on an earlier quoted date, else coverage
+    (null without a point); with the first purchase among quoted holdings and the number of points."""
+    points, known = _value_points(holdings, prices)
+    shown = (F.col("held") > 0) & (F.col("missing") == 0)
+    g = points.groupBy("wallet_id").agg(F.min(F.when(shown, F.col("trade_date"))).alias("started_at"), F.coalesce(F.bool_or(F.col("held") == 0), F.lit(False)).alias("unheld"), F.count(F.when(shown, 1)).alias("points"))
+    first = known.groupBy("wallet_id").agg(F.min(F.when(F.col("priced"), F.col("bought_at"))).alias("first_purchase"))
+    why = F.when(F.col("started_at").isNotNull(), F.when(F.col("unheld"), "purchase").otherwise("coverage"))
+    return first.join(g, "wallet_id", "left").select("wallet_id", "started_at", why.alias("start_reason"), "first_purchase", F.coalesce("points", F.lit(0)).cast("long").alias("points"))
+
+
+def series_contributions(holdings: DataFrame, prices: DataFrame) -> DataFrame:
+    """Quoted holdings that join after a wallet's series has started: the series steps there without a return."""
+    started = series_start(holdings, prices).select("wallet_id", "started_at")
+    firsts = prices.filter("close is not null").select("symbol").distinct()
+    h = holdings.join(firsts, "symbol", "left_semi").join(started, "wallet_id").filter(F.col("bought_at") > F.col("started_at"))
+    return h.select("wallet_id", "symbol", F.col("bought_at").alias("joined_at"))
+
+
+def series_coverage(holdings: DataFrame, prices: DataFrame) -> DataFrame:
+    """Whether each holding's symbol is quoted at all."""
+    known = prices.filter("close is not null").select("symbol", F.lit(True).alias("priced")).distinct()
+    return holdings.select("wallet_id", "symbol").join(known, "symbol", "left").select("wallet_id", "symbol", F.coalesce("priced", F.lit(False)).alias("priced"))
 
 
 def range_change(series: DataFrame) -> DataFrame:
@@ -64,12 +113,15 @@ def range_change(series: DataFrame) -> DataFrame:
 
 
 def time_weighted_return(series: DataFrame) -> DataFrame:
-    """Segments between changes of what is held, their growths multiplied; one-point segments do not count."""
+    """Segments between changes of what is held, their growths multiplied; one-point segments do not count. With the
+    years from the first point to the last, and the yearly rate from one year on."""
     w = Window.partitionBy("wallet_id").orderBy("trade_date")
     s = series.withColumn("cut", F.coalesce((F.col("held") != F.lag("held").over(w)).cast("int"), F.lit(0)))
     s = s.withColumn("segment", F.sum("cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    g = s.groupBy("wallet_id", "segment").agg(F.count("*").alias("n"), F.min_by("value", "trade_date").alias("a"), F.max_by("value", "trade_date").alias("b")).filter("n > 1 and a > 0")
-    return g.groupBy("wallet_id").agg(((F.product(F.col("b") / F.col("a")) - 1) * 100).alias("twr_pct"), F.count("*").alias("segments"))
+    g = s.groupBy("wallet_id", "segment").agg(F.count("*").alias("n"), F.min_by("value", "trade_date").alias("a"), F.max_by("value", "trade_date").alias("b"), F.min("trade_date").alias("since"), F.max("trade_date").alias("until"))
+    counts = (F.col("n") > 1) & (F.col("a") > 0) & (F.col("b") > 0)
+    g = g.groupBy("wallet_id").agg(((F.product(F.when(counts, F.col("b") / F.col("a"))) - 1) * 100).alias("twr_pct"), F.count(F.when(counts, 1)).alias("segments"), (F.datediff(F.max("until"), F.min("since")) / 365.25).alias("years"))
+    return g.filter("segments > 0").withColumn("annualised_pct", annualise("twr_pct", "years"))
 
 
 def portfolio_score_current(holdings: DataFrame, quotes: DataFrame, scores: DataFrame) -> DataFrame:
@@ -183,8 +235,6 @@ def required_contribution(wallets: DataFrame, required: float, years: float, ret
 
 def portfolio_score_history(holdings: DataFrame, prices: DataFrame, timeline: DataFrame, dates: list[str]) -> DataFrame:
     """Value-weighted score of each wallet at each date, from prices and scores in force then. dates: one a month."""
-    from finquarry.operators.core import asof_join
-
     at = F.explode(F.array(*[F.lit(d).cast("date") for d in dates])).alias("at")
     h = holdings.select("wallet_id", "symbol", "shares", "bought_at", at)
     h = h.filter(F.col("bought_at").isNull() | (F.col("bought_at") <= F.col("at")))

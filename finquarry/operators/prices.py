@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from finquarry.functions.columns import range_position
+from finquarry.functions.columns import is_reit_word, range_position, safe_ratio
 
 
 def _by():
@@ -68,44 +68,86 @@ def chart_series(bars: DataFrame, since: str, interval: str) -> DataFrame:
     return g.select("symbol", "bucket", F.col("r.trade_date").alias("t"), F.col("r.close").alias("close"), F.col("r.adj_close").alias("adj_close"))
 
 
-def security_bundle(bars: DataFrame, short: int = 50, long: int = 200, vol: int = 90) -> DataFrame:
-    """Range, averages and last bar of every symbol, from one pass over ranked bars."""
-    b = bars.withColumn("rn", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("trade_date"))))
-    g = b.groupBy("symbol").agg(
-        F.max(F.when(F.col("rn") == 1, F.col("close"))).alias("close"), F.max(F.when(F.col("rn") == 2, F.col("close"))).alias("previous_close"), F.max("high").alias("high_52w"), F.min("low").alias("low_52w"),
-        F.avg(F.when(F.col("rn") <= short, F.col("close"))).alias("avg_short"), F.avg(F.when(F.col("rn") <= long, F.col("close"))).alias("avg_long"), F.avg(F.when(F.col("rn") <= vol, F.col("volume"))).alias("avg_volume"),
-    )
-    return g.withColumn("range_position", range_position("close", "low_52w", "high_52w"))
+def security_bundle(bars: DataFrame, dim: DataFrame, fin: DataFrame, scores: DataFrame, as_of: str, short: int = 50, long: int = 200, vol: int = 90) -> DataFrame:
+    """Every company of dim up to a date: its last bar, the range and first close of the year up to as_of, averages over
+    its last bars, and the ratios of its last annual statement.
 
-
-def security_bundle_as_of(bars: DataFrame, dim: DataFrame, fin: DataFrame, scores: DataFrame, as_of: str) -> DataFrame:
-    """security_bundle of every company with range and first close of the year up to as_of, and the ratios of its last
-    annual statement. Growth, margins and returns are fractions, debt_to_equity is in percent."""
+    Bars are read and ranked once; one aggregate with conditions gives all price figures. Growth, margins and returns are
+    fractions, debt_to_equity is in percent. A ratio is null unless both sides are finite and the divisor is not 0; a
+    growth needs a positive base; dividend_rate needs a company that pays. fin: fct_financials rows; a statement without
+    grossprofit gives no gross margin. Companies without bars or statements keep nulls.
+    """
     day = F.lit(as_of).cast("date")
-    known = bars.filter(F.col("trade_date") <= day)
-    year = known.filter(F.col("trade_date") >= F.add_months(day, -12)).groupBy("symbol").agg(F.max("high").alias("high_52w"), F.min("low").alias("low_52w"), F.min_by("close", "trade_date").alias("close_1y_ago"))
-    last = known.groupBy("symbol").agg(F.max_by(F.struct("trade_date", "open", "high", "low", "volume"), "trade_date").alias("r"))
-    last = last.select("symbol", F.col("r.trade_date").alias("price_as_of"), F.col("r.open").alias("open"), F.col("r.high").alias("day_high"), F.col("r.low").alias("day_low"), F.col("r.volume").alias("volume"))
-    averages = security_bundle(known).select("symbol", "close", "previous_close", F.col("avg_short").alias("ma_50"), F.col("avg_long").alias("ma_200"), F.col("avg_volume").alias("avg_volume_90"))
-    w = Window.partitionBy("symbol").orderBy("period_end")
-    f = fin.filter("period_type = 'annual'").withColumns({"revenue_0": F.lag("totalrevenue").over(w), "income_0": F.lag("netincome").over(w)}).filter("recency_rank = 1")
-    f = f.select("symbol", "totalrevenue", "netincome", "operatingincome", "ebitda", "freecashflow", "totaldebt", "cashandcashequivalents", "totalassets", "stockholdersequity", "dilutedaverageshares", "dilutedeps", "cashdividendspaid", "revenue_0", "income_0")
-    b = dim.select("symbol", "name", "sector", "industry", "currency", "market_cap", "trailing_pe", "dividend_yield_pct")
-    for t in (last, averages, year, f, scores.select("symbol", "pays_dividend")):
-        b = b.join(t, "symbol", "left")
+    rank = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("trade_date")))
+    b = bars.filter(F.col("trade_date") <= day).withColumn("rn", rank)
+    at = lambda n, c: F.max(F.when(F.col("rn") == n, F.col(c)))
+    year = F.col("trade_date") >= F.add_months(day, -12)
+    first = lambda c: F.min_by(F.when(year, F.col(c)), F.when(year, F.col("trade_date")))
+    last = {"price_as_of": "trade_date", "open": "open", "day_high": "high", "day_low": "low", "close": "close", "volume": "volume"}
+    g = b.groupBy("symbol").agg(
+        *[at(1, c).alias(k) for k, c in last.items()], at(2, "close").alias("previous_close"), F.max(F.when(year, F.col("high"))).alias("high_52w"), F.min(F.when(year, F.col("low"))).alias("low_52w"), first("close").alias("close_1y_ago"),
+        F.avg(F.when(F.col("rn") <= short, F.col("close"))).alias("ma_50"), F.avg(F.when(F.col("rn") <= long, F.col("close"))).alias("ma_200"), F.avg(F.when(F.col("rn") <= vol, F.col("volume"))).alias("avg_volume_90"),
+    )
+    f = fin.filter("period_type = 'annual' and recency_rank <= 2")
+    if "grossprofit" not in fin.columns:
+        f = f.withColumn("grossprofit", F.lit(None).cast("double"))
+    lines = ["totalrevenue", "grossprofit", "netincome", "operatingincome", "ebitda", "freecashflow", "totaldebt", "cashandcashequivalents", "totalassets", "stockholdersequity", "dilutedaverageshares", "dilutedeps", "cashdividendspaid"]
+    of = lambda r, c: F.max(F.when(F.col("recency_rank") == r, F.col(c)))
+    f = f.groupBy("symbol").agg(*[of(1, c).alias(c) for c in lines], of(2, "totalrevenue").alias("revenue_0"), of(2, "netincome").alias("income_0"))
+    out = dim
+    for t in (g, f, scores.select("symbol", "pays_dividend")):
+        out = out.join(t, "symbol", "left")
+    over = {
+        "price_to_sales": ("market_cap", "totalrevenue"), "price_to_book": ("market_cap", "stockholdersequity"), "book_per_share": ("stockholdersequity", "dilutedaverageshares"), "gross_margin": ("grossprofit", "totalrevenue"),
+        "profit_margin": ("netincome", "totalrevenue"), "operating_margin": ("operatingincome", "totalrevenue"), "return_on_assets": ("netincome", "totalassets"),
+    }
     grown = lambda now, then: F.when(F.col(then) > 0, (F.col(now) - F.col(then)) / F.col(then))
-    over = {"price_to_sales": ("market_cap", "totalrevenue"), "price_to_book": ("market_cap", "stockholdersequity"), "book_per_share": ("stockholdersequity", "dilutedaverageshares"), "profit_margin": ("netincome", "totalrevenue"), "operating_margin": ("operatingincome", "totalrevenue"), "return_on_assets": ("netincome", "totalassets")}
-    return b.withColumns({
-        "range_position": range_position("close", "low_52w", "high_52w"),
-        "enterprise_value": F.col("market_cap") + F.col("totaldebt") - F.coalesce("cashandcashequivalents", F.lit(0.0)),
-        **{k: F.try_divide(x, y) for k, (x, y) in over.items()},
-        "payout_ratio": F.try_divide(F.abs("cashdividendspaid"), "netincome"),
-        "debt_to_equity": F.try_divide("totaldebt", "stockholdersequity") * 100,
-        "dividend_rate": F.when(F.col("pays_dividend"), F.col("dividend_yield_pct") / 100 * F.col("close")),
+    return out.withColumns({
+        "range_position": range_position("close", "low_52w", "high_52w"), "enterprise_value": F.col("market_cap") + F.col("totaldebt") - F.coalesce("cashandcashequivalents", F.lit(0.0)), **{k: safe_ratio(x, y) for k, (x, y) in over.items()},
+        "payout_ratio": safe_ratio(F.abs("cashdividendspaid"), "netincome"), "debt_to_equity": safe_ratio("totaldebt", "stockholdersequity") * 100, "dividend_rate": F.when(F.col("pays_dividend"), F.col("dividend_yield_pct") / 100 * F.col("close")),
         "change_52w": grown("close", "close_1y_ago"), "revenue_growth": grown("totalrevenue", "revenue_0"), "earnings_growth": grown("netincome", "income_0"),
     }).drop("revenue_0", "income_0")
 
 
+#: A profile's groups and their metrics in order, as (label, column of the bundle, kind). Columns of kind
+#: share are fractions that are shown in percent; dates are epoch seconds.
+PROFILE = {
+    "Valuation": [("Market cap", "market_cap", "currency"), ("Enterprise value", "enterprise_value", "currency"), ("P/E (TTM)", "trailing_pe", "ratio"), ("Forward P/E", "forward_pe", "ratio"), ("PEG ratio", "peg_ratio", "ratio"), ("Price / sales", "price_to_sales", "ratio"), ("Price / book", "price_to_book", "ratio"), ("EV / EBITDA", "ev_to_ebitda", "ratio")],
+    "Profitability": [("Gross margin", "gross_margin", "share"), ("Operating margin", "operating_margin", "share"), ("Profit margin", "profit_margin", "share"), ("Return on equity", "return_on_equity_pct", "percent"), ("Return on assets", "return_on_assets", "share"), ("Revenue (TTM)", "totalrevenue", "currency"), ("Free cash flow", "freecashflow", "currency"), ("EPS (TTM)", "dilutedeps", "currency")],
+    "Growth": [("Revenue growth (YoY)", "revenue_growth", "share"), ("Earnings growth (YoY)", "earnings_growth", "share"), ("Quarterly earnings growth", "quarterly_earnings_growth", "share"), ("52-week change", "change_52w", "share")],
+    "Dividend": [("Dividend yield", "dividend_yield_pct", "percent"), ("Annual dividend", "dividend_rate", "currency"), ("Payout ratio", "payout_ratio", "share"), ("5-year average yield", "five_year_avg_dividend_yield_pct", "percent"), ("Ex-dividend date", "ex_dividend_epoch", "date"), ("Next dividend date", "next_dividend_epoch", "date")],
+    "Balance sheet": [("Total cash", "cashandcashequivalents", "currency"), ("Total debt", "totaldebt", "currency"), ("Debt / equity", "debt_to_equity", "ratio"), ("Current ratio", "current_ratio", "ratio"), ("Book value / share", "book_per_share", "currency"), ("Shares outstanding", "shares_outstanding", "integer")],
+    "Trading": [("Beta (5Y monthly)", "beta", "ratio"), ("Volume", "volume", "integer"), ("Average volume", "avg_volume_90", "integer"), ("50-day average", "ma_50", "currency"), ("200-day average", "ma_200", "currency"), ("Short % of float", "short_percent_of_float", "share")],
+}
+#: The metrics that a REIT's reported earnings make hard to compare.
+EARNINGS_BASED = ("P/E (TTM)", "Forward P/E", "PEG ratio")
+
+
+def profile_metrics(bundle: DataFrame) -> DataFrame:
+    """The 38 metrics of every company as rows: symbol, place (1 to 38), group, label, value, day (of dates), kind,
+    comparable (false where a REIT's earnings mislead).
+
+    A metric without a value has no row; the dividend group has rows only with a yield or a rate. The groups are one
+    array of structs a company, filtered and exploded in its row, so nothing is shuffled. Columns that the bundle lacks
+    count as null.
+    """
+    b = bundle.withColumn("ev_to_ebitda", safe_ratio("enterprise_value", "ebitda"))
+    reit = is_reit_word("industry")
+    null = F.lit(None).cast("double")
+    rows, place = [], 0
+    for group, metrics in PROFILE.items():
+        for label, column, kind in metrics:
+            place += 1
+            v = F.col(column).cast("double") if column in b.columns else null
+            v = F.when(~F.isnan(v), v * 100 if kind == "share" else v)
+            day = F.timestamp_seconds(v).cast("date") if kind == "date" else F.lit(None).cast("date")
+            fields = {"place": F.lit(place), "group": F.lit(group), "label": F.lit(label), "value": null if kind == "date" else v, "day": day, "kind": F.lit("percent" if kind == "share" else kind), "comparable": ~reit if label in EARNINGS_BASED else F.lit(True)}
+            rows.append(F.struct(*[c.alias(k) for k, c in fields.items()]))
+    pays = F.col("dividend_yield_pct").isNotNull() | F.col("dividend_rate").isNotNull()
+    shown = F.filter(F.array(*rows), lambda m: (m["value"].isNotNull() | m["day"].isNotNull()) & ((m["group"] != "Dividend") | pays))
+    return b.select("symbol", F.explode(shown).alias("m")).select("symbol", "m.*")
+
+
 def price_watermarks(bars: DataFrame) -> DataFrame:
     return bars.groupBy("symbol").agg(F.max("trade_date").alias("last_date"), F.max_by("close", "trade_date").alias("last_close"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from finquarry.operators.prices import EARNINGS_BASED, PROFILE
 from finquarry.operators.statements import ALL_FLOWS, ALL_METRICS, FLOWS, METRICS
 from finquarry.sources.adapters import AS_OF, LINES, MORE_LINES, SPLIT_DATE
 
@@ -128,6 +129,12 @@ STEPS["priced"] = "SELECT wallet_id, symbol, shares, value, day_change, cost_tot
 STEPS["value_series"] = """SELECT wallet_id, trade_date, value, held FROM (SELECT wallet_id, trade_date, sum(shares * price) AS value, bool_and(price IS NOT NULL) AS whole, count(*) AS held FROM (
   SELECT g.*, last_value(close IGNORE NULLS) OVER (PARTITION BY wallet_id, symbol ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS price FROM (SELECT s.wallet_id, s.trade_date, h.symbol, h.shares, h.bought_at, b.close FROM (SELECT DISTINCT wallet_id, trade_date FROM bars JOIN holdings USING (symbol)) s
   JOIN holdings h USING (wallet_id) LEFT JOIN bars b ON b.symbol = h.symbol AND b.trade_date = s.trade_date) g) WHERE bought_at IS NULL OR bought_at <= trade_date GROUP BY 1, 2) WHERE whole"""
+STEPS["mixed_holdings"] = "SELECT DISTINCT user_id % 23 AS wallet_id, CASE WHEN user_id % 12 = 7 THEN user_id + 1000000 ELSE user_id END AS symbol, (1.0 + user_id % 7)::DOUBLE AS shares, CASE WHEN user_id % 4 <> 0 THEN DATE '2024-01-01' + (user_id % 20)::INT - CASE WHEN user_id % 5 = 0 THEN 40 ELSE 0 END END AS bought_at FROM events"
+STEPS["mixed_grid"] = """SELECT wallet_id, trade_date, sum(CASE WHEN own THEN shares * price END) AS value, bool_and(price IS NOT NULL) FILTER (WHERE own) AS whole, count(*) FILTER (WHERE own) AS held FROM (
+  SELECT g.*, bought_at IS NULL OR bought_at <= trade_date AS own, last_value(close IGNORE NULLS) OVER (PARTITION BY wallet_id, symbol ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS price FROM (SELECT s.wallet_id, s.trade_date, h.symbol, h.shares, h.bought_at, b.close FROM (SELECT DISTINCT wallet_id, trade_date FROM bars JOIN mixed_holdings USING (symbol)) s
+  JOIN (SELECT * FROM mixed_holdings WHERE symbol IN (SELECT symbol FROM bars)) h USING (wallet_id) LEFT JOIN bars b ON b.symbol = h.symbol AND b.trade_date = s.trade_date) g) GROUP BY 1, 2"""
+STEPS["mixed_start"] = """SELECT h.wallet_id, started_at, CASE WHEN started_at IS NOT NULL THEN CASE WHEN unheld THEN 'purchase' ELSE 'coverage' END END AS start_reason, first_purchase, coalesce(points, 0) AS points FROM (SELECT wallet_id, min(bought_at) FILTER (WHERE symbol IN (SELECT symbol FROM bars)) AS first_purchase FROM mixed_holdings GROUP BY 1) h
+  LEFT JOIN (SELECT wallet_id, min(trade_date) FILTER (WHERE held > 0 AND whole) AS started_at, bool_or(held = 0) AS unheld, count(*) FILTER (WHERE held > 0 AND whole) AS points FROM mixed_grid GROUP BY 1) g USING (wallet_id)"""
 STEPS["totals"] = """SELECT symbol, window_index, sum(amount) AS amount, max(per_year)::BIGINT AS per_year FROM (SELECT d.symbol, amount, floor(back / per_year)::BIGINT AS window_index, per_year, n FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY pay_date DESC) - 1 AS back FROM dividends) d
   JOIN (SELECT symbol, n, greatest(1, least(12, round(365.25 / gaps[len(gaps) // 2 + 1])::INT)) AS per_year FROM (SELECT symbol, count(*) AS n, list_sort(list(gap) FILTER (WHERE gap IS NOT NULL)) AS gaps FROM (SELECT symbol, date_diff('day', lag(pay_date) OVER (PARTITION BY symbol ORDER BY pay_date), pay_date) AS gap FROM dividends) GROUP BY symbol) WHERE len(gaps) > 0) p USING (symbol)) WHERE window_index < 11 AND (window_index + 1) * per_year <= n GROUP BY 1, 2"""
 STEPS["old_holdings"] = "SELECT c_custkey % 10 AS wallet_id, c_custkey AS symbol, (1.0 + c_custkey % 7)::DOUBLE AS shares, CASE WHEN c_custkey % 4 <> 0 THEN DATE '1996-01-01' + (c_custkey % 1000)::INT END AS bought_at FROM customer"
@@ -149,8 +156,36 @@ STEPS["projected"] = f"""SELECT wallet_id, symbol, shares * c / 100.0::DOUBLE AS
 
 
 # The on-line score, brute force: every point with all of its earlier statements and payments.
-STEPS["old_bars"] = """SELECT symbol, trade_date, close, close * (1.0::DOUBLE - l_discount) AS adj_close FROM (SELECT l_suppkey AS symbol, l_shipdate::DATE AS trade_date, l_discount, floor(l_extendedprice / l_quantity * 100) / 100.0::DOUBLE AS close,
-  row_number() OVER (PARTITION BY l_suppkey, l_shipdate::DATE ORDER BY l_orderkey DESC, l_linenumber DESC) AS n FROM lineitem WHERE l_quantity > 0) WHERE n = 1 AND close > 0"""
+STEPS["old_bars"] = """SELECT symbol, trade_date, arg_min(price, k) AS open, max(price) AS high, min(price) AS low, arg_max(price, k) AS close, sum(q::BIGINT)::BIGINT AS volume, arg_max(price, k) * (1.0::DOUBLE - arg_max(l_discount, k)) AS adj_close FROM (
+  SELECT l_suppkey AS symbol, l_shipdate::DATE AS trade_date, l_discount, l_quantity AS q, floor(l_extendedprice / l_quantity * 100) / 100.0::DOUBLE AS price, (l_orderkey, l_linenumber) AS k FROM lineitem WHERE l_quantity > 0) WHERE price > 0 GROUP BY 1, 2"""
+STEPS["supplier_holdings"] = "SELECT s_suppkey % 7 AS wallet_id, s_suppkey AS symbol, (1.0 + s_suppkey % 5)::DOUBLE AS shares, DATE '1995-03-01' + (s_suppkey * 13 % 1500)::INT AS bought_at FROM supplier"
+STEPS["supplier_series"] = """SELECT wallet_id, trade_date, value, held FROM (SELECT wallet_id, trade_date, sum(shares * price) AS value, bool_and(price IS NOT NULL) AS whole, count(*) AS held FROM (
+  SELECT g.*, last_value(close IGNORE NULLS) OVER (PARTITION BY wallet_id, symbol ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS price FROM (SELECT s.wallet_id, s.trade_date, h.symbol, h.shares, h.bought_at, b.close FROM (SELECT DISTINCT wallet_id, trade_date FROM old_bars JOIN supplier_holdings USING (symbol)) s
+  JOIN (SELECT * FROM supplier_holdings WHERE symbol IN (SELECT symbol FROM old_bars)) h USING (wallet_id) LEFT JOIN old_bars b ON b.symbol = h.symbol AND b.trade_date = s.trade_date) g) WHERE bought_at <= trade_date GROUP BY 1, 2) WHERE whole"""
+def _not(n: int, x: str) -> str:
+    return f"CASE WHEN symbol % {n} <> 1 THEN {x} END"
+
+
+STEPS["securities_full"] = f"""SELECT * EXCLUDE (dividend_yield_pct), CASE WHEN symbol % 9 <> 0 THEN dividend_yield_pct END AS dividend_yield_pct, {_not(11, "7.0 + symbol % 25")} AS forward_pe, {_not(5, "(symbol % 30) / 16.0")} AS peg_ratio, {_not(7, "0.5 + (symbol % 16) / 16.0")} AS beta, {_not(13, "0.5 + (symbol % 24) / 8.0")} AS current_ratio,
+  {_not(17, "1000 + symbol * 37 % 5000")} AS shares_outstanding, {_not(6, "(symbol % 40) / 512.0")} AS short_percent_of_float, {_not(8, "(symbol % 21 - 10) / 64.0")} AS quarterly_earnings_growth, {_not(4, "946684800 + symbol * 86400")} AS ex_dividend_epoch, CASE WHEN symbol % 4 = 2 THEN 962409600 + symbol * 86400 END AS next_dividend_epoch FROM securities"""
+
+
+def _bundle(bars: str, day: str) -> str:
+    year = f"trade_date >= (DATE '{day}' - INTERVAL 12 MONTH)::DATE"
+    return f"""SELECT *, CASE WHEN high_52w > low_52w THEN greatest(0, least(100, (close - low_52w) / (high_52w - low_52w) * 100)) END AS range_position, market_cap + totaldebt - coalesce(cashandcashequivalents, 0) AS enterprise_value, market_cap / nullif(totalrevenue, 0) AS price_to_sales, market_cap / nullif(stockholdersequity, 0) AS price_to_book,
+      stockholdersequity / nullif(dilutedaverageshares, 0) AS book_per_share, grossprofit / nullif(totalrevenue, 0) AS gross_margin, netincome / nullif(totalrevenue, 0) AS profit_margin, operatingincome / nullif(totalrevenue, 0) AS operating_margin, netincome / nullif(totalassets, 0) AS return_on_assets, abs(cashdividendspaid) / nullif(netincome, 0) AS payout_ratio,
+      totaldebt / nullif(stockholdersequity, 0) * 100 AS debt_to_equity, CASE WHEN pays_dividend THEN dividend_yield_pct / 100 * close END AS dividend_rate, CASE WHEN close_1y_ago > 0 THEN (close - close_1y_ago) / close_1y_ago END AS change_52w, CASE WHEN r0 > 0 THEN (totalrevenue - r0) / r0 END AS revenue_growth, CASE WHEN i0 > 0 THEN (netincome - i0) / i0 END AS earnings_growth
+      FROM securities_full LEFT JOIN (SELECT symbol, max(trade_date) AS price_as_of, arg_max(open, trade_date) AS open, arg_max(high, trade_date) AS day_high, arg_max(low, trade_date) AS day_low, arg_max(close, trade_date) AS close, arg_max(volume, trade_date) AS volume, max(close) FILTER (WHERE rn = 2) AS previous_close, max(high) FILTER (WHERE {year}) AS high_52w,
+        min(low) FILTER (WHERE {year}) AS low_52w, arg_min(close, trade_date) FILTER (WHERE {year}) AS close_1y_ago, avg(close) FILTER (WHERE rn <= 50) AS ma_50, avg(close) FILTER (WHERE rn <= 200) AS ma_200, avg(volume) FILTER (WHERE rn <= 90) AS avg_volume_90 FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS rn FROM {bars} WHERE trade_date <= DATE '{day}') GROUP BY symbol) USING (symbol)
+      LEFT JOIN (SELECT * EXCLUDE (period_type, period_end), lead(totalrevenue) OVER w AS r0, lead(netincome) OVER w AS i0 FROM fin_full WHERE period_type = 'annual' WINDOW w AS (PARTITION BY symbol ORDER BY recency_rank) QUALIFY recency_rank = 1) USING (symbol) LEFT JOIN (SELECT symbol, pays_dividend FROM score) USING (symbol)"""
+
+
+STEPS["bundle_old"], STEPS["bundle_new"] = _bundle("old_bars", "2000-06-30"), _bundle("bars", "2024-01-31")
+STEPS["bundle_ev"] = "SELECT *, enterprise_value / nullif(ebitda, 0) AS ev_to_ebitda FROM bundle_old"
+_share = {"share": "({}) * 100"}
+STEPS["profile"] = "SELECT symbol, place, \"group\", label, value, day, kind, comparable FROM (" + " UNION ALL ".join(
+    f"SELECT symbol, dividend_yield_pct, dividend_rate, {n} AS place, '{g}' AS \"group\", '{label}' AS label, {'NULL::DOUBLE' if kind == 'date' else _share.get(kind, '{}').format(c) + '::DOUBLE'} AS value, {f'to_timestamp({c})::DATE' if kind == 'date' else 'NULL::DATE'} AS day, '{'percent' if kind == 'share' else kind}' AS kind, {'NOT is_reit' if label in EARNINGS_BASED else 'true'} AS comparable FROM bundle_ev"
+    for n, (g, label, c, kind) in enumerate(((g, *m) for g, ms in PROFILE.items() for m in ms), 1)) + ") WHERE (value IS NOT NULL OR day IS NOT NULL) AND (\"group\" <> 'Dividend' OR dividend_yield_pct IS NOT NULL OR dividend_rate IS NOT NULL)"
 STEPS["old_months"] = "SELECT symbol, t, close, adj_close FROM (SELECT symbol, trade_date AS t, close, adj_close, row_number() OVER (PARTITION BY symbol, date_trunc('month', trade_date) ORDER BY trade_date DESC) AS n FROM old_bars) WHERE n = 1"
 _m = ", ".join(METRICS)
 STEPS["sl_rows"] = f"""SELECT symbol, 'annual' AS kind, period_end, {_m}, NULL::BIGINT AS quarters_used, 0 AS lane FROM wide_annual UNION ALL
@@ -165,7 +200,7 @@ _cash = ", ".join(f"sum({x}) FILTER (WHERE back <= 3 AND cashdividendspaid IS NO
 STEPS["sl_states"] = f"SELECT symbol, kind, period, {', '.join(f'max({c}) FILTER (WHERE back = 1) AS {c}' for c in [*METRICS, 'quarters_used', 'period_end'])}, count(*) AS statement_periods, count(cashdividendspaid) FILTER (WHERE back <= 3) AS payout_years, {_values}, {_cash} FROM sl_series GROUP BY 1, 2, 3"
 STEPS["sl_record"] = """SELECT p.symbol, kind, period, list(amount ORDER BY pay_date) AS a, list_sort(list(gap) FILTER (WHERE gap IS NOT NULL)) AS g, sum(amount) FILTER (WHERE pay_date > period - 365) AS paid_1y
   FROM sl_points p JOIN (SELECT *, date_diff('day', lag(pay_date) OVER (PARTITION BY symbol ORDER BY pay_date), pay_date) AS gap FROM dividends) d ON d.symbol = p.symbol AND pay_date <= period GROUP BY 1, 2, 3"""
-STEPS["sl_totals"] = """SELECT *, list_transform(range(1, least(11, len(a) // py) + 1), lambda k: list_sum(a[(len(a) - k * py + 1) : (len(a) - (k - 1) * py)])) AS t FROM (
+STEPS["sl_totals"] = """SELECT *, CASE WHEN py IS NOT NULL THEN list_transform(range(1, least(11, len(a) // py) + 1), lambda k: list_sum(a[(len(a) - k * py + 1) : (len(a) - (k - 1) * py)])) END AS t FROM (
   SELECT *, CASE WHEN g[len(g) // 2 + 1] > 0 THEN greatest(1, least(12, round(365.25 / g[len(g) // 2 + 1])))::BIGINT END AS py FROM sl_record)"""
 STEPS["sl_paid"] = f"""SELECT symbol, kind, period, paid_1y, greatest(coalesce(len(t), 0) - 1, 0)::BIGINT AS totals_compared, coalesce(list_position(rose, false) - 1, len(rose), 0)::BIGINT AS streak, CASE WHEN len(t) > 1 THEN {_cagr("t[least(6, len(t))]", "t[1]", "(least(6, len(t)) - 1)")} END AS dividend_cagr
   FROM (SELECT *, CASE WHEN len(t) > 1 THEN list_transform(range(1, len(t)), lambda i: t[i] > t[i + 1] * 1.001::DOUBLE) END AS rose FROM sl_totals)"""

@@ -53,6 +53,9 @@ class Tables:
     def score(self) -> DataFrame:
         return scoring.quality_score(self.dim(), self.annual_fin(), self.windows())
 
+    def bundle(self) -> DataFrame:
+        return prices.security_bundle(self.old_bars, self.securities_full, self.fin_full(), self.score(), "2000-06-30")
+
     def live(self) -> DataFrame:
         return live_score.quality_score_live(self.dim(), A.statements_wide(self.spark, self.sf_dir), self.dividends)
 
@@ -135,7 +138,8 @@ ENTRIES: dict[str, tuple[Callable[[Tables], DataFrame], str | list[str], str]] =
     "ttm_fold": (lambda t: statements.ttm_fold(t.quarterly()), ["symbol", "period_end", *[f"{f}~" for f in statements.FLOWS], "totaldebt~", "quarters_used"], "ttm"),
     "income_statement": (lambda t: statements.income_statement(t.fin()), "symbol period_type period_end line value~", f"(UNPIVOT (SELECT symbol, period_type, period_end, {', '.join(statements.METRICS)}, net_margin_pct AS netmargin FROM fin WHERE recency_rank <= CASE WHEN period_type = 'annual' THEN 6 ELSE 8 END) ON {', '.join(statements.METRICS)}, netmargin INTO NAME line VALUE value)"),
     "financials_view": (lambda t: statements.financials_view(t.fin()), "symbol period_type period_end totalrevenue~ netincome~ freecashflow~ dilutedeps~", "(SELECT * FROM fin WHERE recency_rank <= CASE WHEN period_type = 'annual' THEN 10 ELSE 12 END)"),
-    "profile_metrics": (lambda t: statements.yearly_ratios(t.fin()), "symbol period_end roa~ debt_to_equity~ book_per_share~ revenue_growth_pct~ earnings_growth_pct~", "(SELECT symbol, period_end, netincome / nullif(totalassets, 0) AS roa, totaldebt / nullif(stockholdersequity, 0) AS debt_to_equity, stockholdersequity / nullif(dilutedaverageshares, 0) AS book_per_share, CASE WHEN r0 > 0 THEN (totalrevenue / r0 - 1) * 100 END AS revenue_growth_pct, CASE WHEN n0 > 0 THEN (netincome / n0 - 1) * 100 END AS earnings_growth_pct FROM (SELECT *, lag(totalrevenue) OVER w AS r0, lag(netincome) OVER w AS n0 FROM fin WINDOW w AS (PARTITION BY symbol, period_type ORDER BY period_end)) WHERE period_type = 'annual' AND recency_rank = 1)"),
+    "profile_metrics": (lambda t: prices.profile_metrics(t.bundle()), "symbol place# group label value~ day kind comparable", "profile"),
+    "yearly_ratios": (lambda t: statements.yearly_ratios(t.fin()), "symbol period_end roa~ debt_to_equity~ book_per_share~ revenue_growth_pct~ earnings_growth_pct~", "(SELECT symbol, period_end, netincome / nullif(totalassets, 0) AS roa, totaldebt / nullif(stockholdersequity, 0) AS debt_to_equity, stockholdersequity / nullif(dilutedaverageshares, 0) AS book_per_share, CASE WHEN r0 > 0 THEN (totalrevenue / r0 - 1) * 100 END AS revenue_growth_pct, CASE WHEN n0 > 0 THEN (netincome / n0 - 1) * 100 END AS earnings_growth_pct FROM (SELECT *, lag(totalrevenue) OVER w AS r0, lag(netincome) OVER w AS n0 FROM fin WINDOW w AS (PARTITION BY symbol, period_type ORDER BY period_end)) WHERE period_type = 'annual' AND recency_rank = 1)"),
     "quality_score": (Tables.score, ["symbol", "name", "sector", "is_reit", "scoring_basis", "fiscal_year_end", "overall_score", "grade", "coverage_pct", *[f"pillar_{p}" for p in ("dividend", "balance_sheet", "growth", "profitability", "valuation")], "pays_dividend", "raise_streak#", *[f"{c}~" for c in oracle.SCORE_INPUTS]], "score"),
     "screener": (lambda t: scoring.screener(t.score(), basis="standard"), "symbol name sector overall_score grade", "(SELECT * FROM score WHERE scoring_basis = 'standard')"),
     "sector_summary": (lambda t: scoring.sector_summary(t.score()), "sector companies avg_score~ avg_payout~ avg_leverage~ reits", "(SELECT coalesce(sector, 'Unclassified') AS sector, count(*) AS companies, round(avg(overall_score), 1) AS avg_score, round(avg(payout_pct), 1) AS avg_payout, round(avg(net_debt_to_ebitda), 2) AS avg_leverage, sum(is_reit::INT)::BIGINT AS reits FROM score GROUP BY 1)"),
@@ -152,8 +156,8 @@ ENTRIES: dict[str, tuple[Callable[[Tables], DataFrame], str | list[str], str]] =
     "returns_since": (lambda t: prices.returns_since(t.bars, DATE), "symbol first_date last_date total_return~", _RETURNS.format(day=DATE)),
     "month_end_history": (lambda t: core.month_end_history(t.bars), "symbol t close~ adj_close~", "months"),
     "chart_series": (lambda t: prices.chart_series(t.bars, DATE, "week"), "symbol bucket t close~", "(SELECT symbol, date_trunc('week', trade_date)::DATE AS bucket, max(trade_date) AS t, arg_max(close, trade_date) AS close FROM bars WHERE trade_date >= DATE '2024-01-10' GROUP BY 1, 2)"),
-    "security_bundle": (lambda t: prices.security_bundle(t.bars, 5, 20, 9), "symbol close~ previous_close~ high_52w~ low_52w~ avg_short~ avg_long~ avg_volume~ range_position~", "(SELECT *, CASE WHEN high_52w > low_52w THEN greatest(0, least(100, (close - low_52w) / (high_52w - low_52w) * 100)) END AS range_position FROM (SELECT symbol, max(CASE WHEN n = 1 THEN close END) AS close, max(CASE WHEN n = 2 THEN close END) AS previous_close, max(high) AS high_52w, min(low) AS low_52w, avg(CASE WHEN n <= 5 THEN close END) AS avg_short, avg(CASE WHEN n <= 20 THEN close END) AS avg_long, avg(CASE WHEN n <= 9 THEN volume END) AS avg_volume FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_date DESC) AS n FROM bars) GROUP BY symbol))"),
-    "security_bundle_as_of": (lambda t: prices.security_bundle_as_of(t.bars, t.dim(), t.fin(), t.score(), "2024-01-31"), "symbol price_as_of close~ previous_close~ high_52w~ low_52w~ close_1y_ago~ change_52w~ ma_50~ ma_200~ avg_volume_90~ range_position~ enterprise_value~ price_to_sales~ price_to_book~ book_per_share~ profit_margin~ operating_margin~ return_on_assets~ debt_to_equity~ payout_ratio~ dividend_rate~ revenue_growth~ earnings_growth~", ""),
+    "security_bundle": (Tables.bundle, "symbol price_as_of open~ day_high~ day_low~ close~ previous_close~ volume high_52w~ low_52w~ close_1y_ago~ change_52w~ ma_50~ ma_200~ avg_volume_90~ range_position~ enterprise_value~ price_to_sales~ price_to_book~ book_per_share~ gross_margin~ profit_margin~ operating_margin~ return_on_assets~ debt_to_equity~ payout_ratio~ dividend_rate~ revenue_growth~ earnings_growth~", "bundle_old"),
+    "security_bundle_as_of": (lambda t: prices.security_bundle(t.bars, t.securities_full, t.fin_full(), t.score(), "2024-01-31"), "symbol price_as_of open~ day_high~ day_low~ close~ previous_close~ volume high_52w~ low_52w~ close_1y_ago~ change_52w~ ma_50~ ma_200~ avg_volume_90~ range_position~ enterprise_value~ price_to_sales~ price_to_book~ book_per_share~ gross_margin~ profit_margin~ operating_margin~ return_on_assets~ debt_to_equity~ payout_ratio~ dividend_rate~ revenue_growth~ earnings_growth~", "bundle_new"),
     "price_watermarks": (lambda t: prices.price_watermarks(t.bars), "symbol last_date last_close~", "(SELECT symbol, max(trade_date) AS last_date, arg_max(close, trade_date) AS last_close FROM bars GROUP BY symbol)"),
     "detect_restatement": (lambda t: prices.detect_restatement(prices.price_watermarks(t.bars), t.bars.withColumn("close", F.when(F.col("symbol") % 5 == 0, F.col("close") * 1.1).otherwise(F.col("close")))), "symbol last_date last_close~ fresh_close~ ratio~", "(SELECT symbol, trade_date AS last_date, close AS last_close, close * 1.1::DOUBLE AS fresh_close, close * 1.1::DOUBLE / close AS ratio FROM latest WHERE symbol % 5 = 0)"),
     "merge_prices_incremental": (lambda t: prices.merge_prices(t.bars.filter("trade_date <= '2024-01-25'"), t.bars.withColumn("close", F.col("close") + 1)), "symbol trade_date close~", "(SELECT symbol, trade_date, CASE WHEN trade_date >= DATE '2024-01-15' THEN close + 1 ELSE close END AS close FROM bars)"),
@@ -174,8 +178,14 @@ ENTRIES: dict[str, tuple[Callable[[Tables], DataFrame], str | list[str], str]] =
     "wallet_totals": (lambda t: portfolio.wallet_totals(t.priced()), "wallet_id value~ day_change~ gain~ cost_coverage_pct~ holdings", _TOTALS),
     "best_worst_movers": (lambda t: portfolio.best_worst_movers(t.priced()), "wallet_id best worst", "(SELECT wallet_id, arg_max(symbol, (day_change, symbol)) AS best, arg_min(symbol, (day_change, symbol)) AS worst FROM priced WHERE day_change IS NOT NULL GROUP BY wallet_id)"),
     "value_series": (Tables.series, "wallet_id trade_date value~ held", "value_series"),
+    "value_series_mixed": (lambda t: portfolio.value_series(t.mixed_holdings, t.bars), "wallet_id trade_date value~ held", "(SELECT * FROM mixed_grid WHERE held > 0 AND whole)"),
+    "series_start": (lambda t: portfolio.series_start(t.mixed_holdings, t.bars), "wallet_id started_at start_reason first_purchase points", "mixed_start"),
+    "series_contributions": (lambda t: portfolio.series_contributions(t.mixed_holdings, t.bars), "wallet_id symbol joined_at", "(SELECT wallet_id, symbol, bought_at AS joined_at FROM mixed_holdings JOIN mixed_start USING (wallet_id) WHERE symbol IN (SELECT symbol FROM bars) AND bought_at > started_at)"),
+    "series_coverage": (lambda t: portfolio.series_coverage(t.mixed_holdings, t.bars), "wallet_id symbol priced", "(SELECT wallet_id, symbol, symbol IN (SELECT symbol FROM bars) AS priced FROM mixed_holdings)"),
     "range_change": (lambda t: portfolio.range_change(t.series()), "wallet_id change_pct~", "(SELECT wallet_id, (arg_max(value, trade_date) / nullif(arg_min(value, trade_date), 0) - 1) * 100 AS change_pct FROM value_series GROUP BY wallet_id)"),
     "time_weighted_return": (lambda t: portfolio.time_weighted_return(t.series()), "wallet_id twr_pct~ segments", "(SELECT wallet_id, (product(b / a) - 1) * 100 AS twr_pct, count(*) AS segments FROM (SELECT wallet_id, seg, count(*) AS n, arg_min(value, trade_date) AS a, arg_max(value, trade_date) AS b FROM (SELECT *, sum(cut) OVER (PARTITION BY wallet_id ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS seg FROM (SELECT *, coalesce((held <> lag(held) OVER (PARTITION BY wallet_id ORDER BY trade_date))::INT, 0) AS cut FROM value_series)) GROUP BY 1, 2) WHERE n > 1 AND a > 0 GROUP BY wallet_id)"),
+    "value_series_years": (lambda t: portfolio.value_series(t.supplier_holdings, t.old_bars), "wallet_id trade_date value~ held", "supplier_series"),
+    "time_weighted_return_years": (lambda t: portfolio.time_weighted_return(portfolio.value_series(t.supplier_holdings, t.old_bars)), "wallet_id twr_pct~ segments years~ annualised_pct~", "(SELECT *, CASE WHEN years >= 1 THEN (pow(1 + twr_pct / 100, 1.0 / years) - 1) * 100 END AS annualised_pct FROM (SELECT wallet_id, (product(b / a) FILTER (WHERE n > 1 AND a > 0) - 1) * 100 AS twr_pct, count(*) FILTER (WHERE n > 1 AND a > 0) AS segments, date_diff('day', min(d0), max(d1)) / 365.25 AS years FROM (SELECT wallet_id, seg, count(*) AS n, min(trade_date) AS d0, max(trade_date) AS d1, arg_min(value, trade_date) AS a, arg_max(value, trade_date) AS b FROM (SELECT *, sum(cut) OVER (PARTITION BY wallet_id ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS seg FROM (SELECT *, coalesce((held <> lag(held) OVER (PARTITION BY wallet_id ORDER BY trade_date))::INT, 0) AS cut FROM supplier_series)) GROUP BY 1, 2) GROUP BY wallet_id) WHERE segments > 0)"),
     "portfolio_score_current": (lambda t: portfolio.portfolio_score_current(t.holdings, t.latest(), t.score()), "wallet_id score~ coverage_pct~", "(SELECT wallet_id, sum(CASE WHEN overall_score IS NOT NULL THEN value * overall_score END) / nullif(sum(CASE WHEN overall_score IS NOT NULL THEN value END), 0) AS score, sum(CASE WHEN overall_score IS NOT NULL THEN value END) / nullif(sum(value), 0) * 100 AS coverage_pct FROM priced LEFT JOIN (SELECT symbol, overall_score FROM score) USING (symbol) GROUP BY wallet_id)"),
     "portfolio_excluded": (lambda t: portfolio.portfolio_excluded(t.holdings, t.latest(), t.score()), "wallet_id symbol reason", "(SELECT wallet_id, h.symbol, CASE WHEN l.symbol IS NULL THEN 'no price' ELSE 'no score' END AS reason FROM holdings h LEFT JOIN latest l USING (symbol) LEFT JOIN (SELECT symbol, overall_score FROM score) s USING (symbol) WHERE l.symbol IS NULL OR overall_score IS NULL)"),
     "group_by_facet": (lambda t: portfolio.group_by_facet(t.priced().withColumn("facet", (F.col("symbol") % 9).cast("string")), "facet"), "wallet_id label value~ members share_pct~", "(SELECT *, value / sum(value) OVER (PARTITION BY wallet_id) * 100 AS share_pct FROM (SELECT wallet_id, CASE WHEN groups > 6 AND rank > 5 THEN 'Other' ELSE label END AS label, sum(value) AS value, sum(members)::BIGINT AS members FROM (SELECT *, row_number() OVER (PARTITION BY wallet_id ORDER BY value DESC, label) AS rank, count(*) OVER (PARTITION BY wallet_id) AS groups FROM (SELECT wallet_id, (symbol % 9)::VARCHAR AS label, sum(value) AS value, count(*) AS members FROM priced WHERE value > 0 GROUP BY 1, 2)) GROUP BY 1, 2))"),

@@ -92,11 +92,29 @@ def statements_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def old_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closes out of the years of the statements: the unit price of a supplier's last line of a day; adj_close is after discount."""
+    """Bars out of the years of the statements: unit prices of a supplier's lines of a day; adj_close is after discount."""
     li = read(spark, sf_dir, "lineitem").filter("l_quantity > 0")
-    close = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100).cast("double") / 100.0
-    last = li.groupBy(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("trade_date")).agg(F.max_by(F.struct(close.alias("close"), "l_discount"), F.struct("l_orderkey", "l_linenumber")).alias("r"))
-    return last.select("symbol", "trade_date", F.col("r.close").alias("close"), (F.col("r.close") * (F.lit(1.0) - F.col("r.l_discount"))).alias("adj_close")).filter("close > 0")
+    price, at = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100).cast("double") / 100.0, F.struct("l_orderkey", "l_linenumber")
+    li = li.select(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("trade_date"), price.alias("price"), "l_discount", "l_quantity", at.alias("at")).filter("price > 0")
+    g = li.groupBy("symbol", "trade_date").agg(F.min_by("price", "at").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by(F.struct("price", "l_discount"), "at").alias("r"), F.sum(F.col("l_quantity").cast("long")).alias("volume"))
+    return g.select("symbol", "trade_date", "open", "high", "low", F.col("r.price").alias("close"), "volume", (F.col("r.price") * (F.lit(1.0) - F.col("r.l_discount"))).alias("adj_close"))
+
+
+def supplier_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wallets of suppliers, bought over the years of old_bars."""
+    k = F.col("s_suppkey")
+    return read(spark, sf_dir, "supplier").select((k % 7).alias("wallet_id"), k.alias("symbol"), (F.lit(1.0) + k % 5).alias("shares"), F.when(k % 3 != 0, F.lit(500.0) + k).alias("cost"), F.date_add(F.lit("1995-03-01").cast("date"), (k * 13 % 1500).cast("int")).alias("bought_at"))
+
+
+def securities_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """securities with every field that a profile shows, each missing for some companies."""
+    k = F.col("symbol")
+    some = lambda n, c: F.when(k % n != 1, c)
+    return securities(spark, sf_dir).withColumns({
+        "dividend_yield_pct": F.when(k % 9 != 0, F.col("dividend_yield_pct")), "forward_pe": some(11, 7.0 + k % 25), "peg_ratio": some(5, (k % 30) / 16.0), "beta": some(7, 0.5 + (k % 16) / 16.0), "current_ratio": some(13, 0.5 + (k % 24) / 8.0),
+        "shares_outstanding": some(17, (1000 + k * 37 % 5000).cast("double")), "short_percent_of_float": some(6, (k % 40) / 512.0), "quarterly_earnings_growth": some(8, (k % 21 - 10) / 64.0),
+        "ex_dividend_epoch": some(4, 946_684_800 + k * 86_400), "next_dividend_epoch": F.when(k % 4 == 2, 962_409_600 + k * 86_400),
+    })
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,3 +134,10 @@ def score_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = read(spark, sf_dir, "events").select(F.col("user_id").alias("symbol")).distinct()
     return u.select((F.col("symbol") % 10).alias("wallet_id"), "symbol", (F.lit(1.0) + F.col("symbol") % 7).alias("shares"), F.when(F.col("symbol") % 3 != 0, F.lit(100.0) + F.col("symbol")).alias("cost"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("symbol") % 20).cast("int")).alias("bought_at"))
+
+
+def mixed_holdings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """holdings with every fourth undated, some bought before the first bar, and some of symbols that no bar knows."""
+    h, k = holdings(spark, sf_dir), F.col("symbol")
+    bought = F.when(k % 4 != 0, F.when(k % 5 == 0, F.date_sub("bought_at", 40)).otherwise(F.col("bought_at")))
+    return h.select((k % 23).alias("wallet_id"), F.when(k % 12 == 7, k + 1_000_000).otherwise(k).alias("symbol"), "shares", "cost", bought.alias("bought_at"))

@@ -53,6 +53,6 @@ def test_bundle_ranges_over_one_year_and_has_ratios(spark):
     dim = spark.createDataFrame([(1, "n", "s", "i", "USD", 1000.0, 9.0, 2.0)], "symbol long, name string, sector string, industry string, currency string, market_cap double, trailing_pe double, dividend_yield_pct double")
     lines = "totalrevenue netincome operatingincome ebitda freecashflow totaldebt cashandcashequivalents totalassets stockholdersequity dilutedaverageshares dilutedeps cashdividendspaid".split()
     fin = spark.createDataFrame([(1, "annual", y, r, *([v] * len(lines))) for y, r, v in (("2022-12-31", 2, 80.0), ("2023-12-31", 1, 100.0))], f"symbol long, period_type string, period_end string, recency_rank long, {', '.join(f'{c} double' for c in lines)}")
-    r = prices.security_bundle_as_of(bars, dim, fin, spark.createDataFrame([(1, True)], "symbol long, pays_dividend boolean"), "2024-01-31").first()
+    r = prices.security_bundle(bars, dim, fin, spark.createDataFrame([(1, True)], "symbol long, pays_dividend boolean"), "2024-01-31").first()
     assert (r.close, r.high_52w, r.low_52w, r.close_1y_ago, r.change_52w) == (50.0, 51.0, 39.0, 40.0, 0.25)
     assert (r.enterprise_value, r.price_to_sales, r.debt_to_equity, r.dividend_rate, r.revenue_growth) == (1000.0, 10.0, 100.0, 1.0, 0.25)
