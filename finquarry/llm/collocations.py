@@ -1,9 +1,10 @@
 """Phrase collocations, counted in counting quotient filters.
 
-A word's id is a 64-bit hash that is checked to be different for every word of the table, so no dictionary is sent out.
-An n-gram is its packed ids. An invertible permutation makes its first 64 bits uniform; their top bits are the quotient,
-the rest and the other ids are the full remainder, so a filter holds exact counts in little room. Each task keeps filters
-of bounded size, writes them out by quotient as sorted blocks, and the blocks of a quotient are merged as sorted runs.
+A word's hash has 64 bits and is checked to be different for every word of the table. Its id is the place of the hash among
+those of the frequent words, sent out as a sorted array, or the hash itself where that array would be too large. An
+n-gram is its packed ids. An invertible permutation of just these bits gives a quotient and a full remainder, so a filter
+holds exact counts in little room. Each task keeps filters of bounded size, writes them out by quotient as sorted
+blocks, and the blocks of a quotient are merged as sorted runs.
 """
 
 from __future__ import annotations
@@ -26,8 +27,12 @@ BREAKS = b".,;:!?\n\x0b\x0c\r"
 CHUNK, WORDS, GRAMS = 2 << 20, 1 << 19, 1 << 21
 #: n-grams that a quotient is meant for, and the largest sieve in bits. Fuller sieves let more through, no less.
 QUOTIENT, SIEVE_BITS = 1 << 20, 27
+#: Frequent words whose hashes are sent to tasks, 8 bytes each; with more, ids are the hashes.
+DICTIONARY = 1 << 22
+#: Odd multipliers of the permutation.
+ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _TABLE = bytes(10 if c in BREAKS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
-_BREAK, _NONE = 0, 1
+_BREAK, _NONE = 0, 1  # ids of words begin at 2
 
 
 def chunks(texts: list[bytes]) -> Iterator[bytes]:
@@ -55,11 +60,12 @@ def word_id(word: bytes, seed: int) -> int:
 
 
 class Ids(dict):
-    """Ids of words, made on demand and forgotten when there are many."""
+    """Ids of words, made on demand and forgotten when there are many. With a dictionary, the sorted hashes of the words
+    that matter, other words are breaks."""
 
-    def __init__(self, seed: int):
+    def __init__(self, seed: int, dictionary: np.ndarray | None):
         super().__init__()
-        self.seed = seed
+        self.seed, self.dictionary = seed, dictionary
         self.clear()
 
     def clear(self) -> None:
@@ -67,7 +73,11 @@ class Ids(dict):
         self[b"\n"], self[b""] = _BREAK, _NONE
 
     def __missing__(self, word: bytes) -> int:
-        found = self[word] = word_id(word, self.seed)
+        found = word_id(word, self.seed)
+        if self.dictionary is not None:
+            at = int(np.searchsorted(self.dictionary, np.uint64(found)))
+            found = at + 2 if at < len(self.dictionary) and int(self.dictionary[at]) == found else _BREAK
+        self[word] = found
         return found
 
     def of(self, chunk: bytes) -> np.ndarray:
@@ -114,18 +124,67 @@ def word_counts(docs: DataFrame, seed: int) -> DataFrame:
     return counts.mapInArrow(named, "lang string, word binary, f long, id long")
 
 
-def permute(ids: list[np.ndarray]) -> list[np.ndarray]:
-    """Packed ids, the first made uniform: a bijection, undone by restore()."""
-    first = ids[0] ^ _fold(ids[1:])
-    return [first, ids[1] ^ mix64(first), *ids[2:]]
-
-
-def restore(cols: list[np.ndarray]) -> list[np.ndarray]:
-    second = cols[1] ^ mix64(cols[0])
-    return [cols[0] ^ _fold([second, *cols[2:]]), second, *cols[2:]]
+class Packing:
+    """n ids of `width` bits in as few 64-bit columns as hold them whole, the first one permuted: it is hashed with the
+    others and scrambled within its own bits, a bijection that unpack() undoes."""
+
+    def __init__(self, n: int, width: int, bits: int):
+        per = max(1, 64 // width)
+        self.parts = [range(a, min(n, a + per)) for a in range(0, n, per)]
+        self.n, self.width, self.sizes = n, width, [len(p) * width for p in self.parts]
+        self.first = self.sizes[0]
+        self.quotient_bits = min(bits, self.first)
+        self.mask, self.shift = np.uint64((1 << self.first) - 1), np.uint64((self.first + 1) // 2)
+        self.back = [np.uint64(pow(m, -1, 1 << 64)) for m in ODD]
+        self.bytes = [-(-(size - (self.quotient_bits if k == 0 else 0)) // 8) for k, size in enumerate(self.sizes)]
+
+    def pack(self, ids: list[np.ndarray]) -> list[np.ndarray]:
+        cols = []
+        for part in self.parts:
+            c = ids[part[0]]
+            for k in part[1:]:
+                c = c << np.uint64(self.width) | ids[k]
+            cols.append(c)
+        x = cols[0] ^ (fold(cols[1:]) & self.mask) if len(cols) > 1 else cols[0]
+        for m in ODD:
+            x = (x * np.uint64(m)) & self.mask
+            x = x ^ (x >> self.shift)
+        return [x, *cols[1:]]
+
+    def unpack(self, cols: list[np.ndarray]) -> list[np.ndarray]:
+        x = cols[0]
+        for m in reversed(self.back):
+            x = x ^ (x >> self.shift)
+            x = (x * m) & self.mask
+        cols = [x ^ (fold(cols[1:]) & self.mask) if len(cols) > 1 else x, *cols[1:]]
+        one = np.uint64((1 << self.width) - 1)
+        return [c >> np.uint64(self.width * (len(p) - 1 - k)) & one if len(p) > 1 else c for c, p in zip(cols, self.parts, strict=True) for k in range(len(p))]
+
+    def quotients(self, first: np.ndarray) -> np.ndarray:
+        return (first >> np.uint64(self.first - self.quotient_bits)).astype(np.int64) if self.quotient_bits else np.zeros(len(first), np.int64)
+
+    def to_block(self, cols: list[np.ndarray], counts: np.ndarray) -> tuple[bytes, bytes]:
+        """Remainders in whole bytes, and counters of one byte, longer ones behind them."""
+        low = cols[0] & np.uint64((1 << (self.first - self.quotient_bits)) - 1)
+        kept = [np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8)[:, :size] for c, size in zip([low, *cols[1:]], self.bytes, strict=True)]
+        return np.hstack(kept).tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.int64).tobytes()
+
+    def from_block(self, rest: bytes, counters: bytes, entries: int, quotient: int) -> tuple[list[np.ndarray], np.ndarray]:
+        rows, at, cols = np.frombuffer(rest, np.uint8).reshape(entries, sum(self.bytes)), 0, []
+        for size in self.bytes:
+            whole = np.zeros((entries, 8), np.uint8)
+            whole[:, :size] = rows[:, at : at + size]
+            cols.append(whole.view(np.uint64).ravel())
+            at += size
+        if self.quotient_bits:
+            cols[0] = cols[0] | np.uint64(quotient << (self.first - self.quotient_bits))
+        counts = np.frombuffer(counters, np.uint8, entries).astype(np.int64)
+        counts[counts == 255] = np.frombuffer(counters, np.int64, offset=entries)
+        return cols, counts
 
 
-def _fold(cols: list[np.ndarray]) -> np.ndarray:
+def fold(cols: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of each row."""
     out = np.uint64(0)
     for c in cols:
         out = mix64(c ^ out)
@@ -138,42 +197,20 @@ def collapse(cols: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarra
         return cols, counts
     order = np.argsort(cols[0], kind="stable")
     cols = [c[order] for c in cols]
-    same = cols[0][1:] == cols[0][:-1]
-    rest = np.logical_and.reduce([c[1:] == c[:-1] for c in cols[1:]])
-    if (same & ~rest).any():  # entries that share 64 bits by chance
+    same = [c[1:] == c[:-1] for c in cols]
+    if len(cols) > 1 and (same[0] & ~np.logical_and.reduce(same[1:])).any():  # entries that share their first column
         at = np.lexsort(cols[::-1])
         cols, order = [c[at] for c in cols], order[at]
-        same, rest = cols[0][1:] == cols[0][:-1], np.logical_and.reduce([c[1:] == c[:-1] for c in cols[1:]])
-    starts = np.flatnonzero(np.r_[True, ~(same & rest)])
+        same = [c[1:] == c[:-1] for c in cols]
+    starts = np.flatnonzero(np.r_[True, ~np.logical_and.reduce(same)])
     return [c[starts] for c in cols], np.add.reduceat(counts[order], starts)
 
 
-def to_block(cols: list[np.ndarray], counts: np.ndarray, bits: int) -> tuple[bytes, bytes]:
-    """Remainders, without the bytes that the quotient's bits fill, and counters of one byte, longer ones behind them."""
-    whole = 8 - bits // 8
-    kept = [np.ascontiguousarray(c).view(np.uint8).reshape(-1, 8)[:, : whole if k == 0 else 8] for k, c in enumerate(cols)]
-    return np.hstack(kept).tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype(np.int64).tobytes()
-
-
-def from_block(rest: bytes, counters: bytes, n: int, quotient: int, bits: int) -> tuple[list[np.ndarray], np.ndarray]:
-    whole = 8 - bits // 8
-    rows = np.frombuffer(rest, np.uint8).reshape(-1, whole + 8 * (n - 1))
-    first = np.zeros((len(rows), 8), np.uint8)
-    first[:, :whole] = rows[:, :whole]
-    first = first.view(np.uint64).ravel()
-    if bits:
-        low = np.uint64(64 - bits)
-        first = (first & ((np.uint64(1) << low) - np.uint64(1))) | np.uint64(quotient) << low
-    cols = [first, *(np.ascontiguousarray(rows[:, whole + 8 * k : whole + 8 * k + 8]).view(np.uint64).ravel() for k in range(n - 1))]
-    counts = np.frombuffer(counters, np.uint8, len(rows)).astype(np.int64)
-    counts[counts == 255] = np.frombuffer(counters, np.int64, offset=len(rows))
-    return cols, counts
-
-
 class Filter:
     """A task's n-grams of one language and length, counted; flush() gives its blocks by quotient."""
 
-    def __init__(self):
+    def __init__(self, packing: Packing):
+        self.packing = packing
         self.parts: list[tuple[list[np.ndarray], np.ndarray]] = []
         self.size = 0
 
@@ -188,51 +225,52 @@ class Filter:
             self.parts, self.size = [(cols, counts)], len(counts)
         return self.size
 
-    def flush(self, bits: int) -> Iterator[tuple[int, list[np.ndarray], np.ndarray]]:
+    def flush(self) -> Iterator[tuple[int, int, bytes, bytes]]:
+        """(quotient, entries, remainders, counters); the filter is empty then."""
         if self.settle():
             cols, counts = self.parts[0]
-            quotient = (cols[0] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(counts), np.int64)
+            quotient = self.packing.quotients(cols[0])
             starts = np.flatnonzero(np.r_[True, quotient[1:] != quotient[:-1]])
             for a, b in zip(starts, np.r_[starts[1:], len(counts)], strict=True):
-                yield int(quotient[a]), [c[a:b] for c in cols], counts[a:b]
+                yield int(quotient[a]), int(b - a), *self.packing.to_block([c[a:b] for c in cols], counts[a:b])
         self.parts, self.size = [], 0
 
 
-_BLOCKS = "lang string, n int, quotient long, rest binary, counters binary"
+_BLOCKS = "lang string, n int, quotient long, entries int, rest binary, counters binary"
 
 
-def gram_blocks(docs: DataFrame, seed: int, lengths: range, sieve, bits: int) -> DataFrame:
-    """Blocks of the n-grams of the given lengths whose parts the sieve lets through: words for length 2, else pairs."""
+def gram_blocks(docs: DataFrame, seed: int, lengths: range, width: int, dictionary, sieve, bits: int) -> DataFrame:
+    """Blocks of the n-grams of the given lengths whose parts the sieve lets through: words for length 2 (all words that a
+    dictionary knows), else pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, cells, held = Ids(seed), sieve.value, defaultdict(Filter)
+        ids, cells, held = Ids(seed, dictionary and dictionary.value), sieve and sieve.value, {}
+        packings = {n: Packing(n, width, bits) for n in lengths}
 
         def out() -> Iterator[pa.RecordBatch]:
             for (lang, n), f in held.items():
-                rows = [(lang, n, q, *to_block(cols, counts, bits)) for q, cols, counts in f.flush(bits)]
+                rows = [(lang, n, *block) for block in f.flush()]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["lang", "n", "quotient", "rest", "counters"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["lang", "n", "quotient", "entries", "rest", "counters"])
 
         for lang, texts in by_lang(batches):
             salt = np.uint64(word_id(lang.encode(), seed))
             for chunk in chunks(texts):
                 w = ids.of(chunk)
-                whole = (w[:-1] != _BREAK) & (w[1:] != _BREAK)
-                if lengths.start == 2:
-                    known = passes(cells, w, salt)
-                    pair = whole & known[:-1] & known[1:]
-                else:
-                    pair = np.zeros(len(whole), bool)
-                    at = np.flatnonzero(whole)
-                    pair[at] = passes(cells, permute([w[at], w[at + 1]])[0], salt)
+                pair = (w[:-1] != _BREAK) & (w[1:] != _BREAK)
+                if lengths.start > 2:
+                    at = np.flatnonzero(pair)
+                    pair[at] = passes(cells, fold([w[at], w[at + 1]]), salt)
+                elif cells is not None:
+                    known = passes(cells, fold([w]), salt)
+                    pair &= known[:-1] & known[1:]
                 starts = pair
                 for n in range(2, lengths.stop):
                     if n > 2:
                         starts = starts[:-1] & pair[n - 2 :] if len(starts) > 1 else starts[:0]
-                    if n in lengths:
-                        at = np.flatnonzero(starts)
-                        if len(at):
-                            held[lang, n].add(permute([w[at + k] for k in range(n)]), np.ones(len(at), np.int64))
+                    at = np.flatnonzero(starts) if n in lengths else ()
+                    if len(at):
+                        held.setdefault((lang, n), Filter(packings[n])).add(packings[n].pack([w[at + k] for k in range(n)]), np.ones(len(at), np.int64))
                 if sum(f.size for f in held.values()) > GRAMS and sum(f.settle() for f in held.values()) > GRAMS // 2:
                     yield from out()
         yield from out()
@@ -240,30 +278,32 @@ def gram_blocks(docs: DataFrame, seed: int, lengths: range, sieve, bits: int) ->
     return docs.mapInArrow(run, _BLOCKS)
 
 
-def merge_blocks(blocks: DataFrame, bits: int, least: int, longest: int) -> DataFrame:
-    """(lang, n, w1.., f) of the n-grams that all blocks together hold at least `least` times. The blocks of a quotient
-    stream by; what is held is its different n-grams, few by the choice of bits, and a bounded number of blocks."""
+def merge_blocks(blocks: DataFrame, width: int, dictionary, bits: int, least: int, longest: int) -> DataFrame:
+    """(lang, n, w1.., f) of the n-grams that all blocks together hold at least `least` times; w: the words' hashes. The
+    blocks of a quotient stream by; what is held is its different n-grams, few by the choice of bits, and a bounded
+    number of blocks."""
     words = [f"w{k + 1}" for k in range(longest)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, Filter()
+        key, held, hashes = None, None, dictionary and dictionary.value
 
         def out() -> Iterator[pa.RecordBatch]:
-            if held.settle():
+            if held is not None and held.settle():
                 cols, counts = held.parts[0]
                 keep = counts >= least
-                ids = restore([c[keep] for c in cols])
-                ids += [np.zeros(len(ids[0]), np.uint64)] * (longest - len(ids))
+                ids = held.packing.unpack([c[keep] for c in cols])
+                ids = ids if hashes is None else [hashes[(c - np.uint64(2)).astype(np.int64)] for c in ids]
                 m = len(ids[0])
+                ids += [np.zeros(m, np.uint64)] * (longest - len(ids))
                 if m:
                     yield pa.RecordBatch.from_arrays([pa.array([key[0]] * m, pa.string()), pa.array([key[1]] * m, pa.int32()), *(pa.array(c.view(np.int64)) for c in ids), pa.array(counts[keep])], names=["lang", "n", *words, "f"])
 
         for b in batches:
-            for lang, n, q, rest, counters in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+            for lang, n, q, entries, rest, counters in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
                 if (lang, n, q) != key:
                     yield from out()
-                    key, held = (lang, n, q), Filter()
-                held.add(*from_block(rest, counters, n, q, bits))
+                    key, held = (lang, n, q), Filter(Packing(n, width, bits))
+                held.add(*held.packing.from_block(rest, counters, entries, q))
                 if len(held.parts) > 64 or held.size > GRAMS:
                     held.settle()
         yield from out()
@@ -281,19 +321,20 @@ def _spot(hashes: np.ndarray, salt: np.uint64, cells: int) -> np.ndarray:
     return mix64(hashes ^ salt) >> np.uint64(64 - 6 - (cells.bit_length() - 1))
 
 
-def sieve_of(frequent: DataFrame, cols: list[str], seed: int):
-    """A broadcast bitmap of the rows' (lang, ids): 16 bits a row up to 2**27, so at most 16 MB. It may let others through
-    but stops none of the rows; exact counts decide later."""
+def sieve_of(frequent: DataFrame, cols: list[str], seed: int, dictionary):
+    """A broadcast bitmap of the rows' (lang, words): 16 bits a row up to 2**27, so at most 16 MB. It may let others
+    through but stops none of the rows; exact counts decide later."""
     rows = frequent.count()
     cells = 1 << max(4, min(SIEVE_BITS, math.ceil(math.log2(16 * max(1, rows)))) - 6)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = dictionary and dictionary.value
         for b in batches:
             ids = [b.column(c).to_numpy().view(np.uint64) for c in cols]
-            hashes = ids[0] if len(ids) == 1 else permute(ids)[0]
-            salts = {x: word_id(x.encode(), seed) for x in set(b.column("lang").to_pylist())}
-            salt = np.array([salts[x] for x in b.column("lang").to_pylist()], np.uint64)
-            at = _spot(hashes, salt, cells)
+            ids = ids if hashes is None else [np.searchsorted(hashes, c).astype(np.uint64) + np.uint64(2) for c in ids]
+            langs = b.column("lang").to_pylist()
+            salts = {x: word_id(x.encode(), seed) for x in set(langs)}
+            at = _spot(fold(ids), np.array([salts[x] for x in langs], np.uint64), cells)
             yield pa.RecordBatch.from_pydict({"cell": pa.array((at >> np.uint64(6)).astype(np.int64)), "bit": pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))})
 
     found = frequent.select("lang", *cols).mapInArrow(run, "cell long, bit long").groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most a row a cell
@@ -302,30 +343,43 @@ def sieve_of(frequent: DataFrame, cols: list[str], seed: int):
     return frequent.sparkSession.sparkContext.broadcast(out)
 
 
+def dictionary_of(common: DataFrame):
+    """The hashes of the frequent words in order, broadcast; None if there are more than DICTIONARY of them."""
+    hashes = common.select("id").distinct()
+    n = hashes.count()
+    if n > DICTIONARY:
+        return None, 64
+    found = hashes.toArrow().column("id").to_numpy().view(np.uint64)  # at most 8 * DICTIONARY bytes
+    return common.sparkSession.sparkContext.broadcast(np.sort(found)), max(2, (n + 1).bit_length())
+
+
 def frequent_grams(docs: DataFrame, words: DataFrame, seed: int, least: int, longest: int) -> DataFrame:
-    """(lang, n, w1.., f) of all n-grams of 1 to `longest` words that occur at least `least` times. Parts of a frequent
-    n-gram are frequent, so pairs are counted between frequent words and longer ones inside runs of frequent pairs."""
+    """(lang, n, w1.., f) of all n-grams of 1 to `longest` words that occur at least `least` times; w: the words' hashes.
+    Parts of a frequent n-gram are frequent, so pairs are counted between frequent words and longer ones inside runs of
+    frequent pairs."""
     total = words.agg(F.sum("f")).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, total / QUOTIENT))))
     names = [f"w{k + 1}" for k in range(longest)]
     common = words.filter(F.col("f") >= least)
-    ones = common.select("lang", F.lit(1).alias("n"), F.col("id").alias("w1"), *[F.lit(0).cast("long").alias(w) for w in names[1:]], "f")
-    out = ones
+    dictionary, width = dictionary_of(common)
+    out = common.select("lang", F.lit(1).alias("n"), F.col("id").alias("w1"), *[F.lit(0).cast("long").alias(w) for w in names[1:]], "f")
     if longest > 1:
-        sieve = sieve_of(common, ["id"], seed)
-        pairs = stage(merge_blocks(gram_blocks(docs, seed, range(2, 3), sieve, bits), bits, least, longest), "pairs")
+        sieve = None if dictionary else sieve_of(common, ["id"], seed, None)
+        pairs = stage(merge_blocks(gram_blocks(docs, seed, range(2, 3), width, dictionary, sieve, bits), width, dictionary, bits, least, longest), "pairs")
         out = out.unionByName(pairs)
     if longest > 2:
-        sieve = sieve_of(pairs, ["w1", "w2"], seed)
-        out = out.unionByName(merge_blocks(gram_blocks(docs, seed, range(3, longest + 1), sieve, bits), bits, least, longest))
+        sieve = sieve_of(pairs, ["w1", "w2"], seed, dictionary)
+        out = out.unionByName(merge_blocks(gram_blocks(docs, seed, range(3, longest + 1), width, dictionary, sieve, bits), width, dictionary, bits, least, longest))
     return out
 
 
 def counted_words(docs: DataFrame) -> tuple[DataFrame, int]:
-    """The words' table and a seed for which no two of its words share an id and none has the ids of breaks."""
+    """The words' table and a seed for which no two of its words share a hash and none has the ids of breaks. Words of one
+    hash are compared by a second one."""
     for seed in range(8):
         words = stage(word_counts(docs, seed), "words")
-        twice = words.groupBy("id").agg((F.min("word") != F.max("word")).alias("twice")).filter("twice or id in (0, 1)")
+        second = F.xxhash64("word")
+        twice = words.groupBy("id").agg((F.min(second) != F.max(second)).alias("twice")).filter("twice or id in (0, 1)")
         if twice.isEmpty():
             return words, seed
     raise RuntimeError("no seed tells all words apart")

@@ -40,10 +40,11 @@ def made(seed, docs):
     return [(i, rng.choice(["en", "en", "fr", None, "und"]), rng.choice([text(), text(), None, "", "Hot pair of words. "]), 0, "w") for i in range(docs)]
 
 
-@pytest.mark.parametrize("bits, top", [(20, 2000), (7, 5)])
-def test_phrases_against_plain_counts(spark, monkeypatch, bits, top):
-    """With small filters and many quotients too, which tasks then write and merge many times."""
+@pytest.mark.parametrize("bits, top, known", [(20, 2000, 1 << 22), (7, 5, 1 << 22), (7, 2000, 0)])
+def test_phrases_against_plain_counts(spark, monkeypatch, bits, top, known):
+    """With small filters and many quotients too, which tasks then write and merge many times, and without a dictionary."""
     monkeypatch.setattr(M, "QUOTIENT", 1 << bits)
+    monkeypatch.setattr(M, "DICTIONARY", known)
     if bits == 7:
         monkeypatch.setattr(M, "GRAMS", 50)
         monkeypatch.setattr(M, "WORDS", 4)
@@ -65,23 +66,25 @@ def test_empty_tables_and_texts(spark):
     assert M.collocation_query(spark.createDataFrame([(1, None, None, 0, None)] * 40, DOCS)).collect() == []
 
 
-def test_filters_are_lossless():
-    rng = np.random.default_rng(2)
-    ids = [rng.integers(0, 50, 5000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(3)]
+@pytest.mark.parametrize("width", [7, 16, 21, 22, 33, 64])
+@pytest.mark.parametrize("n", [2, 3, 4])
+def test_filters_are_lossless(width, n):
+    rng = np.random.default_rng(width + n)
+    ids = [rng.integers(0, 40, 5000).astype(np.uint64) * np.uint64(((1 << width) - 1) // 41) for _ in range(n)]
     want = Counter(zip(*(c.tolist() for c in ids)))
     for bits in (0, 3, 8, 13):
-        f = M.Filter()
+        f = M.Filter(M.Packing(n, width, bits))
         for a in range(0, 5000, 700):
-            f.add(M.permute([c[a : a + 700] for c in ids]), np.full(len(ids[0][a : a + 700]), 3, np.int64) * 100)
+            f.add(f.packing.pack([c[a : a + 700] for c in ids]), np.full(len(ids[0][a : a + 700]), 300, np.int64))
         got = {}
-        for q, cols, counts in f.flush(bits):
-            back, again = M.from_block(*M.to_block(cols, counts, bits), 3, q, bits)
-            assert all((x == y).all() for x, y in zip(back, cols)) and (again == counts).all()
-            got |= dict(zip(zip(*(c.tolist() for c in M.restore(back))), again.tolist()))
+        for q, entries, rest, counters in f.flush():
+            cols, counts = f.packing.from_block(rest, counters, entries, q)
+            assert (np.diff(cols[0].astype(np.float64)) >= 0).all() and (f.packing.quotients(cols[0]) == q).all()
+            got |= dict(zip(zip(*(c.tolist() for c in f.packing.unpack(cols))), counts.tolist()))
         assert got == {k: 300 * v for k, v in want.items()}
 
 
-def test_entries_that_share_64_bits_stay_apart():
+def test_entries_that_share_their_first_column_stay_apart():
     first = np.array([5, 5, 5, 5], np.uint64)
     cols, counts = M.collapse([first, np.array([2, 1, 2, 1], np.uint64)], np.ones(4, np.int64))
     assert cols[1].tolist() == [1, 2] and counts.tolist() == [2, 2]
