@@ -27,6 +27,27 @@ def market_map(bars: DataFrame, dim: DataFrame, scores: DataFrame) -> DataFrame:
     return m.join(sector, "sector").select("sector", "symbol", "name", "market_cap", "change_pct", "grade", (F.col("sector_cents") / 100.0).alias("sector_cap"), "companies")
 
 
+def market_map_tree(bars: DataFrame, dim: DataFrame, scores: DataFrame, most: int = 50) -> DataFrame:
+    """The map's three levels from one aggregate: a row a tile, a row a sector and the total.
+
+    Columns: level (tile, sector, total), sector, symbol, market_cap (summed in whole cents), companies, change_pct (of
+    sectors and the total weighted by cap, over tiles with a change) and children, a sector's `most` largest tiles in
+    order as (market_cap, symbol, name, change_pct, grade); folded counts the tiles that children leaves out. Companies
+    without a bar or a cap above 0 have no tile; no sector is Unclassified.
+    """
+    m = dim.filter("market_cap > 0").select("symbol", "name", F.coalesce("sector", F.lit("Unclassified")).alias("sector"), "market_cap").join(latest_prices(bars).select("symbol", "change_pct"), "symbol").join(scores.select("symbol", "grade"), "symbol", "left")
+    m = m.withColumn("place", F.row_number().over(Window.partitionBy("sector").orderBy(F.desc("market_cap"), "symbol")))
+    cents = F.round(F.col("market_cap") * 100).cast("long")
+    child = F.struct(F.col("place"), F.struct("market_cap", "symbol", "name", "change_pct", "grade").alias("tile"))
+    g = m.groupingSets([["sector", "symbol"], ["sector"], []], "sector", "symbol").agg(
+        F.grouping_id().alias("id"), (F.sum(cents) / 100.0).alias("market_cap"), F.count("*").alias("companies"), F.try_divide(F.sum(F.col("change_pct") * F.col("market_cap")), F.sum(F.when(F.col("change_pct").isNotNull(), F.col("market_cap")))).alias("change_pct"),
+        F.collect_list(F.when(F.col("place") <= most, child)).alias("kept"),
+    )
+    sector = F.col("id") == 1
+    children = F.when(sector, F.transform(F.sort_array("kept"), lambda x: x["tile"]))
+    return g.select(F.when(F.col("id") == 0, "tile").when(sector, "sector").otherwise("total").alias("level"), "sector", "symbol", "market_cap", "companies", "change_pct", children.alias("children"), F.when(sector, F.col("companies") - F.size("kept")).alias("folded"))
+
+
 def split_corrections(bars: DataFrame, splits: DataFrame) -> DataFrame:
     """Splits on trading days, with the steps of both closes; missed upstream if both fall by the ratio alike."""
     b = bars.select("symbol", F.col("trade_date").alias("split_date"), "close", "adj_close", F.lag("close").over(_by()).alias("c0"), F.lag("adj_close").over(_by()).alias("a0")).filter("c0 > 0 and a0 > 0")

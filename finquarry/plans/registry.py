@@ -56,6 +56,9 @@ class Tables:
     def bundle(self) -> DataFrame:
         return prices.security_bundle(self.old_bars, self.securities_full, self.fin_full(), self.score(), "2000-06-30")
 
+    def study(self, now: bool = False) -> tuple[DataFrame, DataFrame]:
+        return studies.grade_study_tables(self.old_bars, self.timeline(), STUDY, self.score() if now else None)
+
     def live(self) -> DataFrame:
         return live_score.quality_score_live(self.dim(), A.statements_wide(self.spark, self.sf_dir), self.dividends)
 
@@ -108,6 +111,7 @@ class Tables:
 _TOTALS = "(SELECT wallet_id, sum(value) AS value, sum(day_change) AS day_change, sum(CASE WHEN value IS NOT NULL AND cost_total IS NOT NULL THEN gain END) AS gain, sum(CASE WHEN value IS NOT NULL AND cost_total IS NOT NULL THEN value END) / nullif(sum(value), 0) * 100 AS cost_coverage_pct, count(*) AS holdings FROM priced GROUP BY wallet_id)"
 _GRADED = "(SELECT symbol, grade, overall_score FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY score_date DESC) AS n FROM score_stg WHERE score_date <= DATE '{day}') WHERE n = 1)"
 _RETURNS = "(SELECT symbol, first_date, last_date, (b / a - 1) * 100 AS total_return FROM (SELECT symbol, min(trade_date) AS first_date, max(trade_date) AS last_date, arg_min(adj_close, trade_date) AS a, arg_max(adj_close, trade_date) AS b FROM bars WHERE trade_date >= DATE '{day}' GROUP BY symbol) WHERE first_date < last_date AND a > 0)"
+STUDY = {f"{n}y": (f"{2001 - n}-06-30", float(n)) for n in (1, 3, 5, 10, 20)}
 _LADDER = "list_position(['A+', 'A', 'B+', 'B', 'C+', 'C', 'D', 'F', 'ungraded'], grade)::BIGINT"
 
 
@@ -120,6 +124,23 @@ def _covered(day: str) -> str:
     return f"(SELECT * FROM (SELECT *, sum(companies) OVER () AS covered FROM {_portfolios(day)}) WHERE covered >= 20)"
 
 
+def _study(table: str, now: bool) -> str:
+    """A window at a time, over whole joins."""
+    grades, windows = [], []
+    for name, (day, years) in STUDY.items():
+        held = "(SELECT symbol, grade FROM score WHERE grade IS NOT NULL)" if now else _GRADED.format(day=day)
+        r = _RETURNS.format(day=day).replace("FROM bars", "FROM old_bars")
+        r = f"(SELECT r.symbol, total_return, grade FROM {r} r LEFT JOIN {held} g USING (symbol) WHERE first_date <= DATE '{day}' + 10)"
+        g = f"(SELECT grade, count(*) AS companies, avg(total_return) AS mean_return, median(total_return) AS median_return, arg_max(symbol, (total_return, symbol)) AS best, max(total_return) AS best_return, arg_min(symbol, (total_return, symbol)) AS worst, min(total_return) AS worst_return, sum((total_return > 0)::INT)::BIGINT AS positive, {_LADDER} AS ladder FROM {r} WHERE grade IS NOT NULL GROUP BY grade)"
+        grades.append(f"SELECT '{name}' AS \"window\", *, CASE WHEN mean_return > -100 THEN (pow(1 + mean_return / 100, 1.0 / {years}::DOUBLE) - 1) * 100 END AS annualised FROM {g} WHERE (SELECT count(*) FROM {r}) >= 20")
+        windows.append(f"SELECT '{name}' AS \"window\", {years}::DOUBLE AS years, DATE '{day}' AS start, reason IS NULL AS available, reason, covered, CASE WHEN reason IS NULL THEN u END AS universe_mean, CASE WHEN reason IS NULL THEN t END AS top_grade, CASE WHEN reason IS NULL THEN l END AS bottom_grade, CASE WHEN reason IS NULL AND n > 1 THEN a - b END AS spread FROM (SELECT *, CASE WHEN covered < 20 THEN 'price history does not reach back this far' WHEN n = 0 THEN 'no company could be graded as at this date' END AS reason FROM (SELECT count(*) AS covered, avg(total_return) AS u FROM {r}), (SELECT count(*) AS n, arg_min(grade, ladder) AS t, arg_max(grade, ladder) AS l, arg_min(mean_return, ladder) AS a, arg_max(mean_return, ladder) AS b FROM {g}))")
+    return f"({' UNION ALL '.join(grades if table == 'grades' else windows)})"
+
+
+_TILES = "(SELECT coalesce(s.sector, 'Unclassified') AS sector, s.symbol, s.name, s.market_cap, change_pct, grade FROM securities s JOIN latest USING (symbol) LEFT JOIN score USING (symbol) WHERE s.market_cap > 0)"
+_TREE = f"(SELECT CASE grouping(sector, symbol) WHEN 0 THEN 'tile' WHEN 1 THEN 'sector' ELSE 'total' END AS level, sector, symbol, sum(round(market_cap * 100)::BIGINT)::BIGINT / 100.0::DOUBLE AS market_cap, count(*) AS companies, sum(change_pct * market_cap) / nullif(sum(market_cap) FILTER (WHERE change_pct IS NOT NULL), 0) AS change_pct FROM {_TILES} GROUP BY GROUPING SETS ((sector, symbol), (sector), ()))"
+
+
 #: name: (DataFrame of Tables, columns, twin's FROM)
 ENTRIES: dict[str, tuple[Callable[[Tables], DataFrame], str | list[str], str]] = {
     "latest_wins": (lambda t: t.dividends, "symbol pay_date amount~", "dividends"),
@@ -150,6 +171,8 @@ ENTRIES: dict[str, tuple[Callable[[Tables], DataFrame], str | list[str], str]] =
     "score_movers": (lambda t: scoring.score_movers(t.hist(), t.dim()), "symbol name sector score_date overall_score previous_score score_change grade previous_grade", "(SELECT h.*, name, sector FROM score_hist h LEFT JOIN securities USING (symbol) WHERE is_latest AND score_change IS NOT NULL)"),
     "latest_prices": (Tables.latest, "symbol trade_date close~ previous_close~ volume change_pct~", "latest"),
     "market_map": (lambda t: prices.market_map(t.bars, t.dim(), t.score()), "sector symbol name market_cap~ change_pct~ grade sector_cap~ companies", "(SELECT coalesce(s.sector, 'Unclassified') AS sector, s.symbol, s.name, s.market_cap, change_pct, grade, sum(round(s.market_cap * 100)::BIGINT) OVER (PARTITION BY s.sector)::BIGINT / 100.0::DOUBLE AS sector_cap, count(*) OVER (PARTITION BY s.sector) AS companies FROM securities s JOIN latest USING (symbol) LEFT JOIN score USING (symbol) WHERE s.market_cap > 0)"),
+    "market_map_tree": (lambda t: prices.market_map_tree(t.bars, t.dim(), t.score()).drop("children"), "level sector symbol market_cap~ companies change_pct~", _TREE),
+    "market_map_children": (lambda t: prices.market_map_tree(t.bars, t.dim(), t.score(), 5).filter("level = 'sector'").select("sector", "folded", F.posexplode("children").alias("place", "c")).select("sector", "folded", "place", "c.*"), "sector folded place# symbol name market_cap~ change_pct~ grade", f"(SELECT *, n - least(n, 5) AS folded, place_ - 1 AS place FROM (SELECT *, count(*) OVER (PARTITION BY sector) AS n, row_number() OVER (PARTITION BY sector ORDER BY market_cap DESC, symbol) AS place_ FROM {_TILES}) WHERE place_ <= 5)"),
     "split_corrections": (Tables.corrections, "symbol split_date ratio close_step~ adj_step~ upstream_missed_it", "corrections"),
     "fct_prices": (Tables.prices, "symbol trade_date close~ adj_close~ adj_close_reported~ correction_factor~ total_return_factor~", "prices"),
     "price_anomalies": (lambda t: prices.price_anomalies(t.prices(), 20, 10, 3.0), "symbol trade_date close~ trailing_observations", "(SELECT * FROM (SELECT *, avg(r) OVER w AS m, stddev_samp(r) OVER w AS s, count(*) OVER w AS trailing_observations FROM (SELECT *, (adj_close / p - 1) * 100 AS r FROM (SELECT *, lag(adj_close) OVER (PARTITION BY symbol ORDER BY trade_date) AS p FROM prices) WHERE p > 0) WINDOW w AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) WHERE s > 0.05 AND trailing_observations >= 10 AND abs(r - m) / s >= 3)"),
@@ -174,6 +197,10 @@ ENTRIES: dict[str, tuple[Callable[[Tables], DataFrame], str | list[str], str]] =
     "grades_as_of": (lambda t: studies.grades_as_of(t.timeline(), "1999-06-30"), "symbol grade", _GRADED.format(day="1999-06-30")),
     "grade_portfolios": (lambda t: studies.grade_portfolios(prices.returns_since(t.bars, DATE).filter(F.col("first_date") <= "2024-01-20"), studies.grades_as_of(t.timeline(), DATE), 1.0), "grade companies mean_return~ median_return~ best worst positive ladder", _portfolios(DATE)),
     "grade_study": (lambda t: studies.grade_study(t.bars, t.timeline(), {"all": ("2024-01-01", 1.0), "late": (ACTIVE, 0.5)}), "window grade companies mean_return~ median_return~ ladder", f"(SELECT 'all' AS \"window\", * FROM {_covered('2024-01-01')} UNION ALL SELECT 'late', * FROM {_covered(ACTIVE)})"),
+    "grade_study_grades": (lambda t: t.study()[0], "window grade companies mean_return~ median_return~ best best_return~ worst worst_return~ positive annualised~ ladder", _study("grades", False)),
+    "grade_study_windows": (lambda t: t.study()[1], "window years start available reason covered universe_mean~ top_grade bottom_grade spread~", _study("windows", False)),
+    "grade_study_grades_now": (lambda t: t.study(True)[0], "window grade companies mean_return~ median_return~ best best_return~ worst worst_return~ positive annualised~ ladder", _study("grades", True)),
+    "grade_study_windows_now": (lambda t: t.study(True)[1], "window years start available reason covered universe_mean~ top_grade bottom_grade spread~", _study("windows", True)),
     "price_holdings": (Tables.priced, "wallet_id symbol shares value~ day_change~ cost_total~ gain~ weight_pct~", "priced"),
     "wallet_totals": (lambda t: portfolio.wallet_totals(t.priced()), "wallet_id value~ day_change~ gain~ cost_coverage_pct~ holdings", _TOTALS),
     "best_worst_movers": (lambda t: portfolio.best_worst_movers(t.priced()), "wallet_id best worst", "(SELECT wallet_id, arg_max(symbol, (day_change, symbol)) AS best, arg_min(symbol, (day_change, symbol)) AS worst FROM priced WHERE day_change IS NOT NULL GROUP BY wallet_id)"),
