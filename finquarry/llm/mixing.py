@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from finquarry.llm.common import drop_staged, fresh, salted, sized, stage
 
 WORD = r"[^\x20\x09-\x0D]+"
-_UNIT = "unit string, id long, source string, size long, mult long, copies long, share double, draw double, grp long, open boolean"
+_UNIT = "unit string, source string, size long, mult long, copies long, share double, draw double, grp long, open boolean"
 #: A unit of more rows than this is spread over tasks when its rows are written out.
 CHUNK = 1 << 16
 
@@ -98,7 +98,14 @@ def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _unit_of(i: Column, source: Column, size: Column, text: Column) -> Column:
     """A key of rows that are alike: id, source, number of words and a hash of the text; nulls are values."""
-    return F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("-")), size, F.xxhash64(text), F.coalesce(F.concat(F.lit("s"), source), F.lit("-")))
+    return F.concat_ws("|", F.coalesce(i.cast("long").cast("string"), F.lit("-")), size, F.xxhash64(text), F.coalesce(F.concat(F.lit("s"), source), F.lit("-")))
+
+
+def _id_of(unit: Column) -> Column:
+    """The id of a unit's rows, out of its key: as a column of its own, groups in pandas would turn it into a float
+    beside a null one, and ids over 2**53 would change."""
+    i = F.substring_index(unit, "|", 1)
+    return F.when(i != "-", i.cast("long"))
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 1, bucket_rows: int = 4000, fan_in: int = 64) -> DataFrame:
@@ -111,8 +118,8 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: fl
     unit and seed, and buckets come from hashes too. Nothing that grows with documents or sources reaches the driver.
     """
     size = word_count(F.col(text_col))
-    unit = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), size.alias("size"), _unit_of(F.col(id_col), F.col(source_col), size, F.col(text_col)).alias("unit"))
-    units = stage(unit.groupBy("unit").agg(F.first("id").alias("id"), F.first("source").alias("source"), F.first("size").alias("size"), F.count("*").alias("mult")), "mix-units")
+    unit = docs.select(F.col(source_col).alias("source"), size.alias("size"), _unit_of(F.col(id_col), F.col(source_col), size, F.col(text_col)).alias("unit"))
+    units = stage(unit.groupBy("unit").agg(F.first("source").alias("source"), F.first("size").alias("size"), F.count("*").alias("mult")), "mix-units")
     sums = units.groupBy("source").agg(F.coalesce(F.sum(F.col("size") * F.col("mult")), F.lit(0)).alias("source_size"), F.count("*").alias("n"))
     want = F.coalesce(F.least(F.lit(float(cap)), F.try_divide("target", "source_size")), F.lit(0.0))
     plan = water_fill(sums, weights, cap).withColumns({"want": want, "buckets": F.ceil(F.col("n") / bucket_rows).cast("long")}).drop("n")
@@ -121,11 +128,11 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: fl
     asked = F.col("mult") * F.col("want")
     draw = (F.xxhash64("unit", F.lit(seed)).cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
     dealt = units.alias("u").join(plans.alias("p"), F.col("u.source").eqNullSafe(F.col("p.source"))).select(
-        "unit", "id", "u.source", "size", "mult", F.floor(asked).cast("long").alias("whole"), (asked - F.floor(asked)).alias("share"), draw.alias("draw"),
+        "unit", "u.source", "size", "mult", F.floor(asked).cast("long").alias("whole"), (asked - F.floor(asked)).alias("share"), draw.alias("draw"),
         F.pmod(F.xxhash64("unit", F.lit(seed + 1)), F.greatest("buckets", F.lit(1))).alias("grp"),
     )
     coin = F.when(F.col("draw") < F.col("share"), 1).otherwise(0)
-    base = dealt.select("unit", "id", "source", "size", "mult", (F.col("whole") + F.when(F.col("size") == 0, coin).otherwise(0)).alias("copies"), F.when(F.col("size") == 0, 0.0).otherwise(F.col("share")).alias("share"), "draw", "grp", F.lit(False).alias("open"))
+    base = dealt.select("unit", "source", "size", "mult", (F.col("whole") + F.when(F.col("size") == 0, coin).otherwise(0)).alias("copies"), F.when(F.col("size") == 0, 0.0).otherwise(F.col("share")).alias("share"), "draw", "grp", F.lit(False).alias("open"))
     level = stage(base.groupBy("source", "grp").applyInPandas(_settle, _UNIT), "mix-level")
     done, most = [level.filter(~F.col("open"))], plan.agg(F.max("buckets")).first()[0] or 1
     while most > 1:
@@ -137,7 +144,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: fl
     for x in done:
         out = out.unionByName(x)
     drop_staged(units)
-    return out.alias("d").join(plans.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select("unit", F.col("id").alias("doc_id"), "d.source", "size", "mult", "copies", "source_size", "target")
+    return out.alias("d").join(plans.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select("unit", _id_of(F.col("unit")).alias("doc_id"), "d.source", "size", "mult", "copies", "source_size", "target")
 
 
 def _times(number: Column) -> Column:

@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 from finquarry.llm.common import drop_staged, stage
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, open boolean, grp long"
+_PLACED = "doc_id long, known boolean, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, open boolean, grp long"
 
 
 class ChunkIds(dict):
     """Token ids by `tokenizers`, as little-endian bytes, of chunks that begin with a space; forgets all beyond `most`
-    chunks."""
+    chunks. Special tokens in a text, such as <|endoftext|>, are ids of their own, as the tokenizer does by itself."""
 
     def __init__(self, path: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -37,7 +37,7 @@ class ChunkIds(dict):
 
         super().__init__()
         self.model, self.most, self.ends = Tokenizer.from_file(path), most, {}
-        self.model.encode_special_tokens = True
+        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         vocab = self.model.get_vocab()
         self.begins = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.begins[[i for t, i in vocab.items() if t[:1] == "\u0120"]] = True  # how the vocabulary writes a space
@@ -71,7 +71,7 @@ class ChunkIds(dict):
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts. The tokenizer's own split never joins a space to what stands before it, so a text
         is cut before each lone space and equal chunks are encoded once. In texts with runs of spaces, what follows
-        the first run stays whole."""
+        the first run stays whole, and so do texts with a special token."""
         if len(self) > self.most:
             self.clear()
             self.ends.clear()
@@ -79,6 +79,7 @@ class ChunkIds(dict):
         for t in texts:
             at = t.find("  ")
             at = t.rfind(" ", 0, at) if at > 0 else len(t) if at < 0 else 0
+            at = 0 if any(x in t for x in self.special) else at
             head, *rest = t[: max(at, 0)].split(" ")
             whole += [head, t[max(at, 0) :]]
             cut.append(rest)
@@ -241,8 +242,8 @@ def _packer(room: int, level: int, open_bins: int):
 
 
 def _pack(pdf: pd.DataFrame, room: int, level: int, open_bins: int) -> pd.DataFrame:
-    order = [np.bitwise_xor(pdf["ids_crc32"], pdf["start"] * 40503 + pdf["doc_id"].fillna(0).astype("int64") * 2654435761 % (1 << 32)), pdf["doc_id"], pdf["piece"]]
-    pdf = pdf.assign(o0=order[0]).sort_values(["o0", "doc_id", "piece", "length", "ids_crc32"], kind="stable").drop(columns="o0").reset_index(drop=True)
+    mixed = np.bitwise_xor(pdf["ids_crc32"], pdf["start"] * 40503 + pdf["doc_id"] * 2654435761 % (1 << 32))
+    pdf = pdf.assign(o0=mixed).sort_values(["o0", "doc_id", "known", "piece", "length", "ids_crc32"], kind="stable").drop(columns="o0").reset_index(drop=True)
     sizes = pdf["length"].to_numpy().astype(np.int64)
     bins = local_search(sizes, np.arange(len(sizes)), room)
     fill = np.bincount(bins, weights=sizes)
@@ -252,11 +253,12 @@ def _pack(pdf: pd.DataFrame, room: int, level: int, open_bins: int) -> pd.DataFr
     pdf["bin"] = bins
     pdf["offset"] = pdf.groupby("bin")["length"].cumsum() - pdf["length"]
     pdf["sequence_id"] = (np.int64(level) << 56) + (pdf["grp"].to_numpy().astype(np.int64) << 24) + bins
-    return pdf.assign(open=is_open[bins])[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "open", "grp"]]
+    return pdf.assign(open=is_open[bins])[["doc_id", "known", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "open", "grp"]]
 
 
 def pack_pieces(pieces: DataFrame, room: int = 2048, group_rows: int = 3_000, fan_in: int = 32, open_bins: int = 64) -> DataFrame:
-    """Give each piece a sequence and an offset: (…, sequence_id, offset). Pieces hold 1..room tokens.
+    """Give each piece a sequence and an offset: (…, sequence_id, offset). Pieces hold 1..room tokens. Ids of any
+    size stay exact beside null ones, which travel as a flag: pandas has no whole numbers with gaps.
 
     Equal pieces are packed like any others. No piece: no row. A task holds about group_rows pieces, or the
     pieces of fan_in * open_bins bins. open_bins bounds what goes up the tree, the emptiest bins of a group; the others
@@ -264,14 +266,16 @@ def pack_pieces(pieces: DataFrame, room: int = 2048, group_rows: int = 3_000, fa
     """
     groups = max(1, -(-pieces.count() // group_rows))
     dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
+    dealt = dealt.withColumns({"known": F.col("doc_id").isNotNull(), "doc_id": F.coalesce("doc_id", F.lit(0).cast("long"))})
     level = stage(dealt.groupBy("grp").applyInPandas(_packer(room, 0, open_bins), _PLACED), "pack-level")
     out, k = level.filter(~F.col("open")), 0
     while groups > 1:
         groups, k = -(-groups // fan_in), k + 1
-        again = level.filter("open").select("doc_id", "piece", "start", "length", "ids_crc32", F.floor(F.col("grp") / fan_in).cast("long").alias("grp"))
+        again = level.filter("open").select("doc_id", "known", "piece", "start", "length", "ids_crc32", F.floor(F.col("grp") / fan_in).cast("long").alias("grp"))
         level = stage(again.groupBy("grp").applyInPandas(_packer(room, k, open_bins), _PLACED), "pack-level")
         out = out.unionByName(level.filter(~F.col("open")))
-    return out.unionByName(level.filter("open")).drop("open", "grp")
+    out = out.unionByName(level.filter("open"))
+    return out.withColumn("doc_id", F.when(F.col("known"), F.col("doc_id"))).drop("open", "grp", "known")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, room: int = 2048) -> DataFrame:

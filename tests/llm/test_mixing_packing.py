@@ -81,13 +81,39 @@ def test_mixture(spark):
 
 def test_chunked_ids_equal_the_tokenizer():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     rnd, parts = random.Random(1), list(" \n\t'aé.,!1²　Ωx") + ["  ", " the", "'s", "\x1c", "<|endoftext|>"]
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 25))) for _ in range(4000)]
     got = [np.frombuffer(i, "<u4").tolist() for i in ChunkIds(PATH).encode(texts)]
     assert got == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_special_tokens_are_ids_of_their_own():
+    t, texts = Tokenizer.from_file(PATH), ["end <|endoftext|> of", "<|endoftext|>", "a  <|endoftext|>b c", "plain text here", "a<|endoftext|> "]
+    got = [np.frombuffer(i, "<u4").tolist() for i in ChunkIds(PATH).encode(texts)]
+    assert got == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)] and len(got[0]) == 4
+
+
+BIG = 2**53 + 1
+
+
+def test_large_ids_stay_exact_beside_null_ones(spark):
+    rows = [(None, "a b c", "s", 0), (BIG, "d e", "s", 1), (BIG + 2, "f g h i", "s", 2), (-BIG, "x", None, 3), (None, None, None, 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, known int").coalesce(1)
+    ids = sorted([r[0] for r in rows], key=str)
+    assert sorted([r.doc_id for r in pack_documents(df, PATH).collect()], key=str) == ids
+    assert sorted([r.doc_id for r in mix_query(df).collect()], key=str) == ids
+    assert {r.doc_id for r in mixed_documents(df).collect()} <= set(ids)
+
+
+def test_one_very_long_text_among_short_ones(spark):
+    text = "lorem ipsum, " * 60_000
+    df = spark.createDataFrame([(1, text, "s"), (2, "short", "s"), (None, "", None)], "doc_id long, text string, bin string")
+    got = pack_documents(df, PATH).toPandas()
+    n = len(Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids) + 1
+    mine = got[got["doc_id"] == 1].sort_values("piece")
+    assert mine["length"].sum() == n and mine["start"].tolist() == [0, *mine["length"].cumsum().tolist()[:-1]] and got.groupby("sequence_id")["length"].sum().max() <= 2048
+
+
 def decreasing_fit(sizes, room):
     """Best-fit decreasing, plainly: what the search is measured against."""
     free = []
