@@ -162,8 +162,10 @@ STEPS["supplier_holdings"] = "SELECT s_suppkey % 7 AS wallet_id, s_suppkey AS sy
 STEPS["supplier_series"] = """SELECT wallet_id, trade_date, value, held FROM (SELECT wallet_id, trade_date, sum(shares * price) AS value, bool_and(price IS NOT NULL) AS whole, count(*) AS held FROM (
   SELECT g.*, last_value(close IGNORE NULLS) OVER (PARTITION BY wallet_id, symbol ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS price FROM (SELECT s.wallet_id, s.trade_date, h.symbol, h.shares, h.bought_at, b.close FROM (SELECT DISTINCT wallet_id, trade_date FROM old_bars JOIN supplier_holdings USING (symbol)) s
   JOIN (SELECT * FROM supplier_holdings WHERE symbol IN (SELECT symbol FROM old_bars)) h USING (wallet_id) LEFT JOIN old_bars b ON b.symbol = h.symbol AND b.trade_date = s.trade_date) g) WHERE bought_at <= trade_date GROUP BY 1, 2) WHERE whole"""
+
+
 def _not(n: int, x: str) -> str:
-    return f"CASE WHEN symbol % {n} <> 1 THEN {x} END"
+    return f"CASE WHEN symbol % {n} <> 1 THEN ({x})::DOUBLE END"
 
 
 STEPS["securities_full"] = f"""SELECT * EXCLUDE (dividend_yield_pct), CASE WHEN symbol % 9 <> 0 THEN dividend_yield_pct END AS dividend_yield_pct, {_not(11, "7.0 + symbol % 25")} AS forward_pe, {_not(5, "(symbol % 30) / 16.0")} AS peg_ratio, {_not(7, "0.5 + (symbol % 16) / 16.0")} AS beta, {_not(13, "0.5 + (symbol % 24) / 8.0")} AS current_ratio,
@@ -184,7 +186,7 @@ STEPS["bundle_old"], STEPS["bundle_new"] = _bundle("old_bars", "2000-06-30"), _b
 STEPS["bundle_ev"] = "SELECT *, enterprise_value / nullif(ebitda, 0) AS ev_to_ebitda FROM bundle_old"
 _share = {"share": "({}) * 100"}
 STEPS["profile"] = "SELECT symbol, place, \"group\", label, value, day, kind, comparable FROM (" + " UNION ALL ".join(
-    f"SELECT symbol, dividend_yield_pct, dividend_rate, {n} AS place, '{g}' AS \"group\", '{label}' AS label, {'NULL::DOUBLE' if kind == 'date' else _share.get(kind, '{}').format(c) + '::DOUBLE'} AS value, {f'to_timestamp({c})::DATE' if kind == 'date' else 'NULL::DATE'} AS day, '{'percent' if kind == 'share' else kind}' AS kind, {'NOT is_reit' if label in EARNINGS_BASED else 'true'} AS comparable FROM bundle_ev"
+    f"SELECT symbol, dividend_yield_pct, dividend_rate, {n} AS place, '{g}' AS \"group\", '{label}' AS label, {'NULL::DOUBLE' if kind == 'date' else _share.get(kind, '{}').format(c) + '::DOUBLE'} AS value, {f'to_timestamp({c}::BIGINT)::DATE' if kind == 'date' else 'NULL::DATE'} AS day, '{'percent' if kind == 'share' else kind}' AS kind, {'NOT is_reit' if label in EARNINGS_BASED else 'true'} AS comparable FROM bundle_ev"
     for n, (g, label, c, kind) in enumerate(((g, *m) for g, ms in PROFILE.items() for m in ms), 1)) + ") WHERE (value IS NOT NULL OR day IS NOT NULL) AND (\"group\" <> 'Dividend' OR dividend_yield_pct IS NOT NULL OR dividend_rate IS NOT NULL)"
 STEPS["old_months"] = "SELECT symbol, t, close, adj_close FROM (SELECT symbol, trade_date AS t, close, adj_close, row_number() OVER (PARTITION BY symbol, date_trunc('month', trade_date) ORDER BY trade_date DESC) AS n FROM old_bars) WHERE n = 1"
 _m = ", ".join(METRICS)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from finquarry.functions import columns as C
 from finquarry.operators import checks, core, dividends, history, live_score, portfolio, prices, scoring, statements, studies
-from finquarry.plans import oracle
+from finquarry.plans import landing, oracle
 from finquarry.sources import adapters as A
 
 DATE, MID, ACTIVE = "2024-01-10", "2024-01-20 12:00:00", "2024-01-15"
@@ -256,6 +256,8 @@ ENTRIES: dict[str, tuple[Callable[[Tables], DataFrame], str | list[str], str]] =
     "quality_score_figures": (lambda t: live_score.key_figures(t.live(), ["symbol"]), "symbol figure value~ kind", "sl_figures"),
 }
 
+ENTRIES |= landing.entries(statements.METRICS)
+
 
 def _columns(cols: str | list[str]) -> list[str]:
     return cols.split() if isinstance(cols, str) else cols

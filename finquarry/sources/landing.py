@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from finquarry.sources.store import has_files
+
 _STAMPS = "_ingested_at string, _run_id string"
 _SECURITY = "symbol name currency exchange quote_type sector industry country employees website description market_cap shares_outstanding trailing_pe dividend_yield five_year_avg_dividend_yield beta current_price target_mean_price target_low_price target_high_price target_median_price analyst_opinions recommendation_key recommendation_mean return_on_equity current_ratio forward_pe peg_ratio ex_dividend_date short_percent_of_float quarterly_earnings_growth".split()
-#: Raw schemas: all text, so that {} and wrapped numbers survive until they are cast.
+#: The fields of raw entities. All are text, so that {} and wrapped numbers survive until they are cast.
 SCHEMAS = {
     "price": f"symbol string, trade_date string, open string, high string, low string, close string, adj_close string, volume string, {_STAMPS}",
     "split": f"symbol string, split_date string, numerator string, denominator string, {_STAMPS}",
@@ -19,19 +21,13 @@ SCHEMAS = {
 }
 
 
-def _has_files(spark: SparkSession, glob: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(glob)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return bool(found)
-
-
 def read_landing(spark: SparkSession, raw_dir: str, entity: str) -> DataFrame:
     """All runs of an entity, plain or gzipped; columns that old files lack are null."""
     return spark.read.schema(SCHEMAS[entity]).json(f"{raw_dir}/{entity}__*.jsonl*")
 
 
 def read_landing_or_empty(spark: SparkSession, raw_dir: str, entity: str) -> DataFrame:
-    if _has_files(spark, f"{raw_dir}/{entity}__*.jsonl*"):
+    if has_files(spark, f"{raw_dir}/{entity}__*.jsonl*"):
         return read_landing(spark, raw_dir, entity)
     return spark.createDataFrame([], SCHEMAS[entity])
 
@@ -55,15 +51,17 @@ def export_score_history(scores: DataFrame, path: str, score_date: str) -> None:
 
 def extract_run_report(counts: DataFrame, failures: DataFrame, symbols: int) -> DataFrame:
     """Rows by entity, failed symbols, and whether too many failed (over a third)."""
-    failed = failures.agg(F.count_distinct("symbol")).first()[0]  # one number
-    return counts.groupBy("entity").agg(F.count("*").alias("rows")).withColumns({"failed": F.lit(failed), "run_fails": F.lit(failed > symbols / 3)})
+    failed = failures.agg(F.count_distinct("symbol").alias("failed"))  # one row
+    out = counts.groupBy("entity").agg(F.count("*").alias("rows")).join(F.broadcast(failed))
+    return out.withColumn("run_fails", F.col("failed") > symbols / 3)
 
 
 def extract_plan(universe: DataFrame, state: DataFrame, now: str, overlap_days: int = 7) -> DataFrame:
-    """What is due: prices from the watermark less an overlap, or a cold start by tier; slow entities when stale."""
+    """What is due: prices from the watermark less an overlap, or a cold start by tier (six or two years); what a symbol's
+    security, statements and payments need once their last refresh is a day (deep tier) or a week old, or missing."""
     day = F.to_date(F.lit(now))
     p = universe.join(state, "symbol", "left")
     start = F.coalesce(F.date_sub("last_date", overlap_days), F.add_months(day, F.when(F.col("tier") == "deep", -72).otherwise(-24)))
     age = (F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp("refreshed_at")) / 3600
     limit = F.when(F.col("tier") == "deep", 24).otherwise(168)
-    return p.select("symbol", "tier", start.alias("from_date"), (age.isNull() | (age >= limit)).alias("security_due"), (age.isNull() | (age >= 168)).alias("financial_due"))
+    return p.select("symbol", "tier", start.alias("from_date"), (age.isNull() | (age >= limit)).alias("security_due"), (age.isNull() | (age >= 168)).alias("financial_due"), F.col("last_date").isNull().alias("cold_start"))

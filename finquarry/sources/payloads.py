@@ -53,11 +53,24 @@ def load_holdings_json(spark, path: str) -> DataFrame:
     return h.select(F.explode("fund.entity").alias("e")).select(F.upper(F.trim("e.ticker")).alias("symbol")).filter(F.col("symbol").rlike(r"^[A-Z][A-Z0-9.-]{0,9}$")).distinct()
 
 
+def judge_universe(lists: DataFrame, bars: DataFrame, deep: tuple[str, ...] = ("sp500",)) -> DataFrame:
+    """(symbol, index_name) lists to one row a symbol: its indexes, tier (deep if any of its indexes is, else wide) and
+    reason, null for those that stay: no-symbol (null or blank) or no-price-bar. One pass and one join for both results."""
+    u = lists.groupBy(F.nullif(F.upper(F.trim("symbol")), F.lit("")).alias("symbol")).agg(F.sort_array(F.collect_set("index_name")).alias("indexes"))
+    known = bars.select("symbol", F.lit(True).alias("known")).distinct()
+    reason = F.when(F.col("symbol").isNull(), "no-symbol").when(F.col("known").isNull(), "no-price-bar")
+    return _tiered(u, deep).join(known, "symbol", "left").withColumn("reason", reason).drop("known")
+
+
+def _tiered(u: DataFrame, deep: tuple[str, ...]) -> DataFrame:
+    return u.withColumn("tier", F.when(F.arrays_overlap("indexes", F.array(*map(F.lit, deep))), "deep").otherwise("wide"))
+
+
 def build_universe(lists: DataFrame, bars: DataFrame | None = None, deep: tuple[str, ...] = ("sp500",)) -> DataFrame:
-    """(symbol, index_name) lists to one row a symbol with its indexes and tier; symbols without a bar go."""
-    u = lists.groupBy("symbol").agg(F.sort_array(F.collect_set("index_name")).alias("indexes"))
-    u = u.withColumn("tier", F.when(F.arrays_overlap("indexes", F.array(*map(F.lit, deep))), "deep").otherwise("wide"))
-    return u if bars is None else u.join(bars.select("symbol").distinct(), "symbol", "left_semi")
+    """The symbols that stay, with indexes and tier; judge_universe also has those dropped, with the reason."""
+    if bars is not None:
+        return judge_universe(lists, bars, deep).filter("reason is null").drop("reason")
+    return _tiered(lists.groupBy("symbol").agg(F.sort_array(F.collect_set("index_name")).alias("indexes")), deep)
 
 
 def resolve_previous_close(df: DataFrame) -> DataFrame:

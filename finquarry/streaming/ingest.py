@@ -1,35 +1,29 @@
-"""Continuous ingest: landing files of prices into a table partitioned by month."""
+"""Continuous ingest: landing files of prices, merged into a table of months batch by batch."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from finquarry.operators.core import latest_wins
 from finquarry.sources.landing import SCHEMAS
 from finquarry.sources.staging import stg_prices
+from finquarry.sources.store import merge_batch, read_merged
 
+#: The columns of the price table.
+PRICES = "symbol string, trade_date date, open double, high double, low double, close double, adj_close double, volume long, ingested_at timestamp"
 
-def upsert_prices(spark: SparkSession, new: DataFrame, path: str) -> None:
-    """Merge bars into the months that they touch, later ingests winning; other partitions stay as they are."""
-    new = new.withColumn("month", F.date_format("trade_date", "yyyy-MM"))
-    months = [r.month for r in new.select("month").distinct().collect()]  # months, not rows
-    if not months:
-        return
-    try:
-        stored = spark.read.parquet(path).filter(F.col("month").cast("string").isin(months)).withColumn("month", F.col("month").cast("string"))
-        new = latest_wins(stored.select(new.columns).unionByName(new), ["symbol", "trade_date"], ["ingested_at"])
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    # The path is read and overwritten, so the merged months are written aside first.
-    aside = f"{path.rstrip('/')}__merging"
-    new.write.mode("overwrite").parquet(aside)
-    spark.read.parquet(aside).withColumn("month", F.col("month").cast("string")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+
+def upsert_prices(new: DataFrame, path: str, batch: int | None = None) -> bool:
+    """Merge bars into the months that they touch, later ingests winning; a batch is merged once, however often it comes."""
+    return merge_batch(new, path, ["symbol", "trade_date"], ["ingested_at"], "trade_date", batch)
+
+
+def read_prices(spark: SparkSession, path: str, months: list[str] | None = None) -> DataFrame:
+    return read_merged(spark, path, PRICES, months)
 
 
 def ingest_stream(spark: SparkSession, raw_dir: str, path: str, checkpoint: str) -> StreamingQuery:
-    """All price files not yet seen, then stop. Ends equal to the batch result."""
+    """All price files not yet seen, then stop. The batch's id is its commit, so one that Spark runs again after a failure
+    is not merged twice. Ends equal to the batch result."""
     raw = spark.readStream.schema(SCHEMAS["price"]).json(f"{raw_dir}/price__*.jsonl*")
-    return raw.writeStream.foreachBatch(lambda df, _: upsert_prices(spark, stg_prices(df), path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return raw.writeStream.foreachBatch(lambda df, k: upsert_prices(stg_prices(df), path, k)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -2,7 +2,7 @@ import gzip
 import json
 
 from finquarry.sources import landing, payloads, staging
-from finquarry.streaming.ingest import ingest_stream, upsert_prices
+from finquarry.streaming.ingest import ingest_stream, read_prices, upsert_prices
 
 
 def write(path, rows, zipped=False):
@@ -28,12 +28,12 @@ def test_landing_staging_and_stream(spark, tmp_path):
     got = {(r.symbol, str(r.trade_date)): r.close for r in staging.stg_prices(landing.read_landing(spark, raw, "price")).collect()}
     assert got == {("AAPL", "2024-01-02"): 11.0, ("MSFT", "2024-02-02"): 5.0}
     batch, streamed = str(tmp_path / "batch"), str(tmp_path / "streamed")
-    upsert_prices(spark, staging.stg_prices(landing.read_landing(spark, raw, "price")), batch)
+    upsert_prices(staging.stg_prices(landing.read_landing(spark, raw, "price")), batch)
     ingest_stream(spark, raw, streamed, str(tmp_path / "ck")).awaitTermination()
     write(f"{raw}/price__3.jsonl", [{"symbol": "AAPL", "trade_date": "2024-01-02", "close": 12, "_ingested_at": "2024-01-05T00:00:00Z"}])
     ingest_stream(spark, raw, streamed, str(tmp_path / "ck")).awaitTermination()
-    upsert_prices(spark, staging.stg_prices(landing.read_landing(spark, raw, "price")), batch)
-    table = lambda p: sorted((r.symbol, str(r.trade_date), r.close) for r in spark.read.parquet(p).collect())
+    upsert_prices(staging.stg_prices(landing.read_landing(spark, raw, "price")), batch)
+    table = lambda p: sorted((r.symbol, str(r.trade_date), r.close) for r in read_prices(spark, p).collect())
     assert table(batch) == table(streamed) == [("AAPL", "2024-01-02", 12.0), ("MSFT", "2024-02-02", 5.0)]
 
 
