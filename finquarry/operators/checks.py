@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finquarry.functions.columns import grade
+from finquarry.operators.core import fresh
 
 
 def not_null(df: DataFrame, col: str) -> DataFrame:
@@ -15,7 +18,9 @@ def not_null(df: DataFrame, col: str) -> DataFrame:
 
 
 def unique_combination(df: DataFrame, cols: list[str]) -> DataFrame:
-    return df.groupBy(*cols).agg(F.count("*").alias("n")).filter("n > 1")
+    """The combinations that are there more than once, with their count n (n_ if a column has that name)."""
+    n = fresh(cols, "n")
+    return df.groupBy(*cols).agg(F.count("*").alias(n)).filter(F.col(n) > 1)
 
 
 def accepted_values(df: DataFrame, col: str, values: list) -> DataFrame:
@@ -46,8 +51,13 @@ def grade_matches_score(scores: DataFrame) -> DataFrame:
 def intervals_do_not_overlap(df: DataFrame, keys: list[str], start: str, end: str, inclusive: bool) -> DataFrame:
     """Rows whose interval runs into the next one of its key; an open one must be the last."""
     nxt = F.lead(start).over(Window.partitionBy(*keys).orderBy(start))
-    clash = F.col(end).isNull() | ((F.col(end) >= F.col("_next")) if inclusive else (F.col(end) > F.col("_next")))
-    return df.withColumn("_next", nxt).filter(F.col("_next").isNotNull() & clash).drop("_next")
+    following = fresh(df.columns, "_next")
+    return df.withColumn(following, nxt).filter(_runs_over(end, following, inclusive)).drop(following)
+
+
+def _runs_over(end: str, following: str, inclusive: bool) -> Column:
+    clash = F.col(end).isNull() | ((F.col(end) >= F.col(following)) if inclusive else (F.col(end) > F.col(following)))
+    return F.col(following).isNotNull() & clash
 
 
 def dividend_record_not_truncated(fct: DataFrame, limit: int = 168) -> DataFrame:
@@ -100,13 +110,74 @@ def reit_capex_coverage(long: DataFrame, dim: DataFrame) -> DataFrame:
     return r.agg(F.count_distinct("symbol").alias("reits"), F.count_distinct(F.when(F.col("metric") == "capitalexpenditure", F.col("symbol"))).alias("with_capex"))
 
 
+def reit_affo_proxy_still_needed(long: DataFrame, dim: DataFrame) -> DataFrame:
+    """A row once every REIT reports capital expenditure, so that its true figure could take the proxy's place."""
+    return reit_capex_coverage(long, dim).filter("reits > 0 and with_capex = reits")
+
+
+def warehouse_health(bars: DataFrame, fin: DataFrame, div: DataFrame, dim: DataFrame, scores: DataFrame, as_of: str) -> DataFrame:
+    """One row: the rows of five tables, the last bar's date and how many days old it is."""
+    first = bars.agg(F.count("*").alias("price_rows"), F.max("trade_date").alias("latest_trade_date"))
+    for name, df in (("financial_rows", fin), ("dividend_rows", div), ("securities", dim), ("scored", scores)):
+        first = first.join(F.broadcast(df.agg(F.count("*").alias(name))))  # single rows
+    return first.withColumn("days_stale", F.datediff(F.lit(as_of).cast("date"), "latest_trade_date"))
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A check of single rows of a table: those that meet the condition offend. unique: columns whose combinations must be
+    single; then the condition is not used. Severity is error or warn."""
+
+    name: str
+    condition: Column | None = None
+    severity: str = "error"
+    unique: tuple[str, ...] = ()
+
+
+def check_tables(tables: dict[str, tuple[DataFrame, list[Rule]]], others: dict[str, tuple[str, DataFrame]] | None = None) -> DataFrame:
+    """(check, severity, offending) of many rules, from one scan of each table.
+
+    All rules on single rows of a table are conditional counts of one aggregate. The first uniqueness of a table shares
+    it too: counts by key first, then over keys. Further ones, and others (severity and offending rows), are an aggregate
+    each. The report is one DataFrame, so all of it runs as one job. Null conditions do not offend; an empty table has
+    zero counts.
+    """
+    parts = []
+    for df, rules in tables.values():
+        rows = [r for r in rules if not r.unique]
+        keys = [r for r in rules if r.unique]
+        counts = [F.count_if(r.condition).alias(f"c{k}") for k, r in enumerate(rows)]
+        if keys:
+            g = df.groupBy(*keys[0].unique).agg(F.struct(F.count("*").alias("n"), *counts).alias(fresh(df.columns, "_counts")))
+            g = g.select(F.col(g.columns[-1]).alias("s"))
+            one = g.agg(F.count_if(F.col("s.n") > 1).alias("u"), *[F.coalesce(F.sum(f"s.c{k}"), F.lit(0)).alias(f"c{k}") for k in range(len(rows))])
+        else:
+            one = df.agg(*counts)
+        found = [(r, F.col(f"c{k}")) for k, r in enumerate(rows)] + [(r, F.col("u")) for r in keys[:1]]
+        each = F.explode(F.array(*[F.struct(F.lit(r.name).alias("check"), F.lit(r.severity).alias("severity"), c.alias("offending")) for r, c in found]))
+        parts.append(one.select(each.alias("r")).select("r.*"))
+        for r in keys[1:]:
+            parts.append(_counted(r.name, r.severity, unique_combination(df, list(r.unique))))
+    parts += [_counted(name, severity, rows) for name, (severity, rows) in (others or {}).items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _counted(name: str, severity: str, rows: DataFrame) -> DataFrame:
+    return rows.agg(F.count("*").alias("offending")).select(F.lit(name).alias("check"), F.lit(severity).alias("severity"), "offending")
+
+
+def with_next(df: DataFrame, keys: list[str], start: str, name: str = "next_start") -> DataFrame:
+    return df.withColumn(name, F.lead(start).over(Window.partitionBy(*keys).orderBy(start)))
+
+
+def overlaps(end: str, inclusive: bool, following: str = "next_start") -> Column:
+    """Whether an interval with its follower's start (with_next) runs into it."""
+    return _runs_over(end, following, inclusive)
+
+
 def run_checks(checks: dict[str, tuple[str, Callable[[], DataFrame]]]) -> DataFrame:
     """(check, severity, offending) of named checks; severity is error or warn."""
-    out = None
-    for name, (severity, rows) in checks.items():
-        one = rows().agg(F.count("*").alias("offending")).select(F.lit(name).alias("check"), F.lit(severity).alias("severity"), "offending")
-        out = one if out is None else out.unionByName(one)
-    return out
+    return reduce(DataFrame.unionByName, [_counted(name, severity, rows()) for name, (severity, rows) in checks.items()])
 
 
 def build_fails(report: DataFrame) -> bool:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from finquarry.functions.columns import snap_to_dividend_frequency
+from finquarry.operators.core import top_k
 
 
 def fct_dividends(div: DataFrame, as_of: str, years: int = 3) -> DataFrame:
@@ -48,6 +49,12 @@ def dividend_years(fct: DataFrame, as_of: str) -> DataFrame:
     return g.withColumn("is_partial", F.col("calendar_year") >= F.year(F.lit(as_of).cast("date")))
 
 
+def dividends_by_year(div: DataFrame, as_of: str, years: int = 12) -> DataFrame:
+    """A symbol's last `years` calendar years with payments: amount to four places, and whether the year is still running."""
+    y = div.groupBy("symbol", F.year("pay_date").cast("long").alias("year")).agg(F.round(F.sum(F.col("amount").cast("decimal(28,6)")), 4).cast("double").alias("amount"))
+    return top_k(y, ["symbol"], [F.desc("year")], years).withColumn("partial", F.col("year") == F.year(F.lit(as_of).cast("date")))
+
+
 def dividend_yoy(years: DataFrame) -> DataFrame:
     """Growth of the last complete year over the one before it."""
     w = Window.partitionBy("symbol").orderBy("calendar_year")

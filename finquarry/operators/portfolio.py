@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from finquarry.functions.columns import annualise, cagr
-from finquarry.operators.core import asof_join
+from finquarry.operators.core import asof_join, fresh
 
 
 def exact_sum(c):
@@ -26,7 +26,7 @@ def parse_wallet_strings(wallets: DataFrame, today: str, most: int = 40) -> Data
     cost, day = get(3).try_cast("double"), F.try_to_date(get(4), "yyyy-MM-dd")
     p = p.select("wallet_id", "pos", F.upper(get(1)).alias("symbol"), get(2).try_cast("double").alias("shares"), F.when(cost >= 0, cost).alias("cost"), F.when((F.date_format(day, "yyyy-MM-dd") == get(4)) & (day <= F.lit(today).cast("date")), day).alias("bought_at"))
     p = p.filter(F.col("symbol").rlike(r"^[A-Z0-9.^=\-]{1,20}$") & (F.col("shares") > 0))
-    first = p.withColumn("n", F.row_number().over(Window.partitionBy("wallet_id", "symbol").orderBy("pos"))).filter("n = 1")
+    first = p.withColumn("n", F.row_number().over(Window.partitionBy("wallet_id", "symbol").orderBy("pos"))).filter("n = 1")  # p has these columns only
     return first.withColumn("n", F.row_number().over(_wallet().orderBy("pos"))).filter(F.col("n") <= most).drop("n", "pos")
 
 
@@ -138,12 +138,17 @@ def portfolio_excluded(holdings: DataFrame, quotes: DataFrame, scores: DataFrame
 
 
 def group_by_facet(priced: DataFrame, facet: str, keep: int = 5) -> DataFrame:
-    """Value by facet; beyond keep + 1 groups the smaller ones fold into Other."""
-    g = priced.filter("value > 0").groupBy("wallet_id", F.coalesce(facet, F.lit("Unclassified")).alias("label")).agg(F.sum("value").alias("value"), F.count("*").alias("members"))
-    g = g.withColumns({"rank": F.row_number().over(_wallet().orderBy(F.desc("value"), "label")), "groups": F.count("*").over(_wallet())})
-    label = F.when((F.col("groups") > keep + 1) & (F.col("rank") > keep), F.lit("Other")).otherwise(F.col("label"))
-    g = g.groupBy("wallet_id", label.alias("label")).agg(F.sum("value").alias("value"), F.sum("members").alias("members"), F.count("*").alias("folded"))
-    return g.withColumn("share_pct", F.col("value") / F.sum("value").over(_wallet()) * 100)
+    """Value by facet, null as Unclassified; beyond keep + 1 groups the smaller ones fold into Other. symbols lists a
+    group's members and folded_labels the labels that Other took in, largest first (null for the other groups)."""
+    n, of = fresh(priced.columns, "_rank"), fresh(priced.columns, "_groups")
+    g = priced.filter("value > 0").groupBy("wallet_id", F.coalesce(facet, F.lit("Unclassified")).alias("label")).agg(F.sum("value").alias("value"), F.count("*").alias("members"), F.sort_array(F.collect_list("symbol")).alias("symbols"))
+    g = g.withColumns({n: F.row_number().over(_wallet().orderBy(F.desc("value"), "label")), of: F.count("*").over(_wallet())})
+    fold = (F.col(of) > keep + 1) & (F.col(n) > keep)
+    g = g.groupBy("wallet_id", F.when(fold, F.lit("Other")).otherwise(F.col("label")).alias("shown"), fold.alias("other")).agg(
+        F.sum("value").alias("value"), F.sum("members").alias("members"), F.count("*").alias("folded"), F.array_sort(F.flatten(F.collect_list("symbols"))).alias("symbols"), F.sort_array(F.collect_list(F.struct(n, "label"))).alias("labels")
+    )
+    share = F.col("value") / F.sum("value").over(_wallet()) * 100
+    return g.select("wallet_id", F.col("shown").alias("label"), "value", "members", "folded", "symbols", F.when(F.col("other"), F.transform("labels", lambda x: x["label"])).alias("folded_labels"), share.alias("share_pct"))
 
 
 def dividend_income(holdings: DataFrame, div: DataFrame, as_of: str) -> DataFrame:
@@ -218,19 +223,51 @@ def income_projection(holdings: DataFrame, div: DataFrame, totals: DataFrame, as
     return h.groupBy("wallet_id", F.col("year").cast("long").alias("year")).agg(F.sum(F.col("shares") * F.col("per_share") * F.pow(1 + F.col("g") / 100, F.col("year"))).alias("income"))
 
 
-def income_goal(wallets: DataFrame, target: float, rate_pct: float) -> DataFrame:
-    """What a target income asks for at a withdrawal rate, and how far (value, annual_income) is."""
-    need = F.lit(target / (rate_pct / 100))
-    return wallets.select("wallet_id", need.alias("required_value"), (F.col("value") / need * 100).alias("progress_pct"), (F.try_divide("annual_income", "value") * 100).alias("yield_pct"), (F.col("value") * rate_pct / 100).alias("withdrawal_today"))
+def income_goal(wallets: DataFrame, target: float, rate_pct: float, as_of: str | None = None) -> DataFrame:
+    """What a target income asks for at a withdrawal rate, and how far each wallet (value, annual_income) is.
+
+    A withdrawal, today's and at the target, is split into what dividends cover at today's yield, what has to be sold,
+    and what dividends leave over. With start_value, started_at and contributions (a count) the growth since the start
+    is told, and its yearly rate where nothing was paid in and a year has passed up to as_of. Wallets without a value
+    above 0 keep their row with reason no-value and nulls; a null income counts as 0.
+    """
+    if not target > 0 or not rate_pct > 0:
+        raise ValueError("target and rate must be above 0")
+    rate, need = rate_pct / 100, F.lit(target / (rate_pct / 100))
+    ok = F.coalesce(F.col("value") > 0, F.lit(False))
+    w = wallets.withColumns({"_value": F.when(ok, F.col("value")), "_share": F.when(ok, F.coalesce("annual_income", F.lit(0.0)) / F.col("value"))})
+    value, share = F.col("_value"), F.col("_share")
+    out = {"reason": F.when(~ok, "no-value"), "required_value": F.when(ok, need), "progress_pct": F.least(F.lit(100.0), value / need * 100), "yield_pct": share * 100, "shortfall": F.greatest(F.lit(0.0), need - value), "value_for_dividends_alone": F.when(share > 0, F.lit(target) / share)}
+    out["progress_pct"], out["shortfall"] = F.when(ok, out["progress_pct"]), F.when(ok, out["shortfall"])  # least and greatest skip nulls
+    for name, v in (("today", value), ("at_target", F.when(ok, need))):
+        draw, paid = v * rate, v * share
+        out |= {f"withdrawal_{name}": draw, f"dividends_{name}": paid, f"from_dividends_{name}": F.when(ok, F.least(paid, draw)), f"from_sales_{name}": F.when(ok, F.greatest(F.lit(0.0), draw - paid)), f"surplus_{name}": F.when(ok, F.greatest(F.lit(0.0), paid - draw))}
+    out["covered_pct"] = F.when(ok, F.least(F.lit(100.0), share / rate * 100))
+    if as_of and {"start_value", "started_at", "contributions"} <= set(wallets.columns):
+        years = F.greatest(F.lit(0.0), F.datediff(F.lit(as_of).cast("date"), "started_at") / 365.25)
+        grew = F.when(F.col("start_value") > 0, (value / F.col("start_value") - 1) * 100)
+        out |= {"years": years, "grew_by_pct": grew, "annualised_pct": F.when(F.coalesce("contributions", F.lit(0)) == 0, annualise(grew, years))}
+    return w.select("wallet_id", *[c.alias(k) for k, c in out.items()])
+
+
+def _payment(gap: Column, rate: Column, periods: Column | float) -> Column:
+    """The regular payment that grows to gap."""
+    return F.when(F.abs(rate) < 1e-15, gap / periods).otherwise(gap * rate / (F.pow(1 + rate, F.lit(periods) if isinstance(periods, float | int) else periods) - 1))
+
+
+def _contribution(value: Column, required: float, years: float, return_pct: Column) -> dict[str, Column]:
+    r = return_pct / 100
+    grown = value * F.pow(1 + r, F.lit(float(years)))
+    gap, there = F.lit(required) - grown, grown >= F.lit(required)
+    monthly = F.pow(1 + r, F.lit(1.0 / 12)) - 1
+    return {"per_year": F.when(there, 0.0).otherwise(_payment(gap, r, float(years))), "per_month": F.when(there, 0.0).otherwise(_payment(gap, monthly, years * 12.0)), "future_value": grown, "already_there": there, "shortfall_at_target": F.when(there, 0.0).otherwise(gap)}
 
 
 def required_contribution(wallets: DataFrame, required: float, years: float, return_pct: float) -> DataFrame:
-    """Yearly and monthly payments that grow value to the required one; 0 where it is there already."""
-    r = return_pct / 100
-    grown = F.col("value") * F.lit((1 + r) ** years)
-    gap = F.lit(required) - grown
-    pay = F.when(gap <= 0, 0.0).otherwise(gap / years if r == 0 else gap * F.lit(r / ((1 + r) ** years - 1)))
-    return wallets.select("wallet_id", pay.alias("per_year"), (pay / 12).alias("per_month"))
+    """Yearly and monthly payments that grow value to the required one; 0 where it gets there alone. Monthly payments
+    compound monthly, so they are less than a twelfth. Null or negative values have nulls."""
+    c = _contribution(F.when(F.col("value") >= 0, F.col("value")), required, years, F.lit(float(return_pct)))
+    return wallets.select("wallet_id", *[x.alias(k) for k, x in c.items()])
 
 
 def portfolio_score_history(holdings: DataFrame, prices: DataFrame, timeline: DataFrame, dates: list[str]) -> DataFrame:
@@ -245,6 +282,43 @@ def portfolio_score_history(holdings: DataFrame, prices: DataFrame, timeline: Da
     return h.groupBy("wallet_id", "at").agg(F.try_divide(F.sum(F.when(ok, F.col("value") * F.col("overall_score"))), graded).alias("score"), (F.try_divide(graded, F.sum("value")) * 100).alias("coverage_pct"))
 
 
+def portfolio_score_series(holdings: DataFrame, closes: DataFrame, timeline: DataFrame) -> DataFrame:
+    """(wallet_id, t, score, coverage_pct) on every date of a wallet's closes, for instance month ends: the score of what
+    is held and graded then, weighted by value, and the graded share of the value held.
+
+    Closes and scores of a symbol are laid in one order, so each change of either is one event with what it adds to a
+    wallet's held value, graded value and weighted score. Purchases are events too. Dates are sums over events, and no date
+    meets a holding that has no event on it. Scores are exact to six places. Dates without graded value are left out.
+    closes: (symbol, t, close); timeline: (symbol, period, overall_score).
+    """
+    num = "decimal(32,6)"
+    line = closes.filter("close is not null").select("symbol", "t", "close", F.lit(None).cast("double").alias("score"), F.lit(True).alias("quoted"))
+    scored = timeline.filter("overall_score is not null").select("symbol", F.col("period").alias("t"), F.lit(None).cast("double").alias("close"), F.col("overall_score").cast("double").alias("score"), F.lit(False).alias("quoted"))
+    day = line.unionByName(scored).groupBy("symbol", "t").agg(F.max("close").alias("close"), F.max("score").alias("score"), F.max("quoted").alias("quoted"))
+    w = Window.partitionBy("symbol").orderBy("t")
+    now = {c: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)) for c in ("close", "score")}
+    state = day.withColumns(now)
+    before = {f"{c}_0": F.lag(c).over(w) for c in ("close", "score")}
+    state = state.withColumns(before)
+
+    def sums(close: Column, score: Column) -> list[Column]:
+        value = F.col("shares") * close
+        parts = [value, F.when(score.isNotNull(), value), value * score]
+        return [F.coalesce(p.cast(num), F.lit(0).cast(num)) for p in parts]
+
+    names = ["held_value", "graded_value", "weighted"]
+    h = holdings.select("wallet_id", "symbol", "shares", "bought_at")
+    moves = h.join(state, "symbol").withColumn("own", F.col("bought_at").isNull() | (F.col("t") > F.col("bought_at")))
+    changes = [F.when(F.col("own"), a - b).otherwise(F.lit(0).cast(num)).alias(n) for n, a, b in zip(names, sums(F.col("close"), F.col("score")), sums(F.col("close_0"), F.col("score_0")), strict=True)]
+    moves = moves.select("wallet_id", "t", *changes, "quoted")
+    bought = asof_join(h.filter("bought_at is not null"), state, "symbol", "bought_at", "t", ["close", "score"])
+    buys = bought.select("wallet_id", F.col("bought_at").alias("t"), *[c.alias(n) for n, c in zip(names, sums(F.col("close"), F.col("score")), strict=True)], F.lit(False).alias("quoted"))
+    g = moves.unionByName(buys).groupBy("wallet_id", "t").agg(*[F.sum(n).alias(n) for n in names], F.max("quoted").alias("quoted"))
+    run = _wallet().orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    g = g.select("wallet_id", "t", "quoted", *[F.sum(n).over(run).cast("double").alias(n) for n in names]).filter("quoted and graded_value > 0")
+    return g.select("wallet_id", "t", (F.col("weighted") / F.col("graded_value")).alias("score"), F.when(F.col("held_value") > 0, F.col("graded_value") / F.col("held_value") * 100).alias("coverage_pct"))
+
+
 def slice_shares(df: DataFrame, key: str, label: str, value: str) -> DataFrame:
     """Shares of the total in percent; non-positive values are dropped and counted."""
     w = Window.partitionBy(key)
@@ -252,8 +326,12 @@ def slice_shares(df: DataFrame, key: str, label: str, value: str) -> DataFrame:
     return s.select(key, label, value, (F.col(value) / F.sum(value).over(w) * 100).alias("share_pct"), "dropped")
 
 
-def goal_progress_series(series: DataFrame, required: float) -> DataFrame:
-    return series.select("wallet_id", "trade_date", (F.col("value") * 100 / F.lit(required)).alias("progress_pct"))  # one rounding, not two
+def goal_progress_series(series: DataFrame, required: float | DataFrame) -> DataFrame:
+    """Each point in percent of the required value: one for all wallets, or each wallet's own out of income_goal."""
+    if not isinstance(required, DataFrame):
+        return series.select("wallet_id", "trade_date", (F.col("value") * 100 / F.lit(required)).alias("progress_pct"))  # one rounding, not two
+    own = required.filter("required_value is not null").select("wallet_id", "required_value")  # a row a wallet
+    return series.join(own, "wallet_id").select("wallet_id", "trade_date", (F.col("value") * 100 / F.col("required_value")).alias("progress_pct"))
 
 
 def income_yield(projection: DataFrame, totals: DataFrame) -> DataFrame:
@@ -261,13 +339,26 @@ def income_yield(projection: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def contribution_plan(wallets: DataFrame, required: float, years: float, return_pct: float | None = None, assumed_pct: float = 7.0) -> DataFrame:
-    """Payments needed if income is reinvested and if it is spent, and where the return comes from."""
-    rate = assumed_pct if return_pct is None else return_pct
-    kept = required_contribution(wallets, required, years, rate).select("wallet_id", F.col("per_year").alias("per_year_reinvested"))
-    spent = wallets.withColumn("y", F.try_divide("annual_income", "value") * 100)
-    r = F.greatest(F.lit(0.0), F.lit(rate) - F.coalesce("y", F.lit(0.0))) / 100
-    grow = F.pow(1 + r, F.lit(float(years)))
-    gap = F.lit(required) - F.col("value") * grow
-    pay = F.when(gap <= 0, 0.0).otherwise(F.when(r == 0, gap / years).otherwise(gap * r / (grow - 1)))
-    out = spent.select("wallet_id", pay.alias("per_year_spent")).join(kept, "wallet_id")
-    return out.withColumns({"extra_per_year": F.col("per_year_spent") - F.col("per_year_reinvested"), "return_source": F.lit("assumed" if return_pct is None else "set")})
+    """Payments with dividends reinvested and with dividends spent, by year and by month, and what spending costs.
+
+    The total return is the one set, else the wallet's measured one (measured_pct, a yearly price return, plus its yield,
+    where the column is there and known), else an assumed one; return_source says which. Spent dividends take the yield
+    off it. Wallets without a value above 0 have nulls.
+    """
+    value = F.when(F.col("value") > 0, F.col("value"))
+    share = F.coalesce("annual_income", F.lit(0.0)) / value * 100
+    measured = F.col("measured_pct") + share if "measured_pct" in wallets.columns else F.lit(None).cast("double")
+    total = F.lit(float(return_pct)) if return_pct is not None else F.coalesce(measured, F.lit(assumed_pct))
+    source = F.lit("set") if return_pct is not None else F.when(measured.isNotNull(), "measured").otherwise("assumed")
+    w = wallets.select("wallet_id", value.alias("value"), share.alias("share"), total.alias("total"), source.alias("return_source"))
+    kept, spent = (_contribution(F.col("value"), required, years, r) for r in (F.col("total"), F.col("total") - F.col("share")))
+    w = w.select("wallet_id", "return_source", F.col("total").alias("return_pct"), *[kept[k].alias(f"{k}_reinvested") for k in ("per_year", "per_month")], *[spent[k].alias(f"{k}_spent") for k in ("per_year", "per_month")])
+    extra = lambda k: F.when(F.col(f"{k}_spent").isNotNull(), F.greatest(F.lit(0.0), F.col(f"{k}_spent") - F.col(f"{k}_reinvested")))
+    return w.withColumns({"extra_per_year": extra("per_year"), "extra_per_month": extra("per_month")})
+
+
+def mixed_currency(holdings: DataFrame, quotes: DataFrame) -> DataFrame:
+    """Each wallet's main currency (the first by name; USD without one) and whether its holdings have several, as sums
+    over them are not converted. quotes: (symbol, currency)."""
+    h = holdings.select("wallet_id", "symbol").join(quotes.select("symbol", "currency").dropDuplicates(["symbol"]), "symbol", "left").withColumn("currency", F.coalesce("currency", F.lit("USD")))
+    return h.groupBy("wallet_id").agg(F.min("currency").alias("currency"), F.count_distinct("currency").alias("currencies")).withColumn("mixed", F.col("currencies") > 1)

@@ -89,6 +89,22 @@ def chart_series(bars: DataFrame, since: str, interval: str) -> DataFrame:
     return g.select("symbol", "bucket", F.col("r.trade_date").alias("t"), F.col("r.close").alias("close"), F.col("r.adj_close").alias("adj_close"))
 
 
+#: A chart's ranges, as its interval and the months that it goes back (None: to the year's start, 0: all).
+RANGES = {"1mo": ("day", 1), "6mo": ("day", 6), "ytd": ("day", None), "1y": ("day", 12), "5y": ("week", 60), "max": ("month", 0)}
+
+
+def chart_range(bars: DataFrame, name: str, as_of: str) -> DataFrame:
+    """chart_series of a named range up to a date. Ranges of days (1d, 5d) need bars within days, which a table of daily
+    bars has not."""
+    if name not in RANGES:
+        raise ValueError(f"no daily bars for {name}")
+    interval, months = RANGES[name]
+    day = F.lit(as_of).cast("date")
+    since = F.trunc(day, "year") if months is None else F.add_months(day, -months)
+    shown = bars.filter(F.col("trade_date") <= day) if months == 0 else bars.filter((F.col("trade_date") >= since) & (F.col("trade_date") <= day))
+    return chart_series(shown, "0001-01-01", interval)
+
+
 def security_bundle(bars: DataFrame, dim: DataFrame, fin: DataFrame, scores: DataFrame, as_of: str, short: int = 50, long: int = 200, vol: int = 90) -> DataFrame:
     """Every company of dim up to a date: its last bar, the range and first close of the year up to as_of, averages over
     its last bars, and the ratios of its last annual statement.

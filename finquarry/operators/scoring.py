@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from finquarry.functions.columns import cagr, grade, is_reit, score_between, weighted_score
+from finquarry.operators.core import top_k
 from finquarry.operators.dividends import dividend_history
 from finquarry.operators.statements import annual_history
 
@@ -75,8 +76,8 @@ def sector_summary(scores: DataFrame) -> DataFrame:
 
 def stg_score_history(rows: DataFrame) -> DataFrame:
     """One row per symbol and day: the lowest score wins, nulls last."""
-    w = Window.partitionBy("symbol", "score_date").orderBy(F.asc_nulls_last("overall_score"))
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    rest = [c for c in rows.columns if c not in ("symbol", "score_date", "overall_score")]  # ties are settled by these
+    return top_k(rows, ["symbol", "score_date"], [F.asc_nulls_last("overall_score"), *rest], 1)
 
 
 def score_history(stg: DataFrame) -> DataFrame:
@@ -95,6 +96,22 @@ def security_facets(dim: DataFrame, scores: DataFrame) -> DataFrame:
     return dim.select("symbol", "name", "sector", "industry", "is_reit").join(scores.select("symbol", "grade", "overall_score", "scoring_basis"), "symbol", "left")
 
 
+def screener_sectors(scores: DataFrame) -> DataFrame:
+    """The sectors that a screen can be narrowed to."""
+    return scores.filter("sector is not null").select("sector").distinct().orderBy("sector")
+
+
+def names_for(asked: DataFrame, dim: DataFrame) -> DataFrame:
+    """(symbol, name) of the symbols asked for that are tracked, each once."""
+    return dim.select("symbol", "name").join(asked.select("symbol").distinct(), "symbol", "left_semi")
+
+
+def is_tracked(asked: DataFrame, dim: DataFrame) -> DataFrame:
+    """Each symbol asked for, once, with whether it is tracked."""
+    known = dim.select("symbol", F.lit(True).alias("tracked")).distinct()
+    return asked.select("symbol").distinct().join(known, "symbol", "left").select("symbol", F.coalesce("tracked", F.lit(False)).alias("tracked"))
+
+
 def unknown_symbols(asked: DataFrame, dim: DataFrame) -> DataFrame:
     return asked.select("symbol").distinct().join(dim, "symbol", "left_anti")
 

@@ -15,8 +15,7 @@ def compare_rebased(history: DataFrame, symbols: DataFrame, start_value: float =
     """Growth of equal stakes from the latest of the first dates: price, total and dividend part, in percent."""
     h = history.join(symbols.select("symbol").distinct(), "symbol", "left_semi")
     first = h.groupBy("symbol").agg(F.min("t").alias("first"))
-    start = first.agg(F.max("first").alias("start"))
-    h = h.join(F.broadcast(start), h["t"] >= F.col("start")).drop("start")  # start is one row
+    h = h.filter(F.col("t") >= first.agg(F.max("first")).scalar())
     g = h.groupBy("symbol").agg(F.count("*").alias("points"), F.min("t").alias("t0"), F.max("t").alias("t1"), F.min_by("close", "t").alias("c0"), F.max_by("close", "t").alias("c1"), F.min_by("adj_close", "t").alias("a0"), F.max_by("adj_close", "t").alias("a1"))
     g = g.filter("points >= 2 and c0 > 0 and a0 > 0").withColumns({"price_return": (F.col("c1") / F.col("c0") - 1) * 100, "total_return": (F.col("a1") / F.col("a0") - 1) * 100, "years": F.datediff("t1", "t0") / 365.25})
     part = F.col("total_return") - F.col("price_return")

@@ -164,6 +164,34 @@ STEPS["supplier_series"] = """SELECT wallet_id, trade_date, value, held FROM (SE
   JOIN (SELECT * FROM supplier_holdings WHERE symbol IN (SELECT symbol FROM old_bars)) h USING (wallet_id) LEFT JOIN old_bars b ON b.symbol = h.symbol AND b.trade_date = s.trade_date) g) WHERE bought_at <= trade_date GROUP BY 1, 2) WHERE whole"""
 
 
+STEPS["supplier_twr"] = """SELECT *, CASE WHEN years >= 1 THEN (pow(1 + twr_pct / 100, 1.0 / years) - 1) * 100 END AS annualised_pct FROM (SELECT wallet_id, (product(b / a) FILTER (WHERE n > 1 AND a > 0) - 1) * 100 AS twr_pct, count(*) FILTER (WHERE n > 1 AND a > 0) AS segments, date_diff('day', min(d0), max(d1)) / 365.25 AS years FROM (SELECT wallet_id, seg, count(*) AS n, min(trade_date) AS d0, max(trade_date) AS d1, arg_min(value, trade_date) AS a, arg_max(value, trade_date) AS b FROM (SELECT *, sum(cut) OVER (PARTITION BY wallet_id ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS seg FROM (SELECT *, coalesce((held <> lag(held) OVER (PARTITION BY wallet_id ORDER BY trade_date))::INT, 0) AS cut FROM supplier_series)) GROUP BY 1, 2) GROUP BY wallet_id) WHERE segments > 0"""
+STEPS["goal_wallets"] = f"""SELECT wallet_id, value, start_value, started_at, annual_income, contributions, CASE WHEN wallet_id <> 3 THEN annualised_pct END AS measured_pct FROM (SELECT wallet_id, arg_max(value, trade_date) AS value, arg_min(value, trade_date) AS start_value, min(trade_date) AS started_at FROM supplier_series GROUP BY 1) v
+  LEFT JOIN (SELECT wallet_id, sum(shares * c / 100.0::DOUBLE) AS annual_income FROM supplier_holdings JOIN (SELECT symbol, sum(round(amount * 100)::BIGINT)::BIGINT AS c FROM dividends WHERE pay_date > DATE '{AS_OF}' - 365 AND pay_date <= DATE '{AS_OF}' GROUP BY 1) USING (symbol) GROUP BY 1) USING (wallet_id)
+  LEFT JOIN (SELECT wallet_id, count(*) AS contributions FROM supplier_holdings JOIN (SELECT wallet_id, min(trade_date) AS d FROM supplier_series GROUP BY 1) USING (wallet_id) WHERE bought_at > d AND symbol IN (SELECT symbol FROM old_bars) GROUP BY 1) USING (wallet_id) LEFT JOIN supplier_twr USING (wallet_id)"""
+STEPS["goals"] = f"""SELECT *, NULL::VARCHAR AS reason, least(100, value / required_value * 100) AS progress_pct, y * 100 AS yield_pct, greatest(0, required_value - value) AS shortfall, 60000 / nullif(y, 0) AS value_for_dividends_alone, value * 0.03::DOUBLE AS withdrawal_today, value * y AS dividends_today, least(value * y, value * 0.03::DOUBLE) AS from_dividends_today, greatest(0, value * 0.03::DOUBLE - value * y) AS from_sales_today,
+  greatest(0, value * y - value * 0.03::DOUBLE) AS surplus_today, required_value * 0.03::DOUBLE AS withdrawal_at_target, least(required_value * y, required_value * 0.03::DOUBLE) AS from_dividends_at_target, greatest(0, required_value * 0.03::DOUBLE - required_value * y) AS from_sales_at_target, least(100, y / 0.03::DOUBLE * 100) AS covered_pct, (value / start_value - 1) * 100 AS grew_by_pct,
+  CASE WHEN coalesce(contributions, 0) = 0 AND years >= 1 THEN (pow(value / start_value, 1.0::DOUBLE / years) - 1) * 100 END AS annualised_pct FROM (SELECT *, 60000 / 0.03::DOUBLE AS required_value, coalesce(annual_income, 0) / value AS y, date_diff('day', started_at, DATE '{AS_OF}') / 365.25::DOUBLE AS years FROM goal_wallets)"""
+STEPS["facets"] = """SELECT wallet_id, label, sum(n)::BIGINT AS members, count(*) AS folded, array_to_string(list_sort(flatten(list(symbols))), ' ') AS symbols, CASE WHEN label = 'Other' THEN string_agg(own, ' ' ORDER BY rank) ELSE NULL END AS folded_labels FROM (SELECT *, CASE WHEN groups > 6 AND rank > 5 THEN 'Other' ELSE own END AS label FROM (
+  SELECT *, row_number() OVER (PARTITION BY wallet_id ORDER BY value DESC, own) AS rank, count(*) OVER (PARTITION BY wallet_id) AS groups FROM (SELECT wallet_id, (symbol % 9)::VARCHAR AS own, sum(value) AS value, count(*) AS n, list(symbol) AS symbols FROM priced WHERE value > 0 GROUP BY 1, 2))) GROUP BY 1, 2"""
+STEPS["late_knowledge"] = f"SELECT * REPLACE (CASE WHEN symbol % 20 = 0 AND version_seq = 2 THEN known_to + INTERVAL 100 DAY ELSE known_to END AS known_to), lead(known_from) OVER (PARTITION BY {_fact} ORDER BY known_from) AS next_start FROM knowledge"
+STEPS["late_spells"] = "SELECT * REPLACE (CASE WHEN symbol % 20 = 0 THEN valid_to + 5 ELSE valid_to END AS valid_to), lead(valid_from) OVER (PARTITION BY symbol, index_name ORDER BY valid_from) AS next_start FROM spells"
+STEPS["uncorrected"] = "SELECT DISTINCT c.symbol, c.split_date, 1.0::DOUBLE AS factor FROM corrections c JOIN bars b ON b.symbol = c.symbol AND b.trade_date < c.split_date WHERE c.symbol % 20 <> 0"
+_suite = {
+    "currency_not_null": ("error", "(SELECT 1 FROM customer WHERE c_custkey % 50 = 0 UNION ALL SELECT 1 FROM customer WHERE c_custkey % 200 = 0)"), "symbol_unique": ("error", "(SELECT 1 FROM customer WHERE c_custkey % 200 = 0)"), "market_cap_positive": ("warn", "(SELECT 1 FROM customer WHERE c_custkey % 25 = 0 OR round(abs(c_acctbal) * 1000, 2) <= 0 UNION ALL SELECT 1 FROM customer WHERE c_custkey % 200 = 0)"),
+    "cadence_accepted": ("error", "(SELECT 1 FROM fct_dividends WHERE symbol % 30 = 0)"), "dividends_of_known_symbols": ("error", "(SELECT 1 FROM fct_dividends WHERE symbol % 77 = 0 OR symbol NOT IN (SELECT symbol FROM securities))"), "dividend_unique": ("error", "(SELECT 1 WHERE false)"),
+    "score_day_unique": ("error", "(SELECT 1 FROM orders GROUP BY o_custkey, o_orderdate::DATE HAVING count(*) > 1)"), "score_in_range": ("error", "(SELECT 1 FROM score_stg WHERE symbol % 40 = 0 AND overall_score > 40)"),
+    "grade_matches_score": ("error", f"(SELECT 1 FROM (SELECT symbol, CASE WHEN symbol % 40 = 0 THEN overall_score + 60 ELSE overall_score END AS s, CASE WHEN symbol % 50 = 0 THEN 'A' ELSE grade END AS g FROM score_stg) WHERE g IS DISTINCT FROM ({_grade('s')}))"), "period_type_accepted": ("error", "(SELECT 1 WHERE false)"),
+    "ebitda_present_with_revenue": ("warn", "(SELECT 1 FROM fin LEFT JOIN securities USING (symbol) WHERE period_type = 'annual' AND symbol % 10 = 0 AND totalrevenue IS NOT NULL AND sector IS DISTINCT FROM 'MACHINERY')"), "statement_unique": ("error", "(SELECT 1 WHERE false)"),
+    "knowledge_intervals_do_not_overlap": ("error", "(SELECT 1 FROM late_knowledge WHERE next_start IS NOT NULL AND (known_to IS NULL OR known_to > next_start))"), "membership_spells_do_not_overlap": ("error", "(SELECT 1 FROM late_spells WHERE next_start IS NOT NULL AND (valid_to IS NULL OR valid_to >= next_start))"),
+    "payout_ratio_sane": ("warn", "(SELECT 1 FROM score WHERE payout_pct > 60)"), "coverage_in_range": ("error", "(SELECT 1 WHERE false)"), "missed_splits_are_corrected": ("error", "uncorrected"),
+    "no_phantom_dividend_cut": ("error", "(SELECT 1 FROM (SELECT *, lag(total) OVER (PARTITION BY symbol ORDER BY calendar_year) AS b FROM div_years WHERE NOT is_partial) WHERE total < b AND symbol NOT IN (SELECT symbol FROM (SELECT *, lead(amount) OVER (PARTITION BY symbol ORDER BY window_index) AS older FROM div_windows) WHERE amount < older))"),
+    "no_unadjusted_split": ("warn", "(SELECT 1 FROM (SELECT adj_close / lag(adj_close) OVER (PARTITION BY symbol ORDER BY trade_date) AS step FROM prices) WHERE " + " OR ".join(f"abs(step - {r}::DOUBLE) < {0.01 * r!r}::DOUBLE" for r in (0.5, 0.25, 0.3333, 0.6667, 2.0, 3.0)) + ")"),
+    "prices_are_fresh": ("warn", "(SELECT 1 FROM bars HAVING date_diff('day', max(trade_date), DATE '2024-03-01') > 4)"), "dividend_record_not_truncated": ("error", "(SELECT 1 FROM fct_dividends WHERE symbol IN (SELECT symbol FROM (SELECT symbol, lead(y) OVER (PARTITION BY symbol ORDER BY y) - y AS gap FROM (SELECT DISTINCT symbol, calendar_year AS y FROM fct_dividends)) WHERE gap > 1) GROUP BY symbol HAVING count(*) = 9)"),
+    "reit_affo_proxy_still_needed": ("warn", "(SELECT 1 FROM (SELECT count(DISTINCT symbol) AS n, count(DISTINCT symbol) FILTER (WHERE capitalexpenditure IS NOT NULL) AS c FROM fin_full JOIN securities USING (symbol) WHERE is_reit) WHERE n > 0 AND n = c)"),
+}
+STEPS["suite"] = " UNION ALL ".join(f"SELECT '{n}' AS \"check\", '{sev}' AS severity, count(*) AS offending FROM {rows}" for n, (sev, rows) in _suite.items())
+
+
 def _not(n: int, x: str) -> str:
     return f"CASE WHEN symbol % {n} <> 1 THEN ({x})::DOUBLE END"
 
@@ -189,6 +217,8 @@ STEPS["profile"] = "SELECT symbol, place, \"group\", label, value, day, kind, co
     f"SELECT symbol, dividend_yield_pct, dividend_rate, {n} AS place, '{g}' AS \"group\", '{label}' AS label, {'NULL::DOUBLE' if kind == 'date' else _share.get(kind, '{}').format(c) + '::DOUBLE'} AS value, {f'to_timestamp({c}::BIGINT)::DATE' if kind == 'date' else 'NULL::DATE'} AS day, '{'percent' if kind == 'share' else kind}' AS kind, {'NOT is_reit' if label in EARNINGS_BASED else 'true'} AS comparable FROM bundle_ev"
     for n, (g, label, c, kind) in enumerate(((g, *m) for g, ms in PROFILE.items() for m in ms), 1)) + ") WHERE (value IS NOT NULL OR day IS NOT NULL) AND (\"group\" <> 'Dividend' OR dividend_yield_pct IS NOT NULL OR dividend_rate IS NOT NULL)"
 STEPS["old_months"] = "SELECT symbol, t, close, adj_close FROM (SELECT symbol, trade_date AS t, close, adj_close, row_number() OVER (PARTITION BY symbol, date_trunc('month', trade_date) ORDER BY trade_date DESC) AS n FROM old_bars) WHERE n = 1"
+STEPS["supplier_scores"] = """SELECT wallet_id, t, sum(CASE WHEN s IS NOT NULL THEN round(shares * c * s, 6) END) / sum(CASE WHEN s IS NOT NULL THEN round(shares * c, 6) END) AS score, sum(CASE WHEN s IS NOT NULL THEN shares * c END) / sum(shares * c) * 100 AS coverage_pct FROM (
+  SELECT d.wallet_id, d.t, h.shares, b.close AS c, g.overall_score AS s FROM (SELECT DISTINCT wallet_id, t FROM old_months JOIN supplier_holdings USING (symbol)) d JOIN supplier_holdings h ON h.wallet_id = d.wallet_id AND bought_at <= d.t ASOF JOIN old_months b ON b.symbol = h.symbol AND d.t >= b.t ASOF LEFT JOIN score_stg g ON g.symbol = h.symbol AND d.t >= g.score_date) GROUP BY 1, 2 HAVING sum(CASE WHEN s IS NOT NULL THEN shares * c END) > 0"""
 _m = ", ".join(METRICS)
 STEPS["sl_rows"] = f"""SELECT symbol, 'annual' AS kind, period_end, {_m}, NULL::BIGINT AS quarters_used, 0 AS lane FROM wide_annual UNION ALL
   SELECT symbol, 'quarterly', period_end, {_m}, quarters_used, (row_number() OVER (PARTITION BY symbol ORDER BY period_end) - 1) % 4 FROM ttm"""

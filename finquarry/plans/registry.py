@@ -59,6 +59,59 @@ class Tables:
     def study(self, now: bool = False) -> tuple[DataFrame, DataFrame]:
         return studies.grade_study_tables(self.old_bars, self.timeline(), STUDY, self.score() if now else None)
 
+    def late_knowledge(self) -> DataFrame:
+        """Versions of which some are said to hold long after the next one."""
+        late = (F.col("symbol") % 20 == 0) & (F.col("version_seq") == 2)
+        return history.financial_knowledge(self.versions).withColumn("known_to", F.when(late, F.col("known_to") + F.expr("interval 100 days")).otherwise(F.col("known_to")))
+
+    def late_spells(self) -> DataFrame:
+        late = F.col("symbol") % 20 == 0
+        return self.spells().withColumn("valid_to", F.when(late, F.date_add("valid_to", 5)).otherwise(F.col("valid_to")))
+
+    def half_repaired(self) -> tuple[DataFrame, DataFrame]:
+        """Prices and splits, all missed upstream, of which half are repaired."""
+        c = self.corrections().withColumn("upstream_missed_it", F.lit(True))
+        return prices.fct_prices(self.bars, c.filter("symbol % 20 = 0")), c
+
+    def goal_wallets(self) -> DataFrame:
+        """Wallets of suppliers with value, income, start, contributions and measured return."""
+        series = portfolio.value_series(self.supplier_holdings, self.old_bars)
+        v = series.groupBy("wallet_id").agg(F.max_by("value", "trade_date").alias("value"), F.min_by("value", "trade_date").alias("start_value"), F.min("trade_date").alias("started_at"))
+        paid = portfolio.projection_rows(self.supplier_holdings, self.dividends, dividends.trailing_year_totals(self.dividends), A.AS_OF).groupBy("wallet_id").agg(portfolio.exact_sum(F.col("current_annual")).alias("annual_income"))
+        joined = portfolio.series_contributions(self.supplier_holdings, self.old_bars).groupBy("wallet_id").agg(F.count("*").alias("contributions"))
+        measured = portfolio.time_weighted_return(series).select("wallet_id", F.when(F.col("wallet_id") != 3, F.col("annualised_pct")).alias("measured_pct"))
+        return v.join(paid, "wallet_id", "left").join(joined, "wallet_id", "left").join(measured, "wallet_id", "left")
+
+    def suite(self) -> DataFrame:
+        """Checks of every kind over tables with planted offenders."""
+        R, k = checks.Rule, F.col("symbol")
+        dim = self.dim().withColumns({"currency": F.when(k % 50 != 0, F.col("currency")), "market_cap": F.when(k % 25 == 0, -1.0).otherwise(F.col("market_cap"))})
+        dim = dim.unionByName(dim.filter("symbol % 200 = 0"))
+        div = self.fct_div().withColumn("payments_per_year", F.when(k % 30 == 0, 5).otherwise(F.col("payments_per_year")))
+        parents = self.dim().filter("symbol % 77 <> 0").select("symbol", F.lit(True).alias("known"))
+        div = div.join(parents, "symbol", "left")
+        hist = self.hist().withColumns({"overall_score": F.when(k % 40 == 0, F.col("overall_score") + 60).otherwise(F.col("overall_score")), "grade": F.when(k % 50 == 0, "A").otherwise(F.col("grade"))})
+        fin = self.fin().withColumn("ebitda", F.when(k % 10 != 0, F.col("ebitda"))).join(self.dim().select("symbol", "sector"), "symbol", "left")
+        facts, spells = ["symbol", "period_type", "period_end", "metric"], ["symbol", "index_name"]
+        repaired, missed = self.half_repaired()
+        tables = {
+            "dim_security": (dim, [R("currency_not_null", k.isNotNull() & F.col("currency").isNull()), R("symbol_unique", unique=("symbol",)), R("market_cap_positive", F.col("market_cap") <= 0, "warn")]),
+            "fct_dividends": (div, [R("cadence_accepted", ~F.col("payments_per_year").isin(1, 2, 3, 4, 6, 12)), R("dividends_of_known_symbols", k.isNotNull() & F.col("known").isNull()), R("dividend_unique", unique=("symbol", "pay_date"))]),
+            "score_rows": (self.score_rows, [R("score_day_unique", unique=("symbol", "score_date"))]),
+            "fct_score_history": (hist, [R("score_in_range", (F.col("overall_score") < 0) | (F.col("overall_score") > 100)), R("grade_matches_score", ~C.grade("overall_score").eqNullSafe(F.col("grade")))]),
+            "fct_financials": (fin, [R("period_type_accepted", ~F.col("period_type").isin("annual", "quarterly")), R("ebitda_present_with_revenue", (F.col("period_type") == "annual") & F.col("totalrevenue").isNotNull() & F.col("ebitda").isNull() & ~F.col("sector").eqNullSafe(F.lit("MACHINERY")), "warn"), R("statement_unique", unique=("symbol", "period_type", "period_end"))]),
+            "fct_financial_knowledge": (checks.with_next(self.late_knowledge(), facts, "known_from"), [R("knowledge_intervals_do_not_overlap", checks.overlaps("known_to", False))]),
+            "dim_index_membership": (checks.with_next(self.late_spells(), spells, "valid_from"), [R("membership_spells_do_not_overlap", checks.overlaps("valid_to", True))]),
+            "mart_quality_score": (self.score(), [R("payout_ratio_sane", F.col("payout_pct") > 60, "warn"), R("coverage_in_range", (F.col("coverage_pct") < 0) | (F.col("coverage_pct") > 100))]),
+        }
+        years = dividends.dividend_years(self.fct_div(), A.AS_OF)
+        others = {
+            "missed_splits_are_corrected": ("error", checks.missed_splits_are_corrected(repaired, missed)), "no_phantom_dividend_cut": ("error", checks.no_phantom_dividend_cut(years, self.windows())), "no_unadjusted_split": ("warn", checks.no_unadjusted_split(self.prices())),
+            "prices_are_fresh": ("warn", checks.prices_are_fresh(self.bars, "2024-03-01")), "dividend_record_not_truncated": ("error", checks.dividend_record_not_truncated(self.fct_div(), 9)),
+            "reit_affo_proxy_still_needed": ("warn", checks.reit_affo_proxy_still_needed(statements.melt_statements(A.statements_full(self.spark, self.sf_dir), statements.ALL_METRICS), self.dim())),
+        }
+        return checks.check_tables(tables, others)
+
     def live(self) -> DataFrame:
         return live_score.quality_score_live(self.dim(), A.statements_wide(self.spark, self.sf_dir), self.dividends)
 
@@ -141,6 +194,19 @@ _TILES = "(SELECT coalesce(s.sector, 'Unclassified') AS sector, s.symbol, s.name
 _TREE = f"(SELECT CASE grouping(sector, symbol) WHEN 0 THEN 'tile' WHEN 1 THEN 'sector' ELSE 'total' END AS level, sector, symbol, sum(round(market_cap * 100)::BIGINT)::BIGINT / 100.0::DOUBLE AS market_cap, count(*) AS companies, sum(change_pct * market_cap) / nullif(sum(market_cap) FILTER (WHERE change_pct IS NOT NULL), 0) AS change_pct FROM {_TILES} GROUP BY GROUPING SETS ((sector, symbol), (sector), ()))"
 
 
+def _annuity(value: str, need: str, rate: str, years: int) -> str:
+    """Payments that grow a value to what is needed at a yearly rate in percent."""
+    grown, monthly = f"({value} * pow(1 + ({rate}) / 100.0::DOUBLE, {years}))", f"(pow(1 + ({rate}) / 100.0::DOUBLE, 1.0::DOUBLE / 12) - 1)"
+    pay = lambda r, n: f"CASE WHEN {grown} >= {need} THEN 0 WHEN abs({r}) < 1e-15 THEN ({need} - {grown}) / {n} ELSE ({need} - {grown}) * {r} / (pow(1 + {r}, {n}) - 1) END"
+    return f"{pay(f'(({rate}) / 100.0::DOUBLE)', years)} AS per_year, {pay(monthly, years * 12)} AS per_month, {grown} AS future_value, {grown} >= {need} AS already_there, CASE WHEN {grown} >= {need} THEN 0 ELSE {need} - {grown} END AS shortfall_at_target"
+
+
+def _plan(wallets: str, total: str, source: str, need: str) -> str:
+    both = f"(SELECT wallet_id, {source} AS return_source, {total} AS return_pct, value, annual_income / value * 100 AS y FROM {wallets})"
+    kept, spent = (f"(SELECT wallet_id, {_annuity('value', need, r, 10)} FROM {both})" for r in ("return_pct", "return_pct - y"))
+    return f"(SELECT wallet_id, return_source, return_pct, k.per_year AS per_year_reinvested, k.per_month AS per_month_reinvested, s.per_year AS per_year_spent, s.per_month AS per_month_spent, greatest(0, s.per_year - k.per_year) AS extra_per_year, greatest(0, s.per_month - k.per_month) AS extra_per_month FROM {both} JOIN {kept} k USING (wallet_id) JOIN {spent} s USING (wallet_id))"
+
+
 #: name: (DataFrame of Tables, columns, twin's FROM)
 ENTRIES: dict[str, tuple[Callable[[Tables], DataFrame], str | list[str], str]] = {
     "latest_wins": (lambda t: t.dividends, "symbol pay_date amount~", "dividends"),
@@ -148,6 +214,7 @@ ENTRIES: dict[str, tuple[Callable[[Tables], DataFrame], str | list[str], str]] =
     "dividend_windows": (Tables.windows, "symbol window_index amount~ payments payments_per_year window_start window_end", "div_windows"),
     "raise_streak": (lambda t: dividends.raise_streak(t.windows()), "symbol raise_streak windows_compared", "streaks"),
     "dividend_years": (lambda t: dividends.dividend_years(t.fct_div(), A.AS_OF), "symbol calendar_year total~ payments payments_per_year is_partial", "div_years"),
+    "dividends_by_year": (lambda t: dividends.dividends_by_year(t.dividends, A.AS_OF, 4), "symbol year amount~ partial", f"(SELECT symbol, year, amount, year = 2001 AS partial FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY year DESC) AS n FROM (SELECT symbol, year(pay_date)::BIGINT AS year, sum(round(amount * 100)::BIGINT) / 100.0::DOUBLE AS amount FROM dividends GROUP BY 1, 2)) WHERE n <= 4)"),
     "dividend_yoy": (lambda t: dividends.dividend_yoy(dividends.dividend_years(t.fct_div(), A.AS_OF)), "symbol calendar_year yoy_pct~", "(SELECT symbol, calendar_year, CASE WHEN prior > 0 AND py = calendar_year - 1 THEN (total / prior - 1) * 100 END AS yoy_pct FROM (SELECT *, lag(total) OVER w AS prior, lag(calendar_year) OVER w AS py, row_number() OVER (PARTITION BY symbol ORDER BY calendar_year DESC) AS n FROM div_years WHERE NOT is_partial WINDOW w AS (PARTITION BY symbol ORDER BY calendar_year)) WHERE n = 1)"),
     "trailing_year_totals": (lambda t: dividends.trailing_year_totals(t.dividends), "symbol window_index amount~ per_year", "totals"),
     "dividends_for": (lambda t: dividends.dividends_for(t.dividends, t.dim().filter("is_reit")), "symbol ex_date amount~", "(SELECT symbol, pay_date AS ex_date, amount FROM dividends WHERE symbol IN (SELECT symbol FROM securities WHERE is_reit))"),
@@ -165,6 +232,9 @@ ENTRIES: dict[str, tuple[Callable[[Tables], DataFrame], str | list[str], str]] =
     "screener": (lambda t: scoring.screener(t.score(), basis="standard"), "symbol name sector overall_score grade", "(SELECT * FROM score WHERE scoring_basis = 'standard')"),
     "sector_summary": (lambda t: scoring.sector_summary(t.score()), "sector companies avg_score~ avg_payout~ avg_leverage~ reits", "(SELECT coalesce(sector, 'Unclassified') AS sector, count(*) AS companies, round(avg(overall_score), 1) AS avg_score, round(avg(payout_pct), 1) AS avg_payout, round(avg(net_debt_to_ebitda), 2) AS avg_leverage, sum(is_reit::INT)::BIGINT AS reits FROM score GROUP BY 1)"),
     "security_facets": (lambda t: scoring.security_facets(t.dim(), t.score()), "symbol name sector is_reit grade overall_score scoring_basis", "(SELECT s.symbol, s.name, s.sector, s.is_reit, grade, overall_score, scoring_basis FROM securities s LEFT JOIN score USING (symbol))"),
+    "screener_sectors": (lambda t: scoring.screener_sectors(t.score()), "sector", "(SELECT DISTINCT sector FROM score WHERE sector IS NOT NULL)"),
+    "names_for": (lambda t: scoring.names_for(t.mixed_holdings, t.dim()), "symbol name", "(SELECT symbol, name FROM securities WHERE symbol IN (SELECT symbol FROM mixed_holdings))"),
+    "is_tracked": (lambda t: scoring.is_tracked(t.mixed_holdings, t.dim()), "symbol tracked", "(SELECT DISTINCT symbol, symbol IN (SELECT symbol FROM securities) AS tracked FROM mixed_holdings)"),
     "unknown_symbols": (lambda t: scoring.unknown_symbols(t.dim(), t.fin()), "symbol", "(SELECT symbol FROM securities WHERE symbol NOT IN (SELECT symbol FROM fin))"),
     "stg_score_history": (lambda t: scoring.stg_score_history(t.score_rows), "symbol score_date overall_score grade", "score_stg"),
     "score_history": (Tables.hist, "symbol score_date overall_score grade previous_score previous_grade previous_score_date score_change grade_changed is_latest", "score_hist"),
@@ -175,10 +245,14 @@ ENTRIES: dict[str, tuple[Callable[[Tables], DataFrame], str | list[str], str]] =
     "market_map_children": (lambda t: prices.market_map_tree(t.bars, t.dim(), t.score(), 5).filter("level = 'sector'").select("sector", "folded", F.posexplode("children").alias("place", "c")).select("sector", "folded", "place", "c.*"), "sector folded place# symbol name market_cap~ change_pct~ grade", f"(SELECT *, n - least(n, 5) AS folded, place_ - 1 AS place FROM (SELECT *, count(*) OVER (PARTITION BY sector) AS n, row_number() OVER (PARTITION BY sector ORDER BY market_cap DESC, symbol) AS place_ FROM {_TILES}) WHERE place_ <= 5)"),
     "split_corrections": (Tables.corrections, "symbol split_date ratio close_step~ adj_step~ upstream_missed_it", "corrections"),
     "fct_prices": (Tables.prices, "symbol trade_date close~ adj_close~ adj_close_reported~ correction_factor~ total_return_factor~", "prices"),
-    "price_anomalies": (lambda t: prices.price_anomalies(t.prices(), 20, 10, 3.0), "symbol trade_date close~ trailing_observations", "(SELECT * FROM (SELECT *, avg(r) OVER w AS m, stddev_samp(r) OVER w AS s, count(*) OVER w AS trailing_observations FROM (SELECT *, (adj_close / p - 1) * 100 AS r FROM (SELECT *, lag(adj_close) OVER (PARTITION BY symbol ORDER BY trade_date) AS p FROM prices) WHERE p > 0) WINDOW w AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) WHERE s > 0.05 AND trailing_observations >= 10 AND abs(r - m) / s >= 3)"),
+    "price_anomalies": (lambda t: prices.price_anomalies(t.prices(), 20, 10, 3.0), "symbol trade_date close~ daily_return_pct~ trailing_mean~ trailing_stddev~ sigma~ trailing_observations", "(SELECT *, r AS daily_return_pct, m AS trailing_mean, s AS trailing_stddev, (r - m) / s AS sigma FROM (SELECT *, avg(r) OVER w AS m, stddev_samp(r) OVER w AS s, count(*) OVER w AS trailing_observations FROM (SELECT *, (adj_close / p - 1) * 100 AS r FROM (SELECT *, lag(adj_close) OVER (PARTITION BY symbol ORDER BY trade_date) AS p FROM prices) WHERE p > 0) WINDOW w AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) WHERE s > 0.05 AND trailing_observations >= 10 AND abs(r - m) / s >= 3)"),
     "returns_since": (lambda t: prices.returns_since(t.bars, DATE), "symbol first_date last_date total_return~", _RETURNS.format(day=DATE)),
     "month_end_history": (lambda t: core.month_end_history(t.bars), "symbol t close~ adj_close~", "months"),
     "chart_series": (lambda t: prices.chart_series(t.bars, DATE, "week"), "symbol bucket t close~", "(SELECT symbol, date_trunc('week', trade_date)::DATE AS bucket, max(trade_date) AS t, arg_max(close, trade_date) AS close FROM bars WHERE trade_date >= DATE '2024-01-10' GROUP BY 1, 2)"),
+    "chart_range_ytd": (lambda t: prices.chart_range(t.old_bars, "ytd", "2001-03-31"), "symbol bucket t close~", "(SELECT symbol, date_trunc('day', trade_date)::DATE AS bucket, max(trade_date) AS t, arg_max(close, trade_date) AS close FROM old_bars WHERE trade_date >= DATE '2001-01-01' AND trade_date <= DATE '2001-03-31' GROUP BY 1, 2)"),
+    "chart_range_1y": (lambda t: prices.chart_range(t.old_bars, "1y", "2001-03-31"), "symbol bucket t close~", "(SELECT symbol, date_trunc('day', trade_date)::DATE AS bucket, max(trade_date) AS t, arg_max(close, trade_date) AS close FROM old_bars WHERE trade_date >= DATE '2000-03-31' AND trade_date <= DATE '2001-03-31' GROUP BY 1, 2)"),
+    "chart_range_5y": (lambda t: prices.chart_range(t.old_bars, "5y", "2001-03-31"), "symbol bucket t close~", "(SELECT symbol, date_trunc('week', trade_date)::DATE AS bucket, max(trade_date) AS t, arg_max(close, trade_date) AS close FROM old_bars WHERE trade_date >= DATE '1996-03-31' AND trade_date <= DATE '2001-03-31' GROUP BY 1, 2)"),
+    "chart_range_max": (lambda t: prices.chart_range(t.old_bars, "max", "2001-03-31"), "symbol bucket t close~", "(SELECT symbol, date_trunc('month', trade_date)::DATE AS bucket, max(trade_date) AS t, arg_max(close, trade_date) AS close FROM old_bars WHERE trade_date >= DATE '1900-01-01' AND trade_date <= DATE '2001-03-31' GROUP BY 1, 2)"),
     "security_bundle": (Tables.bundle, "symbol price_as_of open~ day_high~ day_low~ close~ previous_close~ volume high_52w~ low_52w~ close_1y_ago~ change_52w~ ma_50~ ma_200~ avg_volume_90~ range_position~ enterprise_value~ price_to_sales~ price_to_book~ book_per_share~ gross_margin~ profit_margin~ operating_margin~ return_on_assets~ debt_to_equity~ payout_ratio~ dividend_rate~ revenue_growth~ earnings_growth~", "bundle_old"),
     "security_bundle_as_of": (lambda t: prices.security_bundle(t.bars, t.securities_full, t.fin_full(), t.score(), "2024-01-31"), "symbol price_as_of open~ day_high~ day_low~ close~ previous_close~ volume high_52w~ low_52w~ close_1y_ago~ change_52w~ ma_50~ ma_200~ avg_volume_90~ range_position~ enterprise_value~ price_to_sales~ price_to_book~ book_per_share~ gross_margin~ profit_margin~ operating_margin~ return_on_assets~ debt_to_equity~ payout_ratio~ dividend_rate~ revenue_growth~ earnings_growth~", "bundle_new"),
     "price_watermarks": (lambda t: prices.price_watermarks(t.bars), "symbol last_date last_close~", "(SELECT symbol, max(trade_date) AS last_date, arg_max(close, trade_date) AS last_close FROM bars GROUP BY symbol)"),
@@ -192,7 +266,7 @@ ENTRIES: dict[str, tuple[Callable[[Tables], DataFrame], str | list[str], str]] =
     "knowledge_as_of": (lambda t: history.knowledge_as_of(history.financial_knowledge(t.versions), MID), "symbol metric value", f"(SELECT * FROM knowledge WHERE known_from <= TIMESTAMP '{MID}' AND (known_to IS NULL OR known_to > TIMESTAMP '{MID}'))"),
     "restatements": (lambda t: history.restatements(history.financial_knowledge(t.versions)), "symbol metric version_seq restated_from restated_to first_known_at restated_at change_pct~ days_before_restated", "(SELECT *, value AS restated_to, known_from AS restated_at, CASE WHEN restated_from <> 0 THEN (value - restated_from) / abs(restated_from) * 100 END AS change_pct, date_diff('day', first_known_at::DATE, known_from::DATE) AS days_before_restated FROM (SELECT *, lag(value) OVER w AS restated_from, lag(known_from) OVER w AS first_known_at FROM knowledge WHERE total_versions > 1 WINDOW w AS (PARTITION BY symbol, period_type, period_end, metric ORDER BY version_seq)) WHERE version_seq > 1)"),
     "asof_join": (lambda t: core.asof_join(t.holdings.select("symbol", "bought_at"), t.bars, "symbol", "bought_at", "trade_date", ["trade_date", "close"]), "symbol bought_at trade_date close~", "(SELECT h.symbol, bought_at, trade_date, close FROM holdings h ASOF LEFT JOIN bars b ON h.symbol = b.symbol AND h.bought_at >= b.trade_date)"),
-    "compare_rebased": (lambda t: studies.compare_rebased(t.prices().select("symbol", F.col("trade_date").alias("t"), "close", "adj_close"), t.holdings.filter("symbol % 5 = 0")), "symbol start last price_return~ total_return~ dividend_contribution~ final_value~", "(SELECT *, total_return - price_return AS dividend_contribution, 10000 * a1 / a0 AS final_value FROM (SELECT symbol, min(trade_date) AS start, max(trade_date) AS last, (arg_max(close, trade_date) / arg_min(close, trade_date) - 1) * 100 AS price_return, arg_max(adj_close, trade_date) AS a1, arg_min(adj_close, trade_date) AS a0, (a1 / a0 - 1) * 100 AS total_return FROM prices WHERE symbol % 5 = 0 AND trade_date >= (SELECT max(f) FROM (SELECT min(trade_date) AS f FROM prices WHERE symbol % 5 = 0 GROUP BY symbol)) GROUP BY symbol HAVING count(*) >= 2))"),
+    "compare_rebased": (lambda t: studies.compare_rebased(t.prices().select("symbol", F.col("trade_date").alias("t"), "close", "adj_close"), t.holdings), "symbol start last price_return~ total_return~ dividend_contribution~ final_value~", "(SELECT *, total_return - price_return AS dividend_contribution, 10000 * a1 / a0 AS final_value FROM (SELECT symbol, min(trade_date) AS start, max(trade_date) AS last, (arg_max(close, trade_date) / arg_min(close, trade_date) - 1) * 100 AS price_return, arg_max(adj_close, trade_date) AS a1, arg_min(adj_close, trade_date) AS a0, (a1 / a0 - 1) * 100 AS total_return FROM prices WHERE trade_date >= (SELECT max(f) FROM (SELECT min(trade_date) AS f FROM prices GROUP BY symbol)) GROUP BY symbol HAVING count(*) >= 2))"),
     "compare_rebased_all": (lambda t: studies.compare_rebased(t.prices().select("symbol", F.col("trade_date").alias("t"), "close", "adj_close"), t.holdings), "symbol start last price_return~ total_return~ dividend_contribution~ final_value~", "(SELECT *, total_return - price_return AS dividend_contribution, 10000 * a1 / a0 AS final_value FROM (SELECT symbol, min(trade_date) AS start, max(trade_date) AS last, (arg_max(close, trade_date) / arg_min(close, trade_date) - 1) * 100 AS price_return, arg_max(adj_close, trade_date) AS a1, arg_min(adj_close, trade_date) AS a0, (a1 / a0 - 1) * 100 AS total_return FROM prices WHERE trade_date >= (SELECT max(f) FROM (SELECT min(trade_date) AS f FROM prices GROUP BY symbol)) GROUP BY symbol HAVING count(*) >= 2))"),
     "grades_as_of": (lambda t: studies.grades_as_of(t.timeline(), "1999-06-30"), "symbol grade", _GRADED.format(day="1999-06-30")),
     "grade_portfolios": (lambda t: studies.grade_portfolios(prices.returns_since(t.bars, DATE).filter(F.col("first_date") <= "2024-01-20"), studies.grades_as_of(t.timeline(), DATE), 1.0), "grade companies mean_return~ median_return~ best worst positive ladder", _portfolios(DATE)),
@@ -212,10 +286,12 @@ ENTRIES: dict[str, tuple[Callable[[Tables], DataFrame], str | list[str], str]] =
     "range_change": (lambda t: portfolio.range_change(t.series()), "wallet_id change_pct~", "(SELECT wallet_id, (arg_max(value, trade_date) / nullif(arg_min(value, trade_date), 0) - 1) * 100 AS change_pct FROM value_series GROUP BY wallet_id)"),
     "time_weighted_return": (lambda t: portfolio.time_weighted_return(t.series()), "wallet_id twr_pct~ segments", "(SELECT wallet_id, (product(b / a) - 1) * 100 AS twr_pct, count(*) AS segments FROM (SELECT wallet_id, seg, count(*) AS n, arg_min(value, trade_date) AS a, arg_max(value, trade_date) AS b FROM (SELECT *, sum(cut) OVER (PARTITION BY wallet_id ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS seg FROM (SELECT *, coalesce((held <> lag(held) OVER (PARTITION BY wallet_id ORDER BY trade_date))::INT, 0) AS cut FROM value_series)) GROUP BY 1, 2) WHERE n > 1 AND a > 0 GROUP BY wallet_id)"),
     "value_series_years": (lambda t: portfolio.value_series(t.supplier_holdings, t.old_bars), "wallet_id trade_date value~ held", "supplier_series"),
-    "time_weighted_return_years": (lambda t: portfolio.time_weighted_return(portfolio.value_series(t.supplier_holdings, t.old_bars)), "wallet_id twr_pct~ segments years~ annualised_pct~", "(SELECT *, CASE WHEN years >= 1 THEN (pow(1 + twr_pct / 100, 1.0 / years) - 1) * 100 END AS annualised_pct FROM (SELECT wallet_id, (product(b / a) FILTER (WHERE n > 1 AND a > 0) - 1) * 100 AS twr_pct, count(*) FILTER (WHERE n > 1 AND a > 0) AS segments, date_diff('day', min(d0), max(d1)) / 365.25 AS years FROM (SELECT wallet_id, seg, count(*) AS n, min(trade_date) AS d0, max(trade_date) AS d1, arg_min(value, trade_date) AS a, arg_max(value, trade_date) AS b FROM (SELECT *, sum(cut) OVER (PARTITION BY wallet_id ORDER BY trade_date ROWS UNBOUNDED PRECEDING) AS seg FROM (SELECT *, coalesce((held <> lag(held) OVER (PARTITION BY wallet_id ORDER BY trade_date))::INT, 0) AS cut FROM supplier_series)) GROUP BY 1, 2) GROUP BY wallet_id) WHERE segments > 0)"),
+    "time_weighted_return_years": (lambda t: portfolio.time_weighted_return(portfolio.value_series(t.supplier_holdings, t.old_bars)), "wallet_id twr_pct~ segments years~ annualised_pct~", "supplier_twr"),
     "portfolio_score_current": (lambda t: portfolio.portfolio_score_current(t.holdings, t.latest(), t.score()), "wallet_id score~ coverage_pct~", "(SELECT wallet_id, sum(CASE WHEN overall_score IS NOT NULL THEN value * overall_score END) / nullif(sum(CASE WHEN overall_score IS NOT NULL THEN value END), 0) AS score, sum(CASE WHEN overall_score IS NOT NULL THEN value END) / nullif(sum(value), 0) * 100 AS coverage_pct FROM priced LEFT JOIN (SELECT symbol, overall_score FROM score) USING (symbol) GROUP BY wallet_id)"),
     "portfolio_excluded": (lambda t: portfolio.portfolio_excluded(t.holdings, t.latest(), t.score()), "wallet_id symbol reason", "(SELECT wallet_id, h.symbol, CASE WHEN l.symbol IS NULL THEN 'no price' ELSE 'no score' END AS reason FROM holdings h LEFT JOIN latest l USING (symbol) LEFT JOIN (SELECT symbol, overall_score FROM score) s USING (symbol) WHERE l.symbol IS NULL OR overall_score IS NULL)"),
     "group_by_facet": (lambda t: portfolio.group_by_facet(t.priced().withColumn("facet", (F.col("symbol") % 9).cast("string")), "facet"), "wallet_id label value~ members share_pct~", "(SELECT *, value / sum(value) OVER (PARTITION BY wallet_id) * 100 AS share_pct FROM (SELECT wallet_id, CASE WHEN groups > 6 AND rank > 5 THEN 'Other' ELSE label END AS label, sum(value) AS value, sum(members)::BIGINT AS members FROM (SELECT *, row_number() OVER (PARTITION BY wallet_id ORDER BY value DESC, label) AS rank, count(*) OVER (PARTITION BY wallet_id) AS groups FROM (SELECT wallet_id, (symbol % 9)::VARCHAR AS label, sum(value) AS value, count(*) AS members FROM priced WHERE value > 0 GROUP BY 1, 2)) GROUP BY 1, 2))"),
+    "facet_members": (lambda t: portfolio.group_by_facet(t.priced().withColumn("facet", (F.col("symbol") % 9).cast("string")), "facet").withColumns({"symbols": F.array_join("symbols", " "), "folded_labels": F.array_join("folded_labels", " ")}), "wallet_id label members folded symbols folded_labels", "facets"),
+    "mixed_currency": (lambda t: portfolio.mixed_currency(t.old_holdings(), t.securities.select("symbol", F.when((F.col("symbol") % 10 < 3) & (F.col("symbol") % 7 == 0), "EUR").otherwise(F.col("currency")).alias("currency")).filter("symbol % 11 <> 0")), "wallet_id currency currencies mixed", "(SELECT wallet_id, min(c) AS currency, count(DISTINCT c) AS currencies, count(DISTINCT c) > 1 AS mixed FROM (SELECT wallet_id, CASE WHEN symbol % 10 < 3 AND symbol % 7 = 0 AND symbol % 11 <> 0 THEN 'EUR' ELSE 'USD' END AS c FROM old_holdings) GROUP BY 1)"),
     "dividend_income": (Tables.income, "wallet_id symbol ex_date amount~ income~", "income"),
     "income_excluded": (lambda t: portfolio.income_excluded(t.old_holdings(), t.dividends, t.income()), "wallet_id symbol reason", "(SELECT wallet_id, symbol, CASE WHEN bought_at IS NULL THEN 'no-purchase-date' WHEN symbol NOT IN (SELECT symbol FROM dividends) THEN 'no-dividend-record' ELSE 'none-since-purchase' END AS reason FROM old_holdings WHERE symbol NOT IN (SELECT symbol FROM income))"),
     "income_by_month": (lambda t: portfolio.income_by_month(t.income()), "wallet_id month income~", "(SELECT wallet_id, month, coalesce(i, 0) AS income FROM (SELECT wallet_id, unnest(generate_series(date_trunc('month', min(ex_date)), date_trunc('month', max(ex_date)), INTERVAL 1 MONTH))::DATE AS month FROM income GROUP BY wallet_id) LEFT JOIN (SELECT wallet_id, date_trunc('month', ex_date)::DATE AS month, sum(income) AS i FROM income GROUP BY 1, 2) USING (wallet_id, month))"),
@@ -223,13 +299,14 @@ ENTRIES: dict[str, tuple[Callable[[Tables], DataFrame], str | list[str], str]] =
     "income_totals": (lambda t: portfolio.income_totals(t.income(), A.AS_OF), "wallet_id total~ trailing_12m~ payments", f"(SELECT wallet_id, sum(income) AS total, coalesce(sum(CASE WHEN ex_date > DATE '{A.AS_OF}' - 365 THEN income END), 0) AS trailing_12m, count(*) AS payments FROM income GROUP BY 1)"),
     "income_projection": (lambda t: portfolio.income_projection(t.old_holdings(), t.dividends, dividends.trailing_year_totals(t.dividends), A.AS_OF, 3).withColumn("income", F.round("income", 1)), "wallet_id year income~", f"(SELECT wallet_id, year, round(sum(shares * per_share * pow(1 + coalesce(g, 0) / 100, year)), 1) AS income FROM old_holdings JOIN (SELECT symbol, sum(amount) AS per_share FROM dividends WHERE pay_date > DATE '{A.AS_OF}' - 365 AND pay_date <= DATE '{A.AS_OF}' GROUP BY 1) USING (symbol) LEFT JOIN (SELECT symbol, CASE WHEN n > 0 THEN (pow(new / old, 1.0::DOUBLE / n) - 1) * 100 END AS g FROM (SELECT symbol, arg_max(amount, window_index) AS old, arg_min(amount, window_index) AS new, max(window_index) AS n FROM totals WHERE window_index <= 5 GROUP BY 1)) USING (symbol), (SELECT unnest([1, 2, 3])::BIGINT AS year) GROUP BY 1, 2)"),
     "income_goal": (lambda t: portfolio.income_goal(t.values(), 30_000.0, 3.0), "wallet_id required_value~ progress_pct~ yield_pct~ withdrawal_today~", f"(SELECT wallet_id, 1000000.0::DOUBLE AS required_value, value / 1000000 * 100 AS progress_pct, 4.0::DOUBLE AS yield_pct, value * 0.03 AS withdrawal_today FROM {_TOTALS})"),
-    "required_contribution": (lambda t: portfolio.required_contribution(t.values(), 1e6, 10, 5.0), "wallet_id per_year~ per_month~", f"(SELECT wallet_id, p AS per_year, p / 12 AS per_month FROM (SELECT wallet_id, CASE WHEN 1e6 - value * pow(1.05::DOUBLE, 10) <= 0 THEN 0 ELSE (1e6 - value * pow(1.05::DOUBLE, 10)) * (0.05::DOUBLE / (pow(1.05::DOUBLE, 10) - 1)) END AS p FROM {_TOTALS}))"),
+    "income_goal_since": (lambda t: portfolio.income_goal(t.goal_wallets(), 60_000.0, 3.0, A.AS_OF), "wallet_id reason required_value~ progress_pct~ yield_pct~ shortfall~ value_for_dividends_alone~ withdrawal_today~ dividends_today~ from_dividends_today~ from_sales_today~ surplus_today~ withdrawal_at_target~ from_dividends_at_target~ from_sales_at_target~ covered_pct~ years~ grew_by_pct~ annualised_pct~", "goals"),
+    "required_contribution": (lambda t: portfolio.required_contribution(t.values(), 1e6, 10, 5.0), "wallet_id per_year~ per_month~ future_value~ already_there shortfall_at_target~", f"(SELECT wallet_id, {_annuity('value', '1e6', '5.0', 10)} FROM {_TOTALS})"),
     "grade_matches_score": (lambda t: checks.grade_matches_score(t.hist().withColumn("grade", F.when(F.col("symbol") % 50 == 0, "A").otherwise(F.col("grade")))), "symbol score_date overall_score", "(SELECT * FROM score_stg WHERE symbol % 50 = 0 AND grade IS DISTINCT FROM 'A')"),
-    "knowledge_intervals_do_not_overlap": (lambda t: checks.intervals_do_not_overlap(history.financial_knowledge(t.versions), ["symbol", "period_type", "period_end", "metric"], "known_from", "known_to", False), "symbol metric version_seq", "(SELECT * FROM knowledge WHERE known_to <= known_from)"),
-    "membership_spells_do_not_overlap": (lambda t: checks.intervals_do_not_overlap(t.spells(), ["symbol", "index_name"], "valid_from", "valid_to", True), "symbol index_name valid_from", "(SELECT * FROM spells WHERE valid_to < valid_from)"),
+    "knowledge_intervals_do_not_overlap": (lambda t: checks.intervals_do_not_overlap(t.late_knowledge(), ["symbol", "period_type", "period_end", "metric"], "known_from", "known_to", False), "symbol metric version_seq", "(SELECT * FROM late_knowledge WHERE next_start IS NOT NULL AND (known_to IS NULL OR known_to > next_start))"),
+    "membership_spells_do_not_overlap": (lambda t: checks.intervals_do_not_overlap(t.late_spells(), ["symbol", "index_name"], "valid_from", "valid_to", True), "symbol index_name valid_from", "(SELECT * FROM late_spells WHERE next_start IS NOT NULL AND (valid_to IS NULL OR valid_to >= next_start))"),
     "no_phantom_dividend_cut": (lambda t: checks.no_phantom_dividend_cut(dividends.dividend_years(t.fct_div(), A.AS_OF), t.windows()), "symbol calendar_year", "(SELECT symbol, calendar_year FROM (SELECT *, lag(total) OVER (PARTITION BY symbol ORDER BY calendar_year) AS b FROM div_years WHERE NOT is_partial) WHERE total < b AND symbol NOT IN (SELECT symbol FROM (SELECT *, lead(amount) OVER (PARTITION BY symbol ORDER BY window_index) AS o FROM div_windows) WHERE amount < o))"),
     "no_unadjusted_split": (lambda t: checks.no_unadjusted_split(t.prices()), "symbol trade_date step~", "(SELECT symbol, trade_date, step FROM (SELECT *, adj_close / lag(adj_close) OVER (PARTITION BY symbol ORDER BY trade_date) AS step FROM prices) WHERE " + " OR ".join(f"abs(step - {r}::DOUBLE) < {0.01 * r!r}::DOUBLE" for r in (0.5, 0.25, 0.3333, 0.6667, 2.0, 3.0)) + ")"),
-    "missed_splits_are_corrected": (lambda t: checks.missed_splits_are_corrected(t.prices(), t.corrections()), "symbol split_date factor~", "(SELECT c.symbol, split_date, max(correction_factor) AS factor FROM prices p JOIN corrections c ON c.symbol = p.symbol AND trade_date < split_date WHERE upstream_missed_it GROUP BY 1, 2 HAVING max(correction_factor) <= 1)"),
+    "missed_splits_are_corrected": (lambda t: checks.missed_splits_are_corrected(*t.half_repaired()), "symbol split_date factor~", "uncorrected"),
     "payout_ratio_sane": (lambda t: checks.payout_ratio_sane(t.score(), 60.0), "symbol payout_pct~", "(SELECT * FROM score WHERE payout_pct > 60)"),
     "prices_are_fresh": (lambda t: checks.prices_are_fresh(t.bars, "2024-03-01"), "latest", "(SELECT max(trade_date) AS latest FROM bars HAVING date_diff('day', max(trade_date), DATE '2024-03-01') > 4)"),
     "relationships": (lambda t: checks.relationships(t.fct_div(), t.fin(), "symbol").select("symbol").distinct(), "symbol", "(SELECT DISTINCT symbol FROM fct_dividends WHERE symbol NOT IN (SELECT symbol FROM fin))"),
@@ -237,13 +314,18 @@ ENTRIES: dict[str, tuple[Callable[[Tables], DataFrame], str | list[str], str]] =
     "score_bands": (lambda t: t.hist().groupBy(C.band("overall_score").alias("band")).agg(F.count("*").alias("rows")), "band rows", "(SELECT CASE WHEN overall_score >= 75 THEN 'Strong' WHEN overall_score >= 60 THEN 'Solid' WHEN overall_score >= 45 THEN 'Mixed' WHEN overall_score >= 30 THEN 'Weak' ELSE 'Poor' END AS band, count(*) AS rows FROM score_stg GROUP BY 1)"),
     "period_labels": (lambda t: t.wide().select("symbol", C.period_label("period_type", "period_end").alias("label"), C.shift_back("period_end", 3).alias("before")), "symbol label before", "(SELECT symbol, CASE WHEN period_type = 'annual' THEN 'FY' || year(period_end) ELSE 'Q' || quarter(period_end) || ' ' || year(period_end) END AS label, (period_end - INTERVAL 3 MONTH)::DATE AS before FROM wide)"),
     "warehouse_health": (lambda t: t.bars.agg(F.lit("bars").alias("name"), F.count("*").alias("rows"), F.max("trade_date").alias("latest")).unionByName(t.dividends.agg(F.lit("dividends").alias("name"), F.count("*").alias("rows"), F.max("pay_date").alias("latest"))), "name rows latest", "(SELECT 'bars' AS name, count(*) AS rows, max(trade_date) AS latest FROM bars UNION ALL SELECT 'dividends', count(*), max(pay_date) FROM dividends)"),
+    "warehouse_health_full": (lambda t: checks.warehouse_health(t.bars, t.fin(), t.fct_div(), t.dim(), t.score(), "2024-03-01"), "price_rows financial_rows dividend_rows securities scored latest_trade_date days_stale#", "(SELECT (SELECT count(*) FROM bars) AS price_rows, (SELECT count(*) FROM fin) AS financial_rows, (SELECT count(*) FROM fct_dividends) AS dividend_rows, (SELECT count(*) FROM securities) AS securities, (SELECT count(*) FROM score) AS scored, max(trade_date) AS latest_trade_date, date_diff('day', max(trade_date), DATE '2024-03-01') AS days_stale FROM bars)"),
+    "run_checks": (Tables.suite, "check severity offending", "suite"),
     "score_timeline": (Tables.graded, "symbol period_type period overall_score grade band coverage_pct scoring_basis statement_periods quarters_used thin_history unscored", "sl_timeline"),
     "score_timeline_points": (Tables.graded, "symbol period_type period overall_score grade price~ window_start period_return~ unscored", "sl_timeline"),
     "score_timeline_pillars": (lambda t: t.graded().select("symbol", "period_type", "period", F.explode("pillars").alias("p")).select("symbol", "period_type", "period", "p.title", "p.score").toDF("symbol", "period_type", "period", "pillar", "pillar_score"), "symbol period_type period pillar pillar_score", "sl_pillars"),
     "portfolio_score_history": (lambda t: portfolio.portfolio_score_history(t.holdings, t.bars, t.timeline(), SUNDAYS), "wallet_id at score~ coverage_pct~", "(SELECT wallet_id, \"at\", sum(CASE WHEN overall_score IS NOT NULL AND close IS NOT NULL THEN shares * close * overall_score END) / nullif(sum(CASE WHEN overall_score IS NOT NULL AND close IS NOT NULL THEN shares * close END), 0) AS score, sum(CASE WHEN overall_score IS NOT NULL AND close IS NOT NULL THEN shares * close END) / nullif(sum(shares * close), 0) * 100 AS coverage_pct FROM (SELECT h.*, d.\"at\", b.close, s.overall_score FROM (SELECT unnest(['2024-01-07', '2024-01-14', '2024-01-21', '2024-01-28'])::DATE AS \"at\") d JOIN holdings h ON bought_at <= d.\"at\" ASOF LEFT JOIN bars b ON h.symbol = b.symbol AND d.\"at\" >= b.trade_date ASOF LEFT JOIN score_stg s ON h.symbol = s.symbol AND d.\"at\" >= s.score_date) GROUP BY 1, 2)"),
+    "portfolio_score_months": (lambda t: portfolio.portfolio_score_series(t.supplier_holdings, core.month_end_history(t.old_bars), t.timeline()), "wallet_id t score~ coverage_pct~", "supplier_scores"),
     "slice_shares": (lambda t: portfolio.slice_shares(t.priced(), "wallet_id", "symbol", "gain"), "wallet_id symbol gain~ share_pct~ dropped", "(SELECT wallet_id, symbol, gain, gain / sum(gain) OVER (PARTITION BY wallet_id) * 100 AS share_pct, dropped FROM (SELECT *, sum((coalesce(gain, 0) <= 0)::INT) OVER (PARTITION BY wallet_id)::BIGINT AS dropped FROM priced) WHERE gain > 0)"),
     "goal_progress_series": (lambda t: portfolio.goal_progress_series(t.series(), 1e6), "wallet_id trade_date progress_pct~", "(SELECT wallet_id, trade_date, value / 1e6 * 100 AS progress_pct FROM value_series)"),
-    "contribution_plan": (lambda t: portfolio.contribution_plan(t.values(), 1e6, 10, 5.0), "wallet_id per_year_reinvested~ per_year_spent~ extra_per_year~ return_source", f"(SELECT wallet_id, a AS per_year_reinvested, b AS per_year_spent, b - a AS extra_per_year, 'set' AS return_source FROM (SELECT wallet_id, CASE WHEN 1e6 - value * pow(1.05::DOUBLE, 10) <= 0 THEN 0 ELSE (1e6 - value * pow(1.05::DOUBLE, 10)) * (0.05::DOUBLE / (pow(1.05::DOUBLE, 10) - 1)) END AS a, CASE WHEN 1e6 - value * pow(1.01::DOUBLE, 10) <= 0 THEN 0 ELSE (1e6 - value * pow(1.01::DOUBLE, 10)) * 0.01::DOUBLE / (pow(1.01::DOUBLE, 10) - 1) END AS b FROM {_TOTALS}))"),
+    "goal_progress_own": (lambda t: portfolio.goal_progress_series(portfolio.value_series(t.supplier_holdings, t.old_bars), portfolio.income_goal(t.goal_wallets(), 60_000.0, 3.0)), "wallet_id trade_date progress_pct~", "(SELECT wallet_id, trade_date, s.value * 100 / required_value AS progress_pct FROM supplier_series s JOIN goals USING (wallet_id))"),
+    "contribution_plan": (lambda t: portfolio.contribution_plan(t.values(), 1e6, 10, 5.0), "wallet_id return_source return_pct~ per_year_reinvested~ per_month_reinvested~ per_year_spent~ per_month_spent~ extra_per_year~ extra_per_month~", _plan("(SELECT wallet_id, value, value * 0.04::DOUBLE AS annual_income FROM " + _TOTALS + ")", "5.0::DOUBLE", "'set'", "1e6")),
+    "contribution_plan_measured": (lambda t: portfolio.contribution_plan(t.goal_wallets(), 2e6, 10), "wallet_id return_source return_pct~ per_year_reinvested~ per_month_reinvested~ per_year_spent~ per_month_spent~ extra_per_year~ extra_per_month~", _plan("goal_wallets", "coalesce(measured_pct + annual_income / value * 100, 7)", "CASE WHEN measured_pct IS NULL THEN 'assumed' ELSE 'measured' END", "2e6")),
     "screener_sort": (lambda t: scoring.screener_sort(t.score(), t.dim(), "valuation_multiple"), "symbol valuation_multiple~", "(SELECT symbol, CASE WHEN score.is_reit THEN price_to_ffo ELSE s.trailing_pe END AS valuation_multiple FROM score JOIN securities s USING (symbol))"),
     "fct_financials_full": (Tables.fin_full, ["symbol", "period_type", "period_end", *[f"{m}~" for m in statements.ALL_METRICS], "ffo~", "net_margin_pct~", "recency_rank"], "fin_full"),
     "income_statement_full": (lambda t: statements.income_statement(t.fin_full(), lines=statements.SHOWN_LINES), "symbol period_type period_end line value~", f"(SELECT * FROM (FROM (SELECT symbol, period_type, period_end, {', '.join(statements.SHOWN_LINES)}, net_margin_pct AS netmargin FROM fin_full WHERE recency_rank <= CASE WHEN period_type = 'annual' THEN 6 ELSE 8 END) UNPIVOT INCLUDE NULLS (value FOR line IN ({', '.join(statements.SHOWN_LINES)}, netmargin))) QUALIFY count(value) OVER (PARTITION BY symbol, period_type, line) > 0)"),

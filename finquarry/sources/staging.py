@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finquarry.functions.columns import unwrap_num
-from finquarry.operators.core import latest_wins
+from finquarry.operators.core import latest_wins, top_k
 
 
 def _symbol() -> Column:
@@ -63,5 +63,5 @@ def stg_index_membership(raw: DataFrame) -> DataFrame:
 def stg_score_history(raw: DataFrame) -> DataFrame:
     nums = ["overall_score", "coverage_pct", "pillar_dividend", "pillar_balance_sheet", "pillar_growth", "pillar_profitability", "pillar_valuation"]
     s = raw.select(_day("score_date").alias("score_date"), _symbol().alias("symbol"), "scoring_basis", "grade", *[unwrap_num(c).alias(c) for c in nums])
-    w = Window.partitionBy("symbol", "score_date").orderBy(F.asc_nulls_last("overall_score"))
-    return s.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    rest = [c for c in s.columns if c not in ("symbol", "score_date", "overall_score")]  # ties are settled by these
+    return top_k(s, ["symbol", "score_date"], [F.asc_nulls_last("overall_score"), *rest], 1)
