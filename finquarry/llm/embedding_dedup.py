@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finquarry.llm.common import drop_staged, sized, stage, stream_groups
+from finquarry.llm.common import drop_staged, salted, sized, stage, stream_groups
 from finquarry.llm.components import connected_components
 
 _POINT = "vec_id long, n long, label string, dim int, ball int, home boolean, u binary"
@@ -209,6 +209,8 @@ def embedding_links(vectors: DataFrame, cosine: float = 0.93, block_rows: int =
 
     own = points.select("h1", "h2", "vec_id", "n").join(links, "vec_id", "left").join(component, "vec_id", "left")
     own = own.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "vec_id").alias("component"))
-    out = rows.select("vec_id", F.when(F.col("vec_id").isNotNull() & F.col("u").isNotNull(), F.col("h1")).alias("h1"), "h2").join(own, ["h1", "h2"], "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
+    # Rows of one much repeated vector are dealt to several tasks; rows without a vector or an id look nothing up.
+    out = salted(valid.select("vec_id", "h1", "h2"), own, ["h1", "h2"], ["vec_id"], 64).select("vec_id", F.col("n_links").cast("long").alias("n_links"), F.col("component").alias("component_id"))
+    alone = rows.filter("u is null or vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = out.unionByName(alone)
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from finquarry.llm.common import drop_staged, new_path, sized, stage, stream_groups
+from finquarry.llm.common import drop_staged, new_path, salted, sized, stage, stream_groups
 
 MAGIC, END = "WARC/1.0\r\n", "\r\n\r\n"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -46,7 +46,8 @@ def write_warc(pages: DataFrame, path: str, least_bytes: int = 0, id_col: str =
     p = p.withColumns({"bytes": F.octet_length("html").cast("long"), "digest": sha1_base32(F.col("html"))})
     known = stage(p.select("page_id", "bytes", "digest").filter(F.col("page_id").isNotNull() & (F.col("bytes") >= least_bytes)), "warc-digests")
     first = known.groupBy("digest", "bytes").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("top")).filter("refers_to < top").drop("top")
-    again = stage(known.join(first, ["digest", "bytes"]).filter("page_id > refers_to").select("page_id", "digest", "refers_to").distinct(), "warc-revisits")
+    # One payload may be that of very many pages, so its look-up is dealt to several tasks.
+    again = stage(salted(known, first, ["digest", "bytes"], ["page_id"], 96).filter("page_id > refers_to").select("page_id", "digest", "refers_to").distinct(), "warc-revisits")
     p = p.join(sized(again, 64), ["page_id", "digest"], "left")
     revisit, nl = F.col("refers_to").isNotNull(), F.lit("\r\n")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes"), nl, nl)

@@ -72,3 +72,13 @@ def test_odd_tables(spark):
     rows = [(None, [1.0, 0.0], 1, "x"), (2, [1.0, 0.0], 1, "x"), (2, [1.0, 0.0], 1, "x")]
     got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in embedding_links(spark.createDataFrame(rows, kind)).collect())
     assert got == [(0, 0, 0, True), (2, 1, 2, True), (2, 1, 2, True)]
+
+
+def test_many_rows_without_a_vector_and_of_one_vector(spark, monkeypatch):
+    from finquarry.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    rows = [(k, [0.0, 0.0], "a", 0) for k in range(200)] + [(k, [1.0, 2.0], "a", 0) for k in range(200, 500)] + [(k, None, None, 1) for k in range(500, 520)] + [(None, [1.0, 2.0], "a", 0), (600, [2.0, 4.0], "b", 0), (601, [float("nan"), 1.0], "a", 0)]
+    got = {r.vec_id: r for r in embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, h1 int")).collect()}
+    assert len(got) == 523 and all(got[k].n_links == 299 and got[k].component_id == 200 for k in range(200, 500))
+    assert all(got[k].n_links == 0 and got[k].kept for k in [*range(200), *range(500, 520), 600, 601, None])

@@ -177,3 +177,13 @@ def test_language_model(spark):
     held = [r for r in got.values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
     assert lm_scores(docs.limit(0)).count() == 0
+
+
+def test_a_repeated_id_is_one_labelled_row(spark):
+    from finquarry.llm.labelled import labelled_sample
+
+    docs = spark.createDataFrame([(1, f"text {k % 5}") for k in range(300)] + [(k, f"other {k}") for k in range(2, 30)] + [(2, None), (None, "no id")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(1, 30)] + [(1, 0, 0), (99, 1, 1)], "doc_id long, toxic int, quality int")
+    got = labelled_sample(docs, labels, "toxic", 100).collect()
+    assert len(got) == 29 and {(r.text, r.label) for r in got if r.doc_id == 1} == {("text 0", 1)} and {r.text for r in got if r.doc_id == 2} == {"other 2"}
+    assert 6 <= len(labelled_sample(docs, labels, "toxic", 7).collect()) <= 7  # one label has no document

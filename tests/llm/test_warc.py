@@ -51,3 +51,13 @@ def test_empty_table_repeated_rows_and_extra_columns(spark):
     assert warc_query(none).count() == 0
     twice = spark.createDataFrame([(1, "u", "a", "x"), (1, "u", "a", "x")], "page_id long, url string, html string, digest string")
     assert [r.record_type for r in warc_query(twice).collect()] == ["response"] * 2
+
+
+def test_one_payload_of_most_pages_is_dealt_out(spark, monkeypatch):
+    from finquarry.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)  # as if the payloads that recur were many
+    rows = [(k, f"u{k}", "" if k % 3 else f"<p>{k % 7}</p>", 0) for k in range(400)] + [(None, "n", "", 0), (1, "again", "", 0)]
+    got = {r.page_id: r for r in warc_query(spark.createDataFrame(rows, "page_id long, url string, html string, digest int").repartition(5)).collect() if r.page_id is not None}
+    assert got[1].record_type == "response" and all(got[k].refers_to == 1 for k in got if k > 1 and k % 3)
+    assert sum(r.record_type == "response" for r in got.values()) == 1 + 7
