@@ -168,9 +168,9 @@ STEPS["supplier_twr"] = """SELECT *, CASE WHEN years >= 1 THEN (pow(1 + twr_pct
 STEPS["goal_wallets"] = f"""SELECT wallet_id, value, start_value, started_at, annual_income, contributions, CASE WHEN wallet_id <> 3 THEN annualised_pct END AS measured_pct FROM (SELECT wallet_id, arg_max(value, trade_date) AS value, arg_min(value, trade_date) AS start_value, min(trade_date) AS started_at FROM supplier_series GROUP BY 1) v
   LEFT JOIN (SELECT wallet_id, sum(shares * c / 100.0::DOUBLE) AS annual_income FROM supplier_holdings JOIN (SELECT symbol, sum(round(amount * 100)::BIGINT)::BIGINT AS c FROM dividends WHERE pay_date > DATE '{AS_OF}' - 365 AND pay_date <= DATE '{AS_OF}' GROUP BY 1) USING (symbol) GROUP BY 1) USING (wallet_id)
   LEFT JOIN (SELECT wallet_id, count(*) AS contributions FROM supplier_holdings JOIN (SELECT wallet_id, min(trade_date) AS d FROM supplier_series GROUP BY 1) USING (wallet_id) WHERE bought_at > d AND symbol IN (SELECT symbol FROM old_bars) GROUP BY 1) USING (wallet_id) LEFT JOIN supplier_twr USING (wallet_id)"""
-STEPS["goals"] = f"""SELECT *, NULL::VARCHAR AS reason, least(100, value / required_value * 100) AS progress_pct, y * 100 AS yield_pct, greatest(0, required_value - value) AS shortfall, 60000 / nullif(y, 0) AS value_for_dividends_alone, value * 0.03::DOUBLE AS withdrawal_today, value * y AS dividends_today, least(value * y, value * 0.03::DOUBLE) AS from_dividends_today, greatest(0, value * 0.03::DOUBLE - value * y) AS from_sales_today,
+STEPS["goals"] = f"""SELECT *, NULL::VARCHAR AS reason, least(100, value / required_value * 100) AS progress_pct, y * 100 AS yield_pct, greatest(0, required_value - value) AS shortfall, 62914.29::DOUBLE / nullif(y, 0) AS value_for_dividends_alone, value * 0.03::DOUBLE AS withdrawal_today, value * y AS dividends_today, least(value * y, value * 0.03::DOUBLE) AS from_dividends_today, greatest(0, value * 0.03::DOUBLE - value * y) AS from_sales_today,
   greatest(0, value * y - value * 0.03::DOUBLE) AS surplus_today, required_value * 0.03::DOUBLE AS withdrawal_at_target, least(required_value * y, required_value * 0.03::DOUBLE) AS from_dividends_at_target, greatest(0, required_value * 0.03::DOUBLE - required_value * y) AS from_sales_at_target, least(100, y / 0.03::DOUBLE * 100) AS covered_pct, (value / start_value - 1) * 100 AS grew_by_pct,
-  CASE WHEN coalesce(contributions, 0) = 0 AND years >= 1 THEN (pow(value / start_value, 1.0::DOUBLE / years) - 1) * 100 END AS annualised_pct FROM (SELECT *, 60000 / 0.03::DOUBLE AS required_value, coalesce(annual_income, 0) / value AS y, date_diff('day', started_at, DATE '{AS_OF}') / 365.25::DOUBLE AS years FROM goal_wallets)"""
+  CASE WHEN coalesce(contributions, 0) = 0 AND years >= 1 THEN (pow(value / start_value, 1.0::DOUBLE / years) - 1) * 100 END AS annualised_pct FROM (SELECT *, 62914.29::DOUBLE / 0.03::DOUBLE AS required_value, coalesce(annual_income, 0) / value AS y, date_diff('day', started_at, DATE '{AS_OF}') / 365.25::DOUBLE AS years FROM goal_wallets)"""
 STEPS["facets"] = """SELECT wallet_id, label, sum(n)::BIGINT AS members, count(*) AS folded, array_to_string(list_sort(flatten(list(symbols))), ' ') AS symbols, CASE WHEN label = 'Other' THEN string_agg(own, ' ' ORDER BY rank) ELSE NULL END AS folded_labels FROM (SELECT *, CASE WHEN groups > 6 AND rank > 5 THEN 'Other' ELSE own END AS label FROM (
   SELECT *, row_number() OVER (PARTITION BY wallet_id ORDER BY value DESC, own) AS rank, count(*) OVER (PARTITION BY wallet_id) AS groups FROM (SELECT wallet_id, (symbol % 9)::VARCHAR AS own, sum(value) AS value, count(*) AS n, list(symbol) AS symbols FROM priced WHERE value > 0 GROUP BY 1, 2))) GROUP BY 1, 2"""
 STEPS["late_knowledge"] = f"SELECT * REPLACE (CASE WHEN symbol % 20 = 0 AND version_seq = 2 THEN known_to + INTERVAL 100 DAY ELSE known_to END AS known_to), lead(known_from) OVER (PARTITION BY {_fact} ORDER BY known_from) AS next_start FROM knowledge"

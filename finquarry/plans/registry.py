@@ -202,7 +202,7 @@ def _annuity(value: str, need: str, rate: str, years: int) -> str:
 
 
 def _plan(wallets: str, total: str, source: str, need: str) -> str:
-    both = f"(SELECT wallet_id, {source} AS return_source, {total} AS return_pct, value, annual_income / value * 100 AS y FROM {wallets})"
+    both = f"(SELECT wallet_id, {source} AS return_source, {total} AS return_pct, value, coalesce(annual_income, 0) / value * 100 AS y FROM {wallets})"
     kept, spent = (f"(SELECT wallet_id, {_annuity('value', need, r, 10)} FROM {both})" for r in ("return_pct", "return_pct - y"))
     return f"(SELECT wallet_id, return_source, return_pct, k.per_year AS per_year_reinvested, k.per_month AS per_month_reinvested, s.per_year AS per_year_spent, s.per_month AS per_month_spent, greatest(0, s.per_year - k.per_year) AS extra_per_year, greatest(0, s.per_month - k.per_month) AS extra_per_month FROM {both} JOIN {kept} k USING (wallet_id) JOIN {spent} s USING (wallet_id))"
 
@@ -299,7 +299,7 @@ ENTRIES: dict[str, tuple[Callable[[Tables], DataFrame], str | list[str], str]] =
     "income_totals": (lambda t: portfolio.income_totals(t.income(), A.AS_OF), "wallet_id total~ trailing_12m~ payments", f"(SELECT wallet_id, sum(income) AS total, coalesce(sum(CASE WHEN ex_date > DATE '{A.AS_OF}' - 365 THEN income END), 0) AS trailing_12m, count(*) AS payments FROM income GROUP BY 1)"),
     "income_projection": (lambda t: portfolio.income_projection(t.old_holdings(), t.dividends, dividends.trailing_year_totals(t.dividends), A.AS_OF, 3).withColumn("income", F.round("income", 1)), "wallet_id year income~", f"(SELECT wallet_id, year, round(sum(shares * per_share * pow(1 + coalesce(g, 0) / 100, year)), 1) AS income FROM old_holdings JOIN (SELECT symbol, sum(amount) AS per_share FROM dividends WHERE pay_date > DATE '{A.AS_OF}' - 365 AND pay_date <= DATE '{A.AS_OF}' GROUP BY 1) USING (symbol) LEFT JOIN (SELECT symbol, CASE WHEN n > 0 THEN (pow(new / old, 1.0::DOUBLE / n) - 1) * 100 END AS g FROM (SELECT symbol, arg_max(amount, window_index) AS old, arg_min(amount, window_index) AS new, max(window_index) AS n FROM totals WHERE window_index <= 5 GROUP BY 1)) USING (symbol), (SELECT unnest([1, 2, 3])::BIGINT AS year) GROUP BY 1, 2)"),
     "income_goal": (lambda t: portfolio.income_goal(t.values(), 30_000.0, 3.0), "wallet_id required_value~ progress_pct~ yield_pct~ withdrawal_today~", f"(SELECT wallet_id, 1000000.0::DOUBLE AS required_value, value / 1000000 * 100 AS progress_pct, 4.0::DOUBLE AS yield_pct, value * 0.03 AS withdrawal_today FROM {_TOTALS})"),
-    "income_goal_since": (lambda t: portfolio.income_goal(t.goal_wallets(), 60_000.0, 3.0, A.AS_OF), "wallet_id reason required_value~ progress_pct~ yield_pct~ shortfall~ value_for_dividends_alone~ withdrawal_today~ dividends_today~ from_dividends_today~ from_sales_today~ surplus_today~ withdrawal_at_target~ from_dividends_at_target~ from_sales_at_target~ covered_pct~ years~ grew_by_pct~ annualised_pct~", "goals"),
+    "income_goal_since": (lambda t: portfolio.income_goal(t.goal_wallets(), 62_914.29, 3.0, A.AS_OF), "wallet_id reason required_value~ progress_pct~ yield_pct~ shortfall~ value_for_dividends_alone~ withdrawal_today~ dividends_today~ from_dividends_today~ from_sales_today~ surplus_today~ withdrawal_at_target~ from_dividends_at_target~ from_sales_at_target~ covered_pct~ years~ grew_by_pct~ annualised_pct~", "goals"),
     "required_contribution": (lambda t: portfolio.required_contribution(t.values(), 1e6, 10, 5.0), "wallet_id per_year~ per_month~ future_value~ already_there shortfall_at_target~", f"(SELECT wallet_id, {_annuity('value', '1e6', '5.0', 10)} FROM {_TOTALS})"),
     "grade_matches_score": (lambda t: checks.grade_matches_score(t.hist().withColumn("grade", F.when(F.col("symbol") % 50 == 0, "A").otherwise(F.col("grade")))), "symbol score_date overall_score", "(SELECT * FROM score_stg WHERE symbol % 50 = 0 AND grade IS DISTINCT FROM 'A')"),
     "knowledge_intervals_do_not_overlap": (lambda t: checks.intervals_do_not_overlap(t.late_knowledge(), ["symbol", "period_type", "period_end", "metric"], "known_from", "known_to", False), "symbol metric version_seq", "(SELECT * FROM late_knowledge WHERE next_start IS NOT NULL AND (known_to IS NULL OR known_to > next_start))"),
@@ -323,9 +323,9 @@ ENTRIES: dict[str, tuple[Callable[[Tables], DataFrame], str | list[str], str]] =
     "portfolio_score_months": (lambda t: portfolio.portfolio_score_series(t.supplier_holdings, core.month_end_history(t.old_bars), t.timeline()), "wallet_id t score~ coverage_pct~", "supplier_scores"),
     "slice_shares": (lambda t: portfolio.slice_shares(t.priced(), "wallet_id", "symbol", "gain"), "wallet_id symbol gain~ share_pct~ dropped", "(SELECT wallet_id, symbol, gain, gain / sum(gain) OVER (PARTITION BY wallet_id) * 100 AS share_pct, dropped FROM (SELECT *, sum((coalesce(gain, 0) <= 0)::INT) OVER (PARTITION BY wallet_id)::BIGINT AS dropped FROM priced) WHERE gain > 0)"),
     "goal_progress_series": (lambda t: portfolio.goal_progress_series(t.series(), 1e6), "wallet_id trade_date progress_pct~", "(SELECT wallet_id, trade_date, value / 1e6 * 100 AS progress_pct FROM value_series)"),
-    "goal_progress_own": (lambda t: portfolio.goal_progress_series(portfolio.value_series(t.supplier_holdings, t.old_bars), portfolio.income_goal(t.goal_wallets(), 60_000.0, 3.0)), "wallet_id trade_date progress_pct~", "(SELECT wallet_id, trade_date, s.value * 100 / required_value AS progress_pct FROM supplier_series s JOIN goals USING (wallet_id))"),
+    "goal_progress_own": (lambda t: portfolio.goal_progress_series(portfolio.value_series(t.supplier_holdings, t.old_bars), portfolio.income_goal(t.goal_wallets(), 62_914.29, 3.0)), "wallet_id trade_date progress_pct~", "(SELECT wallet_id, trade_date, s.value * 100 / required_value AS progress_pct FROM supplier_series s JOIN goals USING (wallet_id))"),
     "contribution_plan": (lambda t: portfolio.contribution_plan(t.values(), 1e6, 10, 5.0), "wallet_id return_source return_pct~ per_year_reinvested~ per_month_reinvested~ per_year_spent~ per_month_spent~ extra_per_year~ extra_per_month~", _plan("(SELECT wallet_id, value, value * 0.04::DOUBLE AS annual_income FROM " + _TOTALS + ")", "5.0::DOUBLE", "'set'", "1e6")),
-    "contribution_plan_measured": (lambda t: portfolio.contribution_plan(t.goal_wallets(), 2e6, 10), "wallet_id return_source return_pct~ per_year_reinvested~ per_month_reinvested~ per_year_spent~ per_month_spent~ extra_per_year~ extra_per_month~", _plan("goal_wallets", "coalesce(measured_pct + annual_income / value * 100, 7)", "CASE WHEN measured_pct IS NULL THEN 'assumed' ELSE 'measured' END", "2e6")),
+    "contribution_plan_measured": (lambda t: portfolio.contribution_plan(t.goal_wallets(), 2e6, 10), "wallet_id return_source return_pct~ per_year_reinvested~ per_month_reinvested~ per_year_spent~ per_month_spent~ extra_per_year~ extra_per_month~", _plan("goal_wallets", "coalesce(measured_pct + coalesce(annual_income, 0) / value * 100, 7)", "CASE WHEN measured_pct IS NULL THEN 'assumed' ELSE 'measured' END", "2e6")),
     "screener_sort": (lambda t: scoring.screener_sort(t.score(), t.dim(), "valuation_multiple"), "symbol valuation_multiple~", "(SELECT symbol, CASE WHEN score.is_reit THEN price_to_ffo ELSE s.trailing_pe END AS valuation_multiple FROM score JOIN securities s USING (symbol))"),
     "fct_financials_full": (Tables.fin_full, ["symbol", "period_type", "period_end", *[f"{m}~" for m in statements.ALL_METRICS], "ffo~", "net_margin_pct~", "recency_rank"], "fin_full"),
     "income_statement_full": (lambda t: statements.income_statement(t.fin_full(), lines=statements.SHOWN_LINES), "symbol period_type period_end line value~", f"(SELECT * FROM (FROM (SELECT symbol, period_type, period_end, {', '.join(statements.SHOWN_LINES)}, net_margin_pct AS netmargin FROM fin_full WHERE recency_rank <= CASE WHEN period_type = 'annual' THEN 6 ELSE 8 END) UNPIVOT INCLUDE NULLS (value FOR line IN ({', '.join(statements.SHOWN_LINES)}, netmargin))) QUALIFY count(value) OVER (PARTITION BY symbol, period_type, line) > 0)"),
