@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from finquarry.operators.prices import EARNINGS_BASED, PROFILE
 from finquarry.operators.statements import ALL_FLOWS, ALL_METRICS, FLOWS, METRICS
@@ -280,14 +281,17 @@ STEPS["sl_timeline"] = f"""SELECT symbol, kind AS period_type, period, {_hide},
 STEPS["sl_pillars"] = " UNION ALL ".join(f"SELECT symbol, period_type, period, '{t}' AS pillar, p{k} AS pillar_score FROM sl_timeline WHERE price IS NOT NULL" for k, t in enumerate(_live_parts))
 
 
+@lru_cache(maxsize=1024)
+def _words(text: str) -> frozenset[str]:
+    return frozenset(re.findall(r"\w+", text))
+
+
 def sql(select: str) -> str:
     """A query over the steps that it needs, in order."""
     need, todo = set(), [select]
     while todo:
-        text = todo.pop()
-        for name in STEPS:
-            if name not in need and re.search(rf"\b{name}\b", text):
-                need.add(name)
-                todo.append(STEPS[name])
+        for name in STEPS.keys() & _words(todo.pop()) - need:
+            need.add(name)
+            todo.append(STEPS[name])
     steps = [f"{n} AS ({s})" for n, s in STEPS.items() if n in need]
     return (f"WITH {', '.join(steps)} " if steps else "") + select
