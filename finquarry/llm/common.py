@@ -15,7 +15,14 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 
 
+#: Arrow batches hold at most about this many bytes: two copies of one are in memory for each task, in the JVM and in Python.
+ARROW_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Arrow batches are bounded by bytes where the session sets no bound of its own."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -10,6 +10,7 @@ bins end when none gains. A group's emptiest bins go up a tree and are searched
 from __future__ import annotations
 
 import os
+import threading
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -94,6 +95,24 @@ class ChunkIds(dict):
 
 
 _LOADED: dict[str, ChunkIds] = {}
+_RESTING: list[threading.Timer] = []
+#: A worker process keeps its chunks for this long after a task, so that one which idles through later stages holds none.
+REST_SECONDS = 10.0
+
+
+def _loaded(tokenizer: str) -> ChunkIds:
+    while _RESTING:
+        _RESTING.pop().cancel()
+    if tokenizer not in _LOADED:
+        _LOADED[tokenizer] = ChunkIds(tokenizer)
+    return _LOADED[tokenizer]
+
+
+def _rest() -> None:
+    timer = threading.Timer(REST_SECONDS, _LOADED.clear)
+    timer.daemon = True
+    timer.start()
+    _RESTING.append(timer)
 
 
 def piece_documents(docs: DataFrame, tokenizer: str, most: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,9 +123,7 @@ def piece_documents(docs: DataFrame, tokenizer: str, most: int = 2048, id_col: s
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _LOADED:
-            _LOADED[tokenizer] = ChunkIds(tokenizer)
-        chunks = _LOADED[tokenizer]
+        chunks = _loaded(tokenizer)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -120,6 +137,7 @@ def piece_documents(docs: DataFrame, tokenizer: str, most: int = 2048, id_col: s
                         rows.append((doc, k, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])))
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        _rest()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECE)
 

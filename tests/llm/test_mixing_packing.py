@@ -1,12 +1,16 @@
 import os
 import random
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from finquarry.llm import packing
+from finquarry.llm.common import ARROW_BYTES, table
 from finquarry.llm.mixing import mix_query, mixed_documents, pivotal, water_fill
 from finquarry.llm.packing import ChunkIds, local_search, pack_documents, pack_pieces, piece_documents
 
@@ -186,3 +190,35 @@ def test_packing_round_trip(spark):
 def spans_of(n, most=2048):
     first = n % most or most
     return [(0, 0, first)] + [(k + 1, s, most) for k, s in enumerate(range(first, n, most))]
+
+
+def test_chunks_are_let_go_after_a_rest(monkeypatch):
+    monkeypatch.setattr(packing, "REST_SECONDS", 0.2)
+    first = packing._loaded(PATH)
+    packing._rest()
+    assert packing._loaded(PATH) is first  # a task in time keeps them
+    time.sleep(0.4)
+    assert PATH in packing._LOADED
+    packing._rest()
+    time.sleep(0.6)
+    assert not packing._LOADED
+
+
+def test_arrow_batches_are_bounded_by_bytes(spark, tmp_path):
+    name, own = "spark.sql.execution.arrow.maxBytesPerBatch", "1048576"
+    spark.createDataFrame([(k, "x" * 20_000) for k in range(2000)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def most(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([max(b.nbytes for b in batches)])], ["n"])
+
+    before = spark.conf.get(name, None)
+    try:
+        spark.conf.unset(name)
+        assert table(spark, tmp_path, "documents").mapInArrow(most, "n long").first().n < 1.1 * ARROW_BYTES
+        spark.conf.set(name, own)
+        table(spark, tmp_path, "documents")
+        assert spark.conf.get(name) == own
+    finally:
+        spark.conf.unset(name)
+        if before is not None:
+            spark.conf.set(name, before)
