@@ -118,3 +118,9 @@ def test_tracked_symbols(spark):
     dim = spark.createDataFrame([("A", "a"), ("B", "b")], "symbol string, name string")
     assert {r.symbol: r.tracked for r in scoring.is_tracked(asked, dim).collect()} == {"A": True, "Z": False, None: False}
     assert [tuple(r) for r in scoring.names_for(asked, dim).collect()] == [("A", "a")]
+
+
+def test_reached_percent_goes_on_beyond_the_goal(spark):
+    w = spark.createDataFrame([(1, 2_500_000.0, 0.0), (2, 500_000.0, 0.0), (3, 0.0, 0.0)], "wallet_id int, value double, annual_income double")
+    got = {r.wallet_id: (r.progress_pct, r.reached_pct) for r in portfolio.income_goal(w, 30_000, 3).collect()}
+    assert got == {1: (100.0, 250.0), 2: (50.0, 50.0), 3: (None, None)}
