@@ -4,8 +4,9 @@
 2. Sets whose Jaccard similarity reaches num/den differ in few elements. So if the hash range is cut into more parts
    than they can differ in, the two agree on whole parts. Every set emits a key for each part; sets that share a key
    are candidates. There are more parts than needed, so parts that say little, with few n-grams besides very
-   frequent ones, need no key as long as a set has no more of them than there are parts to spare. Keys are paired inside a task first and only one of each goes on, so a key that very
-   many documents share costs one row a task; no key's group is expanded into pairs.
+   frequent ones, need no key: as many of them as there are parts to spare, the emptiest first. Keys are paired inside
+   a task first and only one of each goes on, so a key that very many documents share costs one row a task; no key's
+   group is expanded into pairs.
 3. Candidates' components are the cells. Inside a cell, T-occurrence search finds the links: each set looks for
    earlier sets that hold at least T of its n-grams, merging the short inverted lists with a heap and probing the
    long ones by binary search. Sets already connected need no further link. Cells beyond a bound are cut into
@@ -90,16 +91,17 @@ def _bounds(parts: int) -> np.ndarray:
 def part_keys(s: np.ndarray, parts: int, spare: int, rare: np.ndarray, least: int) -> np.ndarray:
     """Keys of the parts of the hash range: equal where two sets agree on the whole part.
 
-    rare: which elements are not very frequent. Parts with fewer than `least` rare elements get no key if there are
-    at most `spare` of them. Whether a part is such a part depends on its elements alone, so two sets see it alike,
-    and a set that leaves them out still shares one of the others with each set it is linked to.
+    rare: which elements are not very frequent. At most `spare` parts get no key: those with fewer rare elements than a
+    bound, which is `least`, or the highest lower one that leaves out no more. Empty parts, on which all small sets
+    agree, go first. Of the more than `spare` parts that two linked sets agree on, the set with the higher bound keeps
+    one at least, and the other set, with a lower bound and the same elements there, keeps it too.
     """
     at = np.concatenate([[0], np.searchsorted(s, _bounds(parts)), [len(s)]])
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(s), dtype=np.uint64)])
     own = mix64((sums[at[1:]] - sums[at[:-1]]) ^ mix64(np.arange(parts, dtype=np.uint64) * _B + np.uint64(parts)))
     seen = np.concatenate([[0], np.cumsum(rare)])
-    weak = seen[at[1:]] - seen[at[:-1]] < least
-    return own[~weak] if weak.sum() <= spare else own
+    held = seen[at[1:]] - seen[at[:-1]]
+    return own[held >= min(least, int(np.partition(held, spare)[spare]))]
 
 
 #: Shingles are counted by this many ranges of their hash, so that very frequent ones are known.

@@ -98,3 +98,14 @@ def test_odd_tables(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, cell long")
     assert sorted((r.doc_id or 0, r.component_id) for r in ngram_join(df).collect()) == [(0, None), (4, 4), (5, 4), (5, 4)]
     assert sorted((r.doc_id or 0, r.cell) for r in one_of_each_group(df).collect()) == [(0, 1), (4, 4)]
+
+
+def test_unrelated_sets_share_no_key():
+    rnd, t = np.random.default_rng(7), Threshold(8, 10)
+    seen = {}
+    for i in range(400):
+        s = np.unique(rnd.integers(0, 1 << 63, int(rnd.integers(30, 200))).astype(np.uint64) * np.uint64(2))
+        for p, spare in t.rungs(len(s)):
+            for k in part_keys(s, p, spare, np.ones(len(s), bool), 2).tolist():
+                seen.setdefault(k, set()).add(i)
+    assert max(map(len, seen.values())) == 1
