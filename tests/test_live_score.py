@@ -97,3 +97,20 @@ def test_growth_over_known_values_only(spark):
 def test_empty_tables(spark):
     none = L.score_timeline(spark.createDataFrame([], WIDE), spark.createDataFrame([], DIM), spark.createDataFrame([], DIV), spark.createDataFrame([], "symbol long, t date, close double, adj_close double"))
     assert none.collect() == [] and none.schema["pillars"].dataType.simpleString().startswith("array<struct<title:string,score:double,metrics:array<struct<label:string,value:double")
+
+
+def test_as_of_equals_loops_over_all_events(spark):
+    rng = random.Random(4)
+    day = lambda y, n: dt.date(y, 1, 1) + dt.timedelta(days=n)
+    ends = [(k, e) for k in ("annual", "quarterly") for e in sorted({day(2000, rng.randrange(1500)) for _ in range(9)})]
+    wide = spark.createDataFrame([statement(1, k, str(e), totalrevenue=1.0) for k, e in ends], WIDE)
+    paid = [(1, d, float(rng.randint(1, 9)), "") for d in sorted({day(1998, rng.randrange(2200)) for _ in range(40)} | {e - dt.timedelta(days=365) for _, e in ends[:3]})]
+    quotes = [(1, d, float(k + 1), float(k + 2)) for k, d in enumerate(sorted({day(1999, rng.randrange(1800)) for _ in range(30)} | {ends[2][1]}))]
+    points = L.statement_states(wide)
+    got = L._as_of(points, spark.createDataFrame(paid, DIV), spark.createDataFrame(quotes, "symbol long, t date, close double, adj_close double")).collect()
+    assert sorted((r.period_type, r.period_end) for r in got) == ends
+    for r in got:
+        close = lambda t: next((q for q in reversed(quotes) if q[1] <= t), (None,) * 4)
+        assert (r.quoted_on, r.price, r.adj_now) == close(r.period_end)[1:] and (r.quoted_before, r.adj_before) == (close(r.window_start)[1], close(r.window_start)[3])
+        year = [a for _, d, a, _ in paid if r.period_end - dt.timedelta(days=365) < d <= r.period_end]
+        assert (r.paid_1y or 0.0) == sum(year)

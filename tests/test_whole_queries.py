@@ -56,3 +56,16 @@ def test_bundle_ranges_over_one_year_and_has_ratios(spark):
     r = prices.security_bundle(bars, dim, fin, spark.createDataFrame([(1, True)], "symbol long, pays_dividend boolean"), "2024-01-31").first()
     assert (r.close, r.high_52w, r.low_52w, r.close_1y_ago, r.change_52w) == (50.0, 51.0, 39.0, 40.0, 0.25)
     assert (r.enterprise_value, r.price_to_sales, r.debt_to_equity, r.dividend_rate, r.revenue_growth) == (1000.0, 10.0, 100.0, 1.0, 0.25)
+
+
+@needs_tables
+def test_timelines_read_month_ends_and_payments_that_they_need(spark):
+    from finquarry.operators import core
+
+    t = registry.Tables(spark, SF)
+    want, got = core.month_end_history(t.old_bars), t.old_month_ends
+    assert got.count() > 100 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    plan = lambda name: registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Interest coverage" not in plan("score_timeline_pillars")  # metrics are not made for pillars alone
+    for name in ("score_timeline", "score_timeline_points", "score_timeline_pillars"):
+        assert "LeftSemi" in plan(name)
