@@ -69,3 +69,11 @@ def test_timelines_read_month_ends_and_payments_that_they_need(spark):
     assert "Interest coverage" not in plan("score_timeline_pillars")  # metrics are not made for pillars alone
     for name in ("score_timeline", "score_timeline_points", "score_timeline_pillars"):
         assert "LeftSemi" in plan(name)
+
+
+@needs_tables
+def test_score_months_lay_out_only_scores_of_what_is_held_and_sort_no_lines(spark):
+    plan = registry.queries()["portfolio_score_months"](spark, SF)._jdf.queryExecution()
+    assert "LeftSemi" in plan.optimizedPlan().toString()
+    closes = registry.Tables(spark, SF).old_month_ends._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in closes and "SortAggregate" not in closes
