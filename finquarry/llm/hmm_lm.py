@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -22,19 +23,38 @@ from finquarry.llm.common import crc_mod, stage, utf8, words
 
 END = 0  # the symbol that ends a text
 CLASSES = 64
+TEXTS = 1000  # split at once
 _hash = xxhash.xxh3_64_intdigest
 _PUNCT = b".,;:!?()[]\"'"
 
 
 def word_class(w: bytes) -> int:
     """Class of a rarer word: a hash of the last bytes of its letters."""
-    return xxhash.xxh32_intdigest(w.rstrip(_PUNCT)[-3:]) % CLASSES
+    return _ending(w.rstrip(_PUNCT)[-3:])
+
+
+@lru_cache(1 << 16)
+def _ending(letters: bytes) -> int:
+    return xxhash.xxh32_intdigest(letters) % CLASSES
 
 
 def hashes(ws: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_hash, ws), dtype=np.uint64, count=len(ws)).view(np.int64)
 
 
+class Tokens:
+    """Words of texts, A-Z in lower case: distinct ones, and for each word its place among them and its text's."""
+
+    def __init__(self, column: pa.Array):
+        parts = [words(t.lower()) for t in utf8(column)]
+        every = [w for ws in parts for w in ws]
+        self.word, self.texts = pa.array(every, pa.large_binary()).dictionary_encode().indices.to_numpy(), len(parts)
+        some = np.zeros(int(self.word.max(initial=-1)) + 1, dtype=np.int64)
+        some[self.word] = np.arange(len(every))  # a place of each distinct word
+        self.distinct = [every[i] for i in some.tolist()]
+        self.of = np.repeat(np.arange(len(parts)), [len(ws) for ws in parts])
+
+
 @dataclass
 class Lexicon:
     """Counts of the commonest training words (sorted by hash), and totals. Bounded: `known` rows."""
@@ -48,21 +68,34 @@ class Lexicon:
     class_log: np.ndarray  # log10 of each class's words + distinct words + 1
     symbols: int  # own symbols, the end included; classes follow
 
-    def encode(self, ws: list[bytes]) -> tuple[np.ndarray, float, float, int, np.ndarray]:
-        """Symbols with the end, the log10 sums of the base and of the model beside its symbols, known tokens, and
-        the hashes of words whose counts are not here."""
-        h = hashes(ws)
+    def encode(self, text: Tokens) -> list[np.ndarray | pa.Array]:
+        """Of each text: tokens, the log10 sums of the base and of the model beside its symbols, known tokens, the symbols
+        with the end, and the hashes of words whose counts are not here. A distinct word is looked up once."""
+        h = hashes(text.distinct)
         at = np.minimum(np.searchsorted(self.key, h), max(0, len(self.key) - 1))
         here = self.key[at] == h if len(self.key) else np.zeros(len(h), dtype=bool)
         sym = np.where(here, self.symbol[at], 0) if len(self.key) else np.zeros(len(h), dtype=np.int64)
         counts = np.where(here, self.count[at], 0) if len(self.key) else np.zeros(len(h), dtype=np.int64)
-        logs = np.log10(counts + 1.0)
+        logs, beside = np.log10(counts + 1.0), np.zeros(len(h))
         rare = np.flatnonzero(sym == 0)
-        kinds = np.fromiter((word_class(ws[i]) for i in rare.tolist()), dtype=np.int64, count=len(rare))
+        kinds = np.fromiter((word_class(text.distinct[i]) for i in rare.tolist()), dtype=np.int64, count=len(rare))
         sym[rare] = self.symbols + kinds
-        beside = float(logs[rare].sum() - self.class_log[kinds].sum())
-        base = float(logs.sum() + np.log10(self.texts + 1.0))
-        return np.append(sym, END).astype(np.uint16), base, beside, int(here.sum()) + (self.texts > 0), h[~here]
+        beside[rare] = logs[rare] - self.class_log[kinds]
+        add = lambda x: np.bincount(text.of, weights=x[text.word], minlength=text.texts)
+        stops = np.cumsum(np.bincount(text.of, minlength=text.texts))
+        symbols = np.insert(sym[text.word], stops, END).astype(np.uint16)
+        away = np.flatnonzero(~here[text.word])
+        unseen = np.bincount(text.of[away], minlength=text.texts)
+        return [
+            np.diff(stops, prepend=0) + 1, add(logs) + np.log10(self.texts + 1.0), add(beside), add(here).astype(np.int64) + (self.texts > 0),
+            _binaries(symbols, np.diff(stops, prepend=0) + 1), _binaries(h[text.word[away]], unseen),
+        ]
+
+
+def _binaries(values: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Stretches of values as binary strings."""
+    at = np.concatenate([[0], np.cumsum(lengths)]) * values.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
 
 @dataclass
@@ -71,24 +104,17 @@ class Hmm:
     move: np.ndarray  # K x K
     emit: np.ndarray  # symbols x K
 
-    def log10(self, texts: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each whole symbol sequence, all advancing together, the longest first."""
-        length = np.array([len(t) for t in texts])
-        order = np.argsort(-length, kind="stable")
-        flat = np.concatenate([texts[i] for i in order]).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
-        begin = np.concatenate([[0], np.cumsum(length[order])[:-1]])
-        active = np.searchsorted(-length[order], -np.arange(1, (length.max() if len(texts) else 0) + 1), side="right")
-        total, a = np.zeros(len(texts)), np.tile(self.start, (len(texts), 1))
-        for t, n in enumerate(active.tolist()):
-            a = (a[:n] @ self.move if t else a[:n]) * self.emit[flat[begin[:n] + t]]
-            c = a.sum(axis=1)
-            a /= c[:, None]
-            total[:n] += np.log10(c)
-        out = np.empty(len(texts))
-        out[order] = total
+    def log10(self, texts: list[np.ndarray], most: int = 1 << 19, span: int = 1 << 18) -> np.ndarray:
+        """log10 probability of each whole symbol sequence."""
+        out = np.zeros(len(texts))
+        for group in _groups(texts, most):
+            run = _Together(self, [texts[i] for i in group])
+            for first in range(0, run.steps, span):
+                run.forward(first, min(first + span, run.steps))
+            out[group] = run.log10
         return out
 
-    def expect(self, texts: list[np.ndarray], most: int = 1 << 18, span: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    def expect(self, texts: list[np.ndarray], most: int = 1 << 19, span: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Expected counts (start, move, emit) over whole texts, and the log10 likelihood.
 
         Texts advance together, longest first, in groups of about `most` symbols. The forward messages of the last
@@ -96,58 +122,115 @@ class Hmm:
         backward pass gets there, so memory is bounded for texts of any length.
         """
         k = len(self.start)
-        start, move, emit, total = np.zeros(k), np.zeros((k, k)), np.zeros_like(self.emit, dtype=np.float64), 0.0
-        texts = sorted((t for t in texts if len(t)), key=len, reverse=True)
-        size = np.cumsum([len(t) for t in texts])
-        cuts = [0, *(np.flatnonzero(np.diff(size // most)) + 1).tolist(), len(texts)]
-        for low, high in zip(cuts, cuts[1:], strict=False):
-            part = texts[low:high]
-            if not part:
-                continue
-            length = np.array([len(t) for t in part])
-            flat, begin = np.concatenate(part).astype(np.int64), np.concatenate([[0], np.cumsum(length)[:-1]])
-            active = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right").tolist()
-
-            def forward(first: int, last: int, a: np.ndarray | None, flat=flat, begin=begin, active=active):
-                kept = []
-                for t in range(first, last):
-                    n = active[t]
-                    sym = flat[begin[:n] + t]
-                    a = (a[:n] @ self.move if t else np.tile(self.start, (n, 1))) * self.emit[sym]
-                    c = a.sum(axis=1)
-                    a /= c[:, None]
-                    kept.append((sym, a, c))
-                return kept, a
-
-            ends = list(range(0, int(length[0]), span))
+        start, move, emit, total = np.zeros(k), np.zeros((k, k)), np.zeros((len(self.emit), k)), 0.0
+        for group in _groups(texts, most):
+            run = _Together(self, [texts[i] for i in group])
+            firsts = list(range(0, run.steps, span))
             message: list[np.ndarray | None] = [None]
-            for first in ends:
-                kept, a = forward(first, min(first + span, int(length[0])), message[-1])
-                message.append(a)
-                total += sum(float(np.log10(c).sum()) for _, _, c in kept)
-            back = np.ones((len(part), k))
-            for i in range(len(ends) - 1, -1, -1):
-                if i < len(ends) - 1:
-                    kept, _ = forward(ends[i], ends[i] + span, message[i])
-                syms, states = [], []
-                for j in range(len(kept) - 1, -1, -1):  # turns messages into state probabilities, from the end
-                    sym, a, c = kept[j]
-                    n = len(sym)
-                    syms.append(sym)
-                    states.append(a * back[:n])
-                    before = kept[j - 1][1] if j else message[i]
-                    if before is None:
-                        start += states[-1].sum(axis=0)
-                    else:
-                        ahead = self.emit[sym] * back[:n] / c[:, None]
-                        move += self.move * (before[:n].T @ ahead)
-                        back[:n] = ahead @ self.move.T
-                sym, state = np.concatenate(syms), np.concatenate(states)
+            for first in firsts:
+                message.append(run.forward(first, min(first + span, run.steps), message[-1]))
+            total += float(run.log10.sum())
+            back = None
+            for i in range(len(firsts) - 1, -1, -1):
+                if i < len(firsts) - 1:
+                    run.forward(firsts[i], firsts[i] + span, message[i], again=True)
+                pairs, back = run.backward(back, message[i])
+                move += self.move * pairs
+                if not i:
+                    start += run.ahead[: run.active[0]].sum(axis=0)
                 for j in range(k):
-                    emit[:, j] += np.bincount(sym, weights=state[:, j], minlength=len(emit))
+                    emit[:, j] += np.bincount(run.symbols, weights=run.ahead[:, j], minlength=len(emit))
         return start, move, emit, total
 
 
+def _groups(texts: list[np.ndarray], most: int) -> list[np.ndarray]:
+    """Places of the texts that are not empty, longest first, in groups of about `most` symbols."""
+    length = np.array([len(t) for t in texts], dtype=np.int64)
+    order = np.argsort(-length, kind="stable")[: np.count_nonzero(length)]
+    return np.split(order, np.flatnonzero(np.diff(np.cumsum(length[order]) // most)) + 1) if len(order) else []
+
+
+class _Together:
+    """Texts, longest first, that advance together. Rows of the arrays are symbols in the order of steps, so that a step of
+    all texts is a stretch of rows, and a step's rows of texts that go on are its first ones.
+
+    Messages are scaled to 1 at every sixteenth step and at a text's end. In between they stay far above the least double,
+    as a symbol's likelihoods are taken relative to its highest one, and moves are smoothed.
+    """
+
+    EVERY = 16
+
+    def __init__(self, model: Hmm, texts: list[np.ndarray]):
+        length = np.array([len(t) for t in texts])
+        self.model, self.flat, self.begin = model, np.concatenate(texts), np.concatenate([[0], np.cumsum(length)[:-1]])
+        self.active = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")
+        self.steps, self.length, self.log10, self.last = int(length[0]), length, np.zeros(len(texts)), np.zeros(len(texts))
+        self.high = model.emit.max(axis=1)
+        self.relative = model.emit / self.high[:, None]
+
+    def forward(self, first: int, last: int, a: np.ndarray | None = None, again: bool = False) -> np.ndarray:
+        """Messages of steps first to last, with `a` that of the step before; the last step's is returned."""
+        n = self.active[first:last]
+        self.at = np.concatenate([[0], np.cumsum(n)])
+        text = np.arange(self.at[-1]) - np.repeat(self.at[:-1], n)
+        self.symbols = self.flat[self.begin[text] + np.repeat(np.arange(first, last), n)]
+        self.first, self.ahead = first, self.relative[self.symbols]
+        self.kept, move, at = np.empty_like(self.ahead), self.model.move, self.at.tolist()
+        if not again:
+            self.log10 += np.bincount(text, weights=np.log10(self.high)[self.symbols], minlength=len(self.log10))
+        for i, n in enumerate(n.tolist()):
+            now = self.kept[at[i] : at[i + 1]]
+            if a is None:
+                now[:] = self.model.start
+            else:
+                np.matmul(a[:n], move, out=now)
+            likely = self.ahead[at[i] : at[i + 1]]
+            now *= likely
+            if not (first + i) % self.EVERY:
+                c = now.sum(axis=1)
+                now /= c[:, None]
+                likely /= c[:, None]
+                if not again:
+                    self.log10[:n] += np.log10(c)
+            a = now
+        self.ended = np.flatnonzero((self.length > first) & (self.length <= last))
+        self.ends = self.at[self.length[self.ended] - 1 - first] + self.ended
+        if not again:
+            self.last[self.ended] = self.kept[self.ends].sum(axis=1)
+            self.log10[self.ended] += np.log10(self.last[self.ended])
+        return a
+
+    def backward(self, back: np.ndarray | None, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Turns `ahead` into state probabilities of the steps that forward() made, `back` being what the step after them
+        sends and `before` the message before them. Returns the sums of pairs of states, without the moves between them,
+        and what the first step sends."""
+        at, k = self.at.tolist(), self.kept.shape[1]
+        n, sent = np.diff(self.at).tolist(), np.empty_like(self.kept)
+        sent[self.ends] = 1 / self.last[self.ended][:, None]
+        if back is not None:
+            sent[at[-2] : at[-2] + len(back)] = back
+        turned = np.ascontiguousarray(self.model.move.T)
+        for i in range(len(n) - 1, 0, -1):
+            likely = self.ahead[at[i] : at[i + 1]]
+            likely *= sent[at[i] : at[i + 1]]
+            np.matmul(likely, turned, out=sent[at[i - 1] : at[i - 1] + n[i]])
+        likely = self.ahead[: at[1]]
+        likely *= sent[: at[1]]
+        pairs, back = np.zeros((k, k)), likely @ turned
+        if before is not None:
+            pairs += before[: n[0]].T @ likely
+        same = [1, *(np.flatnonzero(np.diff(n[1:])) + 2).tolist(), len(n)] if len(n) > 1 else []
+        for low, high in zip(same, same[1:], strict=False):  # steps of as many texts
+            ahead = self.ahead[at[low] : at[high]]
+            if n[low - 1] == n[low]:
+                pairs += self.kept[at[low] - n[low] : at[high] - n[low]].T @ ahead
+            else:
+                pairs += self.kept[at[low - 1] : at[low - 1] + n[low]].T @ ahead[: n[low]]
+                pairs += self.kept[at[low] : at[high] - n[low]].T @ ahead[n[low] :]
+        np.multiply(self.kept, sent, out=self.ahead)
+        return pairs, back
+
+
 def reestimate(start: np.ndarray, move: np.ndarray, emit: np.ndarray, share: np.ndarray, prior: float = 50.0) -> Hmm:
     """Parameters out of expected counts, smoothed towards each symbol's share."""
     k = len(start)
@@ -158,11 +241,11 @@ def reestimate(start: np.ndarray, move: np.ndarray, emit: np.ndarray, share: np.
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of the words of a stretch of texts."""
     for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            ws = [w for t in utf8(batch.column(0).slice(at, 2000)) for w in words(t.lower())]
-            h, first, n = np.unique(hashes(ws), return_index=True, return_counts=True)
-            kinds = np.fromiter((word_class(ws[i]) for i in first.tolist()), dtype=np.int32, count=len(first))
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(kinds), pa.array(n)], ["h", "kind", "n"])
+        for at in range(0, batch.num_rows, TEXTS):
+            text = Tokens(batch.column(0).slice(at, TEXTS))
+            n = np.bincount(text.word, minlength=len(text.distinct))
+            kinds = np.fromiter(map(word_class, text.distinct), dtype=np.int32, count=len(n))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes(text.distinct)), pa.array(kinds), pa.array(n)], ["h", "kind", "n"])
 
 
 def commonest(counts: DataFrame, known: int) -> DataFrame:
@@ -200,14 +283,12 @@ _ENCODED = "doc_id long, held_out boolean, n_tokens long, base double, beside do
 
 def encode_documents(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.binary(), pa.binary())
         for batch in batches:
-            rows = []
-            for text in utf8(batch.column(2)):
-                sym, base, beside, known, rare = lexicon.encode(words(text.lower()))
-                rows.append((len(sym), base, beside, known, sym.tobytes(), rare.tobytes()))
-            cols = zip(*rows, strict=True) if rows else [()] * 6
-            kinds = (pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], [x.split()[0] for x in _ENCODED.split(", ")])
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                cols = [pa.array(c, t) if isinstance(c, np.ndarray) else c for c, t in zip(lexicon.encode(Tokens(part.column(2))), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], [x.split()[0] for x in _ENCODED.split(", ")])
 
     return docs.select("doc_id", "held_out", "text").mapInArrow(run, _ENCODED)
 

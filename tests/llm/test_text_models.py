@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from finquarry.llm.hmm_lm import Hmm, lm_scores
 from finquarry.llm.quality import FEATURES, fit_trees, quality_rules, text_statistics
@@ -149,6 +150,48 @@ def plain_expect(model, texts):
     return start, move, emit, fit
 
 
+def test_a_word_is_hashed_once_a_stretch(monkeypatch):
+    """A million words of few kinds cost as many hashes as kinds; before, one a word."""
+    from finquarry.llm import hmm_lm
+
+    calls, real = [], hmm_lm._hash
+    monkeypatch.setattr(hmm_lm, "_hash", lambda w: calls.append(w) or real(w))
+    texts = [" A b\x0bc\x1cd É\u00a0é " * 50, None, "", " \n", "b a"] * 3
+    (got,) = hmm_lm._count(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]))
+    want = Counter(w for t in texts for w in (t or "").encode().lower().split())
+    assert sorted(calls) == sorted(want) and {real(w) for w in want} == {h % 2**64 for h in got["h"].to_pylist()} and sorted(got["n"].to_pylist()) == sorted(want.values())
+    known = np.sort(hmm_lm.hashes([b"a", b"b"]))
+    lexicon = hmm_lm.Lexicon(known, np.array([3, 5]), np.array([1, 0]), 99, 9, 4, np.linspace(1, 2, hmm_lm.CLASSES), 2)
+    calls.clear()
+    n, base, beside, n_known, symbols, rare = lexicon.encode(hmm_lm.Tokens(pa.array(texts)))
+    assert sorted(calls) == sorted(want)
+    for i, t in enumerate(texts):
+        h = hmm_lm.hashes(ws := (t or "").encode().lower().split())
+        at = {int(x): k for k, x in enumerate(known)}
+        counts = [(3, 5)[at[x]] if x in at else 0 for x in h.tolist()]
+        own = [at.get(x) == 0 for x in h.tolist()]
+        kinds = [hmm_lm.word_class(w) for w in ws]
+        assert n[i] == len(ws) + 1 and n_known[i] == sum(c > 0 for c in counts) + 1
+        assert np.frombuffer(symbols[i].as_py(), np.uint16).tolist() == [1 if o else 2 + k for o, k in zip(own, kinds, strict=True)] + [hmm_lm.END]
+        assert np.frombuffer(rare[i].as_py(), np.int64).tolist() == [x for x in h.tolist() if x not in at]
+        assert math.isclose(base[i], sum(math.log10(c + 1) for c in counts) + math.log10(5))
+        assert math.isclose(beside[i], sum(math.log10(c + 1) - lexicon.class_log[k] for c, o, k in zip(counts, own, kinds, strict=True) if not o), abs_tol=1e-9)
+
+
+def test_messages_scaled_seldom_equal_those_scaled_always(monkeypatch):
+    from finquarry.llm import hmm_lm
+
+    rnd = np.random.default_rng(11)
+    k, m = 4, 60
+    model = Hmm(rnd.dirichlet(np.ones(k)), rnd.dirichlet(np.full(k, 0.05), k) + 1e-12, rnd.dirichlet(np.full(m, 0.1), k).T + 1e-17)
+    texts = [rnd.integers(0, m, n).astype(np.uint16) for n in (0, 900, 900, 333, 17, 16, 1, 0)]
+    seldom = [*model.expect(texts), *model.expect(texts, most=500, span=100), model.log10(texts)]
+    monkeypatch.setattr(hmm_lm._Together, "EVERY", 1)
+    for a, b in zip(seldom, [*model.expect(texts), *model.expect(texts), model.log10(texts)], strict=True):
+        assert np.isfinite(a).all() and np.allclose(a, b)
+    assert model.expect([])[3] == 0 and model.log10(texts)[0] == 0 and len(model.log10([])) == 0
+
+
 def test_scores_do_not_depend_on_partitioning(spark):
     rnd = random.Random(9)
     rows = [(i % 90, " ".join(rnd.choice(["a", "bb", "c,", "dé"]) for _ in range(rnd.randint(0, 400)))) for i in range(120)] + [(None, "x y"), (None, None), (5, "é " * 9000)]
