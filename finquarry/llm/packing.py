@@ -29,8 +29,8 @@ _PLACED = "doc_id long, known boolean, piece int, start long, length long, ids_c
 
 
 class ChunkIds(dict):
-    """Token ids by `tokenizers`, as little-endian bytes, of chunks that begin with a space; forgets all beyond `most`
-    chunks. Special tokens in a text, such as <|endoftext|>, are ids of their own, as the tokenizer does by itself."""
+    """Token ids by `tokenizers`, as little-endian bytes, of chunks with the space they begin with; forgets all beyond
+    `most` chunks. Special tokens in a text, such as <|endoftext|>, are ids of their own, as the tokenizer does by itself."""
 
     def __init__(self, path: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,7 +52,7 @@ class ChunkIds(dict):
         word_of, need = {}, {}
         for c in chunks:
             word = c.rstrip(punctuation)
-            if len(word) < len(c) and word.isalpha():
+            if len(word) < len(c) and word[1:].isalpha():
                 word_of[c] = word
                 if word not in self:
                     need[word] = None
@@ -60,38 +60,48 @@ class ChunkIds(dict):
                 need[c] = None
         todo = list(need)
         groups = [todo[i : i + 256] for i in range(0, len(todo), 256)]
-        for group, e in zip(groups, self.model.encode_batch_fast(["".join(f" {c}" for c in g) for g in groups], add_special_tokens=False), strict=True):
+        for group, e in zip(groups, self.model.encode_batch_fast(["".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = array("I", e.ids)
             cuts, ids = (4 * np.flatnonzero(self.begins[np.frombuffer(ids, dtype=np.uint32)])).tolist(), ids.tobytes()
             whole = len(cuts) == len(group)
-            self.update(zip(group, (ids[x:y] for x, y in zip(cuts, [*cuts[1:], len(ids)], strict=True)) if whole else self.ids([f" {c}" for c in group]), strict=True))
+            self.update(zip(group, (ids[x:y] for x, y in zip(cuts, [*cuts[1:], len(ids)], strict=True)) if whole else self.ids(group), strict=True))
         new = list({c[len(w) :] for c, w in word_of.items()} - self.ends.keys())
         self.ends.update(zip(new, self.ids(new), strict=True))
         self.update({c: self[w] + self.ends[c[len(w) :]] for c, w in word_of.items()})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts. The tokenizer's own split never joins a space to what stands before it, so a text
-        is cut before each lone space and equal chunks are encoded once. In texts with runs of spaces, what follows
-        the first run stays whole, and so do texts with a special token."""
+        is cut before each lone space and equal chunks are encoded once; distinct ones of these texts are looked up. In
+        texts with runs of spaces, what follows the first run stays whole, and so do texts with a special token."""
         if len(self) > self.most:
             self.clear()
             self.ends.clear()
-        cut, whole = [], []
+        cuts = []
         for t in texts:
             at = t.find("  ")
             at = t.rfind(" ", 0, at) if at > 0 else len(t) if at < 0 else 0
-            at = 0 if any(x in t for x in self.special) else at
-            head, *rest = t[: max(at, 0)].split(" ")
-            whole += [head, t[max(at, 0) :]]
-            cut.append(rest)
-        found = [list(map(self.get, rest)) for rest in cut]
-        self.learn(list({c for rest, ids in zip(cut, found, strict=True) for c, x in zip(rest, ids, strict=True) if x is None}))
-        ends, out = iter(self.ids(whole)), []
-        for rest, ids in zip(cut, found, strict=True):
-            if None in ids:
-                ids = [self[c] if x is None else x for c, x in zip(rest, ids, strict=True)]
-            out.append(b"".join([next(ends), *ids, next(ends)]))
-        return out
+            cuts.append(0 if any(x in t for x in self.special) else max(at, 0))
+        parts = [t[:at].encode() for t, at in zip(texts, cuts, strict=True)]
+        begins = np.cumsum([0, *map(len, parts)])
+        joined = b"".join(parts)
+        spaces = np.flatnonzero(np.frombuffer(joined, dtype=np.uint8) == ord(" "))
+        heads = np.searchsorted(spaces, begins[:-1]) + np.arange(len(parts))  # what a text has before its first space
+        edges = np.append(np.insert(spaces, heads - np.arange(len(parts)), begins[:-1]), begins[-1])
+        chunks = pa.Array.from_buffers(pa.large_string(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(joined)]).dictionary_encode()
+        distinct = chunks.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.get, distinct))
+        self.learn([c for c, x in zip(distinct, ids, strict=True) if x is None and c[:1] == " "])
+        rest = [c for c in distinct if c[:1] != " "]
+        begun = dict(zip(rest, self.ids(rest), strict=True))
+        ids = [(self[c] if c[:1] == " " else begun[c]) if x is None else x for c, x in zip(distinct, ids, strict=True)]
+        # Each chunk's stretch of the distinct ones' ids.
+        code, known = chunks.indices.to_numpy(), np.frombuffer(b"".join(ids), dtype="<u4")
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        to = np.concatenate([[0], np.cumsum(size[code])])
+        every = known[np.repeat((np.cumsum(size) - size)[code] - to[:-1], size[code]) + np.arange(to[-1])]
+        bounds = np.append(to[heads], to[-1]).tolist()
+        tails = iter(self.ids([t[at:] for t, at in zip(texts, cuts, strict=True) if at < len(t)]))
+        return [every[x:y].tobytes() + (next(tails) if at < len(t) else b"") for x, y, t, at in zip(bounds, bounds[1:], texts, cuts, strict=False)]
 
 
 _LOADED: dict[str, ChunkIds] = {}
@@ -125,8 +135,8 @@ def piece_documents(docs: DataFrame, tokenizer: str, most: int = 2048, id_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = _loaded(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 rows = []
                 for doc, ids in zip(part.column(0).to_pylist(), chunks.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
                     ids += b"\0\0\0\0"

@@ -97,6 +97,25 @@ def test_special_tokens_are_ids_of_their_own():
     assert got == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)] and len(got[0]) == 4
 
 
+def test_chunks_are_looked_up_once_for_many_texts():
+    """Before, every occurrence of a chunk was."""
+    asked = []
+
+    class Seen(ChunkIds):
+        def get(self, key, default=None):
+            asked.append(key)
+            return super().get(key, default)
+
+    t, texts = Tokenizer.from_file(PATH), ["head to toe, to  a b  c", " to", "", "toe", "  x to", "to<|endoftext|> to"] + ["a to toe, é " * 100] * 30
+    chunks = Seen(PATH)
+    for _ in range(2):
+        asked.clear()
+        got = [np.frombuffer(i, "<u4").tolist() for i in chunks.encode(texts)]
+        assert got == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+        assert len(asked) == len(set(asked)) < 20
+    assert chunks.encode([]) == [] and chunks.encode(["", ""]) == [b"", b""]
+
+
 BIG = 2**53 + 1
 
 
