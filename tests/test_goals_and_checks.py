@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from finquarry.operators import checks, dividends, portfolio, prices, scoring, studies
+from finquarry.operators import checks, dividends, portfolio, prices, scoring, statements, studies
 
 
 def day(text):
@@ -124,3 +124,22 @@ def test_reached_percent_goes_on_beyond_the_goal(spark):
     w = spark.createDataFrame([(1, 2_500_000.0, 0.0), (2, 500_000.0, 0.0), (3, 0.0, 0.0)], "wallet_id int, value double, annual_income double")
     got = {r.wallet_id: (r.progress_pct, r.reached_pct) for r in portfolio.income_goal(w, 30_000, 3).collect()}
     assert got == {1: (100.0, 250.0), 2: (50.0, 50.0), 3: (None, None)}
+
+
+def test_checks_read_their_rows_once(spark):
+    """Before, the dividend record was built for payments and again for years, and statements were melted to a row a metric."""
+    pays = [(1, y) for y in (1990, 1991, 1993)] + [(2, y) for y in (1990, 1990, 1991)] + [(3, 1990), (3, 1995)] + [(None, y) for y in (1990, 1991, 1993)]
+    record = checks.dividend_record_not_truncated(spark.createDataFrame(pays, "symbol long, calendar_year long"), 3)
+    assert [tuple(r) for r in record.collect()] == [(1, 3)]
+    plan = record._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
+    nan = float("nan")
+    rows = [(1, "annual", "2020-12-31", 1.0, -2.0), (1, "annual", "2021-12-31", None, None), (2, "annual", "2020-12-31", 3.0, nan), (3, "annual", "2020-12-31", None, nan), (4, "annual", "2020-12-31", 1.0, None), (None, "annual", "2020-12-31", 1.0, 1.0)]
+    wide = spark.createDataFrame(rows, "symbol long, period_type string, period_end string, totalrevenue double, capitalexpenditure double")
+    dim = spark.createDataFrame([(1, True), (1, True), (2, True), (3, True), (4, False)], "symbol long, is_reit boolean")
+    metrics = ["totalrevenue", "capitalexpenditure"]
+    for w, want in ((wide, (2, 1)), (wide.filter("symbol = 1"), (1, 1)), (wide.limit(0), (0, 0))):
+        a, b = checks.reit_capex_coverage(statements.melt_statements(w, metrics), dim), checks.reit_capex_coverage_wide(w, dim, metrics)
+        assert tuple(a.first()) == tuple(b.first()) == want
+        assert checks.reit_affo_proxy_still_needed_wide(w, dim, metrics).count() == checks.reit_affo_proxy_still_needed(statements.melt_statements(w, metrics), dim).count() == (want == (1, 1))
+    assert "Expand" not in b._jdf.queryExecution().optimizedPlan().toString()
