@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from finquarry.llm.common import mix64, salted, sized, stage, utf8
+from finquarry.llm.common import joined, mix64, salted, stage, utf8
 
 #: Fixed value: signs that end a piece.
 BREAKS = b".,;:!?\n\x0b\x0c\r"
@@ -29,6 +29,8 @@ CHUNK, WORDS, GRAMS = 2 << 20, 1 << 19, 1 << 21
 QUOTIENT, SIEVE_BITS = 1 << 20, 27
 #: Frequent words whose hashes are sent to tasks, 8 bytes each; with more, ids are the hashes.
 DICTIONARY = 1 << 22
+#: Bytes that a row takes in a broadcast table beside its words: two copies of the key's columns, their heads, the index.
+ROW = 136
 #: Odd multipliers of the permutation.
 ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _TABLE = bytes(10 if c in BREAKS else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -400,6 +402,7 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     names = [f"w{k + 1}" for k in range(longest)]
     grams = stage(frequent_grams(docs, words, seed, least, longest), "grams")
     phrases = grams.filter("n > 1").withColumnRenamed("f", "a")
+    n_grams, width = grams.count(), ROW + 16 * longest
 
     def part(lo: int, hi: int) -> list:
         """Words lo to hi, exclusive, as the columns of a gram."""
@@ -410,29 +413,31 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     if shorter is not None:
         inside = phrases.filter("n > 2").select("lang", "a", F.explode(F.flatten(F.filter(shorter, lambda x: x.isNotNull()))).alias("s"))
         inside = inside.groupBy("lang", *[F.col(f"s.{w}").alias(w) for w in names]).agg(F.max("a").alias("longer"))
-        kept = phrases.join(inside, keys, "left").filter(F.col("longer").isNull() | (F.lit(100).cast("decimal(3,0)") * F.col("longer").cast("decimal(20,0)") < F.lit(share).cast("decimal(3,0)") * F.col("a").cast("decimal(20,0)"))).drop("longer")
+        kept = joined(phrases, inside, keys, n_grams * width, "left").filter(F.col("longer").isNull() | (F.lit(100).cast("decimal(3,0)") * F.col("longer").cast("decimal(20,0)") < F.lit(share).cast("decimal(3,0)") * F.col("a").cast("decimal(20,0)"))).drop("longer")
     else:
         kept = phrases
 
     cuts = F.array(*[F.when(F.col("n") > k, F.struct(F.lit(k).alias("k"), *[c.alias(f"l{w}") for c, w in zip(part(0, k), names, strict=True)], *[_tail(k, names, j).alias(f"r{w}") for j, w in enumerate(names)])) for k in range(1, longest)])
     cut = kept.select("lang", "n", "a", *names, F.explode(F.filter(cuts, lambda x: x.isNotNull())).alias("c")).select("lang", "n", "a", *names, "c.*")
     counts = grams.select("lang", *names, "f")
-    width = 64 + 8 * longest
     for side in ("l", "r"):  # hot words are parts of very many phrases, so the look-up is dealt out
-        cut = salted(cut, counts.select("lang", *[F.col(w).alias(side + w) for w in names], F.col("f").alias(side)), ["lang", *[side + w for w in names]], names, width)
+        cut = salted(cut, counts.select("lang", *[F.col(w).alias(side + w) for w in names], F.col("f").alias(side)), ["lang", *[side + w for w in names]], names, width, rows=n_grams)
     score = F.expr("cast(2000000 as decimal(7,0)) * cast(a as decimal(20,0)) div (cast(l as decimal(20,0)) + cast(r as decimal(20,0)))").cast("long")
     scored = cut.withColumn("score", score).groupBy("lang", "n", "a", *names).agg(F.min(F.struct("score", "k", "l", "r")).alias("best")).select("lang", "n", "a", *names, "best.*")
 
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
-    first = scored.withColumn("place", F.rank().over(best)).filter(F.col("place") <= top).drop("place", "n", "k")
+    first = stage(scored.withColumn("place", F.rank().over(best)).filter(F.col("place") <= top).drop("place", "n", "k"), "best")
+    used = first.select("lang", F.explode(F.array(*names)).alias("id")).distinct()
+    named = stage(joined(words.filter(F.col("f") >= least), used, ["lang", "id"], used.count() * ROW, "left_semi").select("lang", "id", "word"), "best-words")
+    n_named, letters = named.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("word")), F.lit(0))).first()
     for w in names:
-        named = words.filter(F.col("f") >= least).select("lang", F.col("id").alias(w), F.col("word").alias(f"{w}_word"))
-        first = salted(first, named, ["lang", w], [x for x in names if x != w] or names, 64, "left")
+        column = named.select("lang", F.col("id").alias(w), F.col("word").alias(f"{w}_word"))
+        first = salted(first, column, ["lang", w], [x for x in names if x != w] or names, ROW + 16 + letters // max(1, n_named), "left", rows=n_named)
     first = first.withColumn("phrase", F.concat_ws(" ", *[F.col(f"{w}_word").cast("string") for w in names]))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")).cast("long")
     out = first.withColumn("rank", rank).filter(F.col("rank") <= top)
     sums = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    return out.join(sized(sums, 64), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return joined(out, sums, ["lang"], sums.count() * ROW).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def _tail(k: int, names: list[str], j: int):

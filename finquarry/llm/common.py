@@ -67,15 +67,21 @@ def sized(df: DataFrame, row_bytes: int, rows: int | None = None, limit: int = B
     return F.broadcast(df) if n * row_bytes <= limit else df
 
 
-def salted(df: DataFrame, small: DataFrame, on: list[str], by: list[str], row_bytes: int, how: str = "inner", salts: int = 16) -> DataFrame:
+def joined(df: DataFrame, small: DataFrame, on: list[str], size: int, how: str = "inner") -> DataFrame:
+    """df joined with small, which takes about `size` bytes in memory: broadcast if these are few, else sorted and merged.
+    Spark's own estimate never decides: it takes files as they are compressed, and an explode for one row a row."""
+    return df.join(F.broadcast(small) if size <= BROADCAST_BYTES else small.hint("merge"), on, how)
+
+
+def salted(df: DataFrame, small: DataFrame, on: list[str], by: list[str], row_bytes: int, how: str = "inner", salts: int = 16, rows: int | None = None) -> DataFrame:
     """df joined with small, which has one row a key: broadcast if counted small; else keys are split by a hash of the
     columns `by`, so that a key with very many rows of df is dealt to several tasks."""
-    n = small.count()
-    if n * row_bytes <= BROADCAST_BYTES:
-        return df.join(F.broadcast(small), on, how)
+    size = row_bytes * (small.count() if rows is None else rows)
+    if size <= BROADCAST_BYTES:
+        return joined(df, small, on, size, how)
     salt = fresh(df.columns + small.columns, "_salt")
     dealt = df.withColumn(salt, F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
-    return dealt.join(small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*on, salt], how).drop(salt)
+    return joined(dealt, small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*on, salt], salts * size, how).drop(salt)
 
 
 def fresh(columns: list[str], name: str) -> str:

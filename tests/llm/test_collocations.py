@@ -4,8 +4,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from finquarry.llm import collocations as M
+from finquarry.llm import common
 
 DOCS = "doc_id long, lang string, text string, n long, w1 string"
 
@@ -96,3 +98,42 @@ def test_chunks_keep_pieces_whole(monkeypatch):
     got = [p.split() for c in M.chunks(texts) for p in c.split(b"\n")]
     want = [p.split() for t in texts for p in re.split(rb"[.,;:!?\n-\r]", t.lower())]
     assert [p for p in got if p] == [p for p in want if p]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_exploded_side_counted_large_is_never_broadcast(spark, monkeypatch):
+    """Spark takes the sixteen rows that each row becomes for one, and files as they are compressed."""
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 1000)
+    small = common.stage(spark.range(50).select("id", (F.col("id") * 2).alias("twice")), "small")
+    for how in ("inner", "left"):
+        got = common.salted(spark.range(200).selectExpr("id", "id % 7 as by"), small, ["id"], ["by"], 64, how)
+        assert "BroadcastHashJoin" not in plan_of(got) and "SortMergeJoin" in plan_of(got)
+        assert sorted(map(tuple, got.select("id", "twice").collect())) == [(i, 2 * i if i < 50 else None) for i in range(50 if how == "inner" else 200)]
+
+
+@pytest.mark.parametrize("limit", [-1, 32 << 20])
+def test_counted_sizes_decide_what_is_broadcast(spark, monkeypatch, limit):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
+    plans = {}
+    monkeypatch.setattr(M, "stage", lambda df, name: (plans.setdefault(name, plan_of(df)), common.stage(df, name))[1])
+    rows = made(4, 250)
+    got = M.collocations(spark.createDataFrame(rows, DOCS), least=12)
+    joins = [p.count("BroadcastHashJoin") for p in (plans["best"], plans["best-words"], plan_of(got))]
+    assert joins == ([0, 0, 0] if limit < 0 else [3, 1, 5])
+    assert sorted(map(tuple, got.collect())) == plain([r[1:3] for r in rows], 12, 4, 80, 2000)
+
+
+def test_only_words_of_the_best_phrases_are_sent_and_their_letters_count(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 10_000)
+    sent = {}
+    monkeypatch.setattr(M, "stage", lambda df, name: sent.setdefault(name, common.stage(df, name)))
+    long = [c * 3000 for c in "abcd"]
+    rows = [(i, "en", f"{' '.join(long)}. {' '.join(f'w{k}' for k in range(60))}.", 0, "w") for i in range(40)]
+    rows += [(i, "en", ". ".join(f"w{k}" for k in range(60)), 0, "w") for i in range(40)]
+    got = M.collocations(spark.createDataFrame(rows, DOCS), top=1)
+    assert plan_of(got).count("BroadcastHashJoin") == 1
+    assert sent["best-words"].count() == 4 and sent["words"].count() == 64
+    assert [tuple(r) for r in got.collect()] == plain([r[1:3] for r in rows], 30, 4, 80, 1)
